@@ -1,0 +1,35 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEYS = 128
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, key: str, share: float = 0.005) -> DataFrame:
+    """Keys that hold more than ``share`` of the rows; at most ``HOT_KEYS`` rows.
+
+    A sketch with map-side merging finds them in one pass over the key column.
+    The list only steers the salting, so a missed key costs balance, not rows.
+    """
+    top = df.agg(F.expr(f"approx_top_k({key}, {HOT_KEYS}, 10000)").alias("top"), F.count(F.lit(1)).alias("n"))
+    found = top.select("n", F.inline("top"))
+    return found.filter(F.col("count") > F.greatest(F.col("n") * share, F.lit(100_000))).select(F.col("item").alias(key))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread_by: Column) -> DataFrame:
+    """Join ``left`` with ``right``, which holds one row per ``key``.
+
+    Rows of hot keys are spread over ``SALTS`` salts by ``spread_by``; only the
+    matching rows of ``right`` are repeated. Each left row still meets its one
+    partner exactly once, so every join type that keeps the left side is exact.
+    """
+    hot = F.broadcast(hot_keys(left.select(key), key).withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salted_left = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted_right = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
