@@ -177,6 +177,11 @@ def parse_html(html: pa.Array) -> pa.Array:
     )
 
 
+# Marked as non-deterministic so that the optimizer neither repeats nor merges the
+# call: a page is parsed once however often its nodes are used.
+parse_html = parse_html.asNondeterministic()
+
+
 # --- Markdown -----------------------------------------------------------------
 #
 # The dialect: hash headings on one line; paragraphs and other block elements set
@@ -310,27 +315,24 @@ def node_markdown(nodes: list[Node], first: int, last: int, clean_tables: bool =
     return "".join(stack[0].parts).strip()
 
 
-def _markdown_list(html: pa.Array, ids: pa.Array, clean_tables: bool) -> pa.Array:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def subtree_markdown(html: pa.Array, ids: pa.Array, clean: pa.Array) -> pa.Array:
+    """Markdown of the named nodes of each page; -1 names the whole page.
+
+    Where ``clean`` holds, table rows without content go and one-text cells are plain.
+    """
     out = []
-    for page, wanted in zip(html.to_pylist(), ids.to_pylist()):
-        if not page or wanted is None:
-            out.append(None)
+    for page, wanted, flags in zip(html.to_pylist(), ids.to_pylist(), clean.to_pylist()):
+        if not page or not wanted:
+            out.append([])
             continue
         nodes, _ = parse_page(page)
-        out.append([node_markdown(nodes, i, nodes[i].last_id, clean_tables) for i in wanted])
+        ends = {i: nodes[i].last_id if i >= 0 else len(nodes) - 1 for i in wanted}
+        out.append([node_markdown(nodes, max(i, 0), ends[i], flag) for i, flag in zip(wanted, flags)])
     return pa.array(out, pa.list_(pa.string()))
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def subtree_markdown(html: pa.Array, ids: pa.Array) -> pa.Array:
-    """Markdown of the named nodes of each page."""
-    return _markdown_list(html, ids, False)
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def clean_subtree_markdown(html: pa.Array, ids: pa.Array) -> pa.Array:
-    """As :func:`subtree_markdown`, without empty table rows and with plain one-text cells."""
-    return _markdown_list(html, ids, True)
+subtree_markdown = subtree_markdown.asNondeterministic()
 
 
 def _whole(html: pa.Array, clean_tables: bool) -> pa.Array:
