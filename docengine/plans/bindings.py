@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docengine.sources.readers import parse_partitions, spread_scan
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -174,7 +176,9 @@ def sidebar_pages(spark: SparkSession, d: str) -> DataFrame:
     head = _entry_html(F.concat(F.lit('<li class="toc-item-divider"><a>'), F.col("r_name"), F.lit("</a></li>")))
     loose = F.array_join(F.transform("members", lambda m: m["html"]), "")
     part = F.when(F.col("shape") == 1, F.concat(loose, F.col("menus"), head)).otherwise(F.concat(head, F.col("menus")))
-    pages = regions.withColumn("part", part).groupBy("page_id", "shape").agg(ordered("part", "r_regionkey").alias("body"))
+    # Pages are small on disk and costly to parse: keep all cores busy with them.
+    spread = regions.withColumn("part", part).repartition(parse_partitions(spark), "page_id", "shape")
+    pages = spread.groupBy("page_id", "shape").agg(ordered("part", "r_regionkey").alias("body"))
     inner = F.concat(F.lit("<ul>\n"), F.col("body"), F.lit("</ul>"))
     wrapped = F.concat(F.lit('<div class="filter-api-sidebar-wrapper">'), inner, F.lit("</div>"))
     return pages.select("page_id", "shape", F.when(F.col("shape") == 3, inner).otherwise(wrapped).alias("html"))
@@ -204,6 +208,6 @@ SHAPE_EXPR = "CASE p_partkey % 6 WHEN 0 THEN 'model' WHEN 1 THEN 'markdown' WHEN
 
 
 def endpoint_pages(spark: SparkSession, d: str) -> DataFrame:
-    shaped = table(spark, d, "part").withColumn("shape", F.expr(SHAPE_EXPR))
+    shaped = spread_scan(table(spark, d, "part")).withColumn("shape", F.expr(SHAPE_EXPR))
     cases = " ".join(f"WHEN '{name}' THEN {html}" for name, html in ENDPOINT_HTML.items())
     return shaped.select(F.col("p_partkey").alias("page_id"), "shape", F.expr(f"CASE shape {cases} END").alias("html"))

@@ -276,9 +276,12 @@ def p5(spark, d):
     return modes[0].unionByName(modes[1])
 
 
-@query("p6_looks_like_endpoint", f"SELECT doc_id FROM documents WHERE {S.any_of('text', rules.ENDPOINT_PHRASES)}")
+_P6_TEXT = "text || CASE doc_id % 6 WHEN 0 THEN ' (POST) x' WHEN 1 THEN ' RETRIEVE all' WHEN 2 THEN ' Set it' WHEN 3 THEN ' set' ELSE '' END"
+
+
+@query("p6_looks_like_endpoint", f"SELECT doc_id FROM documents WHERE {S.any_of(_P6_TEXT, rules.ENDPOINT_PHRASES)}")
 def p6(spark, d):
-    return documents(spark, d).filter(rules.looks_like_endpoint(col("text"))).select("doc_id")
+    return documents(spark, d).filter(rules.looks_like_endpoint(F.expr(_P6_TEXT))).select("doc_id")
 
 
 _P7_TEXT = "CASE doc_id % 9 WHEN 1 THEN text || ' (TBD)' WHEN 2 THEN 'Coming Soon: ' || lang WHEN 3 THEN '' ELSE text END"
@@ -357,9 +360,15 @@ def p14(spark, d):
 # --- page-level text rules --------------------------------------------------------------
 
 
-@query("n2_standalone_pages", f"SELECT DISTINCT doc_id, lang FROM documents WHERE {S.any_of('text', navigation.STANDALONE_TOPICS)}")
+_N2_TEXT = "CASE doc_id % 4 WHEN 0 THEN 'INTRODUCTION: ' || text WHEN 1 THEN text || ' Api Reference' ELSE text END"
+
+
+@query(
+    "n2_standalone_pages",
+    f"SELECT DISTINCT doc_id, lang FROM documents WHERE {S.any_of(_N2_TEXT, navigation.STANDALONE_TOPICS)}",
+)
 def n2(spark, d):
-    hits = documents(spark, d).filter(navigation.is_standalone(col("text")))
+    hits = documents(spark, d).filter(navigation.is_standalone(F.expr(_N2_TEXT)))
     return hits.select("doc_id", "lang").distinct()
 
 

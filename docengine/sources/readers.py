@@ -17,9 +17,23 @@ GROUP_DDL = f"header_text string, children array<struct<{_LEAF},children:array<s
 TOOL_FOLDERS = ["__pycache__", "node_modules", "venv", ".venv"]
 
 
-def scan_pages(spark: SparkSession, path: str, html: str = "html") -> DataFrame:
-    """Stored pages with HTML."""
-    return spark.read.parquet(path).filter(F.length(html) > 0)
+def parse_partitions(spark: SparkSession) -> int:
+    """Partitions that keep every core busy with parsing."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """A plain file scan with too few splits for the cores is dealt out; others stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def scan_pages(spark: SparkSession, path: str, html: str = "html", columns: tuple[str, ...] = ()) -> DataFrame:
+    """Stored pages with HTML; name the columns wanted, so that no others are dealt out."""
+    scan = spark.read.parquet(path)
+    if columns:
+        scan = scan.select(*columns)
+    return spread_scan(scan.filter(F.length(html) > 0))
 
 
 def scan_html_files(spark: SparkSession, path: str) -> DataFrame:
