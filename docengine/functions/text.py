@@ -275,6 +275,22 @@ def md_checks(text: Column) -> Column:
     )
 
 
+def one_decimal(value: Column) -> Column:
+    """A non-negative double with one decimal, rounded as C and Python print it: the
+    exact binary value decides, and an exact tie goes to the even digit. (Java's
+    formatter rounds the shortest decimal form half up.)"""
+
+    def tenths(fraction: Column) -> Column:
+        scaled = fraction * 2.0**50
+        whole = F.floor(scaled)
+        digit = F.floor(whole * 10 / F.lit(2.0**50))
+        over = (whole * 10 - digit * 2**50 - 2**49).cast("double") + (scaled - whole) * 10
+        return digit + F.when((over > 0) | ((over == 0) & (digit % 2 == 1)), 1).otherwise(0)
+
+    total = F.floor(value) * 10 + tenths(value - F.floor(value))
+    return let(total, lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string")))
+
+
 def checksum(text: Column) -> Column:
     """SHA-256 of the UTF-8 bytes, in hex."""
     return F.sha2(text, 256)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.functions.text import checksum, normalize_id, output_filename, output_path, sanitize, slugify
+from docengine.functions.text import checksum, normalize_id, one_decimal, output_filename, output_path, sanitize, slugify
 from docengine.operators import rules
 from docengine.operators.skew import salted_join
 
@@ -87,7 +87,7 @@ def resume_summary(items: DataFrame, exists: Column, keys: list[str] | None = No
     )
     done = F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("existing") / F.col("total") * 100.0)
     line = F.format_string(
-        "Resume Info: %d/%d complete (%.1f%%), %d remaining", "existing", "total", "completion", "remaining"
+        "Resume Info: %d/%d complete (%s%%), %d remaining", "existing", "total", one_decimal(F.col("completion")), "remaining"
     )
     return (
         counted.withColumn("remaining", F.col("total") - F.col("existing"))

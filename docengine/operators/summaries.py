@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docengine.functions.text import let, strip
+from docengine.functions.text import let, one_decimal, strip
 from docengine.operators.ordered import SPAN
 from docengine.operators.rules import valid_item
 from docengine.operators.skew import salted_join
@@ -71,7 +71,7 @@ def final_summary(runs: DataFrame, status: Column, keys: list[str]) -> DataFrame
     )
     attempted = F.col("processed") + F.col("skipped") + F.col("errors") + F.col("no_content")
     rate = F.when(F.col("attempted") > 0, F.col("processed") / F.col("attempted") * 100).otherwise(F.lit(0.0))
-    return counted.withColumn("attempted", attempted).withColumn("success_rate", F.format_string("%.1f%%", rate))
+    return counted.withColumn("attempted", attempted).withColumn("success_rate", F.concat(one_decimal(rate), F.lit("%")))
 
 
 # --- text audits -------------------------------------------------------------------
@@ -141,7 +141,7 @@ def top_by_lines(audit: DataFrame, tie: str, n: int = 20) -> DataFrame:
     best = audit.orderBy(F.desc("total_lines"), tie).limit(n)
     # The window runs over the n rows the limit leaves.
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_lines"), tie)))
-    return ranked.withColumn("size_kb", F.format_string("%.1f", F.col("size_bytes") / 1024))
+    return ranked.withColumn("size_kb", one_decimal(F.col("size_bytes") / 1024))
 
 
 def max_items(items: DataFrame, pos: str, n: int | None) -> DataFrame:

@@ -149,7 +149,8 @@ def s8(spark, d):
 def _stream(spark, d, name):
     """Stored table as a file stream."""
     path = f"{d}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # Written as a pattern, as a stream takes a folder or a pattern, not a file.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _finished(stream_query):

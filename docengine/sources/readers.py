@@ -41,14 +41,15 @@ def scan_html_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
 
 
-def load_structure(spark: SparkSession, path: str, schema: str = GROUP_DDL) -> DataFrame:
+def load_structure(spark: SparkSession, path: str, schema: str = GROUP_DDL, multi_line: bool = False) -> DataFrame:
     """Saved header groups; a missing path or a corrupt record gives no rows.
 
     The schema is fixed, so nothing is inferred; extra columns (such as the page
-    key) can be named in ``schema``.
+    key) can be named in ``schema``. Saved tables hold one record per line;
+    ``multi_line`` reads files that each hold one indented list of groups.
     """
     full = f"{schema}, _corrupt string"
-    options = {"multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    options = {"multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     try:
         found = spark.read.schema(full).options(**options).json(path)
     except AnalysisException as missing:
