@@ -6,7 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions.text import WS, let, strip
-from docengine.operators.nodes import DEFAULT, Profile, contains, first, has_class, inside, is_tag, text_content
+from docengine.operators.nodes import (
+    DEFAULT,
+    Profile,
+    contains,
+    first,
+    has_class,
+    inside,
+    is_tag,
+    numbered_rows_of,
+    rows_of,
+    text_content,
+)
 from docengine.operators.rules import contains_any
 
 # Topics of standalone pages, and words of a page still loading.
@@ -35,8 +46,11 @@ def standalone_containers(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",
         hits = F.filter(labels, lambda n: is_standalone(text_content(nodes, n)))
         return F.array_distinct(F.transform(hits, lambda n: F.element_at(F.filter(lis, lambda o: contains(o, n)), -1)["node_id"]))
 
-    found = parsed.select(*keys, "nodes", F.explode(let(F.filter(nodes, _highlight(profile)), owners)).alias("li"))
-    return found.select(*keys, "li", text_content(nodes, F.get(nodes, F.col("li"))).alias("text"))
+    containers = F.transform(
+        let(F.filter(nodes, _highlight(profile)), owners),
+        lambda i: F.struct(i.alias("li"), text_content(nodes, F.get(nodes, i)).alias("text")),
+    )
+    return rows_of(parsed, containers, keys, "li")
 
 
 def collapsed_menus(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
@@ -59,7 +73,7 @@ def collapsed_menus(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), pro
         )
         return F.transform(icons, lambda n: label(F.element_at(F.filter(lis, lambda o: contains(o, n)), -1)))
 
-    return parsed.select(*keys, F.posexplode(let(F.filter(nodes, _highlight(p)), menus)).alias("index", "menu_text"))
+    return numbered_rows_of(parsed, let(F.filter(nodes, _highlight(p)), menus), keys, "index", "menu_text")
 
 
 def menu_by_text(parsed: DataFrame, text: str, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
@@ -85,7 +99,7 @@ def menu_by_text(parsed: DataFrame, text: str, keys: tuple[str, ...] = ("page_id
             (~icon(li, p.opened_icon) & icon(li, p.closed_icon)).alias("is_collapsed"),
         ),
     )
-    return parsed.select(*keys, F.lit(wanted).alias("menu_text"), F.inline(found))
+    return rows_of(parsed.withColumn("menu_text", F.lit(wanted)), found, (*keys, "menu_text"))
 
 
 def _targets(nodes: Column, item_id: Column, text: Column, need_id: bool, p: Profile) -> Column:
@@ -127,7 +141,7 @@ def all_ancestor_menus(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",),
         targets,
         lambda t: F.struct(t["dom_id"].alias("item_id"), _ancestor_texts(nodes, t, profile).alias("ancestors")),
     )
-    return parsed.select(*keys, F.inline(rows))
+    return rows_of(parsed, rows, keys, "item_id")
 
 
 def xpath(nodes: Column, node: Column) -> Column:

@@ -89,6 +89,21 @@ def text_content(nodes: Column, node: Column) -> Column:
     return clean_text(F.array_join(F.transform(pieces, lambda n: n["data"]), ""))
 
 
+def rows_of(df: DataFrame, array: Column, keys: tuple[str, ...], present: str = "node_id") -> DataFrame:
+    """One row per struct of an array that is costly to compute.
+
+    The outer form is used because for the plain one the optimizer adds a test that
+    the array is not empty, which computes it again; ``present`` names a field that
+    is never null.
+    """
+    return df.select(*keys, F.inline_outer(array)).filter(F.col(present).isNotNull())
+
+
+def numbered_rows_of(df: DataFrame, array: Column, keys: tuple[str, ...], pos: str, value: str) -> DataFrame:
+    """The same with positions, for arrays of any element type."""
+    return df.select(*keys, F.posexplode_outer(array).alias(pos, value)).filter(F.col(pos).isNotNull())
+
+
 # --- named selections -----------------------------------------------------------
 
 
@@ -143,7 +158,7 @@ def select_nodes(parsed: DataFrame, selector, keys: tuple[str, ...] = ("page_id"
     """One row per node a named selection (or a predicate of that form) picks."""
     predicate = selectors(profile)[selector] if isinstance(selector, str) else selector
     nodes = F.col("nodes")
-    return parsed.select(*keys, F.inline(F.filter(nodes, lambda n: F.coalesce(predicate(nodes, n), F.lit(False)))))
+    return rows_of(parsed, F.filter(nodes, lambda n: F.coalesce(predicate(nodes, n), F.lit(False))), keys)
 
 
 def html_nodes(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -156,21 +171,21 @@ def html_nodes(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataF
         return n.withField("own_text", own_text).withField("text", shown_text(nodes, n)).dropFields("data")
 
     elements = F.filter(nodes, lambda n: ~n["tag"].startswith("#"))
-    return parsed.select(*keys, F.inline(F.transform(elements, row)))
+    return rows_of(parsed, F.transform(elements, row), keys)
 
 
 def find_root(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
     """The navigation list of each page; pages without one drop out."""
     nodes = F.col("nodes")
     root = first(F.filter(nodes, lambda n: F.coalesce(_root(nodes, n, profile), F.lit(False))))
-    return parsed.select(*keys, F.inline(F.filter(F.array(root), lambda n: n.isNotNull())))
+    return rows_of(parsed, F.array(root), keys)
 
 
 def link_href(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """All link targets of each page, in order; links without a target drop out."""
     links = F.filter(F.col("nodes"), lambda n: is_tag(n, "a") & F.map_contains_key(n["attrs"], "href"))
     hrefs = F.transform(links, lambda n: n["attrs"]["href"])
-    return parsed.select(*keys, F.posexplode(hrefs).alias("link_pos", "href"))
+    return numbered_rows_of(parsed, hrefs, keys, "link_pos", "href")
 
 
 def first_href(nodes: Column, node: Column) -> Column:

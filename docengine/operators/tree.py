@@ -13,7 +13,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.functions.text import clean_text, let, strip, synthetic_id
+from docengine.functions.text import clean_text, let, synthetic_id
 from docengine.operators import rules
 from docengine.operators.nodes import (
     DEFAULT,
@@ -24,10 +24,12 @@ from docengine.operators.nodes import (
     has_class,
     inside,
     is_tag,
+    numbered_rows_of,
     selectors,
     shown_text,
     structure_counts,
     structure_type,
+    with_nodes,
 )
 from docengine.operators.ordered import nearest, running_row_number
 
@@ -242,7 +244,8 @@ def with_entries(parsed: DataFrame, profile: Profile = DEFAULT, keep: tuple[str,
 
 def entry_rows(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "structure")) -> DataFrame:
     """One row per entry."""
-    return pages.select(*keys, F.inline("entries")).select(
+    placed = pages.select(*keys, F.inline_outer("entries")).filter(F.col("e").isNotNull())
+    return placed.select(
         *keys, "e.*", "level", "outer", F.col("parent.node_id").alias("parent_entry"),
         F.col("parent.text").alias("parent_text"), F.col("leading.text").alias("leading_header"),
         F.col("trailing.text").alias("trailing_header"),
@@ -335,35 +338,50 @@ def flat_items(entries: Column) -> Column:
     return let(F.filter(entries, ok), rows)
 
 
+def _kind_column(structure: str | None) -> Column:
+    return F.lit(structure) if structure else F.col("structure")
+
+
+@lru_cache(maxsize=16)
+def _items_column(structure: str | None, _context) -> Column:
+    entries = F.col("entries")
+    if structure:
+        return flat_items(entries) if structure == FLAT else hierarchical_items(entries)
+    return F.when(F.col("structure") == FLAT, flat_items(entries)).otherwise(hierarchical_items(entries))
+
+
+def _items(structure: str | None) -> Column:
+    return _items_column(structure, SparkContext._active_spark_context)
+
+
 def page_items(pages: DataFrame, structure: str | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The flat item list of each page, with ``pos``; the item model drops bad rows.
 
     ``structure`` forces one of the two readings.
     """
-    entries = F.col("entries")
-    kind = F.lit(structure) if structure else F.col("structure")
-    items = F.when(kind == FLAT, flat_items(entries)).otherwise(hierarchical_items(entries))
-    fine = F.filter(items, lambda i: rules.item_fault(i["text"], i["type"], i["level"]).isNull())
-    listed = pages.select(*keys, F.posexplode(fine).alias("pos", "i"))
-    return listed.select(
-        *keys, "pos", "i.id", strip(clean_text(F.col("i.text"))).alias("text"), "i.type", "i.header", "i.menu",
+    fine = F.filter(_items(structure), lambda i: rules.item_fault(i["text"], i["type"], i["level"]).isNull())
+    return numbered_rows_of(pages, fine, keys, "pos", "i").select(
+        *keys, "pos", "i.id", clean_text(F.col("i.text")).alias("text"), "i.type", "i.header", "i.menu",
         "i.parent_menu_text", "i.level",
     )
 
 
 def parse_sidebar(pages: DataFrame, profile: Profile = DEFAULT, structure: str | None = None) -> DataFrame:
     """Raw pages to flat items."""
-    from docengine.operators.nodes import with_nodes
-
     return page_items(with_entries(with_nodes(pages), profile), structure)
 
 
 def page_groups(pages: DataFrame, structure: str | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The nested form of each page: header groups, their items, and the items of menus."""
+    groups = _groups_column(structure, SparkContext._active_spark_context)
+    return pages.select(*keys, groups.alias("structured_data"))
+
+
+@lru_cache(maxsize=16)
+def _groups_column(structure: str | None, _context) -> Column:
     entries = F.col("entries")
-    kind = F.lit(structure) if structure else F.col("structure")
-    flat = kind == FLAT
-    items = F.when(flat, flat_items(entries)).otherwise(hierarchical_items(entries))
+    flat = _kind_column(structure) == FLAT
+    items = _items(structure)
     tops = F.filter(entries, lambda x: x["e"]["has_divider"] & (x["level"] == 0))
     heads = F.transform(tops, lambda x: F.struct(x["e"]["node_id"].alias("node_id"), x["e"]["divider_text"].alias("text"), header_position(entries, x).alias("position")))
     default = F.struct(F.lit(2**31 - 1).alias("node_id"), F.lit(DEFAULT_HEADER).alias("text"), F.lit(None).cast("int").alias("position"))
@@ -396,8 +414,7 @@ def page_groups(pages: DataFrame, structure: str | None = None, keys: tuple[str,
             lambda own: F.struct(h["text"].alias("header_text"), F.when(flat, h["position"]).alias("position"), children(own).alias("children")),
         )
 
-    groups = let(items, lambda its: let(heads, lambda hs: F.transform(hs, lambda h, n: group(its, hs, h, n))))
-    return pages.select(*keys, groups.alias("structured_data"))
+    return let(items, lambda its: let(heads, lambda hs: F.transform(hs, lambda h, n: group(its, hs, h, n))))
 
 
 def header_position(entries: Column, header: Column) -> Column:
@@ -491,7 +508,7 @@ def flatten(nested: DataFrame, keys: list[str]) -> DataFrame:
         return F.flatten(F.transform(tops, lambda i: with_children(i, header)))
 
     items = F.flatten(F.transform(F.col("structured_data"), group))
-    return nested.select(*keys, F.posexplode(items).alias("pos", "_i")).select(*keys, "pos", "_i.*")
+    return numbered_rows_of(nested, items, tuple(keys), "pos", "_i").select(*keys, "pos", "_i.*")
 
 
 def standard_item(items: DataFrame) -> DataFrame:

@@ -427,7 +427,7 @@ FROM placed WHERE shape = 0 GROUP BY page_id""",
 )
 def s2(spark, d):
     folder = work_dir(spark, "structure")
-    shape0 = sidebar_nodes(spark, d).filter("shape = 0")
+    shape0 = nodes.with_nodes(B.sidebar_pages(spark, d).filter("shape = 0"))
     writers.save_structure(tree.page_groups(tree.with_entries(shape0)), folder)
     loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int, " + readers.GROUP_DDL)
     kids = F.aggregate(F.transform("children", lambda c: F.coalesce(F.size(c["children"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
@@ -443,7 +443,7 @@ SELECT page_id, r_name AS header_text, string_agg(n_name || '[' || kids || ']',
 @query("s3_save_structure", _OUTLINE)
 def s3(spark, d):
     folder = work_dir(spark, "structure")
-    shape0 = sidebar_nodes(spark, d).filter("shape = 0")
+    shape0 = nodes.with_nodes(B.sidebar_pages(spark, d).filter("shape = 0"))
     writers.save_structure(tree.page_groups(tree.with_entries(shape0)), folder)
     loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int, " + readers.GROUP_DDL)
 

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions.text import raw_html_path
+from docengine.operators.nodes import numbered_rows_of
 from docengine.operators.resume import pending_items, prepare_publish
 from docengine.operators.skew import salted_join
 
 
 def save_structure(nested: DataFrame, path: str, keys: tuple[str, ...] = ("page_id",)) -> None:
     """One JSON record per header group, non-ASCII kept."""
-    groups = nested.select(*keys, F.posexplode("structured_data").alias("group_pos", "g"))
+    groups = numbered_rows_of(nested, F.col("structured_data"), keys, "group_pos", "g")
     groups.select(*keys, "group_pos", "g.*").write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
