@@ -39,7 +39,7 @@ def rstrip(text: Column, chars: str = WS_CHARS) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(~text.rlike(f"[^{WS}]"), F.lit(True))
 
 
 def clean_text(text: Column) -> Column:
@@ -93,30 +93,52 @@ def raw_html_path(item_id: Column, base: str = "debug", kind: str = "html") -> C
     return F.concat(F.lit(base.rstrip("/") + "/page_content_"), slugify(item_id), F.lit("." + kind))
 
 
-# Clean-up rules, applied in this order.
-CLEANUP_RULES = [
-    (r"[\x{200b}\x{200c}\x{200d}\x{feff}]+", ""),
-    (r"[\x{201c}\x{201d}]", '"'),
-    (r"[\x{2018}\x{2019}]", "'"),
-    (r"[\x{2013}\x{2014}]", "--"),
-    (r"[\x{ad}\x{61c}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}]", ""),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    (rf"\[([^\]]+)\]\([{WS}]*\)", "$1"),
-    (rf"\*\*[{WS}]*\*\*", ""),
-    (rf"__[{WS}]*__", ""),
-    (rf"\*[{WS}]*\*", ""),
-    (rf"_[{WS}]*_", ""),
+# Clean-up rules in their order, in groups by what a text must hold
+# for any rule of the group to apply (a regex, then a plain substring).
+CLEANUP_GROUPS = [
+    (
+        r"[\x{ad}\x{61c}\x{1680}\x{2000}-\x{206f}\x{feff}]",
+        [
+            (r"[\x{200b}\x{200c}\x{200d}\x{feff}]+", ""),
+            (r"[\x{201c}\x{201d}]", '"'),
+            (r"[\x{2018}\x{2019}]", "'"),
+            (r"[\x{2013}\x{2014}]", "--"),
+            (r"[\x{ad}\x{61c}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}]", ""),
+        ],
+    ),
+    (None, [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')]),
+    ("](", [(rf"\[([^\]]+)\]\([{WS}]*\)", "$1")]),
+    ("*", [(rf"\*\*[{WS}]*\*\*", "")]),
+    ("_", [(rf"__[{WS}]*__", "")]),
+    ("*", [(rf"\*[{WS}]*\*", "")]),
+    ("_", [(rf"_[{WS}]*_", "")]),
 ]
+CLEANUP_RULES = [rule for _, rules in CLEANUP_GROUPS for rule in rules]
 
 
 def cleanup_patterns(text: Column) -> Column:
-    for pattern, replacement in CLEANUP_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    """The clean-up rules; a cheap test first keeps most texts away from the regexes."""
+
+    def apply(value: Column, rules: list, plain: bool) -> Column:
+        for pattern, replacement in rules:
+            if plain:
+                value = F.replace(value, F.lit(pattern), F.lit(replacement))
+            else:
+                value = F.regexp_replace(value, pattern, replacement)
+        return value
+
+    def guarded(value: Column, needs: str | None, rules: list) -> Column:
+        if needs is None:
+            return apply(value, rules, True)
+        present = value.rlike(needs) if needs.startswith("[") else value.contains(needs)
+        return F.when(present, apply(value, rules, False)).otherwise(value)
+
+    def chain(value: Column, groups: list) -> Column:
+        if not groups:
+            return value
+        return chain(let(value, lambda v: guarded(v, *groups[0])), groups[1:])
+
+    return chain(text, CLEANUP_GROUPS)
 
 
 def fix_headers(text: Column) -> Column:
@@ -124,7 +146,8 @@ def fix_headers(text: Column) -> Column:
     spaced = F.regexp_replace(
         text, rf"(?dm)^([{WS_NO_NEWLINE}]*)(#+)[{WS_NO_BLANK}][{WS_NO_NEWLINE}]*", "$1$2 "
     )
-    return F.regexp_replace(spaced, rf"(?dm)^([{WS_NO_NEWLINE}]*)(#+)([^#{WS}])", "$1$2 $3")
+    done = F.regexp_replace(spaced, rf"(?dm)^([{WS_NO_NEWLINE}]*)(#+)([^#{WS}])", "$1$2 $3")
+    return F.when(text.contains("#"), done).otherwise(text)
 
 
 def _table_separators(text: Column) -> Column:
@@ -135,7 +158,7 @@ def _table_separators(text: Column) -> Column:
     joined = F.array_join(
         F.zip_with(gaps, dashes, lambda gap, dash: F.concat(gap, F.coalesce(dash, F.lit("")))), ""
     )
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+    return F.when(text.contains("|"), joined).otherwise(text)
 
 
 def _table_spacing(text: Column) -> Column:
@@ -187,7 +210,11 @@ def normalize_ws(text: Column, tab: int = 4) -> Column:
         )
         return F.when(line.contains("\t"), stops).otherwise(line)
 
-    return F.array_join(F.transform(F.split(text, "\n", -1), lambda l: rstrip(expand(l))), "\n")
+    lines = F.array_join(F.transform(F.split(text, "\n", -1), expand), "\n")
+    expanded = F.when(text.contains("\t"), lines).otherwise(text)
+    # Starts only at the first of a run of blanks, so long runs cost no more than short ones.
+    blanks = f"[{WS_NO_NEWLINE}]"
+    return F.regexp_replace(expanded, rf"(?<!{blanks}){blanks}++(?=\n|\z)", "")
 
 
 def squeeze_blank(text: Column) -> Column:

@@ -82,7 +82,13 @@ MD_SQL = f"md AS (SELECT doc_id, {MD_EXPR} AS text FROM documents)"
 
 
 def md(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.expr(MD_EXPR).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    return spread_scan(docs).select("doc_id", F.expr(MD_EXPR).alias("text"))
+
+
+def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Chosen columns of the documents, dealt out to all cores if they are one small file."""
+    return spread_scan(table(spark, d, "documents").select(*columns))
 
 
 # --- log: events with a level -------------------------------------------------------

@@ -272,7 +272,7 @@ SELECT doc_id AS pos, CASE WHEN h IS NULL THEN 'write' WHEN h = sha256(text) THE
 FROM documents LEFT JOIN stored ON output_path = 'doc-' || doc_id""",
 )
 def j3(spark, d):
-    docs = B.table(spark, d, "documents").withColumn("output_path", F.concat(F.lit("doc-"), col("doc_id").cast("string")))
+    docs = B.documents(spark, d, "doc_id", "text").withColumn("output_path", F.concat(F.lit("doc-"), col("doc_id").cast("string")))
     stored = docs.filter("doc_id % 3 <> 0").select("output_path", X.checksum(F.expr(_J3_EDIT)).alias("sha256"))
     items = docs.select(col("doc_id").alias("pos"), "output_path", X.checksum(col("text")).alias("sha256"))
     return resume.write_actions(items, stored, col("pos")).select("pos", "action")

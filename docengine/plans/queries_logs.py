@@ -84,7 +84,7 @@ audit AS (SELECT doc_id, strlen(text)::INTEGER AS size_bytes, coalesce(total, 0)
 
 
 def _audit(spark, d):
-    texts = B.table(spark, d, "documents").select("doc_id", F.expr(_AUDIT_TEXT).alias("text"))
+    texts = B.documents(spark, d, "doc_id", "text").select("doc_id", F.expr(_AUDIT_TEXT).alias("text"))
     return summaries.line_audit(texts)
 
 
@@ -109,7 +109,7 @@ c AS (SELECT doc_id, (count(*) FILTER (l <> '' AND NOT starts_with(l, '#')))::IN
 SELECT doc_id, line_count, 'Module' AS kind, line_count - 30 AS excess FROM c WHERE line_count > 25""",
 )
 def a9(spark, d):
-    texts = B.table(spark, d, "documents").select("doc_id", "text")
+    texts = B.documents(spark, d, "doc_id", "text")
     return summaries.size_violations(texts, strict=True, limit=30, target=25)
 
 

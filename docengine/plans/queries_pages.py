@@ -465,7 +465,8 @@ def s4(spark, d):
 
 
 _CONTENT_TITLE = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
-_PUBLISHED = f"""WITH r AS (SELECT page_id AS pos, {_HOST} AS header, {_CONTENT_TITLE} AS text, html FROM pages),
+_DOMAIN = r"regexp_extract(url, '^https?://[^/]*\.([a-z]+)(/|$)', 1)"
+_PUBLISHED = f"""WITH r AS (SELECT page_id AS pos, {_DOMAIN} AS header, {_CONTENT_TITLE} AS text, html FROM pages),
 p AS (SELECT *, {S.path('header', 'NULL::VARCHAR', 'text')} AS output_path FROM r)
 SELECT output_path, header, text FROM p
 WHERE NOT (contains(output_path, '..') OR contains(output_path, '~') OR contains(output_path, '//'))
@@ -473,9 +474,9 @@ QUALIFY row_number() OVER (PARTITION BY output_path ORDER BY pos) = 1"""
 
 
 def content_rows(stored):
-    """Stored pages as content rows: host is the header, the heading the text."""
+    """Stored pages as content rows: the top-level domain is the header, the heading the text."""
     return stored.select(
-        col("page_id").alias("pos"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("header"),
+        col("page_id").alias("pos"), F.regexp_extract("url", r"^https?://[^/]*\.([a-z]+)(/|$)", 1).alias("header"),
         F.lit(None).cast("string").alias("menu"), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("text"),
         navigation.visible_text(col("html")).alias("markdown"),
     )

@@ -15,7 +15,7 @@ TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 
 
 def documents(spark, d):
-    return B.table(spark, d, "documents")
+    return B.documents(spark, d, "doc_id", "text", "lang", "source")
 
 
 def md_query(name: str, make, sql_expr: str | None):

@@ -22,6 +22,8 @@ def get_session(app: str = "docengine", master: str | None = None, shuffle: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.filterPushdown", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        # Call sites are not recorded for each column expression; large ones build faster.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
