@@ -28,10 +28,17 @@ def save_raw_html(pages: DataFrame, path: str, item_id, base: str = "debug") ->
     pages.withColumn("debug_path", raw_html_path(item_id, base)).write.mode("overwrite").parquet(path)
 
 
+# A fixed schema: an empty table stays readable, and a folder named 2024 stays text.
+PUBLISHED_DDL = (
+    "output_path string, header string, menu string, text string, markdown string, sha256 string, "
+    "header_slug string, menu_slug string"
+)
+
+
 def published(spark: SparkSession, path: str) -> DataFrame | None:
     """What has been published so far, or None before the first run."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(PUBLISHED_DDL).parquet(path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
@@ -59,10 +66,10 @@ def publish_markdown(content: DataFrame, path: str, base: str = "output", overwr
         # The old table is an input here, so the new one is written beside it first.
         staged = f"{path}.next"
         rows.write.mode("overwrite").parquet(staged)
-        rows = spark.read.parquet(staged)
+        rows = published(spark, staged)
     mode = "overwrite" if overwrite else "append"
     rows.write.mode(mode).partitionBy("header_slug", "menu_slug").parquet(path)
-    return spark.read.parquet(path)
+    return published(spark, path)
 
 
 def write_routed_logs(routed: DataFrame, path: str, mode: str = "overwrite") -> None:
