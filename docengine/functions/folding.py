@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -47,17 +48,26 @@ def _ranges(points: list[int]) -> str:
     return "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in runs)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_fold(text: Column) -> Column:
     """Decompose (NFKD) and drop everything outside ASCII."""
     single, several = _fold_tables()
     entries = "\x01".join(f"{char}\x02{spelled}" for char, spelled in several.items())
     mapping = F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
-    spelled = F.when(
-        text.rlike(f"[{_ranges([ord(c) for c in several])}]"),
-        F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c)), ""),
-    ).otherwise(text)
-    folded = F.translate(spelled, "".join(single), "".join(single.values()))
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.regexp_replace(folded, r"[^\x00-\x7f]+", "")).otherwise(text)
+
+    def fold(t: Column) -> Column:
+        # Only what is left outside ASCII is held against the long class.
+        wide = F.regexp_replace(t, r"[\x00-\x7f]+", "").rlike(f"[{_ranges([ord(c) for c in several])}]")
+        each = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c))
+        spelled = F.when(wide, F.array_join(each, "")).otherwise(t)
+        folded = F.translate(spelled, "".join(single), "".join(single.values()))
+        return F.when(t.rlike(r"[^\x00-\x7f]"), F.regexp_replace(folded, r"[^\x00-\x7f]+", "")).otherwise(t)
+
+    return let(text, fold)
 
 
 @F.arrow_udf(T.StringType())

@@ -6,12 +6,10 @@ so that every regex engine reads the same class.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docengine.functions.folding import ascii_fold, compat_fold
+from docengine.functions.folding import ascii_fold, compat_fold, let
 
 # White space, as regex class members and as plain characters.
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -24,11 +22,6 @@ WS_CHARS = "".join(
 WORD = r"\p{L}\p{N}_"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def strip(text: Column, chars: str = WS_CHARS) -> Column:
     return F.trim(text, F.lit(chars))
 
@@ -143,11 +136,15 @@ def cleanup_patterns(text: Column) -> Column:
 
 def fix_headers(text: Column) -> Column:
     """Put a blank after leading hashes that lack one."""
-    spaced = F.regexp_replace(
-        text, rf"(?dm)^([{WS_NO_NEWLINE}]*)(#+)[{WS_NO_BLANK}][{WS_NO_NEWLINE}]*", "$1$2 "
-    )
-    done = F.regexp_replace(spaced, rf"(?dm)^([{WS_NO_NEWLINE}]*)(#+)([^#{WS}])", "$1$2 $3")
-    return F.when(text.contains("#"), done).otherwise(text)
+
+    def fix(t: Column) -> Column:
+        spaced = F.regexp_replace(
+            t, rf"(?dm)^([{WS_NO_NEWLINE}]*)(#+)[{WS_NO_BLANK}][{WS_NO_NEWLINE}]*", "$1$2 "
+        )
+        done = F.regexp_replace(spaced, rf"(?dm)^([{WS_NO_NEWLINE}]*)(#+)([^#{WS}])", "$1$2 $3")
+        return F.when(t.contains("#"), done).otherwise(t)
+
+    return let(text, fix)
 
 
 def _table_separators(text: Column) -> Column:
@@ -193,7 +190,7 @@ def _table_spacing(text: Column) -> Column:
 
 
 def clean_md_tables(text: Column) -> Column:
-    return _table_spacing(_table_separators(text))
+    return let(let(text, _table_separators), _table_spacing)
 
 
 def normalize_ws(text: Column, tab: int = 4) -> Column:
@@ -210,8 +207,11 @@ def normalize_ws(text: Column, tab: int = 4) -> Column:
         )
         return F.when(line.contains("\t"), stops).otherwise(line)
 
-    lines = F.array_join(F.transform(F.split(text, "\n", -1), expand), "\n")
-    expanded = F.when(text.contains("\t"), lines).otherwise(text)
+    def expand_all(t: Column) -> Column:
+        lines = F.array_join(F.transform(F.split(t, "\n", -1), expand), "\n")
+        return F.when(t.contains("\t"), lines).otherwise(t)
+
+    expanded = let(text, expand_all)
     # Starts only at the first of a run of blanks, so long runs cost no more than short ones.
     blanks = f"[{WS_NO_NEWLINE}]"
     return F.regexp_replace(expanded, rf"(?<!{blanks}){blanks}++(?=\n|\z)", "")
@@ -229,16 +229,20 @@ def sanitize(
     blank_lines: bool = True,
 ) -> Column:
     """The whole Markdown clean-up; blank or null content becomes the empty string."""
-    done = cleanup_patterns(text)
-    if headers:
-        done = fix_headers(done)
-    if tables:
-        done = let(done, clean_md_tables)
-    if whitespace:
-        done = normalize_ws(done)
-    if blank_lines:
-        done = squeeze_blank(done)
-    return F.when(is_blank(text), F.lit("")).otherwise(strip(done))
+
+    def clean(t: Column) -> Column:
+        done = cleanup_patterns(t)
+        if headers:
+            done = fix_headers(done)
+        if tables:
+            done = clean_md_tables(done)
+        if whitespace:
+            done = normalize_ws(done)
+        if blank_lines:
+            done = squeeze_blank(done)
+        return F.when(is_blank(t), F.lit("")).otherwise(strip(done))
+
+    return let(text, clean)
 
 
 def strip_comments(text: Column) -> Column:
@@ -286,20 +290,23 @@ def _count(text: Column, mark: str) -> Column:
 def md_checks(text: Column) -> Column:
     """Five structure checks as one struct of booleans."""
 
-    def balanced(mark: str) -> Column:
-        double = _count(text, mark * 2)
-        return (double % 2 == 0) & ((_count(text, mark) - double * 2) % 2 == 0)
+    def balanced(t: Column, mark: str) -> Column:
+        double = _count(t, mark * 2)
+        return (double % 2 == 0) & ((_count(t, mark) - double * 2) % 2 == 0)
 
     def clean_row(line: Column) -> Column:
         return let(strip(line), lambda s: ~s.contains("|") | (s.startswith("|") & s.endswith("|")))
 
-    return F.struct(
-        text.rlike(rf"(?dm)^#+[{WS}]+[^\n]").alias("has_headers"),
-        (F.regexp_count(text, F.lit("(?dm)^```")) % 2 == 0).alias("has_proper_code_blocks"),
-        (balanced("*") & balanced("_")).alias("has_balanced_emphasis"),
-        (~text.rlike(rf"\[([^\]]+)\]\([{WS}]*\)")).alias("has_valid_links"),
-        F.forall(F.split(text, "\n", -1), clean_row).alias("has_clean_tables"),
-    )
+    def all_checks(t: Column) -> Column:
+        return F.struct(
+            t.rlike(rf"(?dm)^#+[{WS}]+[^\n]").alias("has_headers"),
+            (F.regexp_count(t, F.lit("(?dm)^```")) % 2 == 0).alias("has_proper_code_blocks"),
+            (balanced(t, "*") & balanced(t, "_")).alias("has_balanced_emphasis"),
+            (~t.rlike(rf"\[([^\]]+)\]\([{WS}]*\)")).alias("has_valid_links"),
+            (~t.contains("|") | F.forall(F.split(t, "\n", -1), clean_row)).alias("has_clean_tables"),
+        )
+
+    return let(text, all_checks)
 
 
 def one_decimal(value: Column) -> Column:
