@@ -37,6 +37,14 @@ def _fold_tables() -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
+@lru_cache(maxsize=1)
+def _fold_literals() -> tuple[str, str]:
+    """The several-character table as one string, and its characters as a regex class."""
+    _, several = _fold_tables()
+    entries = "\x01".join(f"{char}\x02{spelled}" for char, spelled in several.items())
+    return entries, f"[{_ranges([ord(c) for c in several])}]"
+
+
 def _ranges(points: list[int]) -> str:
     """Sorted code points as regex class members."""
     runs: list[list[int]] = []
@@ -55,13 +63,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def ascii_fold(text: Column) -> Column:
     """Decompose (NFKD) and drop everything outside ASCII."""
-    single, several = _fold_tables()
-    entries = "\x01".join(f"{char}\x02{spelled}" for char, spelled in several.items())
+    single, _ = _fold_tables()
+    entries, several_class = _fold_literals()
     mapping = F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
 
     def fold(t: Column) -> Column:
         # Only what is left outside ASCII is held against the long class.
-        wide = F.regexp_replace(t, r"[\x00-\x7f]+", "").rlike(f"[{_ranges([ord(c) for c in several])}]")
+        wide = F.regexp_replace(t, r"[\x00-\x7f]+", "").rlike(several_class)
         each = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c))
         spelled = F.when(wide, F.array_join(each, "")).otherwise(t)
         folded = F.translate(spelled, "".join(single), "".join(single.values()))

@@ -65,13 +65,21 @@ def normalize_id(element_id: Column) -> Column:
     return strip(element_id, WS_CHARS + "-_")
 
 
+def menu_folder(header: Column, menu: Column) -> Column:
+    """Slug of the menu; null where it is blank or the same text as the header."""
+    return F.when(header.isNull() | (menu != header), F.nullif(slugify(menu), F.lit("")))
+
+
+def join_path(header_slug: Column, menu_slug: Column, text_slug: Column, base: str = "output") -> Column:
+    """Path from slugs; null folders drop out."""
+    name = let(text_slug, lambda s: F.when(s == "", F.lit("untitled")).otherwise(s))
+    file = let(name, lambda s: F.when(s.endswith(".md"), s).otherwise(F.concat(s, F.lit(".md"))))
+    return F.concat_ws("/", F.lit(base.rstrip("/")), header_slug, menu_slug, file)
+
+
 def output_path(header: Column, menu: Column, text: Column, base: str = "output") -> Column:
     """``base/header/menu/text.md`` in slugs; blank parts and a menu equal to the header drop out."""
-    name = let(slugify(text), lambda s: F.when(s == "", F.lit("untitled")).otherwise(s))
-    file = let(name, lambda s: F.when(s.endswith(".md"), s).otherwise(F.concat(s, F.lit(".md"))))
-    header_part = F.nullif(slugify(header), F.lit(""))
-    menu_part = F.when(header.isNull() | (menu != header), F.nullif(slugify(menu), F.lit("")))
-    return F.concat_ws("/", F.lit(base.rstrip("/")), header_part, menu_part, file)
+    return join_path(F.nullif(slugify(header), F.lit("")), menu_folder(header, menu), slugify(text), base)
 
 
 def output_filename(text: Column, item_id: Column) -> Column:

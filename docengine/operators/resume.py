@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.functions.text import checksum, normalize_id, one_decimal, output_filename, output_path, sanitize, slugify
+from docengine.functions.text import (
+    checksum,
+    join_path,
+    menu_folder,
+    normalize_id,
+    one_decimal,
+    output_filename,
+    output_path,
+    sanitize,
+    slugify,
+)
 from docengine.operators import rules
 from docengine.operators.skew import salted_join
 
@@ -28,9 +38,11 @@ def pending_items(items: DataFrame, published: DataFrame, spread_by: Column, key
     return _by_key(items, published, key, "left_anti", spread_by)
 
 
-def existing_by_filename(items: DataFrame, files: DataFrame, spread_by: Column) -> DataFrame:
-    """Items whose output exists under ``<text>_<id>.md``; ``files`` has ``file_name``."""
-    named = items.withColumn("file_name", output_filename(F.col("text"), F.col("id")))
+def existing_by_filename(items: DataFrame, files: DataFrame, spread_by: Column, by_id: bool = False) -> DataFrame:
+    """Items whose output exists under ``<text>_<id>.md``, or ``<id>.md`` with ``by_id``;
+    ``files`` has ``file_name``."""
+    name = F.concat("id", F.lit(".md")) if by_id else output_filename(F.col("text"), F.col("id"))
+    named = items.withColumn("file_name", name)
     return _by_key(named, files, "file_name", "left_semi", spread_by)
 
 
@@ -113,23 +125,31 @@ def next_pending(pending: DataFrame, pos: str, show: int = 5) -> DataFrame:
     return lines.unionByName(rest.select(F.lit(show).alias("line"), more.alias("entry")))
 
 
-def prepare_publish(content: DataFrame, base: str = "output", overwrite: bool = False, clean: bool = True, pos: str = "pos") -> DataFrame:
+def prepare_publish(
+    content: DataFrame, base: str = "output", overwrite: bool = False, clean: bool = True, pos: str = "pos",
+    known: DataFrame | None = None,
+) -> DataFrame:
     """Content rows ready to be written: path, slugs, clean Markdown, checksum.
 
     ``content`` has header, menu, text, markdown and a position. Rows with an unsafe
     path drop out. Of several rows with one path the first stays, as later ones
     find the file there; with ``overwrite`` the last one does. Only (path, position)
-    goes through the choice, so content is shuffled once, to the winner join.
+    goes through the choice, and paths in ``known`` go before the clean-up starts.
     """
-    ready = with_output_path(content, base)
-    safe = ready.filter(rules.path_safe(F.col("output_path")))
-    best = F.max(pos) if overwrite else F.min(pos)
-    winners = safe.groupBy("output_path").agg(best.alias(pos))
+    header, menu = F.col("header"), F.col("menu")
+    slugs = content.withColumn("header_slug", F.nullif(slugify(header), F.lit("")))
+    slugs = slugs.withColumn("menu_slug", menu_folder(header, menu)).withColumn("_text_slug", slugify(F.col("text")))
+    path = join_path(F.col("header_slug"), F.col("menu_slug"), F.col("_text_slug"), base)
+    safe = slugs.withColumn("output_path", path).drop("_text_slug").filter(rules.path_safe(F.col("output_path")))
+    winners = safe.groupBy("output_path").agg((F.max(pos) if overwrite else F.min(pos)).alias(pos))
+    if known is not None:
+        # Both sides hold one row per path here, so no key can be hot.
+        winners = winners.join(known.select("output_path"), "output_path", "left_anti")
     chosen = safe.join(winners, ["output_path", pos], "left_semi")
     text = sanitize(F.col("markdown")) if clean else F.col("markdown")
     return (
         chosen.withColumn("markdown", text)
         .withColumn("sha256", checksum(F.col("markdown")))
-        .withColumn("header_slug", slugify(F.col("header")))
-        .withColumn("menu_slug", F.when(F.col("header").isNull() | (F.col("menu") != F.col("header")), slugify(F.col("menu"))).otherwise(F.lit("")))
+        .withColumn("header_slug", F.coalesce("header_slug", F.lit("")))
+        .withColumn("menu_slug", F.coalesce("menu_slug", F.lit("")))
     )

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docengine.operators.logs import route_levels
-from docengine.operators.resume import pending_items, prepare_publish
+from docengine.operators.resume import prepare_publish
 from docengine.operators.summaries import outcome_tally
+from docengine.sources.readers import spread_scan
 
 BATCH = "batch"
 
@@ -30,11 +31,10 @@ def incremental_publish(content: DataFrame, out: str, checkpoint: str, base: str
     columns = ["output_path", "header", "menu", "text", "markdown", "sha256"]
 
     def write(batch: DataFrame, number: int) -> None:
-        ready = prepare_publish(batch, base, pos=pos)
+        earlier = None
         if number > 0:
-            spark = batch.sparkSession
-            earlier = spark.read.parquet(out).filter(F.col(BATCH) < number).select("output_path")
-            ready = pending_items(ready, earlier, F.col(pos))
+            earlier = batch.sparkSession.read.parquet(out).filter(F.col(BATCH) < number).select("output_path")
+        ready = prepare_publish(spread_scan(batch), base, pos=pos, known=earlier)
         ready.select(*columns).write.mode("overwrite").parquet(f"{out}/{BATCH}={number}")
 
     return _start(content, write, checkpoint)
