@@ -18,11 +18,10 @@ def documents(spark, d):
     return B.documents(spark, d, "doc_id", "text", "lang", "source")
 
 
-def md_query(name: str, make, sql_expr: str | None):
+def md_query(name: str, make, sql_expr: str):
     """Doc id and the result of one Markdown function over the faulty documents."""
-    sql = f"WITH {B.MD_SQL} SELECT doc_id, {sql_expr} AS result FROM md" if sql_expr else None
 
-    @query(name, sql)
+    @query(name, f"WITH {B.MD_SQL} SELECT doc_id, {sql_expr} AS result FROM md")
     def run(spark, d):
         return B.md(spark, d).select("doc_id", make(col("text")).alias("result"))
 
@@ -133,7 +132,14 @@ md_query("x9_fix_headers", X.fix_headers, _headers("text"))
 md_query("x11_normalize_ws", X.normalize_ws, _whitespace("text"))
 md_query("x12_squeeze_blank", X.squeeze_blank, _squeeze("text"))
 md_query("x13_strip_comments", X.strip_comments, S.sub("text", "(?s)<!--.*?-->", ""))
-md_query("x14_fix_code_blocks", X.fix_code_blocks, None)
+
+def _code_blocks(text: str) -> str:
+    # A line end that follows directly cannot be a fence, so the rule needs no lookahead here.
+    closed = S.sub(text, "(?ms)^```([^`\n]*)\n(.*?)\n$", "```\\1\n\\2\n```")
+    return S.sub(S.sub(closed, "(\n```[^\n]*\n)", "\n\\1"), "(\n```\n)", "\\1\n")
+
+
+md_query("x14_fix_code_blocks", X.fix_code_blocks, _code_blocks("text"))
 md_query("x17_checksum", X.checksum, "sha256(text)")
 
 _STEPS_SQL = (
