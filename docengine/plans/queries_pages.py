@@ -90,8 +90,19 @@ def h9(spark, d):
     return nodes.link_href(stored_nodes(spark, d))
 
 
+# The entities the stored pages use.
+ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\xa0"), ("amp", "&")]
+
+
+def _decoded(text: str) -> str:
+    """Entities to characters; titles are cut, and HTML reads these without their semicolon too."""
+    for entity, char in ENTITIES:
+        text = S.sub(text, f"&{entity};?", char)
+    return text
+
+
 def _tag_text(tag: str) -> str:
-    return S.strip(f"replace(regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1), '&amp;', '&')")
+    return S.strip(_decoded(f"regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1)"))
 
 
 @query("c15_text_content", f"SELECT page_id, {_tag_text('title')} AS title, {_tag_text('h1')} AS h1 FROM pages")
@@ -420,8 +431,7 @@ def _stored_markdown() -> str:
     text = S.sub(text, "<b>|<br>", "")
     text = S.sub(text, "<h1> *(.*?) *</h1>", "\n\n# \\1\n\n")
     text = S.sub(text, "<[^>]*>", "\n\n")
-    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\xa0"), ("amp", "&")):
-        text = f"replace({text}, '&{entity};', '{char}')"
+    text = _decoded(text)
     return S.strip(S.sub(text, "[ \n]*\n\n[ \n]*", "\n\n"))
 
 
