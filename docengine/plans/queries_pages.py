@@ -278,10 +278,7 @@ def t10(spark, d):
 
 @query(
     "u1_distinct_containers",
-    _PLACED
-    + """ SELECT page_id, text FROM (
- SELECT page_id, 'Overview' AS text FROM placed WHERE label = 'Overview' AND shape <> 2
- UNION ALL SELECT page_id, 'Overview' FROM placed WHERE label = 'Overview' AND shape = 2)""",
+    _PLACED + " SELECT page_id, label AS text FROM placed WHERE label = 'Overview'",
 )
 def u1(spark, d):
     return navigation.standalone_containers(sidebar_nodes(spark, d)).select("page_id", "text")
