@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from docengine.llm import exact_dedup, sharding
+from docengine.llm import bpe, exact_dedup, sharding, token_output
 from docengine.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -35,3 +36,18 @@ def op5(spark, d):
 def op10(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").isNull().alias("no_text"))
     return sharding.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "shard")
+
+
+@query("op3_bpe")
+def op3(spark, d):
+    coded = bpe.encode_decode(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query("op9_token_output")
+def op9(spark, d):
+    read = token_output.token_files(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    n = F.floor(F.octet_length("ids") / 4).cast("long")
+    return read.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
