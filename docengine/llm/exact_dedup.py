@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import id_and_text, shuffle_partitions, staged
 
-FAN_IN = 8
+FAN_IN = 16
 KEY = ["sha", "mark", "size"]
 
 
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _merged(entries: DataFrame, run: Column, best, members: Column) -> DataFrame:
     """Runs that meet, merged: one entry per text, sorted within each run."""
     merged = entries.withColumn("run", run.cast("long")).groupBy("run", *KEY).agg(best("best").alias("best"), members.alias("members"))
-    return staged(merged.sortWithinPartitions("run", *KEY), "digest-runs")
+    return merged.sortWithinPartitions("run", *KEY)
 
 
 def kept_documents(docs: DataFrame, keep: str = "smallest") -> DataFrame:
