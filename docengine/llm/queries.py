@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, exact_dedup, sharding, token_output
-from docengine.llm.common import table
+from docengine.llm import bpe, exact_dedup, sharding, token_output, toxicity
+from docengine.llm.common import bucket_of_id, table
 
 QUERIES, ORACLES = {}, {}
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -51,3 +51,10 @@ def op9(spark, d):
     read = token_output.token_files(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     n = F.floor(F.octet_length("ids") / 4).cast("long")
     return read.select("doc_id", "start", n.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_toxicity")
+def op6(spark, d):
+    usable = bucket_of_id("doc_id", 3) != 1
+    scored = toxicity.toxic_scores(table(spark, d, "documents"), table(spark, d, "labels"), usable)
+    return scored.select("doc_id", (bucket_of_id("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
