@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, exact_dedup, sharding, token_output, toxicity
+from docengine.llm import bpe, exact_dedup, pii, sharding, token_output, toxicity
 from docengine.llm.common import bucket_of_id, table
 
 QUERIES, ORACLES = {}, {}
@@ -58,3 +58,16 @@ def op6(spark, d):
     usable = bucket_of_id("doc_id", 3) != 1
     scored = toxicity.toxic_scores(table(spark, d, "documents"), table(spark, d, "labels"), usable)
     return scored.select("doc_id", (bucket_of_id("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op7_pii")
+def op7(spark, d):
+    """Counts and ``base_sha256`` are of base spans; ``spans`` lists those and what the model adds."""
+    found = pii.find(table(spark, d, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

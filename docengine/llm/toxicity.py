@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import gather, id_and_text, slices, split_words
+from docengine.llm.common import SLICE_BYTES, gather, id_and_text, slices, split_words
 
 TRAIN_ROWS = 8_000
 BITS = 18
 ORDERS = (3, 4, 5, 6)
-LEAST_RATIO = 1.0
+LEAST_RATIO = 2.0
 THRESHOLD = 0.7
 
 
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
     def run(batches):
         active = model[:-1] != 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 * SLICE_BYTES):
                 rows, features = text_features(part.column(1), active)
                 margin = np.bincount(rows, model[:-1].astype(np.float64)[features], part.num_rows) + float(model[-1])
                 scores = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
