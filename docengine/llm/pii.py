@@ -116,9 +116,10 @@ def segment_features(text: str, start: int, end: int) -> list[str]:
     body = text[start:end]
     digits, separators = only_digits(body), "".join(sorted({c for c in body if not c.isalnum()}))
     before, after = text[start - 1 : start], text[end : end + 1]
+    if any(c.isalpha() for c in body):
+        separators += "letters"
     shape = f"{separators}|{'d' if body[0].isdigit() else 'a' if body[0].isalpha() else body[0]}"
-    found = [f"shape={shape}", f"digits={shape}|{len(digits)}", f"before={_class(before)}", f"after={_class(after)}"]
-    found.append(f"letters={any(c.isalpha() for c in body)}")
+    found = [f"shape={shape}", f"digits={shape}|{len(digits)}", f"before={shape}|{_class(before)}", f"after={shape}|{_class(after)}"]
     if body.count(".") == 3 and separators == ".":
         found.append(f"quad={not any(c.isalpha() for c in body) and all(body.split('.')) and right_form('ip', body)}")
     if 16 <= len(digits) <= 19:
