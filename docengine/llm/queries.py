@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, exact_dedup, pii, sharding, token_output, toxicity
+from docengine.llm import bpe, exact_dedup, ngram_join, pii, sharding, token_output, toxicity
 from docengine.llm.common import bucket_of_id, table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,8 @@ def op7(spark, d):
 
     counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op4_ngram_join")
+def op4(spark, d):
+    return ngram_join.near_duplicates(table(spark, d, "documents"))
