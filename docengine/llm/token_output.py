@@ -214,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                 for doc, start, end in zip(part.column(0).to_pylist(), ends - sizes, ends, strict=True):
                     if out is None:
                         name = f"{uuid.uuid4().hex}.zst"
-                        out = FrameFile(fs.open_output_stream(posixpath.join(base, name)))
+                        out = FrameFile(fs.open_output_stream(posixpath.join(base, name), compression=None))
                     each = ids[start:end]
                     out.add(doc, each if end_id is None else np.append(each, np.uint32(end_id)))
                     if out.n_bytes >= file_bytes:
