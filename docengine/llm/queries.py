@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, exact_dedup, ngram_join, pii, sharding, token_output, toxicity
+from docengine.llm import bpe, decontamination, exact_dedup, ngram_join, pii, sharding, token_output, toxicity
 from docengine.llm.common import bucket_of_id, table
 
 QUERIES, ORACLES = {}, {}
@@ -76,3 +76,8 @@ def op7(spark, d):
 @query("op4_ngram_join")
 def op4(spark, d):
     return ngram_join.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op2_decontamination")
+def op2(spark, d):
+    return decontamination.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
