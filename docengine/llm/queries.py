@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, decontamination, exact_dedup, ngram_join, pii, sharding, token_output, toxicity
+from docengine.llm import bpe, decontamination, exact_dedup, katz, ngram_join, pii, sharding, token_output, toxicity
 from docengine.llm.common import bucket_of_id, table
 
 QUERIES, ORACLES = {}, {}
@@ -81,3 +81,10 @@ def op4(spark, d):
 @query("op2_decontamination")
 def op2(spark, d):
     return decontamination.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op1_katz")
+def op1(spark, d):
+    scored = katz.katz_scores(table(spark, d, "documents"), bucket_of_id("doc_id", 7) != 2)
+    held_out = (bucket_of_id("doc_id", 7) == 2).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
