@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, decontamination, exact_dedup, katz, ngram_join, pii, sharding, token_output, toxicity
+from docengine.llm import bpe, decontamination, exact_dedup, katz, ngram_join, pii, sharding, suffix_dedup, token_output, toxicity
 from docengine.llm.common import bucket_of_id, table
 
 QUERIES, ORACLES = {}, {}
@@ -88,3 +88,12 @@ def op1(spark, d):
     scored = katz.katz_scores(table(spark, d, "documents"), bucket_of_id("doc_id", 7) != 2)
     held_out = (bucket_of_id("doc_id", 7) == 2).alias("held_out")
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op8_suffix_dedup")
+def op8(spark, d):
+    cut = suffix_dedup.remove_repeats(table(spark, d, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
