@@ -11,6 +11,7 @@ grown from there. A word's tokens are read backwards from its last state.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -108,6 +109,7 @@ class Codec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         self.tokenizer = Tokenizer.from_file(path)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docengine.session import work_dir
 
 SLICE_BYTES = 4_000_000
+BATCH_BYTES = 16_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,8 +31,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator reads, under its own names, so that others can't clash; null text is empty."""
+    """The two columns an operator reads, under its own names, so that others can't clash; null text is empty.
+
+    Batches that go to Python are bounded by bytes from here on, as a count of rows says nothing about long texts.
+    """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

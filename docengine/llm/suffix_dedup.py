@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import SLICE_BYTES, shuffle_partitions, slices, staged
+from docengine.llm.common import SLICE_BYTES, shuffle_partitions, slices, small_batches, staged
 
 WINDOW, RUN = 100, 32
 LEFT = WINDOW - RUN
@@ -290,6 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before in the same one. Null text is empty; shorter texts lose nothing. A null id counts as smaller than all others.
     Of rows repeated under one id the one with the least text counts. Texts are below 4 GB.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text.alias("text"))
     if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():

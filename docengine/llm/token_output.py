@@ -11,6 +11,7 @@ left behind is never read.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import struct
 import uuid
@@ -48,6 +49,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel units
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -220,6 +222,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
                     if out.n_bytes >= file_bytes:
                         yield finish(out, name)
                         out = None
+            pa.default_memory_pool().release_unused()
         if out is not None:
             yield finish(out, name)
 
