@@ -267,7 +267,8 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, id_col: str = "doc_id", text
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(fit(examples[:4000]))])], names=["model"])
 
     found = sample.mapInArrow(extract, "example string").sort("example").coalesce(1)
-    return json.loads(found.mapInArrow(learn, "model string").first()["model"])
+    learned = found.mapInArrow(learn, "model string").first()  # none where an empty sample leaves no task
+    return json.loads(learned["model"]) if learned else {}
 
 
 def find(docs: DataFrame, weights: dict[str, list[float]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -129,7 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
         yield pa.RecordBatch.from_arrays([pa.array([model.astype("<f4").tobytes()], pa.binary())], names=["model"])
 
     found = sample.mapInArrow(extract, "toxic int, features binary").sort("toxic", "features").coalesce(1)
-    return np.frombuffer(found.mapInArrow(learn, "model binary").first()["model"], "<f4")
+    learned = found.mapInArrow(learn, "model binary").first()  # none where an empty sample leaves no task
+    if learned is None:
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)).astype("<f4")
+    return np.frombuffer(learned["model"], "<f4")
 
 
 def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
