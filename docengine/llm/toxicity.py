@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     if usable is not None:
         known = known.filter(usable)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(limit)
-    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
     def extract(batches):
         for batch in batches:
@@ -116,19 +116,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
                 rows, features = text_features(part.column(1))
                 ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 packed = [features[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["toxic", "features"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:1], part.column(2), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
     def learn(batches):
-        labels_, lists = [], []
+        found = []
         for batch in batches:
-            labels_ += batch.column(0).to_pylist()
-            lists += [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
+            found += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        found.sort()
+        labels_, lists = [x[1] for x in found], [np.frombuffer(x[2], "<u4") for x in found]
         sizes = [len(x) for x in lists]
         features = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
         model = fit(np.repeat(np.arange(len(lists)), sizes), features, np.array(labels_, bool))
         yield pa.RecordBatch.from_arrays([pa.array([model.astype("<f4").tobytes()], pa.binary())], names=["model"])
 
-    found = sample.mapInArrow(extract, "toxic int, features binary").sort("toxic", "features").coalesce(1)
+    found = sample.mapInArrow(extract, "doc_id long, toxic int, features binary").repartition(1)
     learned = found.mapInArrow(learn, "model binary").first()  # none where an empty sample leaves no task
     if learned is None:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)).astype("<f4")
