@@ -2,7 +2,7 @@
 
 A plain window puts a whole group into one task. Here each group is cut into
 ranges of ``SPAN`` positions; positions are unique within a group, so no range
-holds more rows than that. The window runs inside a range, and one summary row
+holds more rows than that. Null keys are a group of their own. The window runs inside a range, and one summary row
 per range carries the running value across ranges.
 """
 
@@ -15,6 +15,13 @@ from pyspark.sql.window import Window
 SPAN = 65_536
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which null equals null; the keys of ``left`` stay."""
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _ranges(df: DataFrame, pos: str) -> DataFrame:
     return df.withColumn("_range", F.floor(F.col(pos) / SPAN))
 
@@ -31,7 +38,7 @@ def running_row_number(df: DataFrame, keys: list[str], pos: str, out: str, count
     offsets = totals.select(*keys, "_range", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*keys, "_range").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     numbered = parts.withColumn("_before", F.coalesce(F.sum("_one").over(within), F.lit(0)))
-    joined = numbered.join(offsets, [*keys, "_range"])
+    joined = null_safe_join(numbered, offsets, [*keys, "_range"])
     return joined.withColumn(out, F.col("_before") + F.col("_offset")).drop("_range", "_one", "_before", "_offset")
 
 
@@ -55,7 +62,7 @@ def nearest(df: DataFrame, keys: list[str], pos: str, value: Column, out: str, f
         local = F.first("_value", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
     else:
         local = F.last("_value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    joined = parts.withColumn("_local", local).join(carried, [*keys, "_range"])
+    joined = null_safe_join(parts.withColumn("_local", local), carried, [*keys, "_range"])
     found = joined.withColumn(out, F.coalesce("_local", "_carried"))
     if forward:
         found = found.withColumn(f"{out}_last", F.col("_last"))

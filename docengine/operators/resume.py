@@ -17,36 +17,36 @@ from docengine.functions.text import (
     slugify,
 )
 from docengine.operators import rules
-from docengine.operators.skew import salted_join
 
 
 def with_output_path(items: DataFrame, base: str = "output") -> DataFrame:
     return items.withColumn("output_path", output_path(F.col("header"), F.col("menu"), F.col("text"), base))
 
 
-def _by_key(items: DataFrame, known: DataFrame, key: str, how: str, spread_by: Column) -> DataFrame:
-    return salted_join(items, known.select(key).distinct(), key, how, spread_by)
+def _by_key(items: DataFrame, known: DataFrame, key: str, how: str) -> DataFrame:
+    # Only the items' side can repeat a key without bound; adaptive execution splits it where it does.
+    return items.join(known.select(key), key, how)
 
 
-def existing_items(items: DataFrame, published: DataFrame, spread_by: Column, key: str = "output_path") -> DataFrame:
+def existing_items(items: DataFrame, published: DataFrame, key: str = "output_path") -> DataFrame:
     """Items whose output is already there."""
-    return _by_key(items, published, key, "left_semi", spread_by)
+    return _by_key(items, published, key, "left_semi")
 
 
-def pending_items(items: DataFrame, published: DataFrame, spread_by: Column, key: str = "output_path") -> DataFrame:
+def pending_items(items: DataFrame, published: DataFrame, key: str = "output_path") -> DataFrame:
     """Items whose output is missing."""
-    return _by_key(items, published, key, "left_anti", spread_by)
+    return _by_key(items, published, key, "left_anti")
 
 
-def existing_by_filename(items: DataFrame, files: DataFrame, spread_by: Column, by_id: bool = False) -> DataFrame:
+def existing_by_filename(items: DataFrame, files: DataFrame, by_id: bool = False) -> DataFrame:
     """Items whose output exists under ``<text>_<id>.md``, or ``<id>.md`` with ``by_id``;
     ``files`` has ``file_name``."""
     name = F.concat("id", F.lit(".md")) if by_id else output_filename(F.col("text"), F.col("id"))
     named = items.withColumn("file_name", name)
-    return _by_key(named, files, "file_name", "left_semi", spread_by)
+    return _by_key(named, files, "file_name", "left_semi")
 
 
-def write_actions(items: DataFrame, published: DataFrame, spread_by: Column, force: bool = False) -> DataFrame:
+def write_actions(items: DataFrame, published: DataFrame, force: bool = False) -> DataFrame:
     """Action per item: ``write``, ``skip_same`` or ``skip_differs``.
 
     ``items`` has output_path and sha256 of the new content, ``published`` one row
@@ -55,7 +55,7 @@ def write_actions(items: DataFrame, published: DataFrame, spread_by: Column, for
     if force:
         return items.withColumn("action", F.lit("write"))
     known = published.select("output_path", F.col("sha256").alias("_stored"))
-    joined = salted_join(items, known, "output_path", "left", spread_by)
+    joined = items.join(known, "output_path", "left")
     action = (
         F.when(F.col("_stored").isNull(), F.lit("write"))
         .when(F.col("_stored") == F.col("sha256"), F.lit("skip_same"))
@@ -79,17 +79,17 @@ def duplicate_ids(items: DataFrame, pos: str = "pos") -> DataFrame:
     value = [c for c in items.columns if c != pos]
     winners = reference_map(items, pos).select("norm_id", F.struct(*[F.col(f"item.{c}") for c in value]).alias("_winner"))
     with_id = items.filter(rules.filled(F.col("id"))).withColumn("norm_id", normalize_id(F.col("id")))
-    joined = salted_join(with_id, winners, "norm_id", "left", F.col(pos))
+    joined = with_id.join(winners, "norm_id", "left")
     differs = ~F.struct(*value).eqNullSafe(F.col("_winner"))
     shown = F.coalesce(F.col("text"), F.lit("Unknown"))
     message = F.concat(F.lit("Duplicate ID found: "), F.col("id"), F.lit(" for item '"), shown, F.lit("'"))
     return joined.filter(differs).withColumn("message", message).drop("_winner")
 
 
-def path_collisions(items: DataFrame, spread_by: Column) -> DataFrame:
+def path_collisions(items: DataFrame) -> DataFrame:
     """Items that share their output path with others, and how many share it."""
     shared = items.groupBy("output_path").agg(F.count(F.lit(1)).alias("sharing")).filter(F.col("sharing") > 1)
-    return salted_join(items, shared, "output_path", "inner", spread_by)
+    return items.join(shared, "output_path")
 
 
 def resume_summary(items: DataFrame, exists: Column, keys: list[str] | None = None) -> DataFrame:

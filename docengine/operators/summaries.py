@@ -7,26 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docengine.functions.text import let, one_decimal, strip
-from docengine.operators.ordered import SPAN
+from docengine.operators.ordered import running_row_number
 from docengine.operators.rules import valid_item
-from docengine.operators.skew import salted_join
 
 # Line limits of the size check, threshold of the oversize list.
 MODULE_LIMIT, MODULE_TARGET, OVERSIZE = 300, 250, 500
 
 
-def group_by_menu(items: DataFrame, pos: str, part_rows: int = 1024) -> DataFrame:
-    """Items of each menu in order, with the size of the menu.
+def group_by_menu(items: DataFrame, pos: str) -> DataFrame:
+    """Every item with its menu's key, its index in the menu and the menu's size.
 
-    A menu can hold any share of the items, so its list comes in numbered parts
-    of at most ``part_rows`` positions: part 0, part 1, ... joined give the list.
+    A menu can hold any share of the items, so its ordered list stays a column of indexes.
     """
     key = F.coalesce(F.nullif(F.col("menu"), F.lit("")), F.lit("no_menu"))
-    keyed = items.withColumn("menu_key", key).withColumn("part", F.floor(F.col(pos) / min(part_rows, SPAN)))
-    entry = F.struct(pos, "id", "text")
-    parts = keyed.groupBy("menu_key", "part").agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    sized = parts.groupBy("menu_key").agg(F.sum(F.size("items")).alias("group_size"))
-    return salted_join(parts, sized, "menu_key", "inner", F.col("part"))
+    keyed = running_row_number(items.withColumn("menu_key", key), ["menu_key"], pos, "index_in_menu")
+    sizes = keyed.groupBy("menu_key").agg(F.count(F.lit(1)).alias("group_size"))
+    return keyed.join(sizes, "menu_key")
 
 
 def structure_counts(items: DataFrame, keys: list[str]) -> DataFrame:

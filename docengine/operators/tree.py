@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docengine.functions.text import clean_text, let, synthetic_id
 from docengine.operators import rules
@@ -31,7 +31,7 @@ from docengine.operators.nodes import (
     structure_type,
     with_nodes,
 )
-from docengine.operators.ordered import nearest, running_row_number
+from docengine.operators.ordered import nearest, null_safe_join, running_row_number
 
 DEFAULT_HEADER = "API Documentation"
 
@@ -219,13 +219,9 @@ def _placed(entries: Column, root: Column) -> Column:
     return let(thin, lambda m: let(headers, lambda h: place(m, h)))
 
 
-def page_entries(p: Profile = DEFAULT) -> Column:
-    """Entries of a page, from its ``nodes`` column, in document order as an array of structs."""
-    return _page_entries(p, SparkContext._active_spark_context)
-
-
 @lru_cache(maxsize=16)
-def _page_entries(p: Profile, _context) -> Column:
+def page_entries(p: Profile, _session: SparkSession) -> Column:
+    """Entries of a page, from its ``nodes`` column, in document order as an array of structs."""
     # The expression is large; building it once per session and layout is enough.
     nodes = F.col("nodes")
     pick = selectors(p)["sidebar_root"]
@@ -237,7 +233,7 @@ def _page_entries(p: Profile, _context) -> Column:
 def with_entries(parsed: DataFrame, profile: Profile = DEFAULT, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Pages with their ``entries`` and two-way ``structure``; nodes are dropped here."""
     counts = ["headers", "with_id", "without_id"]
-    counted = structure_counts(parsed.withColumn("_entries", page_entries(profile)), (*keep, "_entries"), profile)
+    counted = structure_counts(parsed.withColumn("_entries", page_entries(profile, parsed.sparkSession)), (*keep, "_entries"), profile)
     kind = structure_type(*[F.col(c) for c in counts])
     return counted.select(*keep, F.col("_entries").alias("entries"), kind.alias("structure"))
 
@@ -343,23 +339,19 @@ def _kind_column(structure: str | None) -> Column:
 
 
 @lru_cache(maxsize=16)
-def _items_column(structure: str | None, _context) -> Column:
+def _items(structure: str | None, _session: SparkSession) -> Column:
     entries = F.col("entries")
     if structure:
         return flat_items(entries) if structure == FLAT else hierarchical_items(entries)
     return F.when(F.col("structure") == FLAT, flat_items(entries)).otherwise(hierarchical_items(entries))
 
 
-def _items(structure: str | None) -> Column:
-    return _items_column(structure, SparkContext._active_spark_context)
-
-
 def page_items(pages: DataFrame, structure: str | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The flat item list of each page, with ``pos``; the item model drops bad rows.
 
     ``structure`` forces one of the two readings.
     """
-    fine = F.filter(_items(structure), lambda i: rules.item_fault(i["text"], i["type"], i["level"]).isNull())
+    fine = F.filter(_items(structure, pages.sparkSession), lambda i: rules.item_fault(i["text"], i["type"], i["level"]).isNull())
     return numbered_rows_of(pages, fine, keys, "pos", "i").select(
         *keys, "pos", "i.id", clean_text(F.col("i.text")).alias("text"), "i.type", "i.header", "i.menu",
         "i.parent_menu_text", "i.level",
@@ -371,17 +363,23 @@ def parse_sidebar(pages: DataFrame, profile: Profile = DEFAULT, structure: str |
     return page_items(with_entries(with_nodes(pages), profile), structure)
 
 
-def page_groups(pages: DataFrame, structure: str | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The nested form of each page: header groups, their items, and the items of menus."""
-    groups = _groups_column(structure, SparkContext._active_spark_context)
+def page_groups(pages: DataFrame, structure: str | None = None, keys: tuple[str, ...] = ("page_id",), depth: int | None = None) -> DataFrame:
+    """The nested form of each page: header groups, their items, and the items of menus to any depth.
+
+    ``depth`` is the deepest level; where it is not given, a query over the levels finds it.
+    """
+    if depth is None:
+        levels = F.array_max(F.transform(_items(structure, pages.sparkSession), lambda i: i["level"]))
+        depth = pages.agg(F.max(levels)).first()[0]
+    groups = _groups_column(structure, max(1, depth or 0), pages.sparkSession)
     return pages.select(*keys, groups.alias("structured_data"))
 
 
 @lru_cache(maxsize=16)
-def _groups_column(structure: str | None, _context) -> Column:
+def _groups_column(structure: str | None, depth: int, _session) -> Column:
     entries = F.col("entries")
     flat = _kind_column(structure) == FLAT
-    items = _items(structure)
+    items = _items(structure, _session)
     tops = F.filter(entries, lambda x: x["e"]["has_divider"] & (x["level"] == 0))
     heads = F.transform(tops, lambda x: F.struct(x["e"]["node_id"].alias("node_id"), x["e"]["divider_text"].alias("text"), header_position(entries, x).alias("position")))
     default = F.struct(F.lit(2**31 - 1).alias("node_id"), F.lit(DEFAULT_HEADER).alias("text"), F.lit(None).cast("int").alias("position"))
@@ -400,14 +398,17 @@ def _groups_column(structure: str | None, _context) -> Column:
             leading = (i["node_id"] > h["node_id"]) & (i["node_id"] < after)
             return F.when(flat, trailing).otherwise(leading)
 
-        def children(own: Column) -> Column:
-            top = F.filter(own, lambda i: i["level"] == 0)
-            return F.transform(top, lambda i, k: leaf(i).withField("children", F.when(i["type"] == "menu", below(own, top, i, k))))
+        def children(scope: Column, level: int = 0) -> Column:
+            here = F.filter(scope, lambda i: i["level"] == level)
+            if level == depth:
+                return F.transform(here, leaf)
+
+            def below(i: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(here, k + 1)["node_id"], F.lit(2**31 - 1))
+                inside = F.filter(scope, lambda c: (c["level"] > level) & (c["node_id"] > i["node_id"]) & (c["node_id"] < end))
+                return children(inside, level + 1)
 
-        def below(own: Column, top: Column, i: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(top, k + 1)["node_id"], F.lit(2**31 - 1))
-            kids = F.filter(own, lambda c: (c["level"] == 1) & (c["node_id"] > i["node_id"]) & (c["node_id"] < end))
-            return F.transform(kids, leaf)
+            return F.transform(here, lambda i, k: leaf(i).withField("children", F.when(i["type"] == "menu", below(i, k))))
 
         return let(
             F.filter(all_items, mine),
@@ -457,35 +458,48 @@ def document_order(rows: DataFrame, keys: list[str], pos: str, is_header: Column
 
 
 def nest(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Header groups with items and their children, per page.
+    """Header groups with items and their children to any depth, per page.
 
     ``items``: keys, header_pos, header (one row per group even if empty), then
     pos, id, text, type, is_expandable, menu_pos (position of the parent menu or
     null); pos is null for an empty group. The keys must name one page each: a
-    page's items came from one row, so its groups fit one row again.
+    page's items came from one row, so its groups fit one row again. Null keys and
+    header positions are values like others. One small query per level finds the depth.
     """
-    leaf = F.struct("pos", "text", "id", "type", "is_expandable")
-    by_menu = items.filter(F.col("menu_pos").isNotNull()).groupBy(*keys, "header_pos", F.col("menu_pos").alias("_menu"))
-    kids = by_menu.agg(F.array_sort(F.collect_list(leaf)).alias("children"))
-    top = items.filter(F.col("menu_pos").isNull())
-    joined = top.join(
-        kids.withColumnRenamed("header_pos", "_hp"),
-        [top[k] == kids[k] for k in keys] + [F.col("header_pos") == F.col("_hp"), F.col("pos") == F.col("_menu")],
-        "left",
-    ).select(*[top[k] for k in keys], "header_pos", "header", "pos", "text", "id", "type", "is_expandable", "children")
-    child = F.struct(
-        "pos", "text", "id", "type", "is_expandable",
-        F.when(F.col("type") == "menu", F.coalesce("children", F.array().cast(kids.schema["children"].dataType))).alias("children"),
-    )
-    groups = joined.groupBy(*keys, "header_pos", "header").agg(
+    place = [*keys, "header_pos"]
+    levels = [items.filter(F.col("menu_pos").isNull())]
+    inner = items.filter(F.col("menu_pos").isNotNull())
+    while True:
+        parents = levels[-1].filter(F.col("pos").isNotNull()).select(*place, F.col("pos").alias("menu_pos"))
+        below = null_safe_join(inner, parents, [*place, "menu_pos"], "left_semi")
+        if below.isEmpty():
+            break
+        levels.append(below)
+    leaf = ["pos", "text", "id", "type", "is_expandable"]
+    empty = F.array().cast(T.ArrayType(items.select(*leaf).schema))
+    kids = None
+    for rows in reversed(levels[1:]):
+        entry = F.struct(*leaf) if kids is None else F.struct(*leaf, _children(kids))
+        rows = rows if kids is None else null_safe_join(rows, kids, [*place, "pos"], "left")
+        kids = rows.groupBy(*place, "menu_pos").agg(F.array_sort(F.collect_list(entry)).alias("children"))
+        kids = kids.withColumnRenamed("menu_pos", "pos")
+    top = levels[0].withColumn("children", F.when(F.lit(False), empty)) if kids is None else null_safe_join(levels[0], kids, [*place, "pos"], "left")
+    child = F.struct(*leaf, _children(top))
+    groups = top.groupBy(*place, "header").agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), child))).alias("children")
     )
     group = F.struct("header_pos", F.col("header").alias("header_text"), "children")
     return groups.groupBy(*keys).agg(F.array_sort(F.collect_list(group)).alias("structured_data"))
 
 
+def _children(rows: DataFrame) -> Column:
+    """Children of menus, an empty list where there are none; null for items."""
+    none = F.array().cast(rows.schema["children"].dataType)
+    return F.when(F.col("type") == "menu", F.coalesce("children", none)).alias("children")
+
+
 def flatten(nested: DataFrame, keys: list[str]) -> DataFrame:
-    """Nested groups back to a pre-order item list; a bad row takes its children with it."""
+    """Nested groups of any depth back to a pre-order item list; a bad row takes its children with it."""
 
     def fine(i: Column) -> Column:
         return rules.entry_valid(i["id"], i["text"], i["type"])
@@ -496,17 +510,21 @@ def flatten(nested: DataFrame, keys: list[str]) -> DataFrame:
             menu.alias("menu"), menu.alias("parent_menu_text"), F.lit(level).alias("level"),
         )
 
-    def with_children(i: Column, header: Column) -> Column:
-        kids = F.filter(i["children"], fine)
+    def branch(i: Column, header: Column, menu: Column, level: int, kind: T.StructType) -> Column:
+        me = F.array(row(i, header, menu, level))
+        if "children" not in kind.names:
+            return me
+        below = kind["children"].dataType.elementType
         open_menu = (i["type"] == "menu") & i["is_expandable"] & i["children"].isNotNull()
-        me = F.array(row(i, header, F.lit(None).cast("string"), 0))
-        return F.when(open_menu, F.concat(me, F.transform(kids, lambda c: row(c, header, i["text"], 1)))).otherwise(me)
+        kids = F.transform(F.filter(i["children"], fine), lambda c: branch(c, header, i["text"], level + 1, below))
+        return F.when(open_menu, F.concat(me, F.flatten(kids))).otherwise(me)
 
     def group(g: Column) -> Column:
         header = F.coalesce(g["header_text"], F.lit("Unknown Header"))
-        tops = F.filter(g["children"], fine)
-        return F.flatten(F.transform(tops, lambda i: with_children(i, header)))
+        none = F.lit(None).cast("string")
+        return F.flatten(F.transform(F.filter(g["children"], fine), lambda i: branch(i, header, none, 0, entries)))
 
+    entries = nested.schema["structured_data"].dataType.elementType["children"].dataType.elementType
     items = F.flatten(F.transform(F.col("structured_data"), group))
     return numbered_rows_of(nested, items, tuple(keys), "pos", "_i").select(*keys, "pos", "_i.*")
 

@@ -253,13 +253,13 @@ done AS (SELECT DISTINCT {_CUST_PATH} AS output_path FROM orders JOIN customer O
 @query("j1_resume_existing", _PATHS + " SELECT pos, output_path FROM items WHERE output_path IN (SELECT output_path FROM done)")
 def j1(spark, d):
     items, done = _with_paths(spark, d)
-    return resume.existing_items(items, done, col("pos")).select("pos", "output_path")
+    return resume.existing_items(items, done).select("pos", "output_path")
 
 
 @query("j2_resume_pending", _PATHS + " SELECT pos, output_path FROM items WHERE output_path NOT IN (SELECT output_path FROM done)")
 def j2(spark, d):
     items, done = _with_paths(spark, d)
-    return resume.pending_items(items, done, col("pos")).select("pos", "output_path")
+    return resume.pending_items(items, done).select("pos", "output_path")
 
 
 _J3_EDIT = "CASE WHEN doc_id % 3 = 1 THEN text || ' edited' ELSE text END"
@@ -275,7 +275,7 @@ def j3(spark, d):
     docs = B.documents(spark, d, "doc_id", "text").withColumn("output_path", F.concat(F.lit("doc-"), col("doc_id").cast("string")))
     stored = docs.filter("doc_id % 3 <> 0").select("output_path", X.checksum(F.expr(_J3_EDIT)).alias("sha256"))
     items = docs.select(col("doc_id").alias("pos"), "output_path", X.checksum(col("text")).alias("sha256"))
-    return resume.write_actions(items, stored, col("pos")).select("pos", "action")
+    return resume.write_actions(items, stored).select("pos", "action")
 
 
 _NAME = "left(replace(rtrim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}} _-]', '', 'g')), ' ', '_'), 50) || '_' || {i} || '.md'"
@@ -290,7 +290,7 @@ def j4(spark, d):
     done = _urgent(spark, d).join(B.table(spark, d, "customer"), col("o_custkey") == col("c_custkey"))
     done_id = F.concat(F.lit("cust-"), col("c_custkey").cast("string"))
     files = done.select(X.output_filename(col("c_name"), done_id).alias("file_name"))
-    return resume.existing_by_filename(_customers(spark, d), files, col("pos")).select("pos", "file_name")
+    return resume.existing_by_filename(_customers(spark, d), files).select("pos", "file_name")
 
 
 # Ids are made from source and language, so many documents share one; every second is padded.
@@ -330,7 +330,7 @@ def j7(spark, d):
     parts = B.table(spark, d, "part").select(
         col("p_partkey").alias("pos"), X.output_path(col("p_brand"), col("p_type"), col("p_name")).alias("output_path")
     )
-    return resume.path_collisions(parts, col("pos")).select("pos", "output_path", "sharing")
+    return resume.path_collisions(parts).select("pos", "output_path", "sharing")
 
 
 # --- aggregates --------------------------------------------------------------------------------
@@ -340,13 +340,12 @@ def j7(spark, d):
     "a1_group_by_menu",
     FLAWED
     + """, k AS (SELECT *, CASE WHEN coalesce(menu, '') = '' THEN 'no_menu' ELSE menu END AS menu_key FROM flawed)
-SELECT menu_key, pos // 1024 AS part, string_agg(coalesce(id, '-'), ',' ORDER BY pos) AS ids, any_value(n) AS group_size
-FROM (SELECT *, count(*) OVER (PARTITION BY menu_key) AS n FROM k) GROUP BY menu_key, part""",
+SELECT menu_key, row_number() OVER (PARTITION BY menu_key ORDER BY pos) - 1 AS index_in_menu, pos, id, text, type,
+ count(*) OVER (PARTITION BY menu_key) AS group_size FROM k""",
 )
 def a1(spark, d):
     grouped = summaries.group_by_menu(B.flawed_catalog(spark, d), "pos")
-    ids = F.array_join(F.transform("items", lambda i: F.coalesce(i["id"], F.lit("-"))), ",")
-    return grouped.select("menu_key", "part", ids.alias("ids"), "group_size")
+    return grouped.select("menu_key", "index_in_menu", "pos", "id", "text", "type", "group_size")
 
 
 @query(
@@ -381,4 +380,4 @@ UNION ALL SELECT 5, '... and ' || (count(*) - 5) || ' more items' FROM p HAVING
 )
 def l2(spark, d):
     done = _urgent(spark, d).select(col("o_custkey").alias("pos"))
-    return resume.next_pending(resume.pending_items(_customers(spark, d), done, col("pos"), "pos"), "pos")
+    return resume.next_pending(resume.pending_items(_customers(spark, d), done, "pos"), "pos")

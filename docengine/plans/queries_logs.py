@@ -26,10 +26,12 @@ SELECT event_id, level, sink FROM e JOIN l USING (level) JOIN s ON no >= least""
 def s6(spark, d):
     folder = work_dir(spark, "log")
     stamped = B.log(spark, d).withColumn("timestamp", F.expr("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"))
-    stamped.select("level", "timestamp", col("event_type").alias("event"), "event_id").write.json(folder)
-    schema = T.StructType([*logs.LOG_SCHEMA.fields, T.StructField("event_id", T.LongType())])
-    read = readers.read_log(spark, folder, schema)
-    return read.select("event", "level", F.unix_micros("timestamp").alias("micros"), "event_id")
+    record = F.to_json(F.struct("level", "timestamp", col("event_type").alias("event"), "event_id"))
+    broken = F.when(col("event_id") % 5 == 0, F.substring(record, 1, 20))  # a second, cut line
+    stamped.select(F.explode(F.array_compact(F.array(record, broken))).alias("value")).write.text(folder)
+    read = readers.read_log(spark, folder)
+    event_id = col("fields")["event_id"].cast("bigint").alias("event_id")
+    return read.select("event", "level", F.unix_micros("timestamp").alias("micros"), event_id)
 
 
 @query("s7_route_log_levels", _ROUTED)
@@ -133,14 +135,34 @@ def l5(spark, d):
     return summaries.oversized(_audit(spark, d), 40).select("doc_id", "total_lines")
 
 
-@query("s8_scan_text_files", f"WITH one AS (SELECT sum(length(string_split(text, chr(10))))::BIGINT AS total_lines, sum(strlen(text) + 1)::BIGINT AS size_bytes FROM documents) SELECT * FROM one")
+_PLACE = """CASE doc_id % 5 WHEN 0 THEN 'd' || doc_id || '.txt' WHEN 1 THEN '_priv/_x' || doc_id || '.txt' WHEN 2 THEN '.git/h' || doc_id || '.txt'
+ WHEN 3 THEN 'node_modules/n' || doc_id || '.txt' ELSE 'src/lib/src/c' || doc_id || '.txt' END"""
+
+
+@query(
+    "s8_scan_text_files",
+    f"""SELECT {_PLACE} AS path, strlen(text) AS size_bytes, length(string_split(text, chr(10)))::INTEGER AS lines
+ FROM documents WHERE doc_id % 5 NOT IN (2, 3)""",
+)
 def s8(spark, d):
     folder = work_dir(spark, "texts")
-    B.table(spark, d, "documents").select("text").write.text(folder)
-    files = readers.scan_text_files(spark, folder, (".txt",))
-    # Counted as line ends: this binding keeps other control characters inside lines.
-    lines = F.size(F.split("text", "\n", -1)) - 1
-    return files.agg(F.sum(lines).alias("total_lines"), F.sum("size_bytes").alias("size_bytes"))
+
+    def put(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{name}") as file:
+                    file.write(data)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["path"])
+
+    files = B.table(spark, d, "documents").select(F.expr(_PLACE).alias("path"), col("text").cast("binary").alias("data"))
+    files.mapInArrow(put, "path string").write.format("noop").mode("overwrite").save()
+    found = readers.scan_text_files(spark, folder, (".txt",))
+    return found.select("path", "size_bytes", F.size(F.split("text", "\n", -1)).alias("lines"))
 
 
 # --- streams -------------------------------------------------------------------------------------

@@ -450,7 +450,7 @@ def s2(spark, d):
     folder = work_dir(spark, "structure")
     shape0 = nodes.with_nodes(B.sidebar_pages(spark, d).filter("shape = 0"))
     writers.save_structure(tree.page_groups(tree.with_entries(shape0)), folder)
-    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int, " + readers.GROUP_DDL)
+    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int")
     kids = F.aggregate(F.transform("children", lambda c: F.coalesce(F.size(c["children"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
     counted = loaded.withColumn("n", F.size("children") + F.when(kids < 0, 0).otherwise(kids))
     return counted.groupBy("page_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("items"))
@@ -466,7 +466,7 @@ def s3(spark, d):
     folder = work_dir(spark, "structure")
     shape0 = nodes.with_nodes(B.sidebar_pages(spark, d).filter("shape = 0"))
     writers.save_structure(tree.page_groups(tree.with_entries(shape0)), folder)
-    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int, " + readers.GROUP_DDL)
+    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int")
 
     def item(i):
         kids = F.coalesce(F.transform(i["children"], lambda c: c["text"]), F.array().cast("array<string>"))

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from docengine.functions.text import raw_html_path
 from docengine.operators.nodes import numbered_rows_of
 from docengine.operators.resume import prepare_publish
-from docengine.operators.skew import salted_join
 
 
 def save_structure(nested: DataFrame, path: str, keys: tuple[str, ...] = ("page_id",)) -> None:
@@ -55,7 +54,7 @@ def publish_markdown(content: DataFrame, path: str, base: str = "output", overwr
     known = published(spark, path)
     ready = prepare_publish(content, base, overwrite, clean, pos, None if overwrite else known)
     if known is not None and overwrite:
-        kept = salted_join(known, ready.select("output_path").distinct(), "output_path", "left_anti", F.col("sha256"))
+        kept = known.join(ready.select("output_path"), "output_path", "left_anti")
         ready = ready.unionByName(kept, allowMissingColumns=True)
     columns = ["output_path", "header", "menu", "text", "markdown", "sha256", "header_slug", "menu_slug"]
     rows = ready.select(*columns).hint("rebalance", "header_slug", "menu_slug")

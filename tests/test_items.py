@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docengine.operators import content, nodes, ordered, resume, rules, skew, summaries, tree
+from docengine.operators import content, nodes, ordered, resume, rules, summaries, tree
 from docengine.session import work_dir
 from docengine.sources import readers, writers
 from docengine.streaming import jobs
@@ -25,26 +25,6 @@ def test_header_attachment(spark, monkeypatch):
         assert [r["position"] for r in order.orderBy("pos").collect()] == [0, 1, 1, 2, 3, 3]
 
 
-def test_round_robin_over_range_borders(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "SPAN", 7)
-    df = spark.range(100).select((F.col("id") * 3).alias("pos"), F.lit("k").alias("k"))
-    got = ordered.round_robin(df, ["k"], "pos", 4).orderBy("pos").collect()
-    assert [r["shard"] for r in got] == [i % 4 for i in range(100)]
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, monkeypatch, how):
-    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"))
-    right = spark.createDataFrame([("hot", 1), ("7", 2), ("99", 3)], "k string, v int")
-    real = skew.hot_keys
-    hot = real(left.select("k"), "k")
-    assert hot.count() == 0
-    monkeypatch.setattr(skew, "hot_keys", lambda df, key, share=0.3: spark.createDataFrame([("hot",)], f"{key} string"))
-    got = skew.salted_join(left, right, "k", how, F.col("id"))
-    want = left.join(right, "k", how)
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-
-
 def test_reference_map_and_duplicates(spark):
     rows = [(0, "a-1", "X"), (1, "_a-1", "Y"), (2, "b", "Z"), (3, "b", "Z"), (4, None, "N"), (5, "", "E")]
     items = spark.createDataFrame(rows, "pos bigint, id string, text string")
@@ -56,7 +36,7 @@ def test_reference_map_and_duplicates(spark):
 def test_resume(spark):
     items = resume.with_output_path(spark.createDataFrame([(i, f"n{i}", f"T{i}", "H", None) for i in range(4)], ITEM))
     done = items.filter("pos = 2").select("output_path")
-    have, miss = (f(items, done, F.col("pos")) for f in (resume.existing_items, resume.pending_items))
+    have, miss = (f(items, done) for f in (resume.existing_items, resume.pending_items))
     assert [r["pos"] for r in have.collect()] == [2] and sorted(r["pos"] for r in miss.collect()) == [0, 1, 3]
     row = resume.resume_summary(items, F.col("pos") == 2).first()
     assert (row["completion"], row["remaining"]) == (25.0, 3)
@@ -70,8 +50,8 @@ def test_resume(spark):
 
 def test_collisions_and_actions(spark):
     items = resume.with_output_path(spark.createDataFrame([(0, "a", "T", "H", None), (1, "b", "T", "H", None), (2, "c", "U", "H", None)], ITEM))
-    assert sorted(r["pos"] for r in resume.path_collisions(items, F.col("pos")).collect()) == [0, 1]
-    assert {r["action"] for r in resume.write_actions(items, items, F.col("pos"), force=True).collect()} == {"write"}
+    assert sorted(r["pos"] for r in resume.path_collisions(items).collect()) == [0, 1]
+    assert {r["action"] for r in resume.write_actions(items, items, force=True).collect()} == {"write"}
 
 
 def contents(spark, *rows):
@@ -98,7 +78,7 @@ def test_structure_round_trip(spark, tmp_path):
     groups = tree.page_groups(tree.with_entries(nodes.with_nodes(page_table(spark, LEADING.replace("Login", "Lögin")))))
     folder = work_dir(spark, "test-structure")
     writers.save_structure(groups, folder)
-    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int, " + readers.GROUP_DDL)
+    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int")
     again = loaded.groupBy("page_id").agg(F.collect_list(F.struct("header_text", "children")).alias("structured_data"))
     flat = [(r["id"], r["text"], r["level"]) for r in tree.flatten(again, ["page_id"]).orderBy("pos").collect()]
     assert flat[0] == ("docs-node-123", "Lögin", 0) and len(flat) == 4
@@ -176,7 +156,68 @@ def test_streams_match_batch(spark, tmp_path):
 
 def test_menu_groups_are_whole(spark):
     items = spark.range(3000).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("id"), F.lit("t").alias("text"), F.lit("").alias("menu"))
-    parts = summaries.group_by_menu(items, "pos").orderBy("part").collect()
-    assert {p["menu_key"] for p in parts} == {"no_menu"} and {p["group_size"] for p in parts} == {3000}
-    assert [i["pos"] for p in parts for i in p["items"]] == list(range(3000))
-    assert max(len(p["items"]) for p in parts) <= 1024
+    placed = summaries.group_by_menu(items, "pos").orderBy("index_in_menu").collect()
+    assert {p["menu_key"] for p in placed} == {"no_menu"} and {p["group_size"] for p in placed} == {3000}
+    assert [(p["index_in_menu"], p["pos"]) for p in placed] == [(k, k) for k in range(3000)]
+
+
+def test_null_keys_are_groups(spark):
+    rows = [(None, 0, True, "H"), (None, 1, False, "A"), ("k", 0, True, "J"), ("k", 1, False, "B"), (None, 2, False, "C")]
+    df = spark.createDataFrame(rows, "k string, pos bigint, h boolean, t string")
+    lead = tree.attach_leading_header(df, ["k"], "pos", F.col("h"), F.col("t"))
+    assert {r["t"]: r["header"] for r in lead.collect()} == {"A": "H", "B": "J", "C": "H"}
+    trail = tree.attach_trailing_header(df, ["k"], "pos", F.col("h"), F.col("t"))
+    assert {r["t"]: r["header"] for r in trail.collect()} == {"A": "H", "B": "J", "C": "H"}
+    shards = ordered.round_robin(df, ["k"], "pos", 2).collect()
+    assert {r["t"]: r["shard"] for r in shards} == {"H": 0, "A": 1, "C": 0, "J": 0, "B": 1}
+    assert tree.document_order(df, ["k"], "pos", F.col("h")).count() == 5
+
+
+def test_nesting_of_any_depth(spark, tmp_path):
+    """Menus in menus, four levels down, and a group without a header position."""
+    schema = "page_id bigint, header_pos bigint, header string, pos bigint, id string, text string, type string, is_expandable boolean, menu_pos bigint"
+    rows = []
+    for head in (0, None):
+        for pos, (text, parent) in enumerate([("M0", None), ("M1", 0), ("M2", 1), ("M3", 2), ("leaf", 3), ("other", 1), ("last", None)]):
+            menu = text.startswith("M")
+            rows.append((1, head, f"h{head}", pos, f"{head}-{text}", text, "menu" if menu else "item", menu, parent))
+    nested = tree.nest(spark.createDataFrame(rows, schema), ["page_id"])
+    flat = tree.flatten(nested, ["page_id"]).orderBy("pos").collect()
+    once = [("M0", None, 0), ("M1", "M0", 1), ("M2", "M1", 2), ("M3", "M2", 3), ("leaf", "M3", 4), ("other", "M1", 2), ("last", None, 0)]
+    assert [(r["text"], r["menu"], r["level"]) for r in flat] == once * 2
+    folder = str(tmp_path / "deep")
+    writers.save_structure(nested, folder)
+    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int")
+    assert loaded.count() == 2
+    again = loaded.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("group_pos", "header_text", "children"))).alias("structured_data"))
+    assert [r["text"] for r in tree.flatten(again, ["page_id"]).orderBy("pos").collect()] == [t for t, _, _ in once] * 2
+
+
+def test_text_files_are_whole(spark, tmp_path):
+    names = ["__init__.py", "_x.py", "_priv/d.py", "src/lib/src/c.py", ".hid/a.py", ".b.py", "venv/e.py", "x/node_modules/f.py", "a.txt"]
+    for name in names:
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_bytes(b"\xff" if name == "_x.py" else b"1\n2\n")
+    found = {r["path"]: (r["size_bytes"], r["text"]) for r in readers.scan_text_files(spark, str(tmp_path / "src")).collect()}
+    assert found == {n: (1, None) if n == "_x.py" else (4, "1\n2\n") for n in names[:4]}
+    assert readers.scan_text_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_log_fields_and_broken_lines(spark, tmp_path):
+    lines = ['{"level": "INFO", "event": "a", "user": 7, "tags": [1]}', '{"level": "INF', "", "[]x"]
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    [row] = readers.read_log(spark, str(tmp_path)).collect()
+    assert (row["event"], row["fields"]) == ("a", {"user": "7", "tags": "[1]"})
+    assert [r["value"] for r in readers.broken_log_lines(spark, str(tmp_path)).collect()] == [lines[1], lines[3]]
+
+
+def test_work_folder_must_be_shared(monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        work_dir(Session(), "x")
