@@ -44,6 +44,13 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def one_row_per_id(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text); of rows repeated under one id the one with the least text stays."""
+    if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def bucket_of_id(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

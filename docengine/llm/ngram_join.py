@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import id_and_text, shuffle_partitions, slices, split_words, staged
+from docengine.llm.common import id_and_text, one_row_per_id, shuffle_partitions, slices, split_words, staged
 from docengine.llm.components import components
 
 WORDS = 5
-FREQUENT = 32
+FREQUENT = 12  # a subset that more components share says little
 COARSE, FINE = 0.42, 4.0
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,10 +79,21 @@ def segments_of(top: int, rate: float) -> int:
     return int(np.ceil(rate * top)) + 4
 
 
+def places(tokens: np.ndarray, band: int, rate: float) -> np.ndarray:
+    """Segment of each token; they ascend with the sorted tokens."""
+    return ((tokens >> np.uint64(32)) * np.uint64(segments_of(int(BANDS[band]), rate))) >> np.uint64(32)
+
+
+def filled(tokens: np.ndarray, band: int, rate: float) -> int:
+    """Number of segments with content."""
+    place = places(tokens, band, rate)
+    return 1 + int(np.count_nonzero(place[1:] != place[:-1]))
+
+
 def signatures(tokens: np.ndarray, band: int, rate: float) -> np.ndarray:
     """One hash per segment with content: its subset, its number and the band."""
     count = segments_of(int(BANDS[band]), rate)
-    place = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    place = places(tokens, band, rate)
     starts = np.flatnonzero(np.diff(place, prepend=np.uint64(count)))
     sums = np.add.reduceat(mix(tokens), starts)
     return mix(sums + mix(place[starts] * MULTIPLIER + np.uint64(band)))
@@ -97,8 +108,11 @@ def roles(size: int) -> list[tuple[int, int]]:
     return found
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, mark (128-bit hash of the whole set; null if empty)."""
+def measure(docs: DataFrame, rate: float) -> DataFrame:
+    """doc_id, n_shingles, mark (128-bit hash of the whole set; null if empty), rooms.
+
+    Rooms: per band in which the set is indexed, its segments with content less H.
+    """
 
     def run(batches):
         for batch in batches:
@@ -106,18 +120,18 @@ def measure(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column(1))
                 marks = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
                 sizes = pa.array([len(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(marks, pa.binary())], names=names)
+                rooms = [[{"band": b, "room": filled(x, b, rate) - most} for b, most in roles(len(x))] if len(x) else [] for x in sets]
+                values = [part.column(0), sizes, pa.array(marks, pa.binary()), pa.array(rooms, kind)]
+                yield pa.RecordBatch.from_arrays(values, names=["doc_id", "n_shingles", "mark", "rooms"])
 
-    names = ["doc_id", "n_shingles", "mark"]
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, mark binary")
+    kind = pa.list_(pa.struct([("band", pa.int64()), ("room", pa.int64())]))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, mark binary, rooms array<struct<band:long,room:long>>")
 
 
-def index_groups(docs: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
-    """Documents that share segment subsets, and documents whose segments with content don't outnumber H.
+def index_groups(docs: DataFrame, rate: float) -> DataFrame:
+    """Documents that share segment subsets: gid, band, n (subsets with exactly these members), doc_id.
 
-    First table: gid, band, n (subsets with exactly these members), leader, doc_id. Second: doc_id, band, room
-    (segments with content beyond H + 1, may be negative). Subset hashes travel in packed arrays, sorted into as
-    many buckets as there are shuffle partitions.
+    Subset hashes travel in packed arrays, sorted into as many buckets as there are shuffle partitions.
     """
     buckets = shuffle_partitions(docs.sparkSession)
 
@@ -172,34 +186,18 @@ def index_groups(docs: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
         rows = [(xxhash.xxh3_64_intdigest(m, seed=band) >> 1, band, n, np.frombuffer(m, np.int64)) for (band, m), n in groups.items()]
         sizes = [len(r[3]) for r in rows]
         columns = [np.repeat(np.array([r[k] for r in rows], np.int64), sizes) for k in range(3)]
-        columns.append(np.repeat(np.array([r[3][0] for r in rows], np.int64), sizes))
         columns.append(np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64))
-        return pa.table([pa.array(c) for c in columns], names=["gid", "band", "n", "leader", "doc_id"])
-
-    def room(batches):
-        for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for doc, tokens in zip(part.column(0).to_pylist(), shingle_sets(part.column(1)), strict=True):
-                    for band, most in roles(len(tokens)) if len(tokens) and doc is not None else ():
-                        rows.append((doc, band, len(signatures(tokens, band, rate)) - most - 1))
-                columns = list(zip(*rows, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "band", "room"])
+        return pa.table([pa.array(c) for c in columns], names=["gid", "band", "n", "doc_id"])
 
     packed = docs.mapInArrow(emit, "bucket int, ids binary, bands binary, counts binary, keys binary")
-    groups = packed.groupBy("bucket").applyInArrow(meet, "gid long, band long, n long, leader long, doc_id long")
-    groups = groups.groupBy("gid", "band", "leader", "doc_id").agg(F.sum("n").alias("n"))
-    return staged(groups, "groups"), docs.mapInArrow(room, "doc_id long, band long, room long")
+    return packed.groupBy("bucket").applyInArrow(meet, "gid long, band long, n long, doc_id long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose shingle sets link, compared in full."""
-    size = sizes.select("doc_id", "n_shingles")
-    left, right = (size.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}")) for c in ("a", "b"))
-    near = pairs.join(left, "a").join(right, "b").filter("n_a * 4 >= n_b * 3 and n_b * 4 >= n_a * 3").select("a", "b")
-    near = staged(near, "pairs")
+    near = pairs
     wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = docs.join(wanted, "doc_id", "left_semi")
 
     def compare(batches):
         for batch in batches:
@@ -215,40 +213,56 @@ def verified(docs: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
                 start = end
 
     text_a, text_b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    rows = near.join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
+    rows = near.select("a", "b").join(text_b, "b").join(text_a, "a").select("a", "b", "text_a", "text_b")
     return staged(rows.mapInArrow(compare, "a long, b long"), "verified")
 
 
-def resolve(docs: DataFrame, sizes: DataFrame, same: DataFrame, rate: float, last: bool) -> tuple[DataFrame, DataFrame | None]:
+def promising(counted: DataFrame, room: DataFrame, sizes: DataFrame, share: float = 1.0) -> DataFrame:
+    """Pairs (a, b) of ``counted`` (a, b, band, shared) that can link by their sizes and by the subsets they share.
+
+    Linked sets differ in at most H segments, so they share all others with content: at least the ``room`` of either.
+    A smaller ``share`` of it allows for subsets that were counted elsewhere.
+    """
+    for side in ("a", "b"):
+        size = sizes.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"))
+        rooms = room.select(F.col("doc_id").alias(side), "band", F.col("room").alias(f"room_{side}"))
+        counted = counted.join(size, side).join(rooms, [side, "band"])
+    near = counted.filter("n_a * 4 >= n_b * 3 and n_b * 4 >= n_a * 3")
+    return near.filter(F.col("shared") >= share * F.greatest("room_a", "room_b")).select("a", "b").distinct()
+
+
+def resolve(docs: DataFrame, sizes: DataFrame, same: DataFrame, room: DataFrame, rate: float, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Links that the index at ``rate`` finds, and the documents it does not cover (none at the last rate)."""
-    groups, room = index_groups(docs, rate)
-    groups = groups.join(same, "doc_id").select("gid", "band", "n", F.col("doc_id").alias("member"), F.col("set_id").alias("doc_id"))
-    members = staged(groups.groupBy("gid", "band", "doc_id").agg(F.max("n").alias("n")), "members")
+    groups = index_groups(docs, rate).groupBy("gid", "band", "doc_id").agg(F.sum("n").alias("n"))
+    groups = groups.join(same, "doc_id").groupBy("gid", "band", F.col("set_id").alias("doc_id")).agg(F.max("n").alias("n"))
+    members = staged(groups, "members")
     leaders = members.groupBy("gid", "band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    first = members.join(leaders, ["gid", "band"]).filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    links = verified(docs, first, sizes)
+    led = members.join(leaders, ["gid", "band"]).filter("a <> doc_id").groupBy("a", F.col("doc_id").alias("b"), "band").agg(F.sum("n").alias("shared"))
+    first = staged(promising(led, room, sizes, 0.5), "pairs")
+    links = verified(docs, first)
     labels = components(links)
     placed = members.join(labels, members.doc_id == labels.node, "left").select("gid", "band", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = staged(placed, "placed")
     parts = placed.groupBy("gid", "band", "component").agg(F.count(F.lit(1)).alias("size"))
     open_ = parts.groupBy("gid", "band").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    few = placed.join(open_.filter(F.col("parts") <= FREQUENT), ["gid", "band"])
-    more = _across(few)
-    many = staged(placed.join(open_.filter(F.col("parts") > FREQUENT), ["gid", "band"]), "frequent")
+    mixed = staged(placed.join(open_, ["gid", "band"]), "mixed")
+    few, many = mixed.filter(F.col("parts") <= FREQUENT), mixed.filter(F.col("parts") > FREQUENT)
     lost = many.groupBy("doc_id", "band").agg(F.sum("n").alias("lost"))
-    short = room.join(lost, ["doc_id", "band"], "left").filter("room < coalesce(lost, 0)").select("doc_id").distinct()
+    left = room.join(lost, ["doc_id", "band"], "left").select("doc_id", "band", (F.col("room") - F.coalesce("lost", F.lit(0))).alias("room"))
+    left = staged(left, "room")
+    short = left.filter("room < 1").select("doc_id").distinct()
+    more = promising(_across(few), left, sizes)
     if last:
-        short = staged(short, "short")
-        more = more.union(_across(many.join(short, "doc_id", "left_semi"))).distinct()
-    done = links.select("a", "b").union(first)
-    return links.union(verified(docs, more.join(done, ["a", "b"], "left_anti"), sizes)), None if last else staged(short, "short")
+        more = more.union(_across(many.join(short, "doc_id", "left_semi")).select("a", "b")).distinct()
+    more = staged(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    return links.union(verified(docs, more)), None if last else staged(short, "short")
 
 
 def _across(placed: DataFrame) -> DataFrame:
-    """Pairs of one subset that are in different components."""
-    x = placed.select("gid", "band", F.col("doc_id").alias("a"), F.col("component").alias("p"))
+    """Pairs of one subset that are in different components, with the number of subsets they share."""
+    x = placed.select("gid", "band", "n", F.col("doc_id").alias("a"), F.col("component").alias("p"))
     y = placed.select("gid", "band", F.col("doc_id").alias("b"), F.col("component").alias("q"))
-    return x.join(y, ["gid", "band"]).filter("a < b and p <> q").select("a", "b").distinct()
+    pairs = x.join(y, ["gid", "band"]).filter("a < b and p <> q")
+    return pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("shared"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,13 +271,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null text is empty; a text without words has no shingles and links with nothing. A null id is passed on
     with a null component and links with nothing. Of rows repeated under one id the one with the least text counts.
     """
-    rows = id_and_text(docs, id_col, text_col)
-    sizes = staged(measure(rows).groupBy("doc_id").agg(F.min(F.struct("mark", "n_shingles")).alias("x")).select("doc_id", "x.*"), "sizes")
+    rows = one_row_per_id(id_and_text(docs, id_col, text_col))
+    sizes = staged(measure(rows, COARSE), "sizes")
     firsts = sizes.filter("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("set_id"))
     same = staged(sizes.filter("doc_id is not null").join(firsts, "mark").select("doc_id", "set_id"), "same")
-    links, short = resolve(rows, sizes, same, COARSE, False)
+    links, short = resolve(rows, sizes, same, sizes.select("doc_id", F.inline("rooms")), COARSE, False)
     again = rows.join(same.filter("doc_id = set_id").join(short, "doc_id", "left_semi").select("doc_id"), "doc_id", "left_semi")
-    more, _ = resolve(again, sizes, same, FINE, True)
+    finer = staged(measure(again, FINE).select("doc_id", F.inline("rooms")), "room")
+    more, _ = resolve(again, sizes, same, finer, FINE, True)
     found = components(reduce(DataFrame.union, [links, more]))
     sets = same.join(found, same.set_id == found.node, "left").select("doc_id", F.coalesce("component", "set_id").alias("component_id"))
     return sizes.join(sets, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

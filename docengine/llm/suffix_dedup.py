@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import SLICE_BYTES, shuffle_partitions, slices, small_batches, staged
+from docengine.llm.common import SLICE_BYTES, one_row_per_id, shuffle_partitions, slices, small_batches, staged
 
 WINDOW, RUN = 100, 32
 LEFT = WINDOW - RUN
@@ -293,8 +293,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text.alias("text"))
-    if rows.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = one_row_per_id(rows)
     flagged = repeated_anchors(rows).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     runs = send_runs(rows.join(flagged, "doc_id").select("doc_id", "text", "at"))
     spans = runs.groupBy("bucket").applyInArrow(merge_bucket, "doc_id long, start long, stop long")
