@@ -10,6 +10,7 @@ grown from there. A word's tokens are read backwards from its last state.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -20,9 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import gather, id_and_text, slices, split_words
+from docengine.llm.common import gather, id_and_text, kept_in_worker, slices, split_words
 
-CACHE_WORDS = 300_000
+CACHE_PIECES, CACHE_WORDS = 800_000, 200_000
 
 
 class TrieBpe:
@@ -120,6 +121,7 @@ class Codec:
         self.plain = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.words: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def _cut(self, piece: str) -> list[str | int]:
         """Words of a piece without white space, normalised and in byte-level characters; special tokens as ids."""
@@ -135,22 +137,27 @@ class Codec:
         normal = self.tokenizer.normalizer.normalize_str(piece)
         return [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def pieces(self, pieces: list[str]) -> list[list[int]]:
-        cut = [self._cut(x) for x in pieces]
-        wanted = {w for words in cut for w in words if isinstance(w, str)} - self.words.keys()
-        if len(self.words) + len(wanted) > CACHE_WORDS:
+    def pieces(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each piece; what has been met before is kept, up to a bound."""
+        if len(self.known) + len(pieces) > CACHE_PIECES:
+            self.known.clear()
+        new = [x for x in pieces if x not in self.known]
+        cut = [self._cut(x) for x in new]
+        if len(self.words) > CACHE_WORDS:
             self.words.clear()
-            wanted = {w for words in cut for w in words if isinstance(w, str)}
-        self.words |= self.trie.encode_words(list(wanted))
-        known = self.words
-        return [[i for w in words for i in (known[w] if isinstance(w, str) else (w,))] for words in cut]
+        wanted = {w for words in cut for w in words if isinstance(w, str)}
+        self.words |= self.trie.encode_words(list(wanted - self.words.keys()))
+        words = self.words
+        for piece, parts in zip(new, cut, strict=True):
+            self.known[piece] = tuple(i for w in parts for i in (words[w] if isinstance(w, str) else (w,)))
+        return [self.known[x] for x in pieces]
 
     def texts(self, texts: pa.Array) -> tuple[list[bytes], pa.Array]:
         """Packed ids and decoded text of each row."""
         offsets, codes, words = split_words(texts)
         ids = self.pieces(words.to_pylist())
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         stream, each = gather(flat, np.cumsum(sizes) - sizes, sizes, codes)
         at = np.concatenate([[0], np.cumsum(each)])[offsets]
         data = stream.astype("<u4").tobytes()
@@ -170,7 +177,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
 
     def encode(batches):
-        codec = Codec(tokenizer)
+        codec = kept_in_worker(("codec", tokenizer), lambda: Codec(tokenizer))
         for batch in batches:
             for part in slices(batch):
                 packed, decoded = codec.texts(part.column(1))
@@ -189,7 +196,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids", out: str =
     def texts(packed):
         import pandas as pd
 
-        codec = Codec(tokenizer)
+        codec = kept_in_worker(("codec", tokenizer), lambda: Codec(tokenizer))
         arrays = [np.frombuffer(x or b"", "<u4") for x in packed]
         at = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int64)
         stream = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +81,17 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets.astype(np.int64), codes, words
 
 
+def kept_in_worker(key: tuple, make):
+    """An object that a worker process keeps from task to task.
+
+    Functions of this package travel with the plan, so their own globals end with the task.
+    """
+    home = sys.modules.setdefault("docengine_worker", types.ModuleType("docengine_worker"))
+    if key not in vars(home):
+        vars(home)[key] = make()
+    return vars(home)[key]
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``flat[starts[c]:starts[c]+lengths[c]]`` of all codes, one after another, and each run's length."""
     size = lengths[codes]

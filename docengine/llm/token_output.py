@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docengine.llm.common import gather, id_and_text, slices
+from docengine.llm.common import gather, id_and_text, kept_in_worker, slices
 from docengine.session import work_dir
 
 END_ID = 2
 FILE_BYTES = 64_000_000
+KEPT, CUT = 1_000_000, "\x01"
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 WHITE = "[\t-\r \x85\xa0  -     　]"
@@ -40,10 +41,11 @@ MANIFEST = "file string, first_id long, last_id long, n_docs long, n_ids long, n
 
 
 class Encoder:
-    """A tokenizer of the byte-level kind, applied to the distinct space-separated pieces of many texts.
+    """A tokenizer of the byte-level kind, applied to the distinct pieces of many texts.
 
-    A blank between two other characters always begins a new pre-token, so texts can be cut before it.
-    Texts in which a blank touches other white space are encoded whole.
+    A pre-token never runs on over a blank between two other characters, over a line end or from a letter
+    into a mark, so texts are cut there and every distinct piece is encoded once. Texts in which a blank touches other
+    white space are encoded whole, as are those with the cutting character. Pieces are kept up to ``KEPT`` of them.
     """
 
     def __init__(self, path: str):
@@ -53,39 +55,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text's ids."""
-        odd = pc.match_substring_regex(texts, f" {WHITE}|{WHITE} ").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, f" {WHITE}|{WHITE} |{CUT}").to_numpy(zero_copy_only=False)
         odd |= pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        even = texts.filter(pa.array(~odd))
-        lists = pc.split_pattern(even, " ")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        first = np.zeros(len(lists.values), bool)
-        first[offsets[:-1]] = True
-        inner = lists.values.filter(pa.array(~first)).dictionary_encode()
-        pieces = [" " + x for x in inner.dictionary.to_pylist()]
-        alone = lists.values.filter(pa.array(first)).to_pylist()
-        whole = texts.filter(pa.array(odd)).to_pylist()
-        codes = np.empty(len(first), np.int64)
-        codes[~first] = inner.indices.to_numpy()
-        codes[first] = len(pieces) + np.arange(len(alone))
-        flat, sizes = self._pieces(pieces)
-        more = self._alone(alone + whole)
-        flat = np.concatenate([flat, *more])
-        sizes = np.concatenate([sizes, np.array([len(x) for x in more], np.int64)])
+        even = pc.replace_substring(texts.filter(pa.array(~odd)), " ", f"{CUT} ")
+        even = pc.replace_substring_regex(even, "(\n*)\n([^\n])", f"{CUT}\\1{CUT}\n{CUT}\\2")
+        even = pc.replace_substring_regex(even, "([A-Za-z])([.,;:!?])", f"\\1{CUT}\\2")
+        lists = pc.split_pattern(even, CUT)
+        coded = lists.values.dictionary_encode()
+        codes = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        whole = self._alone(texts.filter(pa.array(odd)).to_pylist())
+        flat = np.concatenate([self.flat, *whole])
+        starts = np.concatenate([self.starts, len(self.flat) + np.cumsum([0] + [len(x) for x in whole])[:-1]]).astype(np.int64)
+        sizes = np.concatenate([self.sizes, np.array([len(x) for x in whole], np.int64)])
         # One list of codes over all texts: an odd text is a single code.
         count = np.ones(len(texts), np.int64)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
         count[~odd] = np.diff(offsets)
         begins = np.concatenate([[0], np.cumsum(count)])
         order = np.empty(begins[-1], np.int64)
-        even_at = np.repeat(begins[:-1][~odd] - offsets[:-1], np.diff(offsets)) + np.arange(len(codes))
-        order[even_at] = codes
-        order[begins[:-1][odd]] = len(pieces) + len(alone) + np.arange(len(whole))
-        ids, each = gather(flat, np.cumsum(sizes) - sizes, sizes, order)
+        order[np.repeat(begins[:-1][~odd] - offsets[:-1], np.diff(offsets)) + np.arange(len(codes))] = codes
+        order[begins[:-1][odd]] = len(self.sizes) + np.arange(len(whole))
+        ids, each = gather(flat, starts, sizes, order)
         total = np.concatenate([[0], np.cumsum(each)])
         return ids, total[begins[1:]] - total[begins[:-1]]
 
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Number of each piece among the known ones, after encoding those that are new."""
+        if len(self.known) + len(pieces) > KEPT:
+            self._forget()
+        new = [x for x in pieces if x not in self.known]
+        if new:
+            flat, sizes = self._pieces(new)
+            self.known |= zip(new, range(len(self.known), len(self.known) + len(new)), strict=True)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
     def _alone(self, texts: list[str]) -> list[np.ndarray]:
         found = []
         for start in range(0, len(texts), 256):
@@ -94,22 +107,32 @@ class Encoder:
         return found
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that begin with a blank. Most are joined to longer texts; ids go back to pieces by bytes."""
-        single = [i for i, x in enumerate(pieces) if len(x) < 2 or x[-1].isspace()]
-        skip = set(single)
-        joined = [i for i in range(len(pieces)) if i not in skip]
+        """Ids of pieces, one after another, and their number.
+
+        Pieces are joined to longer texts where the joint is a place to cut: before a blank, or at a line end put
+        between two of them. Ids go back to pieces by their bytes.
+        """
+        blank, bare, single = [], [], []
+        for i, x in enumerate(pieces):
+            if not x or x[-1].isspace() or (x[0].isspace() and x[0] != " "):
+                single.append(i)
+            else:
+                (blank if x[0] == " " else bare).append(i)
         parts, owners, sizes = [], [], np.zeros(len(pieces), np.int64)
-        for start in range(0, len(joined), 20_000):
-            block = joined[start : start + 20_000]
-            texts = ["".join(pieces[i] for i in block[k : k + 500]) for k in range(0, len(block), 500)]
-            ids = np.concatenate(
-                [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            )
-            ends = np.cumsum([len(pieces[i].encode()) for i in block])
-            last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
-            sizes[block] = np.diff(last, prepend=-1)
-            parts.append(ids)
-            owners += block
+        for group, between in ((blank, ""), (bare, "\n")):
+            for start in range(0, len(group), 20_000):
+                block = group[start : start + 20_000]
+                texts = [between.join(pieces[i] for i in block[k : k + 500]) + between for k in range(0, len(block), 500)]
+                found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+                ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+                ends = np.cumsum([len(pieces[i].encode()) + len(between) for i in block])
+                last = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends)
+                if between:
+                    ids = np.delete(ids, last)
+                    last = last - np.arange(1, len(last) + 1)
+                sizes[block] = np.diff(last, prepend=-1)
+                parts.append(ids)
+                owners += block
         for i, ids in zip(single, self._alone([pieces[i] for i in single]), strict=True):
             sizes[i] = len(ids)
             parts.append(ids)
@@ -208,7 +231,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     def write(batches):
         fs, base = open_folder(folder)
         fs.create_dir(base, recursive=True)
-        encoder, out = Encoder(tokenizer), None
+        encoder, out = kept_in_worker(("encoder", tokenizer), lambda: Encoder(tokenizer)), None
         for batch in batches:
             for part in slices(batch):
                 ids, sizes = encoder.texts(part.column(1))
