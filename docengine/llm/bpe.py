@@ -58,7 +58,7 @@ class TrieBpe:
     def valid(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 500_000:
                 self.pairs.clear()
             known = self.merged(self.symbols[left] + self.symbols[right]) == [left, right]
             self.pairs[left, right] = known
