@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docengine.functions.folding import compat_fold
+from docengine.functions.text import WS_CHARS
 
 # Elements without content, elements whose text is not shown.
 VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
@@ -121,8 +122,18 @@ class PageTree(HTMLParser):
         self._flush()
         while len(self._open) > 1:
             self._close()
+        self._own_texts()
         return self.nodes
 
+    def _own_texts(self) -> None:
+        """An element's data is its own visible text: its text nodes, each stripped."""
+        own: dict[int, list[str]] = {}
+        for node in self.nodes:
+            if node.tag == "#text" and node.parent_id >= 0:
+                own.setdefault(node.parent_id, []).append(node.data.strip(WS_CHARS))
+        for node_id, parts in own.items():
+            self.nodes[node_id].data = "".join(parts)
+
 
 def parse_page(html: str) -> tuple[list[Node], str | None]:
     """Nodes of one page; on a parser failure, those read so far and the reason."""
@@ -277,6 +288,14 @@ def _close_frame(frame: _Frame, stack: list[_Frame]) -> str:
     return inner
 
 
+def _in_table(nodes: list[Node], node: Node) -> bool:
+    while node.parent_id >= 0:
+        node = nodes[node.parent_id]
+        if node.tag == "table":
+            return True
+    return False
+
+
 def _droppable_row(nodes: list[Node], row: Node) -> bool:
     cells = [n for n in nodes[row.node_id + 1 : row.last_id + 1] if n.tag in ("td", "th")]
     return all(not shown_text(nodes, cell) for cell in cells)
@@ -305,7 +324,7 @@ def node_markdown(nodes: list[Node], first: int, last: int, clean_tables: bool =
             top.add("\n\n---\n\n")
         elif node.tag == "img":
             top.add(f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})")
-        elif node.tag in HIDDEN or (clean_tables and node.tag == "tr" and _droppable_row(nodes, node)):
+        elif node.tag in HIDDEN or (clean_tables and node.tag == "tr" and _in_table(nodes, node) and _droppable_row(nodes, node)):
             i = node.last_id + 1
         elif node.tag != "#data":
             stack.append(_Frame(node, top.raw or node.tag == "pre"))

@@ -113,23 +113,30 @@ def _targets(nodes: Column, item_id: Column, text: Column, need_id: bool, p: Pro
     return let(by_id, lambda t: F.when(t.isNotNull(), t).otherwise(first(F.filter(nodes, named))))
 
 
-def _ancestor_texts(nodes: Column, target: Column, p: Profile) -> Column:
+def _labelled_menus(nodes: Column, p: Profile) -> Column:
+    """Menus of a page with their labels, outermost first; found once, however many targets there are."""
+
     def is_menu(n: Column) -> Column:
         icon = F.exists(inside(nodes, n), lambda c: is_tag(c, "i") & c["attrs"]["class"].contains("chevron"))
-        return is_tag(n, "li") & (has_class(n, "toc-item") | has_class(n, p.highlight)) & contains(n, target) & icon
+        return is_tag(n, "li") & (has_class(n, "toc-item") | has_class(n, p.highlight)) & icon
 
-    def label(menu: Column) -> Column:
-        return text_content(nodes, first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "div") & (n["sib_idx"] == 0))))
+    def labelled(menu: Column) -> Column:
+        label = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "div") & (n["sib_idx"] == 0)))
+        return F.struct(menu["node_id"].alias("node_id"), menu["last_id"].alias("last_id"), text_content(nodes, label).alias("label"))
 
     menus = F.filter(nodes, lambda n: F.coalesce(is_menu(n), F.lit(False)))
-    return F.filter(F.transform(menus, label), lambda t: F.coalesce(t != "", F.lit(False)))
+    return F.filter(F.transform(menus, labelled), lambda m: F.coalesce(m["label"] != "", F.lit(False)))
+
+
+def _ancestor_texts(menus: Column, target: Column) -> Column:
+    return F.transform(F.filter(menus, lambda m: contains(m, target)), lambda m: m["label"])
 
 
 def ancestor_menus(parsed: DataFrame, item_id: Column, text: Column, out: str = "ancestors", profile: Profile = DEFAULT) -> DataFrame:
     """Texts of the menus around a target, outermost first; empty if it is not found."""
     nodes = F.col("nodes")
     target = _targets(nodes, item_id, text, False, profile)
-    texts = let(target, lambda t: F.when(t.isNotNull(), _ancestor_texts(nodes, t, profile)))
+    texts = let(target, lambda t: F.when(t.isNotNull(), _ancestor_texts(_labelled_menus(nodes, profile), t)))
     return parsed.withColumn(out, F.coalesce(texts, F.array().cast("array<string>")))
 
 
@@ -137,9 +144,11 @@ def all_ancestor_menus(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",),
     """The same for every list entry with an id."""
     nodes = F.col("nodes")
     targets = F.filter(nodes, lambda n: _highlight(profile)(n) & n["dom_id"].isNotNull())
-    rows = F.transform(
-        targets,
-        lambda t: F.struct(t["dom_id"].alias("item_id"), _ancestor_texts(nodes, t, profile).alias("ancestors")),
+    rows = let(
+        _labelled_menus(nodes, profile),
+        lambda menus: F.transform(
+            targets, lambda t: F.struct(t["dom_id"].alias("item_id"), _ancestor_texts(menus, t).alias("ancestors"))
+        ),
     )
     return rows_of(parsed, rows, keys, "item_id")
 

@@ -161,14 +161,17 @@ def select_nodes(parsed: DataFrame, selector, keys: tuple[str, ...] = ("page_id"
     return rows_of(parsed, F.filter(nodes, lambda n: F.coalesce(predicate(nodes, n), F.lit(False))), keys)
 
 
-def html_nodes(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """One row per element, with its own and its whole visible text."""
+def html_nodes(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), whole_text: bool = False) -> DataFrame:
+    """One row per element, with its own visible text.
+
+    ``whole_text`` adds the text of its subtree. Elements that are never closed nest, so these texts can be quadratic
+    in the page; better ask for them on the few elements that ``select_nodes`` picks.
+    """
     nodes = F.col("nodes")
 
     def row(n: Column) -> Column:
-        own = F.filter(inside(nodes, n), lambda c: is_tag(c, "#text") & (c["parent_id"] == n["node_id"]))
-        own_text = F.array_join(F.transform(own, lambda c: strip(c["data"])), "")
-        return n.withField("own_text", own_text).withField("text", shown_text(nodes, n)).dropFields("data")
+        named = n.withField("own_text", F.coalesce(n["data"], F.lit(""))).dropFields("data")
+        return named.withField("text", shown_text(nodes, n)) if whole_text else named
 
     elements = F.filter(nodes, lambda n: ~n["tag"].startswith("#"))
     return rows_of(parsed, F.transform(elements, row), keys)

@@ -141,3 +141,17 @@ def test_sql_registration(spark):
     spark.sql("SELECT page_id, html_nodes(html) AS page FROM test_pages").createOrReplaceTempView("test_nodes")
     tags = spark.sql("SELECT tag FROM (SELECT inline(page.nodes) FROM test_nodes) WHERE dom_id LIKE '%-sp'").collect()
     assert [r["tag"] for r in tags] == ["span"] * 3
+
+
+def test_unclosed_tags_stay_linear(spark):
+    """Elements carry their own text only, so a page of unclosed tags doubles with its input."""
+    from docengine.functions.html import parse_page
+
+    sizes = []
+    for count in (2000, 4000):
+        page = spark.createDataFrame([(1, "".join(f"<p> text {k} " for k in range(count)))], "page_id long, html string")
+        rows = nodes.html_nodes(nodes.with_nodes(page)).collect()
+        assert [r["own_text"] for r in rows[:2]] == ["text 0", "text 1"]
+        sizes.append(sum(len(r["own_text"]) for r in rows))
+    assert len(rows) == 4000 and sizes[1] < 2.2 * sizes[0]
+    assert [n.data for n in parse_page("<div> a <b>x</b> c </div>")[0] if n.tag == "div"] == ["ac"]
