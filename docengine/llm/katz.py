@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import SLICE_BYTES, id_and_text, shuffle_partitions, slices, split_words, staged
+from docengine.llm.common import id_and_text, shuffle_partitions, slices, split_words, staged
 
 CUTOFF = 5  # counts up to this are discounted by Good and Turing's formula
 RESERVE = 0.05  # what a larger count gives up, so that every context leaves some mass
@@ -92,7 +92,7 @@ def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) ->
 
     def emit(batches):
         for batch in batches:
-            for part in slices(batch, limit=3 * SLICE_BYTES):
+            for part in slices(batch):
                 stream, offsets = word_codes(part.column(1))
                 before = np.concatenate([[START], stream[:-1]])
                 before[offsets[:-1]] = START
@@ -102,15 +102,12 @@ def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) ->
                 bucket = _bucket(np.where(np.isin(stream, spread), stream + before * PRIME, stream), buckets)
                 order = np.lexsort((before, stream, bucket))
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                columns = [[] for _ in range(7)]
                 for b in np.flatnonzero(np.diff(ends)).tolist():
                     mine = order[ends[b] : ends[b + 1]]
                     words, counts = np.unique(stream[mine], return_counts=True)
                     row = [b, docs_, train, words.tobytes(), counts.astype("<u4").tobytes(), before[mine].tobytes(), owner[mine].astype("<u2" if part.num_rows < 65536 else "<u4").tobytes()]
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-                types = [pa.int32()] + [pa.binary()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32())] + [pa.array([x], pa.binary()) for x in row[1:]], names=names)
+            pa.default_memory_pool().release_unused()
 
     def meet(table):
         parts = []

@@ -24,7 +24,7 @@ from docengine.llm.common import SLICE_BYTES, one_row_per_id, shuffle_partitions
 WINDOW, RUN = 100, 32
 LEFT = WINDOW - RUN
 POWERS = {k: np.uint64(pow(0x100000001B3, k, 2**64)) for k in (1, 2, 4, 8, 16)}
-SHIFT, CHUNK = np.uint64(24), 1 << 23
+SHIFT, CHUNK = np.uint64(24), 1 << 20
 
 
 def run_hashes(data: np.ndarray) -> np.ndarray:
@@ -40,10 +40,11 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Anchors of all strings inside one text: hash, position, and least and greatest distance to its strings' starts."""
     if len(data) < WINDOW:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    if len(data) > CHUNK + WINDOW - 1:  # positions share a word with hashes; an anchor at a chunk's edge is told twice
+    if len(data) > CHUNK + WINDOW - 1:  # for memory, and as positions share a word with hashes; an edge's anchor is told twice
         parts = []
         for base in range(0, len(data) - WINDOW + 1, CHUNK):
-            keys, at, low, high = anchors(data[base : base + CHUNK + WINDOW - 1], ends - base)
+            inner = ends[(ends > base) & (ends < base + CHUNK + WINDOW - 1)] - base
+            keys, at, low, high = anchors(data[base : base + CHUNK + WINDOW - 1], inner)
             parts.append((keys, at + base, low, high))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     code = run_hashes(data)
