@@ -28,13 +28,15 @@ def level_number(level: Column) -> Column:
     return number
 
 
-def route_levels(records: DataFrame, level: str = "level", sinks: dict[str, str] | None = None) -> DataFrame:
+def route_levels(records: DataFrame, level: str = "level", sinks: dict[str, str] | None = None, unknown: str | None = None) -> DataFrame:
     """One row per record and output it belongs to.
 
     The outputs are a handful of literals, so each record is fanned out in place;
-    no join is needed.
+    no join is needed. Records whose level has no number go to the output ``unknown``
+    where one is named, else to none.
     """
     routes = (sinks or SINKS).items()
     number = level_number(F.col(level))
-    wanted = F.array_compact(F.array(*[F.when(number >= LEVELS[least], F.lit(name)) for name, least in routes]))
+    found = [F.when(number >= LEVELS[least], F.lit(name)) for name, least in routes]
+    wanted = F.array_compact(F.array(*found, F.when(number.isNull(), F.lit(unknown))))
     return records.withColumn("sink", F.explode(wanted))

@@ -83,6 +83,11 @@ def content_fault(item_id: Column, title: Column, url: Column, markdown: Column)
     return F.coalesce(blank, F.when(~strip(url).rlike("^https?://"), F.lit("bad url")))
 
 
+def header_fault(header_text: Column) -> Column:
+    """Why a header group breaks the group model, or null."""
+    return F.when(is_blank(header_text), F.lit("blank header_text"))
+
+
 def quarantine(df: DataFrame, fault: Column, trimmed: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Good rows, text columns trimmed, and bad rows with their ``fault``."""
     marked = df.withColumn("fault", fault)

@@ -124,6 +124,11 @@ def size_violations(
     return over.withColumn("kind", F.lit("Module")).withColumn("excess", F.col("line_count") - limit)
 
 
+def violation_counts(violations: DataFrame) -> DataFrame:
+    """How many violations of each kind, and the largest excess."""
+    return violations.groupBy("kind").agg(F.count(F.lit(1)).alias("violations"), F.max("excess").alias("largest_excess"))
+
+
 def oversized(audit: DataFrame, threshold: int = OVERSIZE) -> DataFrame:
     return audit.filter(F.col("total_lines") > threshold)
 

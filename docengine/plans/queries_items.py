@@ -159,39 +159,22 @@ def t11(spark, d):
 
 
 # Entry counts per nation stand in for the counts of a rendered page.
-_COUNTS = """
-counts AS (SELECT header, menu, count(*) FILTER (pos % 9 = 0) AS headers, count(*) FILTER (type = 'item' AND coalesce(id <> '', false)) AS with_id,
-  count(*) FILTER (type = 'item' AND NOT coalesce(id <> '', false)) AS without_id, count(*) FILTER (pos % 11 = 0) AS expanders
-  FROM flawed GROUP BY header, menu)"""
-
-
-def _live_counts(spark, d):
-    has_id = rules.filled(col("id"))
-    is_item = F.coalesce(col("type") == "item", F.lit(False))
-    return B.flawed_catalog(spark, d).groupBy("header", "menu").agg(
-        F.count_if(col("pos") % 9 == 0).alias("headers"), F.count_if(is_item & has_id).alias("with_id"),
-        F.count_if(is_item & ~has_id).alias("without_id"), F.count_if(col("pos") % 11 == 0).alias("expanders"),
-    )
-
-
-@query(
-    "h11_structure_type_live",
-    FLAWED
-    + f""",{_COUNTS} SELECT *, CASE WHEN without_id > with_id AND expanders > 0 THEN 'flat_with_trailing_header'
- WHEN headers > 0 AND with_id > without_id THEN 'hierarchical_with_leading_header' ELSE 'mixed' END AS structure FROM counts""",
-)
-def h11(spark, d):
-    names = ["headers", "with_id", "without_id", "expanders"]
-    return _live_counts(spark, d).withColumn("structure", nodes.structure_type_live(*[col(c) for c in names]))
 
 
-@query("h12_needs_expansion", FLAWED + f",{_COUNTS} SELECT header, menu, with_id > 5 OR expanders > 3 AS needed FROM counts")
-def h12(spark, d):
-    needed = nodes.needs_expansion(col("with_id"), col("expanders"))
-    return _live_counts(spark, d).select("header", "menu", needed.alias("needed"))
+# --- selections ------------------------------------------------------------------------------
 
 
-# --- selections ------------------------------------------------------------------------------
+@query(
+    "p9_header_constraints",
+    f"""SELECT n_nationkey, CASE WHEN {S.blank('h')} THEN 'blank header_text' ELSE 'none' END AS fault, {S.strip('h')} AS header_text
+ FROM (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '  ' || n_name || chr(9) WHEN 1 THEN ' ' || chr(10) ELSE n_name END AS h FROM nation)""",
+)
+def p9_headers(spark, d):
+    spaced = F.expr("CASE n_nationkey % 3 WHEN 0 THEN '  ' || n_name || char(9) WHEN 1 THEN ' ' || char(10) ELSE n_name END")
+    groups = B.table(spark, d, "nation").select("n_nationkey", spaced.alias("header_text"))
+    good, bad = rules.quarantine(groups, rules.header_fault(col("header_text")), ("header_text",))
+    rows = good.withColumn("fault", F.lit("none")).unionByName(bad.withColumn("header_text", F.lit("")))
+    return rows.select("n_nationkey", "fault", "header_text")
 
 
 @query("p10_select_by_id", CATALOG + " SELECT pos, id, text, header, menu FROM catalog WHERE id = 'cust-42'")

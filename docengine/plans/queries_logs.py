@@ -104,17 +104,27 @@ def a8(spark, d):
     return summaries.audit_summary(_audit(spark, d))
 
 
+_RELEVANT = f"""WITH l AS (SELECT doc_id, {S.strip('l')} AS l FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\x{{b}}\\x{{c}}\\r\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS l FROM documents)),
+c AS (SELECT doc_id, (count(*) FILTER (l <> '' AND NOT starts_with(l, '#')))::INTEGER AS line_count FROM l GROUP BY doc_id)"""
+
+
 @query(
     "a9_size_violations",
-    f"""WITH l AS (SELECT doc_id, {S.strip('l')} AS l FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\x{{b}}\\x{{c}}\\r\\x{{1c}}-\\x{{1e}}\\x{{85}}\\x{{2028}}\\x{{2029}}]')) AS l FROM documents)),
-c AS (SELECT doc_id, (count(*) FILTER (l <> '' AND NOT starts_with(l, '#')))::INTEGER AS line_count FROM l GROUP BY doc_id)
-SELECT doc_id, line_count, 'Module' AS kind, line_count - 30 AS excess FROM c WHERE line_count > 25""",
+    _RELEVANT + "\nSELECT doc_id, line_count, 'Module' AS kind, line_count - 30 AS excess FROM c WHERE line_count > 25",
 )
 def a9(spark, d):
     texts = B.documents(spark, d, "doc_id", "text")
     return summaries.size_violations(texts, strict=True, limit=30, target=25)
 
 
+@query(
+    "a9_violation_counts",
+    _RELEVANT + "\nSELECT 'Module' AS kind, count(*) AS violations, max(line_count) - 30 AS largest_excess FROM c WHERE line_count > 25 HAVING count(*) > 0",
+)
+def a9_counts(spark, d):
+    return summaries.violation_counts(a9(spark, d))
+
+
 @query("l3_largest_first", _LINES + " SELECT doc_id, total_lines FROM audit ORDER BY total_lines DESC, doc_id")
 def l3(spark, d):
     return summaries.largest_first(_audit(spark, d), "doc_id").select("doc_id", "total_lines")

@@ -183,6 +183,29 @@ def h10(spark, d):
     return counts.select("page_id", "headers", "with_id", "without_id", "closed_menus", kind.alias("structure"))
 
 
+@query(
+    "h11_structure_type_live",
+    _PLACED
+    + _PAGE_COUNTS
+    + """ SELECT page_id, closed_menus::INTEGER AS expanders, CASE WHEN without_id > with_id AND closed_menus > 0 THEN 'flat_with_trailing_header'
+ WHEN headers > 0 AND with_id > without_id THEN 'hierarchical_with_leading_header' ELSE 'mixed' END AS structure FROM c""",
+)
+def h11(spark, d):
+    counts = nodes.structure_counts(sidebar_nodes(spark, d))
+    kind = nodes.structure_type_live(*[col(c) for c in ("headers", "with_id", "without_id", "expanders")])
+    return counts.select("page_id", "expanders", kind.alias("structure"))
+
+
+@query(
+    "h12_needs_expansion",
+    _PLACED + _PAGE_COUNTS + " SELECT page_id, with_id::INTEGER AS leaf_items, with_id > 5 OR closed_menus > 3 AS needed FROM c",
+)
+def h12(spark, d):
+    counts = nodes.structure_counts(sidebar_nodes(spark, d))
+    needed = nodes.needs_expansion(col("leaf_items"), col("closed_menus"))
+    return counts.select("page_id", "leaf_items", needed.alias("needed"))
+
+
 @query(
     "h13_collapsed_menus",
     _PLACED
