@@ -531,5 +531,5 @@ def s5(spark, d):
     folder = work_dir(spark, "published")
     rows = content_rows(pages(spark, d, "page_id", "url", "html"))
     writers.publish_markdown(rows, folder)
-    again = writers.publish_markdown(rows, folder)
+    again = writers.publish_markdown(rows, folder, verify=True)
     return again.select("output_path", "header", "text")

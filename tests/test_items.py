@@ -221,3 +221,15 @@ def test_work_folder_must_be_shared(monkeypatch):
 
     with pytest.raises(ValueError):
         work_dir(Session(), "x")
+
+
+def test_overwrite_survives_a_crash(spark, tmp_path):
+    """A new table that was written whole, but not yet put in place, is the one that counts."""
+    path = str(tmp_path / "pub")
+    writers.publish_markdown(contents(spark, (0, "H", None, "A", "old"), (1, "H", None, "B", "b")), path, verify=True)
+    new = writers.published(spark, path).withColumn("markdown", F.lit("new")).withColumn("sha256", F.sha2(F.lit("new"), 256))
+    new.write.parquet(f"{path}.next")
+    assert {r["markdown"] for r in writers.published(spark, path).collect()} == {"new"}
+    again = writers.publish_markdown(contents(spark, (2, "H", None, "A", "newest")), path, overwrite=True, verify=True)
+    assert {r["output_path"]: r["markdown"] for r in again.collect()} == {"output/h/a.md": "newest", "output/h/b.md": "new"}
+    assert writers.damaged(spark, path).isEmpty()
