@@ -24,6 +24,7 @@ from docengine.llm.common import SLICE_BYTES, one_row_per_id, shuffle_partitions
 WINDOW, RUN = 100, 32
 LEFT = WINDOW - RUN
 POWERS = {k: np.uint64(pow(0x100000001B3, k, 2**64)) for k in (1, 2, 4, 8, 16)}
+BUCKETS = 2  # for each shuffle partition, to halve what one group holds
 SHIFT, CHUNK = np.uint64(24), 1 << 20
 
 
@@ -76,7 +77,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def repeated_anchors(rows: DataFrame) -> DataFrame:
     """doc_id, at: positions of the anchors whose hash occurs more than once."""
-    buckets = shuffle_partitions(rows.sparkSession)
+    buckets = BUCKETS * shuffle_partitions(rows.sparkSession)
 
     def emit(batches):
         for batch in batches:
@@ -133,7 +134,7 @@ def cut_out(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray
 
 def send_runs(rows: DataFrame) -> DataFrame:
     """Sorted front-coded runs by bucket, from texts and the positions of their repeated anchors."""
-    buckets = shuffle_partitions(rows.sparkSession)
+    buckets = BUCKETS * shuffle_partitions(rows.sparkSession)
 
     def emit(batches):
         for batch in batches:
@@ -177,7 +178,7 @@ def send_runs(rows: DataFrame) -> DataFrame:
 class LoserTree:
     """Merges sorted runs of equal-length strings; ``shared[r][i]`` is the common prefix of string i and i - 1 of run r."""
 
-    def __init__(self, runs: list[list[bytes]], shared: list[list[int]]):
+    def __init__(self, runs: list[list[bytes]], shared: list[bytes] | list[list[int]]):
         self.runs, self.shared = runs, shared
 
     def merged(self) -> tuple[list[int], list[int], list[int]]:
@@ -249,13 +250,13 @@ def unpack_run(shared: bytes, tails: bytes) -> list[bytes]:
 
 def merge_bucket(table: pa.Table) -> pa.Table:
     """doc_id, start, stop of the bytes that repeated strings of one bucket cover."""
-    columns = {n: table.column(n).to_pylist() for n in table.column_names}
-    read = lambda n, t: np.concatenate([np.frombuffer(x, t) for x in columns[n]])
-    runs = [unpack_run(s, t) for s, t in zip(columns["shared"], columns["tails"], strict=True)]
-    order_run, order_at, common = LoserTree(runs, [list(s) for s in columns["shared"]]).merged()
+    read = lambda n, t: np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()])
+    shared = table.column("shared").to_pylist()
+    runs = [unpack_run(s, t) for s, t in zip(shared, table.column("tails").to_pylist(), strict=True)]
+    order_run, order_at, common = LoserTree(runs, shared).merged()
     first = np.cumsum([0] + [len(r) for r in runs])
     order = first[np.array(order_run, np.int64)] + np.array(order_at, np.int64)
-    del runs
+    del runs, order_run, order_at
     common = np.array(common, np.int64)
     docs, places, lows, highs = read("docs", "<i8"), read("places", "<u4").astype(np.int64), read("lows", np.uint8), read("highs", np.uint8)
     lefts = read("lefts", np.uint8).reshape(-1, LEFT)
