@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docengine.session import work_dir
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 4_000_000
 BATCH_BYTES = 16_000_000
 
@@ -23,10 +24,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends here and nothing is computed twice."""
-    path = work_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back: lineage ends here and nothing is computed twice.
+
+    The shuffle files of the write have no further use and go at once.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, purpose)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -31,6 +31,7 @@ from docengine.llm.common import id_and_text, shuffle_partitions, slices, split_
 CUTOFF = 5  # counts up to this are discounted by Good and Turing's formula
 RESERVE = 0.05  # what a larger count gives up, so that every context leaves some mass
 MOST_FREQUENT, FREQUENT_SHARE, SAMPLE_DOCS = 1_000, 0.001, 2_000
+BUCKETS = 4  # for each shuffle partition, to bound what one group holds
 START, END, NO_ID = np.uint64(1), np.uint64(2), -(2**63)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 LEVEL = CUTOFF + 3  # positions by count 0 to CUTOFF, those with more, and their log sum
@@ -87,7 +88,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) -> DataFrame:
     """The bucketed counts: kind, bucket and packed arrays (see ``_reduce``)."""
-    buckets = shuffle_partitions(rows.sparkSession)
+    buckets = BUCKETS * shuffle_partitions(rows.sparkSession)
     spread = np.array(sorted(frequent), np.uint64)
 
     def emit(batches):
@@ -97,16 +98,18 @@ def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) ->
                 before = np.concatenate([[START], stream[:-1]])
                 before[offsets[:-1]] = START
                 owner = np.repeat(np.arange(part.num_rows, dtype=np.uint32), np.diff(offsets))
-                docs_ = part.column(0).fill_null(NO_ID).to_numpy().astype("<i8").tobytes()
-                train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+                docs_ = part.column(0).fill_null(NO_ID).to_numpy().astype("<i8")
+                train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
                 bucket = _bucket(np.where(np.isin(stream, spread), stream + before * PRIME, stream), buckets)
                 order = np.lexsort((before, stream, bucket))
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(ends)).tolist():
                     mine = order[ends[b] : ends[b + 1]]
                     words, counts = np.unique(stream[mine], return_counts=True)
-                    row = [b, docs_, train, words.tobytes(), counts.astype("<u4").tobytes(), before[mine].tobytes(), owner[mine].astype("<u2" if part.num_rows < 65536 else "<u4").tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32())] + [pa.array([x], pa.binary()) for x in row[1:]], names=names)
+                    present, place = np.unique(owner[mine], return_inverse=True)
+                    place = place.astype("<u2" if len(present) < 65536 else "<u4")
+                    row = [b, np.diff(docs_[present], prepend=0), train[present], words, counts.astype("<u4"), before[mine], place]
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in row[1:]], names=names)
             pa.default_memory_pool().release_unused()
 
     def meet(table):
@@ -115,7 +118,7 @@ def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) ->
             counts = np.frombuffer(counts, "<u4")
             n = int(counts.sum())
             owner = np.frombuffer(owner, "<u2" if len(owner) == 2 * n else "<u4")
-            parts.append((np.repeat(np.frombuffer(words, "<u8"), counts), np.frombuffer(before, "<u8"), np.frombuffer(docs_, "<i8")[owner], np.frombuffer(train, np.uint8)[owner]))
+            parts.append((np.repeat(np.frombuffer(words, "<u8"), counts), np.frombuffer(before, "<u8"), np.cumsum(np.frombuffer(docs_, "<i8"))[owner], np.frombuffer(train, np.uint8)[owner]))
         return _reduce(table.column("bucket")[0].as_py(), *(np.concatenate(x) for x in zip(*parts, strict=True)), frequent, n_train)
 
     names = ["bucket", "docs", "train", "words", "counts", "before", "owner"]
