@@ -250,13 +250,26 @@ def resolve(docs: DataFrame, sizes: DataFrame, same: DataFrame, room: DataFrame,
     left = room.join(lost, ["doc_id", "band"], "left").select("doc_id", "band", (F.col("room") - F.coalesce("lost", F.lit(0))).alias("room"))
     left = staged(left, "room")
     short = left.filter("room < 1").select("doc_id").distinct()
-    more = promising(_across(few), left, sizes)
+    more = promising(_across(_within_reach(few, left)), left, sizes)
     if last:
         more = more.union(_across(many.join(short, "doc_id", "left_semi")).select("a", "b")).distinct()
     more = staged(more.join(first, ["a", "b"], "left_anti"), "pairs")
     return links.union(verified(docs, more)), None if last else staged(short, "short")
 
 
+def _within_reach(placed: DataFrame, room: DataFrame) -> DataFrame:
+    """Subsets left after documents that can't link go, all subsets they share with other components being too few.
+
+    A linked pair shares at least the room of either, so each of the two has that many such subsets. This is what keeps
+    a large component and the texts that share a passage with it from being paired member by member.
+    """
+    reach = placed.groupBy("doc_id", "band").agg(F.sum("n").alias("reach")).join(room, ["doc_id", "band"])
+    able = reach.filter("reach >= room").select("doc_id", "band")
+    kept = staged(placed.join(able, ["doc_id", "band"], "left_semi"), "able")
+    mixed = kept.groupBy("gid", "band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return kept.join(mixed.select("gid", "band"), ["gid", "band"], "left_semi")
+
+
 def _across(placed: DataFrame) -> DataFrame:
     """Pairs of one subset that are in different components, with the number of subsets they share."""
     x = placed.select("gid", "band", "n", F.col("doc_id").alias("a"), F.col("component").alias("p"))
