@@ -31,6 +31,7 @@ from docengine.llm.common import id_and_text, shuffle_partitions, slices, split_
 CUTOFF = 5  # counts up to this are discounted by Good and Turing's formula
 RESERVE = 0.05  # what a larger count gives up, so that every context leaves some mass
 MOST_FREQUENT, FREQUENT_SHARE, SAMPLE_DOCS = 1_000, 0.001, 2_000
+NOTED = 10_000
 BUCKETS = 4  # for each shuffle partition, to bound what one group holds
 START, END, NO_ID = np.uint64(1), np.uint64(2), -(2**63)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +175,13 @@ def _reduce(bucket, words, before, docs, train, frequent, n_train) -> pa.Table:
     tallies += np.bincount(np.minimum(pair_counts, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()
     arrays = [before[pair_at][kept].astype("<u8"), pair_counts[kept].astype("<u4"), of_word[pair_at][kept].astype("<u8"),
               ids.astype("<i8"), notes.astype("<f8"), docs[~seen].astype("<i8"), before[~seen].astype("<u8")]
-    columns = [pa.array([bucket], pa.int32())] + [pa.array([a.tobytes()], pa.binary()) for a in arrays] + [pa.array([tallies], pa.list_(pa.int64()))]
+    # Documents go in rows of NOTED each, as one value of a whole bucket is large; the first row has all else.
+    rows = []
+    for start in range(0, n, NOTED):
+        few = [a[start : start + NOTED] if a is arrays[3] or a is arrays[4] else a if not start else a[:0] for a in arrays]
+        rows.append([a.tobytes() for a in few])
+    columns = [pa.array([bucket] * len(rows), pa.int32())] + [pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)]
+    columns.append(pa.array([tallies] + [[]] * (len(rows) - 1), pa.list_(pa.int64())))
     return pa.table(columns, names=["bucket", "pairs", "pair_counts", "word_counts", "docs", "notes", "open_docs", "open_before", "tallies"])
 
 
