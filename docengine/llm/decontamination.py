@@ -1,12 +1,13 @@
-"""Benchmark passages in documents, exact or edited, by embedding and bit-sampling.
+"""Benchmark passages in documents, exact or edited, none lost.
 
-Windows of an item's size class are laid where a document shares short byte runs with the item (two runs on one
-diagonal, so that a window starts within a few bytes of the passage). A random walk embeds item and window into
-strings of three times the length: one pointer runs over the text, a random bit for each step and byte says
-whether it moves on. Few edits mean few differing places, so ``REPEATS`` independent walks are sampled at
-``SAMPLED`` places each, and a window that agrees with the item in all places of one walk is a candidate.
-Candidates are verified by the exact edit distance between the item and the best-fitting part of the text.
+An item of n bytes may differ from a part of the text by ``most_edits(n)`` edits. Cut into seeds of ``seed_length(n)``
+bytes, it has more seeds than that, and an edit spoils one seed at most, so a known number of them stands unchanged in
+the text, on diagonals (place in the text less place in the item) that differ by the number of edits at most. Parts of
+the text with so many seeds of an item on so narrow a band are candidates; then a part needs as many of the item's grams
+as the edits can leave, and what passes is verified by the exact edit distance. All three tests are necessary conditions:
+the result is that of comparing each item with each text in full.
 
+Of each item the seeds most frequent in the first texts are left out, and as many fewer are asked for.
 Items are compared in blocks of at most ``BLOCK_BYTES``, each sent to all tasks; the documents are read once per block.
 Texts are lower-cased and white space is squeezed; distances count bytes of UTF-8.
 """
@@ -23,155 +24,201 @@ from pyspark.sql import functions as F
 from docengine.llm.common import gather, id_and_text, slices
 
 MOST_EDITS = 0.15
-REPEATS, SAMPLED = 32, 3
-RUN, LEAST_RUNS, LEAD = 12, 2, 8
+SHORT, SEED, GRAM = 12, 5, 4
+FEW_SEEDS = 4
+PAIRS = 500_000
 BLOCK_BYTES = 32_000_000
-POWERS = {k: np.uint64(pow(0x100000001B3, k, 2**64)) for k in (1, 2, 4)}
+MIX, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 20
 
 
 def normal(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "replace")
 
 
-def run_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``RUN`` bytes from each position on."""
-    one = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    two = one[:-1] * POWERS[1] + one[1:]
-    four = two[:-2] * POWERS[2] + two[2:]
-    eight = four[:-4] * POWERS[4] + four[4:]
-    whole = eight[:-4] * POWERS[4] + four[8:]
-    return whole ^ (whole >> np.uint64(32))
-
-
-def size_class(length: int) -> int:
-    """Bytes of an item that are embedded: the largest size of a series of ratio 1.4 that it reaches."""
-    size = RUN
-    while size * 7 // 5 <= length:
-        size = size * 7 // 5
-    return size
-
-
-class Walks:
-    """The random walks of one size, each sampled at a few steps."""
-
-    def __init__(self, length: int):
-        rng = np.random.default_rng(length)
-        self.length, self.steps = length, 3 * length
-        self.moves = rng.integers(0, 2, (REPEATS, self.steps, 256), np.uint8)
-        places = np.sort(np.argsort(rng.random((REPEATS, 3 * length // 2)), 1)[:, :SAMPLED], 1)
-        self.places = places
-
-    def sample(self, windows: np.ndarray) -> np.ndarray:
-        """(windows, REPEATS, SAMPLED) bytes of the embeddings; a row of ``windows`` is one text, zero-padded."""
-        n = len(windows)
-        padded = np.concatenate([windows, np.zeros((n, 1), np.uint8)], 1)
-        found = np.zeros((n, REPEATS, SAMPLED), np.uint8)
-        rows, walks = np.arange(n)[:, None], np.arange(REPEATS)[None, :]
-        at = np.zeros((n, REPEATS), np.int64)
-        wanted: dict[int, list[tuple[int, int]]] = {}
-        for walk in range(REPEATS):
-            for k, place in enumerate(self.places[walk].tolist()):
-                wanted.setdefault(place, []).append((walk, k))
-        for step in range(int(self.places.max()) + 1):
-            now = padded[rows, at]
-            for walk, k in wanted.get(step, ()):
-                found[:, walk, k] = now[:, walk]
-            at = np.minimum(at + self.moves[walks, step, now], windows.shape[1])
-        return found
-
-
-def best_fit(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
+def most_edits(length: int) -> int:
+    return int(MOST_EDITS * length)
+
+
+def seed_length(length: int) -> int:
+    """Bytes of an item's seeds: at most ``SEED``, and short enough for one seed more than edits are allowed."""
+    return min(SEED, length // (most_edits(length) + 1))
+
+
+def seed_keys(data: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` (at most 7) bytes from each position on, as one number."""
+    keys = np.zeros(max(0, len(data) - size + 1), np.uint64)
+    for k in range(size):
+        keys = (keys << np.uint64(8)) | data[k : k + len(keys)]
+    return keys
+
+
+def slots(keys: np.ndarray) -> np.ndarray:
+    """Place of each key in a bit table."""
+    return ((keys * MIX) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def best_fit(item: bytes, text: bytes) -> tuple[int, int]:
     """Least edit distance between ``item`` and any part of ``text``, and the end of the first such part.
 
-    Distances above ``most`` are not followed to the end; a larger value stands for them.
+    One column of the distance table at a time, its differences as the bits of two integers.
     """
-    across = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
+    same: dict[int, int] = {}
     for k, c in enumerate(item):
-        new = row + 1
-        new[1:] = np.minimum(new[1:], row[:-1] + (text != c))
-        new[0] = k + 1
-        row = np.minimum.accumulate(new - across) + across
-        if k % 8 == 7 and row.min() > most:
-            break
-    return int(row.min()), int(row.argmin())
+        same[c] = same.get(c, 0) | 1 << k
+    full, last = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    more, less = full, 0
+    score = least = len(item)
+    end = 0
+    for at, c in enumerate(text, 1):
+        eq = same.get(c, 0)
+        flat = (((eq & more) + more) ^ more) | eq | less
+        up = less | (full & ~(flat | more))
+        down = more & flat
+        if up & last:
+            score += 1
+        elif down & last:
+            score -= 1
+            if score < least:
+                least, end = score, at
+        up = up << 1
+        more = full & ((down << 1) | ~((eq | less) | up))
+        less = up & (eq | less) & full
+    return least, end
+
+
+class Seeds:
+    """The seeds of one length: sorted keys, the item and the place in it of each."""
+
+    def __init__(self, size: int, items: list[tuple[int, np.ndarray]]):
+        self.size = size
+        keys, owner, offset = [], [], []
+        for number, body in items:
+            at = np.arange(0, len(body) - size + 1, size)
+            keys.append(seed_keys(body, size)[at])
+            owner.append(np.full(len(at), number))
+            offset.append(at)
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        self.hold(flat[order], np.concatenate(owner)[order], np.concatenate(offset)[order])
+
+    def hold(self, flat: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> None:
+        self.flat, self.owner, self.offset = flat, owner, offset
+        self.keys, self.first, self.count = np.unique(flat, return_index=True, return_counts=True)
+        self.maybe = np.zeros(1 << SLOT_BITS, bool)
+        self.maybe[slots(self.keys)] = True
+
+    def places(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a seed lies in the text, and the number of its key."""
+        keys = seed_keys(data, self.size)
+        at = np.flatnonzero(self.maybe[slots(keys)])
+        found = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+        right = self.keys[found] == keys[at]
+        return at[right], found[right]
+
+    def drop_frequent(self, data: np.ndarray, spare: np.ndarray) -> None:
+        """Do without the ``spare`` seeds of each item that are the most frequent in the text."""
+        often = np.repeat(np.bincount(self.places(data)[1], minlength=len(self.keys)), self.count)
+        order = np.lexsort((-often, self.owner))
+        owner = self.owner[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        kept = np.sort(order[rank >= spare[owner]])
+        self.hold(self.flat[kept], self.owner[kept], self.offset[kept])
 
 
 class Matcher:
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.items = [(i, np.frombuffer(x, np.uint8)) for i, x in items if len(x) >= RUN]
-        self.short = [(i, x) for i, x in items if 0 < len(x) < RUN]
-        hashes = [run_hashes(x) for _, x in self.items]
-        sizes = [len(h) for h in hashes]
-        keys = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[order], np.repeat(np.arange(len(sizes)), sizes)[order]
-        self.offset = (np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order].astype(np.int64) if sizes else keys.astype(np.int64)
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-        self.walks: dict[int, tuple[Walks, dict[int, np.ndarray]]] = {}
-
-    def windows(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item number and start of the windows worth embedding."""
-        if len(data) < RUN or not len(self.keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashes = run_hashes(data)
-        at = np.flatnonzero(self.maybe[(hashes >> np.uint64(42)).astype(np.int64)])
-        left, right = (np.searchsorted(self.keys, hashes[at], side) for side in ("left", "right"))
-        which, each = gather(np.arange(len(self.keys)), left, right - left, np.arange(len(at)))
-        item, start = self.owner[which], np.repeat(at, each) - self.offset[which]
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > LEAD)
-        first = np.flatnonzero(new)
-        runs = np.diff(np.append(first, len(item)))
-        kept, runs = first[runs >= LEAST_RUNS], runs[runs >= LEAST_RUNS]
-        picked = np.concatenate([kept, kept + runs // 2, kept + runs - 1])
-        both = np.unique(np.stack([item[picked], start[picked]]), axis=1)
-        return both[0], both[1]
-
-    def candidates(self, data: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Which windows agree with their item in all sampled places of one walk."""
-        keep = np.zeros(len(item), bool)
-        lengths = np.array([size_class(len(x)) for _, x in self.items], np.int64)[item] if len(item) else item
-        for length in np.unique(lengths).tolist():
-            walks, own = self.walks.setdefault(length, (Walks(length), {}))
-            mine = np.flatnonzero(lengths == length)
-            for i in set(item[mine].tolist()) - own.keys():
-                own[i] = walks.sample(self.items[i][1][None, :length])[0]
-            at = start[mine][:, None] + np.arange(length)
-            inside = (at >= 0) & (at < len(data))
-            windows = np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
-            want = np.stack([own[i] for i in item[mine].tolist()])
-            keep[mine] = (walks.sample(windows) == want).all(2).any(1)
-        return keep
+        self.items = [(i, x) for i, x in items if len(x) >= SHORT]
+        self.short = [(i, x) for i, x in items if 0 < len(x) < SHORT]
+        self.lengths = np.array([len(x) for _, x in self.items], np.int64)
+        self.most = np.array([most_edits(len(x)) for _, x in self.items], np.int64)
+        sizes = np.array([seed_length(len(x)) for _, x in self.items], np.int64)
+        self.least = self.lengths // np.maximum(sizes, 1) - self.most
+        self.settled = False
+        self.grams: dict[int, np.ndarray] = {}
+        self.reach = int((self.lengths + self.most).max()) if self.items else 0
+        self.seeds = [
+            Seeds(size, [(k, np.frombuffer(self.items[k][1], np.uint8)) for k in np.flatnonzero(sizes == size).tolist()])
+            for size in np.unique(sizes).tolist()
+        ]
+
+    def settle(self, data: np.ndarray) -> None:
+        """Leave out frequent seeds; an item then asks for fewer by as many, so no match is lost whatever the text."""
+        asked = np.minimum(self.least, np.maximum(FEW_SEEDS, self.least // 2))
+        for seeds in self.seeds:
+            seeds.drop_frequent(data, self.least - asked)
+        self.least, self.settled = asked, True
+
+    def regions(self, data: np.ndarray, ends: np.ndarray):
+        """Item, text row and the part of ``data`` (first and last diagonal) where enough of its seeds lie."""
+        gap = 2 * self.reach + 1  # texts are set apart by this much, so that no diagonals of two texts are near
+        span = (len(data) + (len(ends) + 2) * gap).bit_length()
+        for seeds in self.seeds:
+            at, key = seeds.places(data)
+            pairs = np.cumsum(seeds.count[key])
+            begin = 0
+            while begin < len(at):
+                done = pairs[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(pairs, done + PAIRS, side="right")))
+                low = int(np.searchsorted(at, at[begin] - self.reach))
+                which, each = gather(np.arange(len(seeds.owner)), seeds.first, seeds.count, key[low:end])
+                row = np.searchsorted(ends, at[low:end], side="right")
+                item = seeds.owner[which]
+                placed = np.sort((item << span) + np.repeat(at[low:end] + (row + 1) * gap, each) - seeds.offset[which])
+                yield from self.dense(placed, span, gap, ends)
+                begin = end
+
+    def dense(self, placed: np.ndarray, span: int, gap: int, ends: np.ndarray):
+        item = placed >> span
+        ahead = np.arange(len(placed)) + self.least[item] - 1
+        inside = ahead < len(placed)
+        first = np.flatnonzero(inside)
+        first = first[placed[ahead[first]] - placed[first] <= self.most[item[first]]]
+        if not len(first):
+            return
+        low, high, item = placed[first], placed[ahead[first]], item[first]
+        new = np.ones(len(first), bool)
+        new[1:] = (item[1:] != item[:-1]) | (low[1:] - high[:-1] > self.lengths[item[1:]] + 2 * self.most[item[1:]])
+        begin = np.flatnonzero(new)
+        high = high[np.append(begin[1:], len(first)) - 1]
+        low, item = low[begin], item[begin]
+        starts = np.concatenate([[0], ends[:-1]]) + (np.arange(len(ends)) + 1) * gap
+        row = np.searchsorted(starts - self.reach, low & ((1 << span) - 1), side="right") - 1
+        shift = (item << span) + (row + 1) * gap
+        yield from zip(item.tolist(), row.tolist(), (low - shift).tolist(), (high - shift).tolist(), strict=True)
+
+    def grams_shared(self, i: int, part: bytes) -> bool:
+        """Whether the part has as many of the item's grams as are left by the most edits, each of which spoils ``GRAM``."""
+        if i not in self.grams:
+            self.grams[i] = seed_keys(np.frombuffer(self.items[i][1], np.uint8), GRAM)
+        own = self.grams[i]
+        shared = np.isin(own, seed_keys(np.frombuffer(part, np.uint8), GRAM))
+        return np.count_nonzero(shared) >= len(own) - GRAM * self.most[i]
 
     def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """Row, item id, distance and start of the best match of each item in each text."""
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         ends = np.cumsum([len(x) + 1 for x in texts])
-        item, start = self.windows(data)
-        keep = self.candidates(data, item, start)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, s in zip(item[keep].tolist(), start[keep].tolist(), strict=True):
+        if not self.settled:
+            self.settle(data)
+        for i, row, first, last in self.regions(data, ends):
             number, body = self.items[i]
-            most = int(MOST_EDITS * len(body))
-            row = int(np.searchsorted(ends, max(s + len(body) // 2, 0), side="right"))
-            if row >= len(texts):
+            most, text = int(self.most[i]), texts[row]
+            begin = int(ends[row]) - len(text) - 1
+            low = max(0, first - begin - most)
+            part = text[low : max(0, last - begin + len(body) + most)]
+            exact = part.find(body)
+            if exact < 0 and not self.grams_shared(i, part):
                 continue
-            begin = int(ends[row]) - len(texts[row]) - 1
-            low, high = max(begin, s - most - LEAD), min(int(ends[row]) - 1, s + len(body) + most + LEAD)
-            exact = data[low:high].tobytes().find(body.tobytes())
-            distance, end = (0, exact + len(body)) if exact >= 0 else best_fit(body, data[low:high], most)
+            distance, end = (0, exact + len(body)) if exact >= 0 else best_fit(body, part)
             if distance <= most:
-                found = (distance, max(0, low - begin + end - len(body)))
+                found = (distance, max(0, low + end - len(body)))
                 best[row, number] = min(found, best.get((row, number), found))
         for number, body in self.short:
             for row, text in enumerate(texts):
                 at = text.find(body)
                 if at >= 0:
-                    best[row, number] = (0, at)
+                    best[row, number] = min((0, at), best.get((row, number), (0, at)))
         return [(row, number, *x) for (row, number), x in sorted(best.items())]
 
 
@@ -196,7 +243,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, item_id, distance, start (byte in the normalised text); one row per document row and item found in it.
 
     Null or empty texts and items match nothing, an empty table on either side gives no rows; items shorter than
-    ``RUN`` bytes are looked up as they are. Rows repeated under one id are searched one by one.
+    ``SHORT`` bytes are looked up as they are. Rows repeated under one id are searched one by one.
     """
     schema = "doc_id long, item_id long, distance long, start long"
     rows = id_and_text(docs, id_col, text_col)
