@@ -498,6 +498,50 @@ def s3(spark, d):
     return loaded.select("page_id", "header_text", F.array_join(F.transform("children", item), ";").alias("outline"))
 
 
+# The same over pages of all shapes; a page without the wrapper has no groups.
+
+
+def saved_and_loaded(spark, d):
+    folder = work_dir(spark, "structure")
+    writers.save_structure(tree.page_groups(sidebar_entries(spark, d)), folder)
+    return readers.load_structure(spark, folder, "page_id bigint, group_pos int")
+
+
+@query(
+    "s2_load_structure_all",
+    f"""WITH items AS ({_T10.replace('SELECT page_id, (row_number()', 'SELECT r_regionkey, page_id, (row_number()')})
+SELECT page_id, count(DISTINCT r_regionkey) AS groups, count(*) FILTER (level = 0) AS tops, count(*) FILTER (level = 1) AS kids FROM items GROUP BY page_id""",
+)
+def s2_all(spark, d):
+    def kids(c):
+        return F.coalesce(F.size(F.filter(c["children"], lambda x: x["text"].isNotNull())), F.lit(0))
+
+    counted = saved_and_loaded(spark, d).select(
+        "page_id", F.size("children").alias("n"), F.aggregate("children", F.lit(0), lambda a, c: a + F.greatest(kids(c), F.lit(0))).alias("k")
+    )
+    return counted.groupBy("page_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("tops"), F.sum("k").alias("kids"))
+
+
+@query(
+    "s3_save_structure_all",
+    f"""WITH items AS ({_T10.replace('SELECT page_id, (row_number()', 'SELECT r_regionkey, n_nationkey, k, page_id, (row_number()')}),
+kids AS (SELECT page_id, r_regionkey, n_nationkey, string_agg(text || '#' || id, ',' ORDER BY k) AS kids FROM items WHERE level = 1 GROUP BY ALL)
+SELECT i.page_id, header AS header_text,
+  string_agg(type || ':' || text || '#' || coalesce(id, 'none') || '[' || coalesce(kids, '') || ']', ';' ORDER BY i.n_nationkey, i.k) AS outline
+FROM items i LEFT JOIN kids c ON i.type = 'menu' AND i.page_id = c.page_id AND i.r_regionkey = c.r_regionkey AND i.n_nationkey = c.n_nationkey
+WHERE level = 0 GROUP BY i.page_id, i.r_regionkey, header""",
+)
+def s3_all(spark, d):
+    def named(i):
+        return F.concat(i["text"], F.lit("#"), F.coalesce(i["id"], F.lit("none")))
+
+    def item(i):
+        kids = F.coalesce(F.transform(i["children"], named), F.array().cast("array<string>"))
+        return F.concat(i["type"], F.lit(":"), named(i), F.lit("["), F.array_join(kids, ","), F.lit("]"))
+
+    return saved_and_loaded(spark, d).select("page_id", "header_text", F.array_join(F.transform("children", item), ";").alias("outline"))
+
+
 @query(
     "s4_save_raw_html",
     f"SELECT page_id, 'debug/page_content_' || {S.slug('url')} || '.html' AS debug_path, sha256(html) AS sha256 FROM pages",
