@@ -160,24 +160,52 @@ def xpath(nodes: Column, node: Column) -> Column:
     return F.array_join(steps, "")
 
 
+def _expansion_step(nodes: Column, menu: Column, p: Profile) -> Column:
+    icon = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "i") & has_class(n, p.closed_icon)))
+    label = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "div") & has_class(n, *p.menu_text[:2])))
+    name = let(label, lambda d: F.when(d.isNull(), F.lit("Unknown Menu")).otherwise(text_content(nodes, d)))
+    return let(icon, lambda i: F.struct(name.alias("menu_text"), F.when(i.isNotNull(), xpath(nodes, i)).alias("xpath")))
+
+
 def expansion_path(parsed: DataFrame, item_id: Column, text: Column, out: str = "path", profile: Profile = DEFAULT) -> DataFrame:
     """Closed menus without an id around a target, outermost first, with icon XPaths."""
     p, nodes = profile, F.col("nodes")
 
-    def step(menu: Column) -> Column:
-        icon = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "i") & has_class(n, p.closed_icon)))
-        label = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "div") & has_class(n, *p.menu_text[:2])))
-        name = let(label, lambda d: F.when(d.isNull(), F.lit("Unknown Menu")).otherwise(text_content(nodes, d)))
-        return let(icon, lambda i: F.struct(name.alias("menu_text"), F.when(i.isNotNull(), xpath(nodes, i)).alias("xpath")))
-
     def expansions(target: Column) -> Column:
         menus = F.filter(nodes, lambda n: _highlight(p)(n) & n["dom_id"].isNull() & contains(n, target))
-        steps = F.filter(F.transform(menus, step), lambda s: s["xpath"].isNotNull())
+        steps = F.filter(F.transform(menus, lambda m: _expansion_step(nodes, m, p)), lambda s: s["xpath"].isNotNull())
         return F.struct(target.isNotNull().alias("found"), F.when(target.isNotNull(), steps).alias("expansions"))
 
     return parsed.withColumn(out, let(_targets(nodes, item_id, text, True, p), expansions))
 
 
+def expansion_paths(parsed: DataFrame, targets: Column, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
+    """The same for many targets of a page, an array of (item_id, text): one row each; menus are found once a page."""
+    p, nodes = profile, F.col("nodes")
+
+    def step(menu: Column) -> Column:
+        return F.struct(menu["node_id"].alias("node_id"), menu["last_id"].alias("last_id"), _expansion_step(nodes, menu, p).alias("step"))
+
+    def rows(menus: Column, named: Column) -> Column:
+        def one(t: Column) -> Column:
+            by_id = first(F.filter(nodes, lambda n: n["dom_id"] == t["item_id"]))
+            by_text = first(F.filter(named, lambda x: F.coalesce(x["text"].contains(t["text"]), F.lit(False))))["node"]
+
+            def path(n: Column) -> Column:
+                steps = F.transform(F.filter(menus, lambda m: contains(m, n)), lambda m: m["step"])
+                return F.struct(t["item_id"].alias("item_id"), n.isNotNull().alias("found"), F.when(n.isNotNull(), steps).alias("expansions"))
+
+            return let(F.coalesce(by_id, by_text), path)
+
+        return F.transform(targets, one)
+
+    closed = F.filter(nodes, lambda n: _highlight(p)(n) & n["dom_id"].isNull())
+    menus = F.filter(F.transform(closed, step), lambda m: m["step"]["xpath"].isNotNull())
+    entries = F.filter(nodes, lambda n: _highlight(p)(n) & n["dom_id"].isNotNull())
+    named = F.transform(entries, lambda n: F.struct(n.alias("node"), text_content(nodes, n).alias("text")))
+    return rows_of(parsed, let(menus, lambda ms: let(named, lambda ns: rows(ms, ns))), keys, "found")
+
+
 def visible_text(html: Column) -> Column:
     """Text of raw HTML without a parser: comments, scripts, styles and tags out, white space squeezed."""
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")

@@ -161,6 +161,24 @@ def select_nodes(parsed: DataFrame, selector, keys: tuple[str, ...] = ("page_id"
     return rows_of(parsed, F.filter(nodes, lambda n: F.coalesce(predicate(nodes, n), F.lit(False))), keys)
 
 
+def select_all(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
+    """One row per named selection and node it picks, with the node's id and the first text inside, else beside it."""
+    nodes = F.col("nodes")
+
+    def first_text(n: Column) -> Column:
+        texts = F.transform(F.filter(inside(nodes, n), lambda x: is_tag(x, "#text")), lambda x: clean_text(x["data"]))
+        return first(F.filter(texts, lambda t: t != ""))
+
+    def picked(name: str, predicate) -> Column:
+        found = F.filter(nodes, lambda n: F.coalesce(predicate(nodes, n), F.lit(False)))
+        text = lambda n: F.coalesce(first_text(n), first_text(parent_of(nodes, n)))
+        return F.transform(
+            found, lambda n: F.struct(F.lit(name).alias("selector"), n["node_id"].alias("node_id"), n["dom_id"].alias("dom_id"), text(n).alias("text"))
+        )
+
+    return rows_of(parsed, F.concat(*[picked(*x) for x in selectors(profile).items()]), keys)
+
+
 def html_nodes(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), whole_text: bool = False) -> DataFrame:
     """One row per element, with its own visible text.
 

@@ -130,6 +130,34 @@ def h2(spark, d):
     return found[0].unionByName(found[1]).unionByName(labelled)
 
 
+# The rows of every named selection. No navigation page holds links, a loader, a content pane or tab panels.
+_PLAIN = "CASE WHEN has_id THEN 'cust-' || c_custkey ELSE label END"
+_H2_ALL = (
+    _PLACED
+    + f""", menus AS (SELECT DISTINCT page_id, shape, n_nationkey, n_name FROM placed), heads AS (SELECT DISTINCT page_id, r_name FROM placed),
+tops AS (SELECT page_id, CASE WHEN shape = 1 THEN (array_agg(label ORDER BY r_regionkey, c_custkey))[1]
+  ELSE (array_agg(r_name ORDER BY r_regionkey))[1] END AS name FROM placed WHERE shape <> 3 GROUP BY page_id, shape),
+lis AS (SELECT page_id, has_id, {_PLAIN} AS name FROM placed UNION ALL SELECT page_id, false, n_name FROM menus),
+icons AS (SELECT page_id, n_nationkey % 5 = 0 AS opened, n_name AS name FROM menus)
+SELECT page_id, 'sidebar_container' AS selector, name FROM tops UNION ALL SELECT page_id, 'sidebar_root', name FROM tops
+UNION ALL SELECT page_id, 'entry', r_name FROM heads UNION ALL SELECT page_id, 'entry', n_name FROM menus
+UNION ALL SELECT page_id, 'entry', label FROM placed WHERE shape <> 2
+UNION ALL SELECT page_id, s, r_name FROM heads, (VALUES ('header_li'), ('anchor')) v(s)
+UNION ALL SELECT page_id, s, name FROM lis, (VALUES ('highlight_li'), ('clickable_li')) v(s)
+UNION ALL SELECT page_id, CASE WHEN has_id THEN 'highlight_li_with_id' ELSE 'highlight_li_without_id' END, name FROM lis
+UNION ALL SELECT page_id, 'item_text_span', 'cust-' || c_custkey || '-sp' FROM placed WHERE has_id
+UNION ALL SELECT page_id, 'menu_text_div', n_name FROM menus
+UNION ALL SELECT page_id, s, name FROM icons, (VALUES ('closed_icon'), ('highlight_closed_icon')) v(s) WHERE NOT opened
+UNION ALL SELECT page_id, 'opened_icon', name FROM icons WHERE opened"""
+)
+
+
+@query("h2_select_nodes_all", _H2_ALL)
+def h2_all(spark, d):
+    found = nodes.select_all(sidebar_nodes(spark, d))
+    return found.select("page_id", "selector", F.coalesce("dom_id", "text").alias("name"))
+
+
 @query("h3_find_root", _PLACED + " SELECT DISTINCT page_id, 'ul' AS tag, 1 AS depth FROM placed WHERE shape <> 3")
 def h3(spark, d):
     return nodes.find_root(sidebar_nodes(spark, d)).select("page_id", "tag", "depth")
@@ -351,6 +379,27 @@ def n5(spark, d):
     )
 
 
+@query(
+    "n5_expansion_path_all",
+    _PLACED
+    + """, places AS (SELECT DISTINCT page_id, r_regionkey, n_nationkey FROM placed),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY r_regionkey, n_nationkey) + dense_rank() OVER (PARTITION BY page_id ORDER BY r_regionkey) AS entry FROM places),
+s AS (SELECT p.*, k.entry, p.shape = 2 AND p.n_nationkey % 5 <> 0 AND p.has_id AS closed FROM placed p JOIN k USING (page_id, r_regionkey, n_nationkey))
+SELECT page_id, 'cust-' || c_custkey AS item_id, has_id AS found, CASE WHEN closed THEN n_name ELSE '' END AS menus,
+  CASE WHEN closed THEN '/div[1]/ul[1]/app-api-doc-item[' || entry || ']/li[1]/div[1]/i[1]' ELSE '' END AS xpaths FROM s""",
+)
+def n5_all(spark, d):
+    """The path of every item of a page, those without an id included."""
+    item = F.struct(F.concat(F.lit("cust-"), col("c_custkey").cast("string")).alias("item_id"), col("c_name").alias("text"))
+    targets = B.placed_customers(spark, d).groupBy("page_id").agg(F.collect_list(item).alias("targets"))
+    found = navigation.expansion_paths(nodes.with_nodes(B.sidebar_pages(spark, d).join(targets, "page_id")), col("targets"))
+    steps = F.coalesce(col("expansions"), F.array().cast("array<struct<menu_text:string,xpath:string>>"))
+    return found.select(
+        "page_id", "item_id", "found", F.array_join(F.transform(steps, lambda s: s["menu_text"]), " > ").alias("menus"),
+        F.array_join(F.transform(steps, lambda s: s["xpath"]), " > ").alias("xpaths"),
+    )
+
+
 # --- content ------------------------------------------------------------------------------------------
 
 
