@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,41 +153,37 @@ def _list_of(offsets: list[int], values: pa.Array, empty: list[bool] | None = No
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
 
 
+def _node_columns(nodes: list[Node]) -> list[pa.Array]:
+    """The columns of ``NODE`` for the nodes of many pages, one after another."""
+    columns = [pa.array([getattr(n, name) for n in nodes], pa.int32()) for name in _INTS]
+    attrs = [n.attrs or {} for n in nodes]
+    classes = [a["class"].split() if "class" in a else () for a in attrs]
+    keys, values = [k for a in attrs for k in a], [v for a in attrs for v in a.values()]
+    return columns + [
+        pa.array([n.tag for n in nodes], pa.string()),
+        pa.array([a.get("id") for a in attrs], pa.string()),
+        _list_of([0, *accumulate(map(len, classes))], pa.array([c for own in classes for c in own], pa.string())),
+        pa.MapArray.from_arrays(
+            pa.array([0, *accumulate(map(len, attrs))], pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())
+        ),
+        pa.array([n.data for n in nodes], pa.string()),
+    ]
+
+
+def _parsed(html: pa.Array) -> tuple[list[Node], list[list[Node]], list[bool], list[str | None]]:
+    """All nodes, the nodes of each page, which pages are missing, and what went wrong."""
+    pages = [parse_page(page) if page else ([], None) for page in html.to_pylist()]
+    each = [nodes for nodes, _ in pages]
+    missing = (pc.fill_null(pc.utf8_length(html), 0).to_numpy(zero_copy_only=False) == 0).tolist()
+    return [n for nodes in each for n in nodes], each, missing, [error for _, error in pages]
+
+
 @F.arrow_udf(PAGE)
 def parse_html(html: pa.Array) -> pa.Array:
     """Page text to ``{nodes, error}``; null or empty text gives null nodes."""
-    starts, missing, errors = [0], [], []
-    ints: dict[str, list[int]] = {name: [] for name in _INTS}
-    tags, ids, data = [], [], []
-    class_starts, classes, attr_starts, keys, values = [0], [], [0], [], []
-    for page in html.to_pylist():
-        nodes, error = parse_page(page) if page else ([], None)
-        missing.append(not page)
-        errors.append(error)
-        for node in nodes:
-            for name in _INTS:
-                ints[name].append(getattr(node, name))
-            tags.append(node.tag)
-            data.append(node.data)
-            attrs = node.attrs or {}
-            ids.append(attrs.get("id"))
-            classes.extend(attrs.get("class", "").split())
-            class_starts.append(len(classes))
-            keys.extend(attrs)
-            values.extend(attrs.values())
-            attr_starts.append(len(keys))
-        starts.append(len(tags))
-    columns = [pa.array(ints[name], pa.int32()) for name in _INTS]
-    columns += [pa.array(tags, pa.string()), pa.array(ids, pa.string())]
-    columns.append(_list_of(class_starts, pa.array(classes, pa.string())))
-    columns.append(
-        pa.MapArray.from_arrays(pa.array(attr_starts, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
-    )
-    columns.append(pa.array(data, pa.string()))
-    nodes = pa.StructArray.from_arrays(columns, [*_INTS, "tag", "dom_id", "classes", "attrs", "data"])
-    return pa.StructArray.from_arrays(
-        [_list_of(starts, nodes, missing), pa.array(errors, pa.string())], ["nodes", "error"]
-    )
+    nodes, each, missing, errors = _parsed(html)
+    listed = _list_of([0, *accumulate(map(len, each))], pa.StructArray.from_arrays(_node_columns(nodes), NODE.names), missing)
+    return pa.StructArray.from_arrays([listed, pa.array(errors, pa.string())], PAGE.names)
 
 
 # Marked as non-deterministic so that the optimizer neither repeats nor merges the
@@ -334,24 +332,34 @@ def node_markdown(nodes: list[Node], first: int, last: int, clean_tables: bool =
     return "".join(stack[0].parts).strip()
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def subtree_markdown(html: pa.Array, ids: pa.Array, clean: pa.Array) -> pa.Array:
-    """Markdown of the named nodes of each page; -1 names the whole page.
+CONTENT_NODE = T.StructType([*NODE.fields, T.StructField("markdown", T.StringType())])
+CONTENT_PAGE = T.StructType([T.StructField("nodes", T.ArrayType(CONTENT_NODE)), *PAGE.fields[1:], T.StructField("whole", T.StringType())])
 
-    Where ``clean`` holds, table rows without content go and one-text cells are plain.
-    """
-    out = []
-    for page, wanted, flags in zip(html.to_pylist(), ids.to_pylist(), clean.to_pylist()):
-        if not page or not wanted:
-            out.append([])
-            continue
-        nodes, _ = parse_page(page)
-        ends = {i: nodes[i].last_id if i >= 0 else len(nodes) - 1 for i in wanted}
-        out.append([node_markdown(nodes, max(i, 0), ends[i], flag) for i, flag in zip(wanted, flags)])
-    return pa.array(out, pa.list_(pa.string()))
 
+def content_parser(asked):
+    """A function from page text to nodes that carry their Markdown where it is asked for; the page is parsed once.
+
+    ``asked`` gets the nodes of a page and returns node id -> whether to clean tables (rows without content go, one-text cells
+    are plain) for the nodes to convert; the id -1 stands for the whole page, whose Markdown is ``whole``.
+    """
 
-subtree_markdown = subtree_markdown.asNondeterministic()
+    @F.arrow_udf(CONTENT_PAGE)
+    def parse(html: pa.Array) -> pa.Array:
+        nodes, each, missing, errors = _parsed(html)
+        texts, wholes = [], []
+        for page in each:
+            found = asked(page)
+            own = [None] * len(page)
+            for i, clean in found.items():
+                if i >= 0:
+                    own[i] = node_markdown(page, i, page[i].last_id, clean)
+            texts += own
+            wholes.append(node_markdown(page, 0, len(page) - 1, found[-1]) if -1 in found else None)
+        columns = [*_node_columns(nodes), pa.array(texts, pa.string())]
+        listed = _list_of([0, *accumulate(map(len, each))], pa.StructArray.from_arrays(columns, CONTENT_NODE.names), missing)
+        return pa.StructArray.from_arrays([listed, pa.array(errors, pa.string()), pa.array(wholes, pa.string())], CONTENT_PAGE.names)
+
+    return parse.asNondeterministic()
 
 
 def _whole(html: pa.Array, clean_tables: bool) -> pa.Array:

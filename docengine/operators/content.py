@@ -1,15 +1,18 @@
 """Page content to Markdown.
 
-Spark picks the nodes to convert; one Python call per page turns the picked nodes
-into Markdown; Spark then puts the pieces together.
+One Python call parses a page and turns the nodes that any strategy may ask for into
+Markdown; Spark then finds the strategy, picks nodes and puts their pieces together.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.functions.html import subtree_markdown
+from docengine.functions.html import content_parser
 from docengine.functions.text import let
 from docengine.operators.nodes import DEFAULT, Profile, first, has_class, inside, is_tag, shown_text
 
@@ -19,6 +22,67 @@ CONTAINER_WORDS = "content|doc|api|main"
 LEAST_FALLBACK = 50
 
 
+# Elements of an endpoint page that become Markdown.
+ENDPOINT_PARTS = frozenset(["app-api-doc-security", "app-api-doc-server", "app-show-parameters", "app-api-doc-response", "app-api-doc-request-body"])
+
+
+def _asked(profile: Profile):
+    """The nodes of a page that its strategy may convert, see ``content_parser``."""
+
+    def below(nodes, node):
+        return nodes[node.node_id + 1 : node.last_id + 1]
+
+    def role(node, tag: str, name: str) -> bool:
+        return node.tag == tag and node.attrs.get("role") == name
+
+    def parts(nodes, endpoint) -> dict[int, bool]:
+        found = {}
+        for n in below(nodes, endpoint):
+            if role(n, "div", "tabpanel"):
+                found[n.node_id] = True
+            elif n.tag in ENDPOINT_PARTS:
+                # A response with tabs is taken apart, tab by tab.
+                tabs = sum(role(x, "button", "tab") for x in below(nodes, n)) if n.tag == "app-api-doc-response" else 0
+                if tabs < 2:
+                    found[n.node_id] = False
+        return found
+
+    def containers(scope) -> dict[int, bool]:
+        words = re.compile(CONTAINER_WORDS)
+        wide = [n for n in scope if n.tag in ("div", "section", "article")]
+        return {n.node_id: True for n in wide if any(words.search(c.lower()) for c in n.attrs.get("class", "").split())}
+
+    def asked(nodes) -> dict[int, bool]:
+        pane = next((n for n in nodes if n.attrs and n.attrs.get("id") == profile.content_id), None)
+        scope = below(nodes, pane) if pane else nodes
+        firsts: dict[str, object] = {}
+        for n in scope:
+            firsts.setdefault(n.tag, n)
+        if ENDPOINT in firsts:
+            return parts(nodes, firsts[ENDPOINT])
+        outside = next((n for n in nodes if n.tag == ENDPOINT), None) if pane else None
+        found = parts(nodes, outside) if outside else {}
+        if MODEL in firsts:
+            return found | {firsts[MODEL].node_id: False}
+        if MARKDOWN in firsts:
+            return found | {n.node_id: True for n in scope if n.tag == MARKDOWN}
+        return found | (containers(scope) or {-1: True})
+
+    return asked
+
+
+@lru_cache(maxsize=8)
+def _parser(profile: Profile):
+    return content_parser(_asked(profile))
+
+
+def with_content(pages: DataFrame, html: str = "html", profile: Profile = DEFAULT) -> DataFrame:
+    """Add ``nodes`` (with the Markdown of those a strategy may ask for), ``whole`` and ``parse_error``; pages without HTML drop out."""
+    parsed = pages.filter(F.length(html) > 0).withColumn("_page", _parser(profile)(F.col(html)))
+    found = {"nodes": F.col("_page.nodes"), "whole": F.col("_page.whole"), "parse_error": F.col("_page.error")}
+    return parsed.withColumns(found).drop("_page")
+
+
 def _scope(nodes: Column, p: Profile) -> Column:
     """Nodes of the content pane, or all of them where the page is the pane."""
     pane = first(F.filter(nodes, lambda n: n["dom_id"] == p.content_id))
@@ -89,81 +153,92 @@ def endpoint_path(nodes: Column, endpoint: Column) -> Column:
     return F.concat(F.lit("```\n"), text, F.lit("\n```"))
 
 
+def same_subtree(nodes: Column, a: Column, b: Column) -> Column:
+    """Both elements have the same tag, attributes, places and texts, all the way down."""
+
+    def shape(n: Column) -> Column:
+        whole = F.slice(nodes, n["node_id"] + 1, n["last_id"] - n["node_id"] + 1)
+        return F.transform(
+            whole,
+            lambda x: F.struct(
+                x["tag"], (x["depth"] - n["depth"]).alias("depth"), F.when(x["node_id"] != n["node_id"], x["child_ord"]).alias("at"), F.array_sort(F.map_entries(x["attrs"])).alias("attrs"),
+                F.when(x["tag"].startswith("#"), x["data"]).alias("data"),
+            ),
+        )
+
+    return shape(a) == shape(b)
+
+
 def endpoint_description(nodes: Column, endpoint: Column) -> Column:
-    """Text of the description block, unless that block is the path block."""
+    """Text of the description block, unless that block equals the path block as an element."""
     path = _under(nodes, endpoint, lambda n: is_tag(n, MARKDOWN))
     box = _under(nodes, endpoint, lambda n: is_tag(n, "div") & has_class(n, "dds__mt-2"))
     block = let(box, lambda b: _under(nodes, b, lambda n: is_tag(n, MARKDOWN)))
 
     def text(b: Column, p: Column) -> Column:
-        same = (b["node_id"] == p["node_id"]) | (
-            (shown_text(nodes, b) == shown_text(nodes, p)) & (b["last_id"] - b["node_id"] == p["last_id"] - p["node_id"])
-        )
-        return F.when(b.isNotNull() & ~F.coalesce(same, F.lit(False)), F.nullif(shown_text(nodes, b), F.lit("")))
+        # The path block comes first or is the description block itself, so it is there whenever the other is.
+        same = (b["node_id"] == p["node_id"]) | same_subtree(nodes, b, p)
+        return F.when(b.isNotNull() & ~same, F.nullif(shown_text(nodes, b), F.lit("")))
 
     return let(block, lambda b: let(path, lambda p: text(b, p)))
 
 
-# --- nodes to convert ----------------------------------------------------------------
+# --- pieces of converted nodes ----------------------------------------------------------------
 
 
-def _request(node_id: Column, kind: str, clean: bool = False, label: Column | None = None) -> Column:
+def _piece(markdown: Column, kind: str, label: Column | None = None) -> Column:
     return F.struct(
-        node_id.alias("id"), F.lit(clean).alias("clean"), F.lit(kind).alias("kind"),
-        (label if label is not None else F.lit(None).cast("string")).alias("label"),
-    )
+        markdown.alias("markdown"), F.lit(kind).alias("kind"), (label if label is not None else F.lit(None).cast("string")).alias("label")
+    )
 
 
-def _requests(found: Column, kind: str, clean: bool = False) -> Column:
-    return F.transform(found, lambda n: _request(n["node_id"], kind, clean))
+def _pieces(found: Column, kind: str) -> Column:
+    return F.transform(found, lambda n: _piece(n["markdown"], kind))
 
 
-def response_requests(nodes: Column, response: Column) -> Column:
-    """One request per tab with its panel, or one for the whole response."""
+def response_pieces(nodes: Column, response: Column) -> Column:
+    """One piece per tab with its panel, or one for the whole response."""
 
     def role(tag: str, name: str) -> Column:
         return F.filter(inside(nodes, response), lambda n: is_tag(n, tag) & (n["attrs"]["role"] == name))
 
     def per_tab(tabs: Column, panels: Column) -> Column:
-        pairs = F.zip_with(
-            tabs, panels, lambda t, q: _request(q["node_id"], "tab", True, F.when(t.isNotNull(), shown_text(nodes, t)))
-        )
-        paired = F.filter(pairs, lambda r: r["id"].isNotNull() & r["label"].isNotNull())
-        whole = F.array(_request(response["node_id"], "response"))
+        pairs = F.zip_with(tabs, panels, lambda t, q: _piece(q["markdown"], "tab", F.when(t.isNotNull(), shown_text(nodes, t))))
+        paired = F.filter(pairs, lambda r: r["markdown"].isNotNull() & r["label"].isNotNull())
+        whole = F.array(_piece(response["markdown"], "response"))
         return F.when(response.isNull(), F.slice(whole, 1, 0)).when(F.size(tabs) > 1, paired).otherwise(whole)
 
     return let(role("button", "tab"), lambda t: let(role("div", "tabpanel"), lambda q: per_tab(t, q)))
 
 
-def endpoint_requests(nodes: Column, endpoint: Column) -> Column:
-    """Requests of an endpoint page in output order."""
+def endpoint_pieces(nodes: Column, endpoint: Column) -> Column:
+    """Pieces of an endpoint page in output order."""
     below = inside(nodes, endpoint)
 
     def one(tag: str, kind: str, test=None) -> Column:
         found = F.slice(F.filter(below, lambda n: is_tag(n, tag)), 1, 1)
         if test is not None:
             found = F.filter(found, test)
-        return _requests(found, kind)
+        return _pieces(found, kind)
 
     response = first(F.filter(below, lambda n: is_tag(n, "app-api-doc-response")))
     return F.concat(
         one("app-api-doc-security", "security", lambda n: shown_text(nodes, n) != ""),
         one("app-api-doc-server", "server"),
-        _requests(F.filter(below, lambda n: is_tag(n, "app-show-parameters")), "parameters"),
-        let(response, lambda r: response_requests(nodes, r)),
+        _pieces(F.filter(below, lambda n: is_tag(n, "app-show-parameters")), "parameters"),
+        let(response, lambda r: response_pieces(nodes, r)),
         one("app-api-doc-request-body", "request_body"),
     )
 
 
-def fallback_requests(scope: Column) -> Column:
+def fallback_pieces(scope: Column, whole: Column) -> Column:
     """Containers with a telling class, nested ones included; else the whole page."""
     containers = F.filter(
         scope,
         lambda n: is_tag(n, "div", "section", "article")
         & F.exists(n["classes"], lambda c: F.lower(c).rlike(CONTAINER_WORDS)),
     )
-    whole = F.array(_request(F.lit(-1), "fallback", True))
-    return let(containers, lambda c: F.when(F.size(c) > 0, _requests(c, "fallback", True)).otherwise(whole))
+    return let(containers, lambda c: F.when(F.size(c) > 0, _pieces(c, "fallback")).otherwise(F.array(_piece(whole, "fallback"))))
 
 
 def _format(piece: Column) -> Column:
@@ -177,23 +252,19 @@ def _format(piece: Column) -> Column:
     )
 
 
-def with_pieces(parsed: DataFrame, requests: Column, html: str = "html", out: str = "pieces") -> DataFrame:
-    """Convert the requested nodes: ``pieces`` holds (kind, markdown), empty ones left out."""
-    asked = parsed.withColumn("_requests", requests)
-    done = asked.withColumn("_md", subtree_markdown(F.col(html), F.col("_requests.id"), F.col("_requests.clean")))
-    zipped = F.zip_with("_requests", "_md", lambda r, m: r.withField("markdown", m))
-    pieces = F.transform(zipped, lambda p: F.struct(p["kind"].alias("kind"), _format(p).alias("markdown")))
-    return done.withColumn(out, F.filter(pieces, lambda p: p["markdown"].isNotNull())).drop("_requests", "_md")
+def _formatted(pieces: Column) -> Column:
+    """(kind, markdown) of each piece, empty ones left out."""
+    done = F.transform(pieces, lambda p: F.struct(p["kind"].alias("kind"), _format(p).alias("markdown")))
+    return F.filter(done, lambda p: p["markdown"].isNotNull())
 
 
-def endpoint_parts(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:
-    """Header, path, description and converted pieces of every endpoint page."""
-    nodes = F.col("nodes")
-    pages = parsed.withColumn("_endpoint", _find(nodes, ENDPOINT)).filter(F.col("_endpoint").isNotNull())
-    with_requests = with_pieces(pages, endpoint_requests(nodes, F.col("_endpoint")), html)
+def endpoint_parts(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Header, path, description and converted pieces of every endpoint page of ``with_content``."""
+    nodes, endpoint = F.col("nodes"), F.col("_endpoint")
+    pages = parsed.withColumn("_endpoint", _find(nodes, ENDPOINT)).filter(endpoint.isNotNull())
     texts = {"header": endpoint_header, "path": endpoint_path, "description": endpoint_description}
-    return with_requests.select(
-        *keys, *[make(nodes, F.col("_endpoint")).alias(name) for name, make in texts.items()], "pieces"
+    return pages.select(
+        *keys, *[make(nodes, endpoint).alias(name) for name, make in texts.items()], _formatted(endpoint_pieces(nodes, endpoint)).alias("pieces")
     )
 
 
@@ -202,22 +273,23 @@ def pieces_of(pieces: Column, *kinds: str) -> Column:
     return F.transform(F.filter(pieces, lambda p: p["kind"].isin(*kinds)), lambda p: p["markdown"])
 
 
-def page_content(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html", profile: Profile = DEFAULT) -> DataFrame:
-    """Markdown of every page by its strategy; pages without content give the empty string."""
+def page_content(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
+    """Markdown of every page of ``with_content`` by its strategy; pages without content give the empty string."""
     nodes = F.col("nodes")
     scoped = with_strategy(parsed.withColumn("_scope", _scope(nodes, profile)), profile)
     scope, kind = F.col("_scope"), F.col("strategy")
-    endpoint = _find(scope, ENDPOINT)
-    requests = (
-        F.when(kind == "endpoint", let(endpoint, lambda e: endpoint_requests(nodes, e)))
-        .when(kind == "model", _requests(F.slice(F.filter(scope, lambda n: is_tag(n, MODEL)), 1, 1), "model"))
-        .when(kind == "markdown", _requests(F.filter(scope, lambda n: is_tag(n, MARKDOWN)), "markdown", True))
-        .otherwise(fallback_requests(scope))
+
+    def endpoint_texts(e: Column) -> Column:
+        lead = F.array_compact(F.array(endpoint_header(nodes, e), endpoint_path(nodes, e), endpoint_description(nodes, e)))
+        return F.concat(lead, texts(endpoint_pieces(nodes, e)))
+
+    def texts(pieces: Column) -> Column:
+        return F.transform(_formatted(pieces), lambda p: p["markdown"])
+
+    found = (
+        F.when(kind == "endpoint", let(_find(scope, ENDPOINT), endpoint_texts))
+        .when(kind == "model", texts(_pieces(F.slice(F.filter(scope, lambda n: is_tag(n, MODEL)), 1, 1), "model")))
+        .when(kind == "markdown", texts(_pieces(F.filter(scope, lambda n: is_tag(n, MARKDOWN)), "markdown")))
+        .otherwise(texts(fallback_pieces(scope, F.col("whole"))))
     )
-    lead = F.when(
-        kind == "endpoint",
-        let(endpoint, lambda e: F.array(endpoint_header(nodes, e), endpoint_path(nodes, e), endpoint_description(nodes, e))),
-    ).otherwise(F.array().cast("array<string>"))
-    converted = with_pieces(scoped.withColumn("_lead", F.array_compact(lead)), requests, html)
-    texts = F.concat(F.col("_lead"), F.transform("pieces", lambda p: p["markdown"]))
-    return converted.select(*keys, "strategy", F.array_join(texts, "\n\n").alias("markdown"))
+    return scoped.select(*keys, "strategy", F.array_join(found, "\n\n").alias("markdown"))

@@ -125,6 +125,26 @@ def next_pending(pending: DataFrame, pos: str, show: int = 5) -> DataFrame:
     return lines.unionByName(rest.select(F.lit(show).alias("line"), more.alias("entry")))
 
 
+def publish_paths(content: DataFrame, base: str = "output") -> DataFrame:
+    """Content rows with header_slug, menu_slug and output_path; rows with an unsafe path drop out."""
+    header, menu = F.col("header"), F.col("menu")
+    slugs = content.withColumn("header_slug", F.nullif(slugify(header), F.lit("")))
+    slugs = slugs.withColumn("menu_slug", menu_folder(header, menu)).withColumn("_text_slug", slugify(F.col("text")))
+    path = join_path(F.col("header_slug"), F.col("menu_slug"), F.col("_text_slug"), base)
+    return slugs.withColumn("output_path", path).drop("_text_slug").filter(rules.path_safe(F.col("output_path")))
+
+
+def publish_texts(chosen: DataFrame, clean: bool = True) -> DataFrame:
+    """Rows of ``publish_paths`` with clean Markdown and its checksum; missing slugs are empty."""
+    text = sanitize(F.col("markdown")) if clean else F.col("markdown")
+    return (
+        chosen.withColumn("markdown", text)
+        .withColumn("sha256", checksum(F.col("markdown")))
+        .withColumn("header_slug", F.coalesce("header_slug", F.lit("")))
+        .withColumn("menu_slug", F.coalesce("menu_slug", F.lit("")))
+    )
+
+
 def prepare_publish(
     content: DataFrame, base: str = "output", overwrite: bool = False, clean: bool = True, pos: str = "pos",
     known: DataFrame | None = None,
@@ -136,20 +156,9 @@ def prepare_publish(
     find the file there; with ``overwrite`` the last one does. Only (path, position)
     goes through the choice, and paths in ``known`` go before the clean-up starts.
     """
-    header, menu = F.col("header"), F.col("menu")
-    slugs = content.withColumn("header_slug", F.nullif(slugify(header), F.lit("")))
-    slugs = slugs.withColumn("menu_slug", menu_folder(header, menu)).withColumn("_text_slug", slugify(F.col("text")))
-    path = join_path(F.col("header_slug"), F.col("menu_slug"), F.col("_text_slug"), base)
-    safe = slugs.withColumn("output_path", path).drop("_text_slug").filter(rules.path_safe(F.col("output_path")))
+    safe = publish_paths(content, base)
     winners = safe.groupBy("output_path").agg((F.max(pos) if overwrite else F.min(pos)).alias(pos))
     if known is not None:
         # Both sides hold one row per path here, so no key can be hot.
         winners = winners.join(known.select("output_path"), "output_path", "left_anti")
-    chosen = safe.join(winners, ["output_path", pos], "left_semi")
-    text = sanitize(F.col("markdown")) if clean else F.col("markdown")
-    return (
-        chosen.withColumn("markdown", text)
-        .withColumn("sha256", checksum(F.col("markdown")))
-        .withColumn("header_slug", F.coalesce("header_slug", F.lit("")))
-        .withColumn("menu_slug", F.coalesce("menu_slug", F.lit("")))
-    )
+    return publish_texts(safe.join(winners, ["output_path", pos], "left_semi"), clean)

@@ -196,8 +196,10 @@ ENDPOINT_HTML = {
     "endpoint": """'<app-api-doc-endpoint><div class="dds__mb-4">' ||
  CASE WHEN p_size % 4 = 0 THEN '' ELSE '<app-show-http-method><span class="tag http-method-get">GET</span></app-show-http-method>' END ||
  '<span class="dds__pl-3"> ' || p_name || ' </span>' || CASE WHEN p_size % 3 = 0 THEN '<button>Try It</button>' ELSE '' END ||
- '</div><markdown><pre>/parts/' || p_partkey || '</pre></markdown><div class="dds__mt-2"><markdown><p>Part of type <b>' || p_type ||
- '</b>.</p></markdown></div><app-api-doc-security><p>Key of <i>' || p_brand || '</i></p></app-api-doc-security>' ||
+ '</div><markdown><pre>/parts/' || p_partkey || '</pre></markdown><div class="dds__mt-2">' || CASE p_size % 7
+ WHEN 0 THEN '<markdown><pre>/parts/' || p_partkey || '</pre></markdown>' WHEN 1 THEN '<markdown><p>/parts/' || p_partkey || '</p></markdown>'
+ WHEN 2 THEN '<markdown class="d"><pre>/parts/' || p_partkey || '</pre></markdown>'
+ ELSE '<markdown><p>Part of type <b>' || p_type || '</b>.</p></markdown>' END || '</div><app-api-doc-security><p>Key of <i>' || p_brand || '</i></p></app-api-doc-security>' ||
  '<app-api-doc-server>https://' || p_type || '.example</app-api-doc-server>' ||
  '<app-show-parameters><h4>Path <b>id</b></h4><ul><li>id</li><li>size ' || p_size || '</li></ul></app-show-parameters>' ||
  '<app-show-parameters> </app-show-parameters><app-show-parameters><p>page<br>limit</p></app-show-parameters><app-api-doc-response>' ||
@@ -214,6 +216,22 @@ SHAPE_EXPR = "CASE p_partkey % 6 WHEN 0 THEN 'model' WHEN 1 THEN 'markdown' WHEN
 
 
 def endpoint_pages(spark: SparkSession, d: str) -> DataFrame:
-    shaped = spread_scan(table(spark, d, "part")).withColumn("shape", F.expr(SHAPE_EXPR))
+    return part_pages(spread_scan(table(spark, d, "part"))).select("page_id", "shape", "html")
+
+
+def part_pages(parts: DataFrame) -> DataFrame:
+    """Parts with page_id, shape and html."""
+    shaped = parts.withColumn("shape", F.expr(SHAPE_EXPR)).withColumn("page_id", F.col("p_partkey"))
     cases = " ".join(f"WHEN '{name}' THEN {html}" for name, html in ENDPOINT_HTML.items())
-    return shaped.select(F.col("p_partkey").alias("page_id"), "shape", F.expr(f"CASE shape {cases} END").alias("html"))
+    return shaped.withColumn("html", F.expr(f"CASE shape {cases} END"))
+
+
+# Versions of a part for the stream: a batch each, every part in two of three, with a name that tells the batch.
+BATCHES = 3
+VERSIONS_SQL = f"""versions AS (SELECT p.* REPLACE (p_name || ' v' || b AS p_name), p_name AS title, b AS batch
+ FROM part p, generate_series(0, {BATCHES - 1}) g(b) WHERE p_partkey % {BATCHES} <> b)"""
+
+
+def part_versions(parts: DataFrame, batch: int) -> DataFrame:
+    chosen = parts.filter(F.col("p_partkey") % BATCHES != batch).withColumn("title", F.col("p_name"))
+    return chosen.withColumn("p_name", F.concat("p_name", F.lit(f" v{batch}")))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from docengine.operators import logs, summaries
 from docengine.plans import bindings as B
 from docengine.plans import sql_parts as S
-from docengine.plans.queries_pages import _PUBLISHED, content_rows
+from docengine.plans.queries_pages import PUBLISHED, content_rows, published_sql
 from docengine.plans.registry import query
 from docengine.session import work_dir
 from docengine.sources import readers, writers
@@ -191,12 +191,16 @@ def _finished(stream_query):
         raise stream_query.exception()
 
 
-@query("r1_incremental_publish", _PUBLISHED)
+@query("r1_incremental_publish", f"WITH {B.VERSIONS_SQL}, {published_sql('versions', f'p_partkey * {B.BATCHES} + batch', 'title', 'batch')}")
 def r1(spark, d):
-    out, marks = work_dir(spark, "stream-published"), work_dir(spark, "stream-marks")
-    for _ in range(2):
-        _finished(jobs.incremental_publish(content_rows(_stream(spark, d, "pages")), out, marks))
-    return spark.read.parquet(out).select("output_path", "header", "text")
+    """Three batches, each of two thirds of the pages in a version of their own; the first version of a path stays."""
+    source, out, marks = (work_dir(spark, f"stream-{name}") for name in ("pages", "published", "marks"))
+    for batch in range(B.BATCHES):
+        pages = B.part_pages(B.part_versions(readers.spread_scan(B.table(spark, d, "part")), batch))
+        pages.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(pages.schema).parquet(source)
+        _finished(jobs.incremental_publish(content_rows(stream, col("title")), out, marks))
+    return spark.read.parquet(out).select(*PUBLISHED)
 
 
 @query("r2_stream_log_routing", _ROUTED)
@@ -209,7 +213,11 @@ def r2(spark, d):
 
 @query("r3_running_tally", f"SELECT user_id, {_TALLY} FROM events GROUP BY user_id")
 def r3(spark, d):
-    out, marks = work_dir(spark, "stream-tally"), work_dir(spark, "stream-marks")
-    runs = _stream(spark, d, "events").withColumn("ok", F.expr(_OK))
-    _finished(jobs.running_tally(runs, col("ok"), col("event_type") == "error", ["user_id"], out, marks))
-    return spark.read.parquet(out)
+    """Two batches, of which the second changes the counts of the users it holds."""
+    source, out, marks = (work_dir(spark, f"stream-{name}") for name in ("events", "tally", "marks"))
+    for half in range(2):
+        events = B.table(spark, d, "events").filter((col("event_id") % 3 == 0) == F.lit(bool(half)))
+        events.write.mode("append").parquet(source)
+        runs = spark.readStream.schema(events.schema).parquet(source).withColumn("ok", F.expr(_OK))
+        _finished(jobs.running_tally(runs, col("ok"), col("event_type") == "error", ["user_id"], out, marks))
+    return jobs.tally_so_far(runs, out, ["user_id"])

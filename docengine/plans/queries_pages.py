@@ -9,6 +9,7 @@ from docengine.functions import text as X
 from docengine.operators import content, navigation, nodes, resume, rules, tree
 from docengine.plans import bindings as B
 from docengine.plans import sql_parts as S
+from docengine.plans.queries_text import sanitized_ctes
 from docengine.plans.registry import query
 from docengine.session import work_dir
 from docengine.sources import readers, writers
@@ -407,6 +408,10 @@ def endpoint_nodes(spark, d):
     return nodes.with_nodes(B.endpoint_pages(spark, d))
 
 
+def endpoint_content(spark, d):
+    return content.with_content(B.endpoint_pages(spark, d))
+
+
 _SHAPED = f"WITH shaped AS (SELECT *, p_partkey AS page_id, {B.SHAPE_EXPR} AS shape FROM part)"
 _EP = f"{_SHAPED}, ep AS (SELECT * FROM shaped WHERE shape = 'endpoint')"
 
@@ -423,7 +428,7 @@ def c1(spark, d):
 
 _C2 = "'### ' || CASE WHEN p_size % 4 = 0 THEN '' ELSE 'GET ' END || p_name || CASE WHEN p_size % 3 = 0 THEN ' Try It' ELSE '' END"
 _C3 = "'```' || chr(10) || '/parts/' || p_partkey || chr(10) || '```'"
-_C4 = "'Part of type' || p_type || '.'"
+_C4 = "CASE p_size % 7 WHEN 0 THEN NULL WHEN 1 THEN '/parts/' || p_partkey WHEN 2 THEN '/parts/' || p_partkey ELSE 'Part of type' || p_type || '.' END"
 _C5 = "'## Security' || chr(10) || chr(10) || 'Key of *' || p_brand || '*'"
 _C6 = "'https://' || p_type || '.example'"
 _C7 = "'#### Path **id**' || chr(10) || chr(10) || '* id' || chr(10) || '* size ' || p_size || chr(10) || chr(10) || 'page  ' || chr(10) || 'limit'"
@@ -432,7 +437,11 @@ _C9 = (
     "CASE WHEN p_size % 5 = 0 THEN 'plain' ELSE '### Response 200' || chr(10) || chr(10) || '| name | size |' || chr(10) || '| --- | --- |' || chr(10)"
     " || '| ' || p_name || ' | ' || p_size || ' |' || chr(10) || chr(10) || '### Response 404' || chr(10) || chr(10) || 'No part ' || p_partkey END"
 )
-_C10 = " || chr(10) || chr(10) || ".join([_C2, _C3, _C4, _C5, _C6, _C7, f"({_C9})", _C8])
+_C10 = f"concat_ws(chr(10) || chr(10), {', '.join([_C2, _C3, _C4, _C5, _C6, _C7, _C9, _C8])})"
+_C11_MODEL = "'## ' || p_name || chr(10) || chr(10) || 'A [type](/types/' || p_type || ')'"
+_C11_MARKDOWN = "'# ' || p_name || chr(10) || chr(10) || 'size **' || p_size || '**'"
+_C12 = "p_name || ' is a part of some type with a long enough text, ' || p_type"
+CONTENT_SQL = f"CASE shape WHEN 'endpoint' THEN {_C10} WHEN 'model' THEN {_C11_MODEL} WHEN 'markdown' THEN {_C11_MARKDOWN} ELSE {_C12} END"
 
 
 def endpoint_query(name: str, out: str, sql_expr: str, *kinds: str):
@@ -440,7 +449,7 @@ def endpoint_query(name: str, out: str, sql_expr: str, *kinds: str):
 
     @query(name, f"{_EP} SELECT page_id, {sql_expr} AS {out} FROM ep")
     def run(spark, d):
-        parts = content.endpoint_parts(endpoint_nodes(spark, d))
+        parts = content.endpoint_parts(endpoint_content(spark, d))
         value = F.array_join(content.pieces_of(col("pieces"), *kinds), "\n\n") if kinds else col(out)
         return parts.select("page_id", value.alias(out))
 
@@ -460,7 +469,7 @@ endpoint_query("c9_endpoint_responses", "responses", _C9, "tab", "response")
 def content_query(name: str, shapes: tuple[str, ...], sql: str):
     @query(name, f"{_SHAPED} {sql}")
     def run(spark, d):
-        found = content.page_content(endpoint_nodes(spark, d))
+        found = content.page_content(endpoint_content(spark, d))
         return found.filter(col("strategy").isin(*shapes)).select("page_id", "strategy", "markdown")
 
     return run
@@ -470,13 +479,13 @@ content_query("c10_endpoint_page", ("endpoint",), f"SELECT page_id, shape AS str
 content_query(
     "c11_model_page",
     ("model", "markdown"),
-    """SELECT page_id, shape AS strategy, CASE shape WHEN 'model' THEN '## ' || p_name || chr(10) || chr(10) || 'A [type](/types/' || p_type || ')'
- ELSE '# ' || p_name || chr(10) || chr(10) || 'size **' || p_size || '**' END AS markdown FROM shaped WHERE shape IN ('model', 'markdown')""",
+    f"""SELECT page_id, shape AS strategy, CASE shape WHEN 'model' THEN {_C11_MODEL} ELSE {_C11_MARKDOWN} END AS markdown
+ FROM shaped WHERE shape IN ('model', 'markdown')""",
 )
 content_query(
     "c12_fallback_page",
     ("fallback",),
-    "SELECT page_id, shape AS strategy, p_name || ' is a part of some type with a long enough text, ' || p_type AS markdown FROM shaped WHERE shape = 'fallback'",
+    f"SELECT page_id, shape AS strategy, {_C12} AS markdown FROM shaped WHERE shape = 'fallback'",
 )
 
 _TABLE = """'<table><tr><th>name</th><th>size</th></tr><tr><td> </td><td></td></tr><tr></tr><tr><td> <b>' || p_name || '</b> </td><td>' || p_size || ' <i>cm</i></td></tr></table>'"""
@@ -601,28 +610,31 @@ def s4(spark, d):
     return spark.read.parquet(folder).select("page_id", "debug_path", X.checksum(col("html")).alias("sha256"))
 
 
-_CONTENT_TITLE = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
-_DOMAIN = r"regexp_extract(url, '^https?://[^/]*\.([a-z]+)(/|$)', 1)"
-_PUBLISHED = f"""WITH r AS (SELECT page_id AS pos, {_DOMAIN} AS header, {_CONTENT_TITLE} AS text, html FROM pages),
-p AS (SELECT *, {S.path('header', 'NULL::VARCHAR', 'text')} AS output_path FROM r)
-SELECT output_path, header, text FROM p
+def published_sql(source: str, pos: str, title: str, batch: str = "0") -> str:
+    """The first row of every path: pages of all strategies to Markdown, cleaned, with path and checksum."""
+    return f"""shaped AS (SELECT *, p_partkey AS page_id, {pos} AS doc_id, {title} AS title_, {batch} AS batch_, {B.SHAPE_EXPR} AS shape FROM {source}),
+texts AS (SELECT doc_id, {CONTENT_SQL} AS text FROM shaped), {sanitized_ctes('texts')},
+p AS (SELECT batch_, doc_id, p_brand AS header, p_type AS menu, title_ AS text, {S.path('p_brand', 'p_type', 'title_')} AS output_path, result AS markdown
+ FROM shaped JOIN sane USING (doc_id))
+SELECT output_path, header, menu, text, markdown, sha256(markdown) AS sha256 FROM p
 WHERE NOT (contains(output_path, '..') OR contains(output_path, '~') OR contains(output_path, '//'))
-QUALIFY row_number() OVER (PARTITION BY output_path ORDER BY pos) = 1"""
+QUALIFY row_number() OVER (PARTITION BY output_path ORDER BY batch_, doc_id) = 1"""
 
 
-def content_rows(stored):
-    """Stored pages as content rows: the top-level domain is the header, the heading the text."""
-    return stored.select(
-        col("page_id").alias("pos"), F.regexp_extract("url", r"^https?://[^/]*\.([a-z]+)(/|$)", 1).alias("header"),
-        F.lit(None).cast("string").alias("menu"), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1).alias("text"),
-        navigation.visible_text(col("html")).alias("markdown"),
-    )
+PUBLISHED = ("output_path", "header", "menu", "text", "markdown", "sha256")
+
+
+def content_rows(parts, title):
+    """Pages of parts as content rows: page to Markdown by its strategy, the brand as header, the type as menu."""
+    named = {"pos": col("page_id"), "header": col("p_brand"), "menu": col("p_type"), "text": title}
+    pages = parts.withColumns(named).select(*named, "html")
+    return content.page_content(content.with_content(pages), keys=tuple(named)).drop("strategy")
 
 
-@query("s5_publish_markdown", _PUBLISHED)
+@query("s5_publish_markdown", "WITH " + published_sql("part", "p_partkey", "p_name"))
 def s5(spark, d):
     folder = work_dir(spark, "published")
-    rows = content_rows(pages(spark, d, "page_id", "url", "html"))
+    rows = content_rows(B.part_pages(readers.spread_scan(B.table(spark, d, "part"))), col("p_name"))
     writers.publish_markdown(rows, folder)
     again = writers.publish_markdown(rows, folder, verify=True)
-    return again.select("output_path", "header", "text")
+    return again.select(*PUBLISHED)

@@ -152,13 +152,17 @@ def x10(spark, d):
     return B.md(spark, d).select("doc_id", X.clean_md_tables(col("text")).alias("result"))
 
 
-@query(
-    "x7_sanitize",
-    f"WITH {B.MD_SQL}, s1 AS (SELECT doc_id, {_cleanup('text')} AS text FROM md), "
-    f"src AS (SELECT doc_id, {_headers('text')} AS text FROM s1), {_STEPS_SQL}, "
-    f"c AS (SELECT doc_id, {_whitespace('text')} AS text FROM b) "
-    f"SELECT doc_id, {S.strip(_squeeze('text'))} AS result FROM c",
-)
+def sanitized_ctes(source: str) -> str:
+    """``sane(doc_id, result)`` from a table (doc_id, text)."""
+    return (
+        f"s1 AS (SELECT doc_id, {_cleanup('text')} AS text FROM {source}), "
+        f"src AS (SELECT doc_id, {_headers('text')} AS text FROM s1), {_STEPS_SQL}, "
+        f"c AS (SELECT doc_id, {_whitespace('text')} AS text FROM b), "
+        f"sane AS (SELECT doc_id, {S.strip(_squeeze('text'))} AS result FROM c)"
+    )
+
+
+@query("x7_sanitize", f"WITH {B.MD_SQL}, {sanitized_ctes('md')} SELECT doc_id, result FROM sane")
 def x7(spark, d):
     return B.md(spark, d).select("doc_id", X.sanitize(col("text")).alias("result"))
 

@@ -7,13 +7,13 @@ rows is split over many tasks and small ones are merged.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions.text import checksum, raw_html_path
 from docengine.operators.nodes import numbered_rows_of
 from docengine.operators.resume import prepare_publish
+from docengine.sources.versioned import VersionedTable
 
 
 def save_structure(nested: DataFrame, path: str, keys: tuple[str, ...] = ("page_id",)) -> None:
@@ -34,64 +34,33 @@ PUBLISHED_DDL = (
 )
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(PUBLISHED_DDL).parquet(path)
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return None
+def published_table(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, PUBLISHED_DDL, ["output_path"], ("header_slug", "menu_slug"))
 
 
 def published(spark: SparkSession, path: str) -> DataFrame | None:
-    """What has been published so far, or None before the first run.
-
-    Rows in ``<path>.next`` are a whole new table whose overwrite did not come to its end; they count instead.
-    """
-    staged = _stored(spark, f"{path}.next")
-    return staged if staged is not None and not staged.isEmpty() else _stored(spark, path)
+    """What has been published so far, or None before the first run."""
+    return published_table(spark, path).read()
 
 
 def damaged(spark: SparkSession, path: str) -> DataFrame:
     """Published rows whose text no longer has the stored checksum."""
-    return _stored(spark, path).filter(~checksum(F.col("markdown")).eqNullSafe(F.col("sha256")))
+    return published(spark, path).filter(~checksum(F.col("markdown")).eqNullSafe(F.col("sha256")))
 
 
 def publish_markdown(content: DataFrame, path: str, base: str = "output", overwrite: bool = False, clean: bool = True, pos: str = "pos", verify: bool = False) -> DataFrame:
-    """Write one row per output path and return the published table.
+    """Publish one row per output path and return the published table.
 
-    Without ``overwrite`` paths that are already there are skipped and the rest is
-    added; with it, the table is rewritten with the rows of other paths carried over, and a run that
-    is cut off leaves either the old table or the new one to be read. ``verify`` reads the table back and
-    hashes every text again.
+    Without ``overwrite`` paths that are already there are skipped and the rest is added; with it, new rows take the
+    place of old ones with their path. Either way only the new rows are written, and a run that is cut off at any
+    point leaves the table as it was. ``verify`` reads the table back and hashes every text again.
     """
-    spark = content.sparkSession
-    _finish_overwrite(spark, path)
-    known = published(spark, path)
-    ready = prepare_publish(content, base, overwrite, clean, pos, None if overwrite else known)
-    if known is not None and overwrite:
-        kept = known.join(ready.select("output_path"), "output_path", "left_anti")
-        ready = ready.unionByName(kept, allowMissingColumns=True)
-    columns = ["output_path", "header", "menu", "text", "markdown", "sha256", "header_slug", "menu_slug"]
-    rows = ready.select(*columns).hint("rebalance", "header_slug", "menu_slug")
-    if known is not None and overwrite:
-        # The old table is an input here, so the new one is written beside it first.
-        rows.write.mode("overwrite").parquet(f"{path}.next")
-        _finish_overwrite(spark, path)
-    else:
-        rows.write.mode("append").partitionBy("header_slug", "menu_slug").parquet(path)
-    if verify and not damaged(spark, path).isEmpty():
+    table = published_table(content.sparkSession, path)
+    ready = prepare_publish(content, base, overwrite, clean, pos, None if overwrite else table.read())
+    table.add(ready.select("output_path", "header", "menu", "text", "markdown", "sha256", "header_slug", "menu_slug"), replaces=overwrite)
+    if verify and not damaged(content.sparkSession, path).isEmpty():
         raise ValueError(f"texts in {path} do not match their checksums")
-    return published(spark, path)
-
-
-def _finish_overwrite(spark: SparkSession, path: str) -> None:
-    """Put a whole new table in the place of the old one; safe to repeat after a failure."""
-    staged = _stored(spark, f"{path}.next")
-    if staged is None or staged.isEmpty():
-        return
-    staged.write.mode("overwrite").partitionBy("header_slug", "menu_slug").parquet(path)
-    spark.createDataFrame([], PUBLISHED_DDL).write.mode("overwrite").parquet(f"{path}.next")
+    return table.read()
 
 
 def write_routed_logs(routed: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from docengine.operators import content, nodes, ordered, resume, rules, summaries, tree
 from docengine.session import work_dir
-from docengine.sources import readers, writers
+from docengine.sources import readers, versioned, writers
 from docengine.streaming import jobs
 
 ITEM = "pos bigint, id string, text string, header string, menu string"
@@ -131,7 +131,7 @@ def test_endpoint_page(spark):
 
     plain = "<app-api-doc-endpoint><markdown><pre> </pre></markdown><app-api-doc-response><p>r</p></app-api-doc-response></app-api-doc-endpoint>"
     pages = page_table(spark, PAGE, plain, '<div id="documentation"><p>short</p></div>', "<p>" + "long " * 20 + "</p>")
-    got = [(r["strategy"], r["markdown"]) for r in content.page_content(nodes.with_nodes(pages)).orderBy("page_id").collect()]
+    got = [(r["strategy"], r["markdown"]) for r in content.page_content(content.with_content(pages)).orderBy("page_id").collect()]
     want = [
         "### GET Listall Try It", "```\n/v1/x\n```", "What it does", "## Security\n\nkey", "https://h", "one", "two",
         "### Response 200\n\nfine", "### Response 404\n\n| k |\n| --- |", "body",
@@ -223,13 +223,91 @@ def test_work_folder_must_be_shared(monkeypatch):
         work_dir(Session(), "x")
 
 
-def test_overwrite_survives_a_crash(spark, tmp_path):
-    """A new table that was written whole, but not yet put in place, is the one that counts."""
+def test_publishing_stopped_between_rows_and_commit(spark, tmp_path, monkeypatch):
+    """Rows whose commit never came are not there; the next run publishes as if nothing had happened."""
     path = str(tmp_path / "pub")
     writers.publish_markdown(contents(spark, (0, "H", None, "A", "old"), (1, "H", None, "B", "b")), path, verify=True)
-    new = writers.published(spark, path).withColumn("markdown", F.lit("new")).withColumn("sha256", F.sha2(F.lit("new"), 256))
-    new.write.parquet(f"{path}.next")
-    assert {r["markdown"] for r in writers.published(spark, path).collect()} == {"new"}
-    again = writers.publish_markdown(contents(spark, (2, "H", None, "A", "newest")), path, overwrite=True, verify=True)
-    assert {r["output_path"]: r["markdown"] for r in again.collect()} == {"output/h/a.md": "newest", "output/h/b.md": "new"}
+    new = contents(spark, (2, "H", None, "A", "newest"), (3, "H", None, "C", "c"))
+
+    def texts():
+        return {r["output_path"]: r["markdown"] for r in writers.published(spark, path).collect()}
+
+    with monkeypatch.context() as stopped:
+        stopped.setattr(versioned.VersionedTable, "_point", lambda self, head: 1 / 0)
+        for overwrite in (False, True):
+            with pytest.raises(ZeroDivisionError):
+                writers.publish_markdown(new, path, overwrite=overwrite)
+            assert texts() == {"output/h/a.md": "old", "output/h/b.md": "b"}
+    writers.publish_markdown(new, path, overwrite=True, verify=True)
+    assert texts() == {"output/h/a.md": "newest", "output/h/b.md": "b", "output/h/c.md": "c"}
+    writers.publish_markdown(contents(spark, (9, "H", None, "A", "late"), (9, "I", None, "D", "d")), path)
+    assert texts() == {"output/h/a.md": "newest", "output/h/b.md": "b", "output/h/c.md": "c", "output/i/d.md": "d"}
     assert writers.damaged(spark, path).isEmpty()
+
+
+def test_versioned_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versioned, "MOST_FOLDERS", 3)
+    table = versioned.VersionedTable(spark, str(tmp_path / "t"), "k string, v long", ["k"])
+    assert table.read() is None and table.head().version == 0
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "k string, v long")
+
+    heads = [table.add(rows(("a", 1), (None, 1)), mark=0), table.add(rows((None, 2)), replaces=True, mark=1), table.add(rows(("a", 9)), replaces=True, mark=1)]
+    assert heads[2] == heads[1]  # a mark that is committed is not written again
+    assert sorted(map(tuple, table.read().collect()), key=str) == [("a", 1), (None, 2)]
+    before = table.read()  # a reader that started before the next commits keeps its rows
+    for n in range(3, 7):
+        table.add(rows(("b", n)), replaces=True)
+    assert sorted(map(tuple, before.collect()), key=str) == [("a", 1), (None, 2)]
+    assert sorted(map(tuple, table.read().collect()), key=str) == [("a", 1), ("b", 6), (None, 2)]
+    assert len(table.head().folders) <= 3 and table.add(rows()).version == 7
+
+
+def test_running_tally_writes_changed_keys_only(spark, tmp_path):
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    schema = "user string, ok boolean"
+
+    def push(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        runs = spark.readStream.schema(schema).parquet(source)
+        jobs.running_tally(runs, F.col("ok"), F.lit(False), ["user"], out, marks).awaitTermination()
+        return runs, {r["user"]: tuple(r)[1:] for r in jobs.tally_so_far(runs, out, ["user"]).collect()}
+
+    _, first = push(("a", True), ("a", None), (None, False))
+    assert first == {"a": (1, 0, 1), None: (0, 1, 0)}
+    runs, second = push((None, True), ("b", True))
+    assert second == {"a": (1, 0, 1), None: (1, 1, 0), "b": (1, 0, 0)}
+    table = versioned.VersionedTable(spark, out, "user string, processed long, failed long, skipped long", ["user"])
+    last = table.head().folders[-1][0]
+    assert {r["user"] for r in spark.read.parquet(f"{out}/{last}").collect()} == {None, "b"}
+
+
+def test_first_seen_takes_the_least_position(spark, tmp_path):
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+
+    def push(*rows):
+        spark.createDataFrame(list(rows), "k string, pos long, t string").repartition(3).write.mode("append").parquet(source)
+        found = jobs.first_seen(spark.readStream.schema("k string, pos long, t string").parquet(source), "k", "pos")
+        writer = found.writeStream.format("parquet").option("checkpointLocation", marks).trigger(availableNow=True)
+        writer.start(out).awaitTermination()
+        return {(r["k"], r["pos"]) for r in spark.read.parquet(out).collect()}
+
+    many = [("hot", n, "x") for n in range(4000, 100, -1)]
+    assert push(*many, ("null", None, "x"), ("null", 5, "x"), (None, 7, "x"), (None, 3, "x"), ("only", None, "x")) == {
+        ("hot", 101), ("null", 5), (None, 3), ("only", None)}
+    assert push(("hot", 1, "x"), ("new", 2, "x"), (None, 1, "x")) == {("hot", 101), ("null", 5), (None, 3), ("only", None), ("new", 2)}
+
+
+def test_description_blocks_are_compared_as_elements(spark):
+    from pages import page_table
+
+    def page(first, second):
+        return f'<app-api-doc-endpoint>{first}<div class="dds__mt-2">{second}</div></app-api-doc-endpoint>'
+
+    pre = "<markdown><pre>/x</pre></markdown>"
+    others = [pre, "<markdown><p>/x</p></markdown>", '<markdown id="m"><pre>/x</pre></markdown>', "<markdown><pre><!-- c -->/x</pre></markdown>",
+              "<markdown> <pre>/x</pre></markdown>", "<markdown><pre>/y</pre></markdown>"]
+    pages = page_table(spark, *[page(pre, other) for other in others], page("", "<markdown>alone</markdown>"))
+    got = [r["description"] for r in content.endpoint_parts(content.with_content(pages)).orderBy("page_id").collect()]
+    assert got == [None, "/x", "/x", "/x", "/x", "/y", None]
