@@ -293,3 +293,8 @@ def page_content(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profil
         .otherwise(texts(fallback_pieces(scope, F.col("whole"))))
     )
     return scoped.select(*keys, "strategy", F.array_join(found, "\n\n").alias("markdown"))
+
+
+def rendered(rows: DataFrame, html: str = "html", profile: Profile = DEFAULT) -> DataFrame:
+    """Rows of pages with ``markdown`` in the place of their HTML; the ``render`` of the publishing functions."""
+    return page_content(with_content(rows, html, profile), tuple(c for c in rows.columns if c != html), profile).drop("strategy")

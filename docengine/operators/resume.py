@@ -147,11 +147,12 @@ def publish_texts(chosen: DataFrame, clean: bool = True) -> DataFrame:
 
 def prepare_publish(
     content: DataFrame, base: str = "output", overwrite: bool = False, clean: bool = True, pos: str = "pos",
-    known: DataFrame | None = None,
+    known: DataFrame | None = None, render=None,
 ) -> DataFrame:
     """Content rows ready to be written: path, slugs, clean Markdown, checksum.
 
-    ``content`` has header, menu, text, markdown and a position. Rows with an unsafe
+    ``content`` has header, menu, text, a position, and either markdown or what ``render`` makes it from: a function
+    that adds the column, applied to the chosen rows only. Rows with an unsafe
     path drop out. Of several rows with one path the first stays, as later ones
     find the file there; with ``overwrite`` the last one does. Only (path, position)
     goes through the choice, and paths in ``known`` go before the clean-up starts.
@@ -161,4 +162,5 @@ def prepare_publish(
     if known is not None:
         # Both sides hold one row per path here, so no key can be hot.
         winners = winners.join(known.select("output_path"), "output_path", "left_anti")
-    return publish_texts(safe.join(winners, ["output_path", pos], "left_semi"), clean)
+    chosen = safe.join(winners, ["output_path", pos], "left_semi")
+    return publish_texts(render(chosen) if render else chosen, clean)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.operators import logs, summaries
+from docengine.operators import content, logs, summaries
 from docengine.plans import bindings as B
 from docengine.plans import sql_parts as S
 from docengine.plans.queries_pages import PUBLISHED, content_rows, published_sql
@@ -199,7 +199,7 @@ def r1(spark, d):
         pages = B.part_pages(B.part_versions(readers.spread_scan(B.table(spark, d, "part")), batch))
         pages.write.mode("append").parquet(source)
         stream = spark.readStream.schema(pages.schema).parquet(source)
-        _finished(jobs.incremental_publish(content_rows(stream, col("title")), out, marks))
+        _finished(jobs.incremental_publish(content_rows(stream, col("title")), out, marks, render=content.rendered))
     return spark.read.parquet(out).select(*PUBLISHED)
 
 

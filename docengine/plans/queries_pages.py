@@ -625,16 +625,15 @@ PUBLISHED = ("output_path", "header", "menu", "text", "markdown", "sha256")
 
 
 def content_rows(parts, title):
-    """Pages of parts as content rows: page to Markdown by its strategy, the brand as header, the type as menu."""
+    """Pages of parts as content rows: the brand is the header, the type the menu."""
     named = {"pos": col("page_id"), "header": col("p_brand"), "menu": col("p_type"), "text": title}
-    pages = parts.withColumns(named).select(*named, "html")
-    return content.page_content(content.with_content(pages), keys=tuple(named)).drop("strategy")
+    return parts.withColumns(named).select(*named, "html")
 
 
 @query("s5_publish_markdown", "WITH " + published_sql("part", "p_partkey", "p_name"))
 def s5(spark, d):
     folder = work_dir(spark, "published")
     rows = content_rows(B.part_pages(readers.spread_scan(B.table(spark, d, "part"))), col("p_name"))
-    writers.publish_markdown(rows, folder)
-    again = writers.publish_markdown(rows, folder, verify=True)
+    writers.publish_markdown(rows, folder, render=content.rendered)
+    again = writers.publish_markdown(rows, folder, verify=True, render=content.rendered)
     return again.select(*PUBLISHED)

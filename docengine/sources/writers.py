@@ -48,15 +48,16 @@ def damaged(spark: SparkSession, path: str) -> DataFrame:
     return published(spark, path).filter(~checksum(F.col("markdown")).eqNullSafe(F.col("sha256")))
 
 
-def publish_markdown(content: DataFrame, path: str, base: str = "output", overwrite: bool = False, clean: bool = True, pos: str = "pos", verify: bool = False) -> DataFrame:
+def publish_markdown(content: DataFrame, path: str, base: str = "output", overwrite: bool = False, clean: bool = True, pos: str = "pos", verify: bool = False, render=None) -> DataFrame:
     """Publish one row per output path and return the published table.
 
     Without ``overwrite`` paths that are already there are skipped and the rest is added; with it, new rows take the
     place of old ones with their path. Either way only the new rows are written, and a run that is cut off at any
-    point leaves the table as it was. ``verify`` reads the table back and hashes every text again.
+    point leaves the table as it was. ``render`` makes the Markdown of the rows to be written, see ``prepare_publish``;
+    ``content.rendered`` does so from pages. ``verify`` reads the table back and hashes every text again.
     """
     table = published_table(content.sparkSession, path)
-    ready = prepare_publish(content, base, overwrite, clean, pos, None if overwrite else table.read())
+    ready = prepare_publish(content, base, overwrite, clean, pos, None if overwrite else table.read(), render)
     table.add(ready.select("output_path", "header", "menu", "text", "markdown", "sha256", "header_slug", "menu_slug"), replaces=overwrite)
     if verify and not damaged(content.sparkSession, path).isEmpty():
         raise ValueError(f"texts in {path} do not match their checksums")

@@ -44,19 +44,18 @@ def first_seen(rows: DataFrame, key: str, pos: str) -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(choose, rows.schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def incremental_publish(content: DataFrame, out: str, checkpoint: str, base: str = "output", pos: str = "pos") -> StreamingQuery:
+def incremental_publish(content: DataFrame, out: str, checkpoint: str, base: str = "output", pos: str = "pos", render=None) -> StreamingQuery:
     """Publish new content once per output path.
 
     Within a batch the first row of a path wins; across batches, the one that is
-    already published.
+    already published. ``render`` makes the Markdown of the rows that are published, as in ``publish_markdown``.
     """
     columns = ["output_path", "header", "menu", "text", "markdown", "sha256"]
-    wanted = publish_paths(content, base).select("output_path", pos, "header", "menu", "text", "markdown", "header_slug", "menu_slug")
 
     def write(batch: DataFrame, number: int) -> None:
-        publish_texts(batch).select(*columns).write.mode("overwrite").parquet(f"{out}/{BATCH}={number}")
+        publish_texts(render(batch) if render else batch).select(*columns).write.mode("overwrite").parquet(f"{out}/{BATCH}={number}")
 
-    return _start(first_seen(wanted, "output_path", pos), write, checkpoint)
+    return _start(first_seen(publish_paths(content, base), "output_path", pos), write, checkpoint)
 
 
 def stream_log_routing(records: DataFrame, out: str, checkpoint: str, level: str = "level") -> StreamingQuery:
