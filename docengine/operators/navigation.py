@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docengine.functions.page_index import locate, ranges_around
 from docengine.functions.text import WS, let, strip
 from docengine.operators.nodes import (
     DEFAULT,
@@ -37,20 +38,23 @@ def _highlight(p: Profile):
     return lambda n: is_tag(n, "li") & has_class(n, p.highlight)
 
 
-def standalone_containers(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
-    """Distinct list entries that hold an element on one of the topics."""
-    nodes = F.col("nodes")
+def _ranges(nodes: Column) -> tuple[Column, Column]:
+    """First and last node of each range, for ``ranges_around``."""
+    return F.transform(nodes, lambda n: n["node_id"]), F.transform(nodes, lambda n: n["last_id"])
 
-    def owners(lis: Column) -> Column:
-        labels = F.filter(nodes, lambda n: is_tag(n, "div", "span") & F.exists(lis, lambda o: contains(o, n)))
-        hits = F.filter(labels, lambda n: is_standalone(text_content(nodes, n)))
-        return F.array_distinct(F.transform(hits, lambda n: F.element_at(F.filter(lis, lambda o: contains(o, n)), -1)["node_id"]))
 
+def standalone_containers(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
+    """Distinct list entries that hold an element on one of the topics; of nested entries, the innermost."""
+    nodes, lis = F.col("nodes"), F.col("_lis")
+    labels = F.filter(nodes, lambda n: is_tag(n, "div", "span"))
+    hits = F.transform(F.filter(labels, lambda n: is_standalone(text_content(nodes, n))), lambda n: n["node_id"])
+    found = parsed.withColumn("_lis", F.filter(nodes, _highlight(profile)))
+    found = found.withColumn("_around", ranges_around(*_ranges(lis), hits))
+    owners = F.array_distinct(F.transform(F.filter("_around", lambda r: F.size(r) > 0), lambda r: F.element_at(r, -1)))
     containers = F.transform(
-        let(F.filter(nodes, _highlight(profile)), owners),
-        lambda i: F.struct(i.alias("li"), text_content(nodes, F.get(nodes, i)).alias("text")),
+        owners, lambda k: let(F.get(lis, k), lambda li: F.struct(li["node_id"].alias("li"), text_content(nodes, li).alias("text")))
     )
-    return rows_of(parsed, containers, keys, "li")
+    return rows_of(found, containers, keys, "li")
 
 
 def collapsed_menus(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
@@ -76,39 +80,39 @@ def collapsed_menus(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), pro
     return numbered_rows_of(parsed, let(F.filter(nodes, _highlight(p)), menus), keys, "index", "menu_text")
 
 
-def menu_by_text(parsed: DataFrame, text: str, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
-    """List entries with a div of exactly this text, and whether they are open or closed.
+def menu_by_text(parsed: DataFrame, text: str | list[str], keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
+    """List entries with a div of exactly this text (or one of these), and whether they are open or closed.
 
     Quotes of either kind in the wanted text count as double quotes.
     """
     p, nodes = profile, F.col("nodes")
-    wanted = text.replace("'", '"')
+    wanted = [t.replace("'", '"') for t in ([text] if isinstance(text, str) else text)]
 
-    def matches(li: Column) -> Column:
-        named = F.exists(inside(nodes, li), lambda n: is_tag(n, "div") & (text_content(nodes, n) == wanted))
-        return is_tag(li, "li") & li["attrs"]["class"].contains("toc-item") & named
+    def names(li: Column) -> Column:
+        """The wanted texts that the divs of an entry have."""
+        divs = F.filter(inside(nodes, li), lambda n: is_tag(n, "div"))
+        return F.array_distinct(F.filter(F.transform(divs, lambda n: text_content(nodes, n)), lambda t: t.isin(*wanted)))
 
     def icon(li: Column, name: str) -> Column:
         return F.exists(inside(nodes, li), lambda n: is_tag(n, "i") & has_class(n, name))
 
-    found = F.transform(
-        F.filter(nodes, lambda n: F.coalesce(matches(n), F.lit(False))),
-        lambda li: F.struct(
-            li["node_id"].alias("node_id"),
-            icon(li, p.opened_icon).alias("is_expanded"),
-            (~icon(li, p.opened_icon) & icon(li, p.closed_icon)).alias("is_collapsed"),
-        ),
-    )
-    return rows_of(parsed.withColumn("menu_text", F.lit(wanted)), found, (*keys, "menu_text"))
+    def row(name: Column, li: Column) -> Column:
+        opened, closed = icon(li, p.opened_icon), icon(li, p.closed_icon)
+        return F.struct(
+            name.alias("menu_text"), li["node_id"].alias("node_id"), opened.alias("is_expanded"), (~opened & closed).alias("is_collapsed")
+        )
+
+    entries = F.filter(nodes, lambda n: F.coalesce(is_tag(n, "li") & n["attrs"]["class"].contains("toc-item"), F.lit(False)))
+    found = F.flatten(F.transform(entries, lambda li: F.transform(names(li), lambda name: row(name, li))))
+    return rows_of(parsed, found, keys)
 
 
-def _targets(nodes: Column, item_id: Column, text: Column, need_id: bool, p: Profile) -> Column:
+def _target(nodes: Column, item_id: Column, text: Column) -> Column:
     """The element with the id, else the first list entry whose text holds ``text``."""
     by_id = first(F.filter(nodes, lambda n: n["dom_id"] == item_id))
 
     def named(n: Column) -> Column:
-        held = F.coalesce(text_content(nodes, n).contains(text), F.lit(False))
-        return is_tag(n, "li") & (has_class(n, p.highlight) & n["dom_id"].isNotNull() if need_id else F.lit(True)) & held
+        return is_tag(n, "li") & F.coalesce(text_content(nodes, n).contains(text), F.lit(False))
 
     return let(by_id, lambda t: F.when(t.isNotNull(), t).otherwise(first(F.filter(nodes, named))))
 
@@ -118,7 +122,7 @@ def _labelled_menus(nodes: Column, p: Profile) -> Column:
 
     def is_menu(n: Column) -> Column:
         icon = F.exists(inside(nodes, n), lambda c: is_tag(c, "i") & c["attrs"]["class"].contains("chevron"))
-        return is_tag(n, "li") & (has_class(n, "toc-item") | has_class(n, p.highlight)) & icon
+        return is_tag(n, "li") & F.exists(n["classes"], lambda c: c.isin(*p.menu_classes)) & icon
 
     def labelled(menu: Column) -> Column:
         label = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "div") & (n["sib_idx"] == 0)))
@@ -135,7 +139,7 @@ def _ancestor_texts(menus: Column, target: Column) -> Column:
 def ancestor_menus(parsed: DataFrame, item_id: Column, text: Column, out: str = "ancestors", profile: Profile = DEFAULT) -> DataFrame:
     """Texts of the menus around a target, outermost first; empty if it is not found."""
     nodes = F.col("nodes")
-    target = _targets(nodes, item_id, text, False, profile)
+    target = _target(nodes, item_id, text)
     texts = let(target, lambda t: F.when(t.isNotNull(), _ancestor_texts(_labelled_menus(nodes, profile), t)))
     return parsed.withColumn(out, F.coalesce(texts, F.array().cast("array<string>")))
 
@@ -153,57 +157,73 @@ def all_ancestor_menus(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",),
     return rows_of(parsed, rows, keys, "item_id")
 
 
-def xpath(nodes: Column, node: Column) -> Column:
-    """Positional XPath from the top of the page."""
-    chain = F.filter(nodes, lambda n: (n["node_id"] <= node["node_id"]) & (n["last_id"] >= node["node_id"]))
-    steps = F.transform(chain, lambda n: F.concat(F.lit("/"), n["tag"], F.lit("["), n["tag_ord"].cast("string"), F.lit("]")))
-    return F.array_join(steps, "")
+def _with_closed_menus(parsed: DataFrame, p: Profile) -> DataFrame:
+    """``_menus``: closed menus without an id, in document order, with their label and the XPath of their icon."""
+    nodes = F.col("nodes")
 
+    def icon(menu: Column) -> Column:
+        return first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "i") & has_class(n, p.closed_icon)))
 
-def _expansion_step(nodes: Column, menu: Column, p: Profile) -> Column:
-    icon = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "i") & has_class(n, p.closed_icon)))
-    label = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "div") & has_class(n, *p.menu_text[:2])))
-    name = let(label, lambda d: F.when(d.isNull(), F.lit("Unknown Menu")).otherwise(text_content(nodes, d)))
-    return let(icon, lambda i: F.struct(name.alias("menu_text"), F.when(i.isNotNull(), xpath(nodes, i)).alias("xpath")))
+    def label(menu: Column) -> Column:
+        found = first(F.filter(inside(nodes, menu), lambda n: is_tag(n, "div") & has_class(n, *p.menu_text[:2])))
+        return let(found, lambda d: F.when(d.isNull(), F.lit("Unknown Menu")).otherwise(text_content(nodes, d)))
 
+    def menu(n: Column) -> Column:
+        return F.struct(n["node_id"].alias("node_id"), n["last_id"].alias("last_id"), icon(n)["node_id"].alias("icon"), label(n).alias("menu_text"))
 
-def expansion_path(parsed: DataFrame, item_id: Column, text: Column, out: str = "path", profile: Profile = DEFAULT) -> DataFrame:
-    """Closed menus without an id around a target, outermost first, with icon XPaths."""
-    p, nodes = profile, F.col("nodes")
+    entries = F.filter(nodes, lambda n: _highlight(p)(n) & n["dom_id"].isNull())
+    menus = F.filter(F.transform(entries, menu), lambda m: m["icon"].isNotNull())
+    elements = F.filter(nodes, lambda n: ~n["tag"].startswith("#"))
+    marked = parsed.withColumn("_menus", menus).withColumn("_elements", elements)
+    icons = F.transform("_menus", lambda m: m["icon"])
+    marked = marked.withColumn("_above", ranges_around(*_ranges(F.col("_elements")), icons))
 
-    def expansions(target: Column) -> Column:
-        menus = F.filter(nodes, lambda n: _highlight(p)(n) & n["dom_id"].isNull() & contains(n, target))
-        steps = F.filter(F.transform(menus, lambda m: _expansion_step(nodes, m, p)), lambda s: s["xpath"].isNotNull())
-        return F.struct(target.isNotNull().alias("found"), F.when(target.isNotNull(), steps).alias("expansions"))
+    def step(n: Column) -> Column:
+        return F.concat(F.lit("/"), n["tag"], F.lit("["), n["tag_ord"].cast("string"), F.lit("]"))
 
-    return parsed.withColumn(out, let(_targets(nodes, item_id, text, True, p), expansions))
+    def xpath(m: Column, above: Column) -> Column:
+        outer = F.array_join(F.transform(above, lambda k: step(F.get("_elements", k))), "")
+        return F.concat(outer, step(F.get(nodes, m["icon"])))
 
+    placed = F.zip_with("_menus", "_above", lambda m, a: F.struct(*[m[c].alias(c) for c in ("node_id", "last_id", "menu_text")], xpath(m, a).alias("xpath")))
+    return marked.withColumn("_menus", placed).drop("_elements", "_above")
 
-def expansion_paths(parsed: DataFrame, targets: Column, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
-    """The same for many targets of a page, an array of (item_id, text): one row each; menus are found once a page."""
-    p, nodes = profile, F.col("nodes")
 
-    def step(menu: Column) -> Column:
-        return F.struct(menu["node_id"].alias("node_id"), menu["last_id"].alias("last_id"), _expansion_step(nodes, menu, p).alias("step"))
+def _with_paths(parsed: DataFrame, targets: Column, p: Profile) -> DataFrame:
+    """``_paths``: (item_id, found, expansions) of each target, an array of (item_id, text)."""
+    nodes = F.col("nodes")
+    named = F.filter(nodes, lambda n: _highlight(p)(n) & n["dom_id"].isNotNull())
+    entries = F.transform(named, lambda n: F.struct(n["node_id"].alias("node_id"), text_content(nodes, n).alias("text")))
+    wanted = F.transform(targets, lambda t: F.struct(t["item_id"].alias("id"), t["text"].alias("text")))
+    rows = _with_closed_menus(parsed, p).withColumn("_entries", entries).withColumn("_targets", wanted)
+    ids, texts = F.transform(nodes, lambda n: n["dom_id"]), F.transform("_entries", lambda e: e["text"])
+    rows = rows.withColumn("_places", locate(ids, texts, F.col("_targets")))
+    at = F.transform("_places", lambda x: F.coalesce(x["by_id"], F.get("_entries", x["by_text"])["node_id"]))
+    rows = rows.withColumn("_at", at).withColumn("_around", ranges_around(*_ranges(F.col("_menus")), F.col("_at")))
+
+    def path(t: Column, around: Column) -> Column:
+        steps = F.transform(F.transform(around, lambda k: F.get("_menus", k)), lambda m: F.struct(m["menu_text"].alias("menu_text"), m["xpath"].alias("xpath")))
+        return F.struct(t["id"].alias("item_id"), around.isNotNull().alias("found"), steps.alias("expansions"))
+
+    return rows.withColumn("_paths", F.zip_with("_targets", "_around", path)).drop("_menus", "_entries", "_targets", "_places", "_at", "_around")
 
-    def rows(menus: Column, named: Column) -> Column:
-        def one(t: Column) -> Column:
-            by_id = first(F.filter(nodes, lambda n: n["dom_id"] == t["item_id"]))
-            by_text = first(F.filter(named, lambda x: F.coalesce(x["text"].contains(t["text"]), F.lit(False))))["node"]
 
-            def path(n: Column) -> Column:
-                steps = F.transform(F.filter(menus, lambda m: contains(m, n)), lambda m: m["step"])
-                return F.struct(t["item_id"].alias("item_id"), n.isNotNull().alias("found"), F.when(n.isNotNull(), steps).alias("expansions"))
+def expansion_path(parsed: DataFrame, item_id: Column, text: Column, out: str = "path", profile: Profile = DEFAULT) -> DataFrame:
+    """Closed menus without an id around a target, outermost first, with icon XPaths.
 
-            return let(F.coalesce(by_id, by_text), path)
+    The target is the first element with the id, else the first list entry with an id whose text holds ``text``.
+    """
+    one = F.array(F.struct(item_id.cast("string").alias("item_id"), text.cast("string").alias("text")))
+    found = _with_paths(parsed, one, profile)
+    return found.withColumn(out, let(F.get("_paths", F.lit(0)), lambda x: F.struct(x["found"].alias("found"), x["expansions"].alias("expansions")))).drop("_paths")
 
-        return F.transform(targets, one)
 
-    closed = F.filter(nodes, lambda n: _highlight(p)(n) & n["dom_id"].isNull())
-    menus = F.filter(F.transform(closed, step), lambda m: m["step"]["xpath"].isNotNull())
-    entries = F.filter(nodes, lambda n: _highlight(p)(n) & n["dom_id"].isNotNull())
-    named = F.transform(entries, lambda n: F.struct(n.alias("node"), text_content(nodes, n).alias("text")))
-    return rows_of(parsed, let(menus, lambda ms: let(named, lambda ns: rows(ms, ns))), keys, "found")
+def expansion_paths(parsed: DataFrame, targets: Column, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
+    """The same for many targets of a page, an array of (item_id, text): one row each.
+
+    Ids are looked up in a map, menus around all targets come from one sweep over the page.
+    """
+    return rows_of(_with_paths(parsed, targets, profile), F.col("_paths"), keys, "found")
 
 
 def visible_text(html: Column) -> Column:

@@ -14,12 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions.html import parse_html
+from docengine.functions.selectors import Compiled
 from docengine.functions.text import clean_text, let, strip
 
 
 @dataclass(frozen=True)
 class Profile:
-    """Names the page layout uses; pass another one for another site."""
+    """Names the page layout uses; pass another one for another site.
+
+    ``selectors`` holds (name, selector text) pairs that replace or add to the named selections. ``menu_classes`` are the
+    classes of which a list entry needs one to count as a menu around an item.
+    """
 
     wrapper: str = "filter-api-sidebar-wrapper"
     sidebar: str = "app-api-doc-sidebar"
@@ -34,6 +39,8 @@ class Profile:
     link: str = "toc-link"
     loader_id: str = "loaderActive"
     content_id: str = "documentation"
+    menu_classes: tuple[str, ...] = ("toc-item", "toc-item-highlight")
+    selectors: tuple[tuple[str, str], ...] = ()
 
 
 DEFAULT = Profile()
@@ -122,61 +129,68 @@ def _root(nodes: Column, n: Column, p: Profile) -> Column:
     return is_tag(n, "ul") & let(parent_of(nodes, n), direct)
 
 
-def _within(nodes: Column, n: Column, outer) -> Column:
-    return F.exists(F.filter(nodes, outer), lambda o: contains(o, n))
+def root_of(nodes: Column, p: Profile = DEFAULT) -> Column:
+    """The navigation list, or null."""
+    return first(F.filter(nodes, lambda n: F.coalesce(_root(nodes, n, p), F.lit(False))))
 
 
-def selectors(p: Profile = DEFAULT) -> dict:
-    """Name to predicate over (all nodes of the page, node)."""
+def selectors(p: Profile = DEFAULT) -> dict[str, str]:
+    """Named selections of a page layout, as selector text."""
     return {
-        "sidebar_container": lambda ns, n: is_tag(n, "div") & has_class(n, p.wrapper),
-        "sidebar_root": lambda ns, n: _root(ns, n, p),
-        "entry": lambda ns, n: is_tag(n, p.entry),
-        "header_li": lambda ns, n: is_tag(n, "li") & has_class(n, p.divider),
-        "highlight_li": lambda ns, n: _highlight(n, p),
-        "highlight_li_with_id": lambda ns, n: _highlight(n, p) & n["dom_id"].isNotNull(),
-        "highlight_li_without_id": lambda ns, n: _highlight(n, p) & n["dom_id"].isNull(),
-        "clickable_li": lambda ns, n: _highlight(n, p) & has_class(n, p.clickable),
-        "anchor": lambda ns, n: is_tag(n, "a"),
-        "item_text_span": lambda ns, n: is_tag(n, "span") & n["dom_id"].endswith(p.text_suffix),
-        "menu_text_div": lambda ns, n: is_tag(n, "div") & has_class(n, *p.menu_text),
-        "closed_icon": lambda ns, n: is_tag(n, "i") & has_class(n, p.closed_icon),
-        "opened_icon": lambda ns, n: is_tag(n, "i") & has_class(n, p.opened_icon),
-        "highlight_closed_icon": lambda ns, n: is_tag(n, "i")
-        & has_class(n, p.closed_icon)
-        & _within(ns, n, lambda o: _highlight(o, p)),
-        "item_link": lambda ns, n: is_tag(n, "a") & has_class(n, p.link),
-        "loader": lambda ns, n: n["dom_id"] == p.loader_id,
-        "content_pane": lambda ns, n: n["dom_id"] == p.content_id,
-        "active_tab_panel": lambda ns, n: is_tag(n, "div")
-        & (n["attrs"]["role"] == "tabpanel")
-        & (n["attrs"]["aria-hidden"] == "false"),
+        "sidebar_container": f"div.{p.wrapper}",
+        "sidebar_root": f"div.{p.wrapper} > {p.sidebar} > ul, div.{p.wrapper} > ul",
+        "entry": p.entry,
+        "header_li": f"li.{p.divider}",
+        "highlight_li": f"li.{p.highlight}",
+        "highlight_li_with_id": f"li.{p.highlight}[id]",
+        "highlight_li_without_id": f"li.{p.highlight}:not([id])",
+        "clickable_li": f"li.{p.highlight}.{p.clickable}",
+        "anchor": "a",
+        "item_text_span": f"span[id$='{p.text_suffix}']",
+        "menu_text_div": "div" + "".join(f".{c}" for c in p.menu_text),
+        "closed_icon": f"i.{p.closed_icon}",
+        "opened_icon": f"i.{p.opened_icon}",
+        "highlight_closed_icon": f"li.{p.highlight} i.{p.closed_icon}",
+        "item_link": f"a.{p.link}",
+        "loader": f"#{p.loader_id}",
+        "content_pane": f"#{p.content_id}",
+        "active_tab_panel": "div[role='tabpanel'][aria-hidden='false']",
+        **dict(p.selectors),
     }
 
 
 def select_nodes(parsed: DataFrame, selector, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
-    """One row per node a named selection (or a predicate of that form) picks."""
-    predicate = selectors(profile)[selector] if isinstance(selector, str) else selector
+    """One row per node that a named selection, a selector text or a predicate over (all nodes, node) picks."""
     nodes = F.col("nodes")
-    return rows_of(parsed, F.filter(nodes, lambda n: F.coalesce(predicate(nodes, n), F.lit(False))), keys)
+    if callable(selector):
+        return rows_of(parsed, F.filter(nodes, lambda n: F.coalesce(selector(nodes, n), F.lit(False))), keys)
+    marked = parsed.withColumn("_picked", Compiled({"": selectors(profile).get(selector, selector)}).selected(nodes))
+    picked = F.filter(F.zip_with(nodes, "_picked", lambda n, b: F.struct(n.alias("node"), b.alias("bits"))), lambda x: x["bits"] != 0)
+    return rows_of(marked, F.transform(picked, lambda x: x["node"]), keys)
 
 
-def select_all(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
-    """One row per named selection and node it picks, with the node's id and the first text inside, else beside it."""
-    nodes = F.col("nodes")
+def select_all(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT, named: dict[str, str] | None = None) -> DataFrame:
+    """One row per selection and node it picks, with the node's id and the first text inside, else beside it.
+
+    ``named`` gives selector texts by name; by default all of the profile's. Each node is visited once for all of them.
+    """
+    nodes, compiled = F.col("nodes"), Compiled(named or selectors(profile))
 
     def first_text(n: Column) -> Column:
         texts = F.transform(F.filter(inside(nodes, n), lambda x: is_tag(x, "#text")), lambda x: clean_text(x["data"]))
         return first(F.filter(texts, lambda t: t != ""))
 
-    def picked(name: str, predicate) -> Column:
-        found = F.filter(nodes, lambda n: F.coalesce(predicate(nodes, n), F.lit(False)))
-        text = lambda n: F.coalesce(first_text(n), first_text(parent_of(nodes, n)))
-        return F.transform(
-            found, lambda n: F.struct(F.lit(name).alias("selector"), n["node_id"].alias("node_id"), n["dom_id"].alias("dom_id"), text(n).alias("text"))
-        )
+    def row(n: Column, name: Column) -> Column:
+        text = F.coalesce(first_text(n), first_text(parent_of(nodes, n)))
+        return F.struct(name.alias("selector"), n["node_id"].alias("node_id"), n["dom_id"].alias("dom_id"), text.alias("text"))
 
-    return rows_of(parsed, F.concat(*[picked(*x) for x in selectors(profile).items()]), keys)
+    def rows(x: Column) -> Column:
+        own = F.filter(F.lit(compiled.names), lambda _, k: F.getbit(x["bits"], k) == 1)
+        return F.transform(own, lambda name: row(x["node"], name))
+
+    marked = parsed.withColumn("_picked", compiled.selected(nodes))
+    picked = F.filter(F.zip_with(nodes, "_picked", lambda n, b: F.struct(n.alias("node"), b.alias("bits"))), lambda x: x["bits"] != 0)
+    return rows_of(marked, F.flatten(F.transform(picked, rows)), keys)
 
 
 def html_nodes(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), whole_text: bool = False) -> DataFrame:
@@ -197,9 +211,7 @@ def html_nodes(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), whole_te
 
 def find_root(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:
     """The navigation list of each page; pages without one drop out."""
-    nodes = F.col("nodes")
-    root = first(F.filter(nodes, lambda n: F.coalesce(_root(nodes, n, profile), F.lit(False))))
-    return rows_of(parsed, F.array(root), keys)
+    return rows_of(parsed, F.array(root_of(F.col("nodes"), profile)), keys)
 
 
 def link_href(parsed: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -25,7 +25,7 @@ from docengine.operators.nodes import (
     inside,
     is_tag,
     numbered_rows_of,
-    selectors,
+    root_of,
     shown_text,
     structure_counts,
     structure_type,
@@ -224,8 +224,7 @@ def page_entries(p: Profile, _session: SparkSession) -> Column:
     """Entries of a page, from its ``nodes`` column, in document order as an array of structs."""
     # The expression is large; building it once per session and layout is enough.
     nodes = F.col("nodes")
-    pick = selectors(p)["sidebar_root"]
-    root = first(F.filter(nodes, lambda n: F.coalesce(pick(nodes, n), F.lit(False))))
+    root = root_of(nodes, p)
     entries = F.transform(F.filter(nodes, lambda n: is_tag(n, p.entry)), lambda e: _entry(nodes, e, p))
     return let(root, lambda r: let(entries, lambda es: _placed(es, r)))
 

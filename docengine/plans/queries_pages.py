@@ -114,21 +114,32 @@ def c15(spark, d):
 # --- selections on navigation pages ----------------------------------------------------------
 
 
+# Selections given as text, over the pages of all shapes.
+_H2_TEXTS = {
+    "highlight_li_with_id": "li.toc-item-highlight[id]",
+    "item_text_span": "span[id$='-sp']",
+    "highlight_closed_icon": "li.toc-item-highlight i.dds__icon--chevron-right",
+    "direct": "div.filter-api-sidebar-wrapper > ul > app-api-doc-item > li[id^='cust-']",
+    "listed_without_id": "ul ul app-api-doc-item li:not([id])",
+    "inner": "li li[id], ul ul li[id]",
+    "icons": "li:not(.toc-item-divider) > div > i[class*=chevron]:not(.dds__icon--chevron-down)",
+}
+
+
 @query(
     "h2_select_nodes",
     _PLACED
-    + """ SELECT page_id, 'highlight_li_with_id' AS selector, 'cust-' || c_custkey AS name FROM placed WHERE has_id
+    + """, menus AS (SELECT DISTINCT page_id, n_nationkey, n_name FROM placed)
+SELECT page_id, s AS selector, 'cust-' || c_custkey AS name FROM placed, (VALUES ('highlight_li_with_id')) v(s) WHERE has_id
 UNION ALL SELECT page_id, 'item_text_span', 'cust-' || c_custkey || '-sp' FROM placed WHERE has_id
-UNION ALL SELECT DISTINCT page_id, 'highlight_closed_icon', n_name FROM placed WHERE n_nationkey % 5 <> 0""",
+UNION ALL SELECT page_id, s, n_name FROM menus, (VALUES ('highlight_closed_icon'), ('icons')) v(s) WHERE n_nationkey % 5 <> 0
+UNION ALL SELECT page_id, 'direct', 'cust-' || c_custkey FROM placed WHERE has_id AND shape = 1
+UNION ALL SELECT page_id, 'listed_without_id', label FROM placed WHERE NOT has_id AND shape IN (0, 3)
+UNION ALL SELECT page_id, 'inner', 'cust-' || c_custkey FROM placed WHERE has_id AND shape <> 1""",
 )
 def h2(spark, d):
-    parsed = sidebar_nodes(spark, d)
-    wanted = ["highlight_li_with_id", "item_text_span"]
-    found = [nodes.select_nodes(parsed, w).select("page_id", F.lit(w).alias("selector"), col("dom_id").alias("name")) for w in wanted]
-    icons = nodes.select_nodes(parsed, "highlight_closed_icon", ("page_id", "nodes"))
-    label = nodes.text_content(col("nodes"), F.get("nodes", col("parent_id")))
-    labelled = icons.select("page_id", F.lit("highlight_closed_icon").alias("selector"), label.alias("name"))
-    return found[0].unionByName(found[1]).unionByName(labelled)
+    found = nodes.select_all(sidebar_nodes(spark, d), named=_H2_TEXTS)
+    return found.select("page_id", "selector", F.coalesce("dom_id", "text").alias("name"))
 
 
 # The rows of every named selection. No navigation page holds links, a loader, a content pane or tab panels.
@@ -346,9 +357,7 @@ def u1(spark, d):
 FROM placed WHERE n_name IN ('NATION_3', 'NATION_5')""",
 )
 def n1(spark, d):
-    parsed = sidebar_nodes(spark, d)
-    found = [navigation.menu_by_text(parsed, name) for name in ("NATION_3", "NATION_5")]
-    return found[0].unionByName(found[1]).drop("node_id")
+    return navigation.menu_by_text(sidebar_nodes(spark, d), ["NATION_3", "NATION_5"]).drop("node_id")
 
 
 @query(
@@ -360,22 +369,26 @@ def n4(spark, d):
     return found.select("page_id", "item_id", F.array_join("ancestors", " > ").alias("path"))
 
 
+_N5 = """, places AS (SELECT DISTINCT page_id, r_regionkey, n_nationkey FROM placed),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY r_regionkey, n_nationkey) + dense_rank() OVER (PARTITION BY page_id ORDER BY r_regionkey) AS entry FROM places),
+s AS (SELECT p.*, k.entry, p.shape = 2 AND p.n_nationkey % 5 <> 0 AND p.has_id AS closed FROM placed p JOIN k USING (page_id, r_regionkey, n_nationkey))"""
+
+
 @query(
     "n5_expansion_path",
     _PLACED
-    + f""", places AS (SELECT DISTINCT page_id, r_regionkey, n_nationkey FROM placed),
-k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY r_regionkey, n_nationkey) + dense_rank() OVER (PARTITION BY page_id ORDER BY r_regionkey) AS entry FROM places),
-s AS (SELECT p.*, k.entry, p.shape = 2 AND p.n_nationkey % 5 <> 0 AND p.has_id AS closed FROM placed p JOIN k USING (page_id, r_regionkey, n_nationkey) WHERE c_custkey % {B.PER_PAGE} = 1)
-SELECT page_id, has_id AS found, CASE WHEN closed THEN n_name ELSE '' END AS menus,
+    + _N5
+    + """ SELECT page_id, c_custkey, has_id AS found, CASE WHEN closed THEN n_name ELSE '' END AS menus,
   CASE WHEN closed THEN '/div[1]/ul[1]/app-api-doc-item[' || entry || ']/li[1]/div[1]/i[1]' ELSE '' END AS xpaths FROM s""",
 )
 def n5(spark, d):
-    key = (col("page_id") * B.PER_PAGE + 1).cast("string")
-    target, name = F.concat(F.lit("cust-"), key), F.concat(F.lit("Customer#"), F.lpad(key, 9, "0"))
-    found = navigation.expansion_path(sidebar_nodes(spark, d), target, name)
+    """One target a row: every item with the page that holds it."""
+    targets = B.placed_customers(spark, d).select("page_id", "c_custkey", "c_name")
+    target = F.concat(F.lit("cust-"), col("c_custkey").cast("string"))
+    found = navigation.expansion_path(sidebar_nodes(spark, d).join(targets, "page_id"), target, col("c_name"))
     steps = F.coalesce(col("path.expansions"), F.array().cast("array<struct<menu_text:string,xpath:string>>"))
     return found.select(
-        "page_id", col("path.found").alias("found"), F.array_join(F.transform(steps, lambda s: s["menu_text"]), " > ").alias("menus"),
+        "page_id", "c_custkey", col("path.found").alias("found"), F.array_join(F.transform(steps, lambda s: s["menu_text"]), " > ").alias("menus"),
         F.array_join(F.transform(steps, lambda s: s["xpath"]), " > ").alias("xpaths"),
     )
 
@@ -383,10 +396,8 @@ def n5(spark, d):
 @query(
     "n5_expansion_path_all",
     _PLACED
-    + """, places AS (SELECT DISTINCT page_id, r_regionkey, n_nationkey FROM placed),
-k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY r_regionkey, n_nationkey) + dense_rank() OVER (PARTITION BY page_id ORDER BY r_regionkey) AS entry FROM places),
-s AS (SELECT p.*, k.entry, p.shape = 2 AND p.n_nationkey % 5 <> 0 AND p.has_id AS closed FROM placed p JOIN k USING (page_id, r_regionkey, n_nationkey))
-SELECT page_id, 'cust-' || c_custkey AS item_id, has_id AS found, CASE WHEN closed THEN n_name ELSE '' END AS menus,
+    + _N5
+    + """ SELECT page_id, 'cust-' || c_custkey AS item_id, has_id AS found, CASE WHEN closed THEN n_name ELSE '' END AS menus,
   CASE WHEN closed THEN '/div[1]/ul[1]/app-api-doc-item[' || entry || ']/li[1]/div[1]/i[1]' ELSE '' END AS xpaths FROM s""",
 )
 def n5_all(spark, d):
