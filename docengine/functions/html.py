@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 from itertools import accumulate
+from operator import attrgetter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -155,7 +156,7 @@ def _list_of(offsets: list[int], values: pa.Array, empty: list[bool] | None = No
 
 def _node_columns(nodes: list[Node]) -> list[pa.Array]:
     """The columns of ``NODE`` for the nodes of many pages, one after another."""
-    columns = [pa.array([getattr(n, name) for n in nodes], pa.int32()) for name in _INTS]
+    columns = [pa.array(list(map(attrgetter(name), nodes)), pa.int32()) for name in _INTS]
     attrs = [n.attrs or {} for n in nodes]
     classes = [a["class"].split() if "class" in a else () for a in attrs]
     keys, values = [k for a in attrs for k in a], [v for a in attrs for v in a.values()]

@@ -72,5 +72,54 @@ def locate(ids: pa.Array, texts: pa.Array, wanted: pa.Array) -> pa.Array:
     return pa.array(found, pa.list_(pa.struct([("by_id", pa.int32()), ("by_text", pa.int32())])))
 
 
+def preorder(groups: list, places: list, parents: list) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
+    """Entries in pre-order as (row, level, entry of the parent or -1, last entry inside) and groups as (row, first entry, number of entries).
+
+    Rows come sorted by group, then place; a parent is a place of the same group or None. A row without place stands for its
+    group only; rows that no top row leads to are left out.
+    """
+    entries: list[tuple[int, int, int, int]] = []
+    found: list[tuple[int, int, int]] = []
+    start = 0
+    while start < len(groups):
+        end = start
+        below: dict = {}
+        while end < len(groups) and groups[end] == groups[start]:
+            if places[end] is not None:
+                below.setdefault(parents[end], []).append(end)
+            end += 1
+        first = len(entries)
+        stack = [(row, 0) for row in reversed(below.pop(None, []))]
+        open_: list[int] = []
+        while stack:
+            row, level = stack.pop()
+            while len(open_) > level:
+                at = open_.pop()
+                entries[at] = (*entries[at][:3], len(entries) - 1)
+            up = open_[-1] if open_ else -1
+            open_.append(len(entries))
+            entries.append((row, level, up, 0))
+            # Taken out when used: a place that names itself, directly or in a ring, ends there.
+            stack += [(child, level + 1) for child in reversed(below.pop(places[row], []))]
+        for at in open_:
+            entries[at] = (*entries[at][:3], len(entries) - 1)
+        found.append((start, first, len(entries) - first))
+        start = end
+    return entries, found
+
+
+_FIELDS = ("row", "level", "up", "last"), ("row", "first", "size")
+TREE = T.StructType([T.StructField(n, T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in cs]))) for n, cs in zip(("entries", "groups"), _FIELDS)])
+
+
+@F.arrow_udf(TREE)
+def tree_order(groups: pa.Array, places: pa.Array, parents: pa.Array) -> pa.Array:
+    rows = zip(groups.to_pylist(), places.to_pylist(), parents.to_pylist(), strict=True)
+    trees = [preorder(*row) for row in rows]
+    kinds = [pa.list_(pa.struct([(c, pa.int32()) for c in cs])) for cs in _FIELDS]
+    lists = [pa.array([[dict(zip(cs, x)) for x in tree[k]] for tree in trees], kinds[k]) for k, cs in enumerate(_FIELDS)]
+    return pa.StructArray.from_arrays(lists, ["entries", "groups"])
+
+
 # Called once a page, not once for each use of the result.
-ranges_around, locate = ranges_around.asNondeterministic(), locate.asNondeterministic()
+ranges_around, locate, tree_order = (f.asNondeterministic() for f in (ranges_around, locate, tree_order))

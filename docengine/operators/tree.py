@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docengine.functions.page_index import tree_order
 from docengine.functions.text import clean_text, let, synthetic_id
 from docengine.operators import rules
 from docengine.operators.nodes import (
@@ -456,45 +457,101 @@ def document_order(rows: DataFrame, keys: list[str], pos: str, is_header: Column
     return running_row_number(rows, keys, pos, out, counted=~is_header)
 
 
-def nest(items: DataFrame, keys: list[str]) -> DataFrame:
+def nest(items: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
     """Header groups with items and their children to any depth, per page.
 
     ``items``: keys, header_pos, header (one row per group even if empty), then
     pos, id, text, type, is_expandable, menu_pos (position of the parent menu or
     null); pos is null for an empty group. The keys must name one page each: a
     page's items came from one row, so its groups fit one row again. Null keys and
-    header positions are values like others. One small query per level finds the depth.
+    header positions are values like others. ``depth`` is the deepest level; where it is not
+    given, one query finds it.
     """
-    place = [*keys, "header_pos"]
-    levels = [items.filter(F.col("menu_pos").isNull())]
-    inner = items.filter(F.col("menu_pos").isNotNull())
-    while True:
-        parents = levels[-1].filter(F.col("pos").isNotNull()).select(*place, F.col("pos").alias("menu_pos"))
-        below = null_safe_join(inner, parents, [*place, "menu_pos"], "left_semi")
-        if below.isEmpty():
-            break
-        levels.append(below)
     leaf = ["pos", "text", "id", "type", "is_expandable"]
-    empty = F.array().cast(T.ArrayType(items.select(*leaf).schema))
-    kids = None
-    for rows in reversed(levels[1:]):
-        entry = F.struct(*leaf) if kids is None else F.struct(*leaf, _children(kids))
-        rows = rows if kids is None else null_safe_join(rows, kids, [*place, "pos"], "left")
-        kids = rows.groupBy(*place, "menu_pos").agg(F.array_sort(F.collect_list(entry)).alias("children"))
-        kids = kids.withColumnRenamed("menu_pos", "pos")
-    top = levels[0].withColumn("children", F.when(F.lit(False), empty)) if kids is None else null_safe_join(levels[0], kids, [*place, "pos"], "left")
-    child = F.struct(*leaf, _children(top))
-    groups = top.groupBy(*place, "header").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), child))).alias("children")
+    trees = _ordered_rows(items, keys, F.col("_rows.pos"))
+    if depth is None:
+        depth = trees.agg(F.max(F.array_max(F.transform("_tree.entries", lambda e: e["level"])))).first()[0]
+    deepest = max(1, depth or 0)
+
+    def children(first: Column, size: Column, level: int = 0) -> Column:
+        here = F.filter(F.slice(F.col("_entries"), first + 1, size), lambda e: e["level"] == level)
+
+        def entry(e: Column) -> Column:
+            me = F.struct(*[e["item"][c].alias(c) for c in leaf])
+            if level == deepest:
+                return me
+            return me.withField("children", F.when(e["item"]["type"] == "menu", children(e["at"] + 1, e["last"] - e["at"], level + 1)))
+
+        return F.transform(here, entry)
+
+    def group(g: Column) -> Column:
+        row = F.get("_rows", g["row"])
+        return F.struct(row["header_pos"].alias("header_pos"), row["header"].alias("header_text"), children(g["first"], g["size"]).alias("children"))
+
+    entries = F.transform(
+        "_tree.entries", lambda e, at: F.struct(F.get("_rows", e["row"]).alias("item"), e["level"].alias("level"), e["last"].alias("last"), at.alias("at"))
+    )
+    nested = trees.withColumn("_entries", entries).withColumn("structured_data", F.transform("_tree.groups", group))
+    return nested.select(*keys, "structured_data")
+
+
+def _ordered_rows(items: DataFrame, keys: list[str], places: Column) -> DataFrame:
+    """One row a page: its items as ``_rows`` by header and position, and their pre-order as ``_tree``, see ``preorder``."""
+    row = F.struct("header_pos", "pos", "text", "id", "type", "is_expandable", "header", "menu_pos")
+    pages = items.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    of = [F.col("_rows.header_pos"), places, F.col("_rows.menu_pos")]
+    return pages.withColumn("_tree", tree_order(*[c.cast("array<long>") for c in of]))
+
+
+def flatten_items(items: DataFrame, keys: list[str]) -> DataFrame:
+    """``flatten(nest(items))`` without the nested form: a page's items in pre-order, at any depth, from one ordering of the page.
+
+    ``items`` as for ``nest``, with positions of zero or more. A bad row takes what is below it with it; below rows that are
+    not open menus nothing is listed.
+    """
+
+    def place(r: Column) -> Column:
+        is_open = (r["type"] == "menu") & r["is_expandable"]
+        # A row without a place is left out; one that nothing refers to has no children.
+        return F.when(rules.entry_valid(r["id"], r["text"], r["type"]), F.when(is_open, r["pos"]).otherwise(-1 - r["pos"]))
+
+    trees = _ordered_rows(items, keys, F.transform("_rows", place))
+
+    def row(e: Column) -> Column:
+        i, up = F.get("_rows", e["row"]), F.get("_rows", F.get("_tree.entries", F.when(e["up"] >= 0, e["up"]))["row"])
+        return F.struct(
+            i["id"].alias("id"), clean_text(i["text"]).alias("text"), i["type"].alias("type"),
+            F.coalesce(i["header"], F.lit("Unknown Header")).alias("header"), up["text"].alias("menu"),
+            up["text"].alias("parent_menu_text"), e["level"].alias("level"),
+        )
+
+    return numbered_rows_of(trees, F.transform("_tree.entries", row), tuple(keys), "pos", "_i").select(*keys, "pos", "_i.*")
+
+
+def item_paths(items: DataFrame, key: str, parent: str, text: str, levels: int = 1000) -> DataFrame:
+    """The way to every row of an adjacency table: key, text, ``keys`` and ``texts`` of its ancestors, outermost first, and level.
+
+    Rows whose parent is null are level 0. Rows that none of those leads to (a missing parent, a ring) have no path and drop
+    out. ``levels`` bounds the recursion; deeper trees raise an error.
+    """
+    spark = items.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    rows = items.select(F.col(key).alias("key"), F.col(parent).alias("parent"), F.col(text).alias("text"))
+    return spark.sql(
+        f"""WITH RECURSIVE walk(key, text, keys, texts, level) MAX RECURSION LEVEL {int(levels)} AS (
+  SELECT key, text, slice(array(key), 1, 0), slice(array(text), 1, 0), 0 FROM {{rows}} WHERE parent IS NULL
+  UNION ALL
+  SELECT r.key, r.text, array_append(w.keys, w.key), array_append(w.texts, w.text), w.level + 1
+  FROM walk w JOIN {{rows}} r ON r.parent = w.key WHERE r.key <> w.key AND NOT array_contains(w.keys, r.key)
+) SELECT * FROM walk""",
+        rows=rows,
     )
-    group = F.struct("header_pos", F.col("header").alias("header_text"), "children")
-    return groups.groupBy(*keys).agg(F.array_sort(F.collect_list(group)).alias("structured_data"))
 
 
-def _children(rows: DataFrame) -> Column:
-    """Children of menus, an empty list where there are none; null for items."""
-    none = F.array().cast(rows.schema["children"].dataType)
-    return F.when(F.col("type") == "menu", F.coalesce("children", none)).alias("children")
+def flat_children(paths: DataFrame) -> DataFrame:
+    """Menu and item for every item of ``item_paths`` below a menu at any depth: menu, key, text, level (1 for direct children)."""
+    each = paths.select(F.posexplode("keys").alias("at", "menu"), "key", "text", "level")
+    return each.select("menu", "key", "text", (F.col("level") - F.col("at")).alias("level"))
 
 
 def flatten(nested: DataFrame, keys: list[str]) -> DataFrame:

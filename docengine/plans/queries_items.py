@@ -85,30 +85,43 @@ def t6(spark, d):
     return kept.select("pos", "id", "text", "type", col("is_menu").alias("is_expandable"))
 
 
+SUB_MENUS = 3
+
+
 def placed_items(spark, d):
-    """Catalog items by page, ready to nest: a group per region, a menu per nation."""
+    """Catalog items by page, ready to nest: a group per region, a menu per nation and a chain of menus in it, items at each depth."""
     rows = B.placed_customers(spark, d)
-    place = ["page_id", "r_regionkey", "r_name", "n_nationkey", "n_name"]
+    nation, deep = col("n_nationkey").cast("bigint"), col("c_custkey") % (SUB_MENUS + 1)
+
+    def menu_pos(k):
+        """Position of the menu at depth k of a nation: its own menu, then the chain."""
+        return F.when(k == 0, nation).otherwise(30 + SUB_MENUS * nation + k)
+
     kid_id = F.when(col("has_id"), F.concat(F.lit("cust-"), col("c_custkey").cast("string")))
+    place = [col("page_id"), col("r_regionkey").alias("header_pos"), col("r_name").alias("header")]
     kids = rows.select(
-        "page_id", col("r_regionkey").alias("header_pos"), col("r_name").alias("header"), (col("c_custkey") + 100).alias("pos"),
-        kid_id.alias("id"), col("label").alias("text"), F.lit("item").alias("type"), F.lit(False).alias("is_expandable"),
-        col("n_nationkey").cast("bigint").alias("menu_pos"),
+        *place, (col("c_custkey") + 1000).alias("pos"), kid_id.alias("id"), col("label").alias("text"), F.lit("item").alias("type"),
+        F.lit(False).alias("is_expandable"), menu_pos(deep).alias("menu_pos"),
     )
-    menus = rows.select(*place).distinct().select(
-        "page_id", col("r_regionkey").alias("header_pos"), col("r_name").alias("header"),
-        col("n_nationkey").cast("bigint").alias("pos"), F.lit(None).cast("string").alias("id"), col("n_name").alias("text"),
-        F.lit("menu").alias("type"), F.lit(True).alias("is_expandable"), F.lit(None).cast("bigint").alias("menu_pos"),
+    own = rows.select("page_id", "r_regionkey", "r_name", "n_nationkey", "n_name").distinct()
+    k = col("k")
+    name = F.when(k == 0, col("n_name")).otherwise(F.concat("n_name", F.lit(" part "), k.cast("string")))
+    menus = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(SUB_MENUS))).alias("k")).select(
+        *place, menu_pos(k).alias("pos"), F.lit(None).cast("string").alias("id"), name.alias("text"), F.lit("menu").alias("type"),
+        F.lit(True).alias("is_expandable"), F.when(k > 0, menu_pos(k - 1)).alias("menu_pos"),
     )
     return menus.unionByName(kids)
 
 
 _PLACED = f"WITH {B.PLACED_SQL}"
-_GROUPED = _PLACED + """,
+_KIDS = "string_agg(label || '(' || CASE WHEN has_id THEN 'cust-' || c_custkey ELSE '-' END || ')', ',' ORDER BY c_custkey)"
+_GROUPED = _PLACED + f""",
 kids AS (SELECT page_id, r_regionkey, r_name, n_nationkey, n_name,
-  string_agg(label || '(' || CASE WHEN has_id THEN 'cust-' || c_custkey ELSE '-' END || ')', ',' ORDER BY c_custkey) AS kids
-  FROM placed GROUP BY ALL),
-groups AS (SELECT page_id, r_regionkey, r_name, string_agg(n_name || '[' || kids || ']', ';' ORDER BY n_nationkey) AS body FROM kids GROUP BY ALL)
+  [{", ".join(f"{_KIDS} FILTER (c_custkey % 4 = {k})" for k in range(4))}] AS kids
+  FROM placed GROUP BY page_id, r_regionkey, r_name, n_nationkey, n_name),
+menus AS (SELECT *, n_name || '[' || concat_ws(',', n_name || ' part 1[' || concat_ws(',', n_name || ' part 2[' || concat_ws(',', n_name || ' part 3['
+  || coalesce(kids[4], '') || ']', kids[3]) || ']', kids[2]) || ']', kids[1]) || ']' AS body FROM kids),
+groups AS (SELECT page_id, r_regionkey, r_name, string_agg(body, ';' ORDER BY n_nationkey) AS body FROM menus GROUP BY ALL)
 SELECT page_id, string_agg(r_name || ': ' || body, '|' ORDER BY r_regionkey) AS outline FROM groups GROUP BY page_id"""
 
 
@@ -116,34 +129,83 @@ SELECT page_id, string_agg(r_name || ': ' || body, '|' ORDER BY r_regionkey) AS
 def t8(spark, d):
     nested = tree.nest(placed_items(spark, d), ["page_id"])
 
-    def kid(c):
-        return F.concat(c["text"], F.lit("("), F.coalesce(c["id"], F.lit("-")), F.lit(")"))
-
-    def item(i):
-        return F.concat(i["text"], F.lit("["), F.array_join(F.transform(i["children"], kid), ","), F.lit("]"))
+    def entry(i, level):
+        leaf = F.concat(i["text"], F.lit("("), F.coalesce(i["id"], F.lit("-")), F.lit(")"))
+        if level > SUB_MENUS:
+            return leaf
+        inner = F.array_join(F.transform(i["children"], lambda c: entry(c, level + 1)), ",")
+        return F.when(i["type"] == "menu", F.concat(i["text"], F.lit("["), inner, F.lit("]"))).otherwise(leaf)
 
     def group(g):
-        return F.concat(g["header_text"], F.lit(": "), F.array_join(F.transform(g["children"], item), ";"))
+        return F.concat(g["header_text"], F.lit(": "), F.array_join(F.transform(g["children"], lambda i: entry(i, 0)), ";"))
 
     return nested.select("page_id", F.array_join(F.transform("structured_data", group), "|").alias("outline"))
 
 
 _FLAT_ROWS = _PLACED + """,
+menus AS (SELECT DISTINCT page_id, r_regionkey, r_name, n_nationkey, n_name, k, n_name || CASE k WHEN 0 THEN '' ELSE ' part ' || k END AS name,
+  list_transform(range(k + 1), lambda i: CASE i WHEN 0 THEN n_nationkey ELSE 30 + 3 * n_nationkey + i END) AS path FROM placed, range(4) r(k)),
 rows AS (
-  SELECT page_id, r_regionkey, n_nationkey, -1 AS k, NULL::VARCHAR AS id, n_name AS text, 'menu' AS type, r_name AS header, NULL::VARCHAR AS menu, 0 AS level
-  FROM placed GROUP BY ALL
+  SELECT page_id, r_regionkey, path, NULL::VARCHAR AS id, name AS text, 'menu' AS type, r_name AS header,
+    CASE k WHEN 0 THEN NULL WHEN 1 THEN n_name ELSE n_name || ' part ' || (k - 1) END AS menu, k AS level FROM menus
   UNION ALL
-  SELECT page_id, r_regionkey, n_nationkey, c_custkey, 'cust-' || c_custkey, label, 'item', r_name, n_name, 1 FROM placed WHERE has_id
+  SELECT page_id, r_regionkey, list_append(m.path, 1000 + c_custkey), 'cust-' || c_custkey, label, 'item', p.r_name, m.name, m.k + 1
+  FROM placed p JOIN menus m USING (page_id, r_regionkey, n_nationkey) WHERE has_id AND c_custkey % 4 = m.k
 )
-SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY r_regionkey, n_nationkey, k) - 1)::INTEGER AS pos,
-  id, text, type, header, menu, menu AS parent_menu_text, level FROM rows"""
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY r_regionkey, path) - 1)::INTEGER AS pos,
+  id, text, type, header, menu, menu AS parent_menu_text, level::INTEGER AS level FROM rows"""
 
 
 @query("t9_flatten", _FLAT_ROWS)
 def t9(spark, d):
+    return tree.flatten_items(placed_items(spark, d), ["page_id"])
+
+
+@query("t9_flatten_nested", _FLAT_ROWS)
+def t9_nested(spark, d):
     return tree.flatten(tree.nest(placed_items(spark, d), ["page_id"]), ["page_id"])
 
 
+# --- menus of any depth as an adjacency table -------------------------------------------------
+
+# A region is a top row, a nation lies in its region, customers in their nation or in another customer: up to eight levels.
+_LINKS_SQL = """links AS (
+ SELECT 'r' || r_regionkey AS key, NULL::VARCHAR AS parent, r_name AS text FROM region
+ UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation
+ UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey < 4 OR c_custkey % 7 = 0 THEN 'n' || c_nationkey ELSE 'c' || (c_custkey // 4) END, c_name FROM customer)"""
+_WALK_SQL = f"""WITH RECURSIVE {_LINKS_SQL},
+walk(key, text, keys, texts, level) AS (
+ SELECT key, text, []::VARCHAR[], []::VARCHAR[], 0 FROM links WHERE parent IS NULL
+ UNION ALL SELECT l.key, l.text, list_append(w.keys, w.key), list_append(w.texts, w.text), w.level + 1 FROM walk w JOIN links l ON l.parent = w.key)"""
+
+
+def links(spark, d):
+    def named(prefix, value):
+        return F.concat(F.lit(prefix), value.cast("string"))
+
+    key, nation = col("c_custkey"), named("n", col("c_nationkey"))
+    regions = B.table(spark, d, "region").select(named("r", col("r_regionkey")).alias("key"), F.lit(None).cast("string").alias("parent"), col("r_name").alias("text"))
+    nations = B.table(spark, d, "nation").select(named("n", col("n_nationkey")), named("r", col("n_regionkey")), "n_name")
+    above = F.when((key < 4) | (key % 7 == 0), nation).otherwise(named("c", F.floor(key / 4)))
+    return regions.union(nations).union(B.table(spark, d, "customer").select(named("c", key), above, "c_name"))
+
+
+@query("n4_ancestor_paths", _WALK_SQL + " SELECT key, array_to_string(texts, ' > ') AS path, level FROM walk")
+def n4_paths(spark, d):
+    """The menus around every item, from an adjacency table."""
+    paths = tree.item_paths(links(spark, d), "key", "parent", "text")
+    return paths.select("key", F.array_join("texts", " > ").alias("path"), "level")
+
+
+@query(
+    "t5_flat_children",
+    _WALK_SQL + " SELECT keys[i] AS menu, key, text, (level - i + 1)::INTEGER AS level FROM (SELECT *, unnest(range(1, level + 1)) AS i FROM walk)",
+)
+def t5_table(spark, d):
+    """Every item below every menu, whatever the depth."""
+    return tree.flat_children(tree.item_paths(links(spark, d), "key", "parent", "text"))
+
+
 @query(
     "t11_standard_item",
     FLAWED
