@@ -67,17 +67,30 @@ def ascii_fold(text: Column) -> Column:
     entries, several_class = _fold_literals()
     mapping = F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
 
+    # A place is held against the long class only if it is outside ASCII.
+    several = rf"(?=[^\x00-\x7f]){several_class}"
+
+    def spell(t: Column) -> Column:
+        """The text between the characters of the class, with what each of them stands for."""
+        between, found = F.split(t, several, -1), F.regexp_extract_all(t, F.lit(f"({several})"), F.lit(1))
+        pairs = F.zip_with(between, found, lambda a, c: F.concat(a, F.coalesce(F.try_element_at(mapping, c), F.lit(""))))
+        return F.array_join(pairs, "")
+
     def fold(t: Column) -> Column:
-        # Only what is left outside ASCII is held against the long class.
         wide = F.regexp_replace(t, r"[\x00-\x7f]+", "").rlike(several_class)
-        each = F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(mapping, c), c))
-        spelled = F.when(wide, F.array_join(each, "")).otherwise(t)
-        folded = F.translate(spelled, "".join(single), "".join(single.values()))
+        folded = F.translate(F.when(wide, spell(t)).otherwise(t), "".join(single), "".join(single.values()))
         return F.when(t.rlike(r"[^\x00-\x7f]"), F.regexp_replace(folded, r"[^\x00-\x7f]+", "")).otherwise(t)
 
     return let(text, fold)
 
 
+@F.arrow_udf(T.StringType())
+def ascii_text(text: pa.Array) -> pa.Array:
+    """``ascii_fold`` as a function that SQL can call."""
+    folded = (None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in text.to_pylist())
+    return pa.array(folded, pa.string())
+
+
 @F.arrow_udf(T.StringType())
 def compat_fold(text: pa.Array) -> pa.Array:
     """Compose (NFKC); the unicode-keeping slug is the only user."""

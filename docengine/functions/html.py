@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docengine.functions.folding import compat_fold
+from docengine.functions.folding import ascii_text, compat_fold
 from docengine.functions.text import WS_CHARS
 
 # Elements without content, elements whose text is not shown.
@@ -381,9 +381,27 @@ def html_to_clean_markdown(html: pa.Array) -> pa.Array:
     return _whole(html, True)
 
 
+ELEMENTS = T.StructType([*NODE.fields[:-1], T.StructField("own_text", T.StringType())])
+
+
+@F.udtf(returnType=ELEMENTS, useArrow=True)
+class HtmlElements:
+    """The elements of a page as rows, in document order; none for null or empty text."""
+
+    def eval(self, html: str):
+        for n in parse_page(html)[0] if html else ():
+            if not n.tag.startswith("#"):
+                attrs = n.attrs or {}
+                numbers = [getattr(n, name) for name in _INTS]
+                yield (*numbers, n.tag, attrs.get("id"), attrs.get("class", "").split(), attrs, n.data or "")
+
+
 def register(spark) -> None:
-    """Make the page functions callable from SQL, as in
-    ``SELECT page_id, inline(html_nodes(html).nodes) FROM pages``."""
+    """Make the page functions callable from SQL: ``html_elements`` as a table function, as in
+    ``SELECT p.page_id, e.tag FROM pages p, LATERAL html_elements(p.html) e``, ``html_nodes`` as a function, as in
+    ``SELECT page_id, inline(html_nodes(html).nodes) FROM pages``, and the text functions."""
+    spark.udtf.register("html_elements", HtmlElements)
     spark.udf.register("html_nodes", parse_html)
     spark.udf.register("html_to_markdown", html_to_markdown)
     spark.udf.register("compat_fold", compat_fold)
+    spark.udf.register("ascii_fold", ascii_text)

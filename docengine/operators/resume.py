@@ -109,20 +109,41 @@ def resume_summary(items: DataFrame, exists: Column, keys: list[str] | None = No
     )
 
 
+def _heads(rows: DataFrame, pos: str, show: int) -> DataFrame:
+    """One row: the number of rows and the first ``show`` by ``pos`` (null first), from one pass; a task keeps ``show`` rows."""
+    kind = rows.schema[pos].dataType.simpleString()
+
+    def head(batches):
+        import pyarrow as pa
+
+        count, best = 0, None
+        for batch in batches:
+            count += batch.num_rows
+            table = pa.Table.from_batches([batch]) if best is None else pa.concat_tables([best, pa.Table.from_batches([batch])])
+            keys = [(c, "ascending") for c in table.column_names]
+            best = table.take(pa.compute.sort_indices(table, sort_keys=keys, null_placement="at_start")[:show])
+        if count:
+            first = best.to_struct_array().combine_chunks() if best.num_rows else pa.array([], pa.struct(list(best.schema)))
+            yield pa.RecordBatch.from_arrays([pa.array([count]), pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), first)], names=["n", "head"])
+
+    thin = rows.select(F.col(pos).alias("pos"), F.col("text").cast("string").alias("text"), F.col("id").cast("string").alias("id"))
+    parts = thin.mapInArrow(head, f"n long, head array<struct<pos:{kind},text:string,id:string>>")
+    return parts.agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("head"))), 1, show).alias("head"))
+
+
 def next_pending(pending: DataFrame, pos: str, show: int = 5) -> DataFrame:
     """The first few pending items as numbered lines, and one line for the rest."""
-    head = pending.orderBy(pos).limit(show).agg(F.array_sort(F.collect_list(F.struct(pos, "text", "id"))).alias("h"))
     entries = F.transform(
-        "h",
-        lambda x, i: F.concat(
+        "head",
+        lambda x, i: F.struct(i.alias("line"), F.concat(
             (i + 1).cast("string"), F.lit(". "), F.coalesce(x["text"], F.lit("Unknown")), F.lit(" (ID: "),
             F.coalesce(x["id"], F.lit("Unknown")), F.lit(")"),
-        ),
-    )
-    lines = head.select(F.posexplode(entries).alias("line", "entry"))
-    rest = pending.agg((F.count(F.lit(1)) - show).alias("more")).filter("more > 0")
-    more = F.concat(F.lit("... and "), F.col("more").cast("string"), F.lit(" more items"))
-    return lines.unionByName(rest.select(F.lit(show).alias("line"), more.alias("entry")))
+        ).alias("entry")),
+    )
+    more = F.concat(F.lit("... and "), (F.col("n") - show).cast("string"), F.lit(" more items"))
+    rest = F.when(F.col("n") > show, F.array(F.struct(F.lit(show).alias("line"), more.alias("entry"))))
+    lines = F.concat(entries, F.coalesce(rest, F.slice(F.array(F.struct(F.lit(0).alias("line"), F.lit("").alias("entry"))), 1, 0)))
+    return _heads(pending, pos, show).select(F.inline(lines))
 
 
 def publish_paths(content: DataFrame, base: str = "output") -> DataFrame:

@@ -346,18 +346,47 @@ def _items(structure: str | None, _session: SparkSession) -> Column:
     return F.when(F.col("structure") == FLAT, flat_items(entries)).otherwise(hierarchical_items(entries))
 
 
+def _fine_items(structure: str | None, session: SparkSession) -> Column:
+    return F.filter(_items(structure, session), lambda i: rules.item_fault(i["text"], i["type"], i["level"]).isNull())
+
+
 def page_items(pages: DataFrame, structure: str | None = None, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The flat item list of each page, with ``pos``; the item model drops bad rows.
 
     ``structure`` forces one of the two readings.
     """
-    fine = F.filter(_items(structure, pages.sparkSession), lambda i: rules.item_fault(i["text"], i["type"], i["level"]).isNull())
-    return numbered_rows_of(pages, fine, keys, "pos", "i").select(
+    return numbered_rows_of(pages, _fine_items(structure, pages.sparkSession), keys, "pos", "i").select(
         *keys, "pos", "i.id", clean_text(F.col("i.text")).alias("text"), "i.type", "i.header", "i.menu",
         "i.parent_menu_text", "i.level",
     )
 
 
+def parse_structure(pages: DataFrame, profile: Profile = DEFAULT, structure: str | None = None, keys: tuple[str, ...] = ("page_id",),
+                    depth: int | None = None) -> DataFrame:
+    """Raw pages to one row each: the nested form, the flat items and their counts.
+
+    ``structured_data`` is that of ``page_groups``, ``items`` the rows of ``page_items`` as an array; ``valid_items`` are items
+    with an id. A page without a navigation list has empty lists and counts of zero.
+    """
+    placed = with_entries(with_nodes(pages), profile, keys)
+    groups = page_groups(placed.withColumn("_entries_", F.col("entries")), structure, (*keys, "_entries_", "structure"), depth)
+    names = ("id", "text", "type", "header", "menu", "parent_menu_text", "level")
+    flat = F.transform(
+        _fine_items(structure, pages.sparkSession),
+        lambda i: F.struct(*[(clean_text(i[c]) if c == "text" else i[c]).alias(c) for c in names]),
+    )
+    both = groups.withColumnRenamed("_entries_", "entries").withColumn("items", F.coalesce(flat, F.slice(flat, 1, 0)))
+
+    def number(test) -> Column:
+        return F.size(F.filter("items", test)).cast("long")
+
+    return both.select(
+        *keys, "structured_data", "items", F.size("items").cast("long").alias("total_items"),
+        number(lambda i: i["id"].isNotNull() & (i["type"] == "item")).alias("valid_items"),
+        number(lambda i: i["type"] == "menu").alias("menu_items"), number(lambda i: i["type"] == "item").alias("content_items"),
+    )
+
+
 def parse_sidebar(pages: DataFrame, profile: Profile = DEFAULT, structure: str | None = None) -> DataFrame:
     """Raw pages to flat items."""
     return page_items(with_entries(with_nodes(pages), profile), structure)

@@ -226,17 +226,21 @@ def t11(spark, d):
 # --- selections ------------------------------------------------------------------------------
 
 
+_SPACED = "CASE (page_id + r_regionkey) % 3 WHEN 0 THEN '  ' || r_name || chr(9) WHEN 1 THEN ' ' || chr(10) ELSE r_name END"
+
+
 @query(
     "p9_header_constraints",
-    f"""SELECT n_nationkey, CASE WHEN {S.blank('h')} THEN 'blank header_text' ELSE 'none' END AS fault, {S.strip('h')} AS header_text
- FROM (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '  ' || n_name || chr(9) WHEN 1 THEN ' ' || chr(10) ELSE n_name END AS h FROM nation)""",
+    _PLACED
+    + f""", g AS (SELECT DISTINCT page_id, r_regionkey, {_SPACED} AS h FROM placed)
+SELECT page_id, r_regionkey, CASE WHEN {S.blank('h')} THEN 'blank header_text' ELSE 'none' END AS fault, {S.strip('h')} AS header_text FROM g""",
 )
 def p9_headers(spark, d):
-    spaced = F.expr("CASE n_nationkey % 3 WHEN 0 THEN '  ' || n_name || char(9) WHEN 1 THEN ' ' || char(10) ELSE n_name END")
-    groups = B.table(spark, d, "nation").select("n_nationkey", spaced.alias("header_text"))
+    """The header groups of all pages, some with blanks around their text or nothing but blanks."""
+    groups = B.placed_customers(spark, d).select("page_id", "r_regionkey", F.expr(_SPACED).alias("header_text")).distinct()
     good, bad = rules.quarantine(groups, rules.header_fault(col("header_text")), ("header_text",))
     rows = good.withColumn("fault", F.lit("none")).unionByName(bad.withColumn("header_text", F.lit("")))
-    return rows.select("n_nationkey", "fault", "header_text")
+    return rows.select("page_id", "r_regionkey", "fault", "header_text")
 
 
 @query("p10_select_by_id", CATALOG + " SELECT pos, id, text, header, menu FROM catalog WHERE id = 'cust-42'")

@@ -106,6 +106,26 @@ def _tag_text(tag: str) -> str:
     return S.strip(_decoded(f"regexp_extract(html, '(?s)<{tag}>(.*?)</{tag}>', 1)"))
 
 
+@query(
+    "h1_html_elements",
+    """SELECT page_id, tag, ascii_text AS text, count(*) AS n FROM (
+ SELECT page_id, tag, regexp_replace(strip_accents(replace(text, chr(160), ' ')), '[^\\x{0}-\\x{7f}]', '', 'g') AS ascii_text FROM (
+  SELECT page_id, tag, """
+    + S.strip(_decoded("raw"))
+    + """ AS text FROM (
+   SELECT page_id, 'title' AS tag, unnest(regexp_extract_all(html, '(?s)<title>(.*?)</title>', 1)) AS raw FROM pages
+   UNION ALL SELECT page_id, 'h1', unnest(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)) FROM pages))) GROUP BY ALL""",
+)
+def h1_elements(spark, d):
+    """The table function and the folding function, from SQL."""
+    H.register(spark)
+    return spark.sql(
+        """SELECT p.page_id, e.tag, ascii_fold(e.own_text) AS text, count(*) AS n
+ FROM {pages} p, LATERAL html_elements(p.html) e WHERE e.tag IN ('title', 'h1') GROUP BY ALL""",
+        pages=pages(spark, d),
+    )
+
+
 @query("c15_text_content", f"SELECT page_id, {_tag_text('title')} AS title, {_tag_text('h1')} AS h1 FROM pages")
 def c15(spark, d):
     return nodes.first_tag_text(stored_nodes(spark, d), ["title", "h1"])
@@ -532,53 +552,40 @@ def c14(spark, d):
 # --- stored structures and published content ------------------------------------------------------------
 
 
-@query(
-    "s2_load_structure",
-    _PLACED
-    + """ SELECT page_id, count(DISTINCT r_regionkey) AS groups, count(*) FILTER (has_id AND label <> 'Overview') + count(DISTINCT n_nationkey) AS items
-FROM placed WHERE shape = 0 GROUP BY page_id""",
-)
-def s2(spark, d):
+# Pages of all shapes; a page without the wrapper has no groups.
+_ITEMS = f"items AS ({_T10.replace('SELECT page_id, (row_number()', 'SELECT r_regionkey, n_nationkey, k, page_id, (row_number()')})"
+_KIDS = "kids AS (SELECT page_id, r_regionkey, n_nationkey, string_agg({}, ',' ORDER BY k) AS kids FROM items WHERE level = 1 GROUP BY ALL)"
+_OUTLINES = """SELECT i.page_id, header AS header_text, i.r_regionkey, string_agg({} || '[' || coalesce(kids, '') || ']', ';' ORDER BY i.n_nationkey, i.k) AS outline
+FROM items i LEFT JOIN kids c ON i.type = 'menu' AND i.page_id = c.page_id AND i.r_regionkey = c.r_regionkey AND i.n_nationkey = c.n_nationkey
+WHERE level = 0 GROUP BY i.page_id, i.r_regionkey, header"""
+_NAMED = "type || ':' || text || '#' || coalesce(id, 'none')"
+
+
+def saved_and_loaded(spark, d):
     folder = work_dir(spark, "structure")
-    shape0 = nodes.with_nodes(B.sidebar_pages(spark, d).filter("shape = 0"))
-    writers.save_structure(tree.page_groups(tree.with_entries(shape0)), folder)
-    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int")
-    kids = F.aggregate(F.transform("children", lambda c: F.coalesce(F.size(c["children"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
-    counted = loaded.withColumn("n", F.size("children") + F.when(kids < 0, 0).otherwise(kids))
-    return counted.groupBy("page_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("items"))
+    writers.save_structure(tree.page_groups(sidebar_entries(spark, d)), folder)
+    return readers.load_structure(spark, folder, "page_id bigint, group_pos int")
 
 
-_OUTLINE = _PLACED + """, kids AS (SELECT page_id, r_regionkey, r_name, n_nationkey, n_name,
-  coalesce(string_agg(label, ',' ORDER BY c_custkey) FILTER (has_id AND label <> 'Overview'), '') AS kids FROM placed WHERE shape = 0 GROUP BY ALL)
-SELECT page_id, r_name AS header_text, string_agg(n_name || '[' || kids || ']', ';' ORDER BY n_nationkey) AS outline FROM kids GROUP BY page_id, r_regionkey, r_name"""
+@query("s2_load_structure", f"WITH {_ITEMS} SELECT page_id, count(DISTINCT r_regionkey) AS groups, count(*) AS items FROM items GROUP BY page_id")
+def s2(spark, d):
+    kids = F.aggregate("children", F.lit(0), lambda a, c: a + F.greatest(F.coalesce(F.size(c["children"]), F.lit(0)), F.lit(0)))
+    counted = saved_and_loaded(spark, d).withColumn("n", F.size("children") + kids)
+    return counted.groupBy("page_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("items"))
 
 
-@query("s3_save_structure", _OUTLINE)
+@query("s3_save_structure", f"WITH {_ITEMS}, {_KIDS.format('text')} SELECT page_id, header_text, outline FROM ({_OUTLINES.format('text')})")
 def s3(spark, d):
-    folder = work_dir(spark, "structure")
-    shape0 = nodes.with_nodes(B.sidebar_pages(spark, d).filter("shape = 0"))
-    writers.save_structure(tree.page_groups(tree.with_entries(shape0)), folder)
-    loaded = readers.load_structure(spark, folder, "page_id bigint, group_pos int")
-
     def item(i):
         kids = F.coalesce(F.transform(i["children"], lambda c: c["text"]), F.array().cast("array<string>"))
         return F.concat(i["text"], F.lit("["), F.array_join(kids, ","), F.lit("]"))
 
-    return loaded.select("page_id", "header_text", F.array_join(F.transform("children", item), ";").alias("outline"))
-
-
-# The same over pages of all shapes; a page without the wrapper has no groups.
-
-
-def saved_and_loaded(spark, d):
-    folder = work_dir(spark, "structure")
-    writers.save_structure(tree.page_groups(sidebar_entries(spark, d)), folder)
-    return readers.load_structure(spark, folder, "page_id bigint, group_pos int")
+    return saved_and_loaded(spark, d).select("page_id", "header_text", F.array_join(F.transform("children", item), ";").alias("outline"))
 
 
 @query(
     "s2_load_structure_all",
-    f"""WITH items AS ({_T10.replace('SELECT page_id, (row_number()', 'SELECT r_regionkey, page_id, (row_number()')})
+    f"""WITH {_ITEMS}
 SELECT page_id, count(DISTINCT r_regionkey) AS groups, count(*) FILTER (level = 0) AS tops, count(*) FILTER (level = 1) AS kids FROM items GROUP BY page_id""",
 )
 def s2_all(spark, d):
@@ -591,16 +598,9 @@ def s2_all(spark, d):
     return counted.groupBy("page_id").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("tops"), F.sum("k").alias("kids"))
 
 
-@query(
-    "s3_save_structure_all",
-    f"""WITH items AS ({_T10.replace('SELECT page_id, (row_number()', 'SELECT r_regionkey, n_nationkey, k, page_id, (row_number()')}),
-kids AS (SELECT page_id, r_regionkey, n_nationkey, string_agg(text || '#' || id, ',' ORDER BY k) AS kids FROM items WHERE level = 1 GROUP BY ALL)
-SELECT i.page_id, header AS header_text,
-  string_agg(type || ':' || text || '#' || coalesce(id, 'none') || '[' || coalesce(kids, '') || ']', ';' ORDER BY i.n_nationkey, i.k) AS outline
-FROM items i LEFT JOIN kids c ON i.type = 'menu' AND i.page_id = c.page_id AND i.r_regionkey = c.r_regionkey AND i.n_nationkey = c.n_nationkey
-WHERE level = 0 GROUP BY i.page_id, i.r_regionkey, header""",
-)
-def s3_all(spark, d):
+def named_outline(children):
+    """Items of a group as text: type, text, id, and the items of menus."""
+
     def named(i):
         return F.concat(i["text"], F.lit("#"), F.coalesce(i["id"], F.lit("none")))
 
@@ -608,7 +608,38 @@ def s3_all(spark, d):
         kids = F.coalesce(F.transform(i["children"], named), F.array().cast("array<string>"))
         return F.concat(i["type"], F.lit(":"), named(i), F.lit("["), F.array_join(kids, ","), F.lit("]"))
 
-    return saved_and_loaded(spark, d).select("page_id", "header_text", F.array_join(F.transform("children", item), ";").alias("outline"))
+    return F.array_join(F.transform(children, item), ";")
+
+
+_KIDS_NAMED = _KIDS.format("text || '#' || id")
+
+
+@query("s3_save_structure_all", f"WITH {_ITEMS}, {_KIDS_NAMED} SELECT page_id, header_text, outline FROM ({_OUTLINES.format(_NAMED)})")
+def s3_all(spark, d):
+    return saved_and_loaded(spark, d).select("page_id", "header_text", named_outline(col("children")).alias("outline"))
+
+
+@query(
+    "t10_parse_structure",
+    f"""{_PLACED}, {_ITEMS}, {_KIDS_NAMED}, o AS ({_OUTLINES.format(_NAMED)}),
+nested AS (SELECT page_id, string_agg(header_text || '(' || outline || ')', '|' ORDER BY r_regionkey) AS nested FROM o GROUP BY page_id),
+flat AS (SELECT page_id, string_agg(level || ':' || text || '<' || coalesce(menu, header), '|' ORDER BY pos) AS flat, count(*) AS total_items,
+ count(*) FILTER (type = 'item' AND id IS NOT NULL) AS valid_items, count(*) FILTER (type = 'menu') AS menu_items, count(*) FILTER (type = 'item') AS content_items
+ FROM items GROUP BY page_id)
+SELECT p.page_id, coalesce(nested, '') AS nested, coalesce(flat, '') AS flat, coalesce(total_items, 0) AS total_items, coalesce(valid_items, 0) AS valid_items,
+ coalesce(menu_items, 0) AS menu_items, coalesce(content_items, 0) AS content_items
+FROM (SELECT DISTINCT page_id FROM placed) p LEFT JOIN nested USING (page_id) LEFT JOIN flat USING (page_id)""",
+)
+def t10_structure(spark, d):
+    """Nested form, flat items and counts of every page in one row."""
+    parsed = tree.parse_structure(B.sidebar_pages(spark, d))
+    group = lambda g: F.concat(g["header_text"], F.lit("("), named_outline(g["children"]), F.lit(")"))
+    flat = lambda i: F.concat(i["level"].cast("string"), F.lit(":"), i["text"], F.lit("<"), F.coalesce(i["menu"], i["header"]))
+    counts = ["total_items", "valid_items", "menu_items", "content_items"]
+    return parsed.select(
+        "page_id", F.array_join(F.transform("structured_data", group), "|").alias("nested"),
+        F.array_join(F.transform("items", flat), "|").alias("flat"), *counts,
+    )
 
 
 @query(

@@ -42,6 +42,24 @@ def x2(spark, d):
     return documents(spark, d).select("doc_id", X.slugify(col("text")).alias("slug"), source.alias("source_slug"))
 
 
+def _unicode_slug(text: str) -> str:
+    dashed = S.sub(f"nfc_normalize(coalesce({text}, ''))", rf"[-{S.WS}_/\\]+", "-")
+    short = f"trim(lower({S.sub(dashed, r'[^\p{L}\p{N}_.-]', '')}), '-_.')"
+    return f"(CASE WHEN length({short}) > 100 THEN rtrim(left({short}, 100), '-_.') ELSE {short} END)"
+
+
+# Compatibility characters, and what they are composed to.
+_COMPAT = {"ﬁ": "fi", "½": "1⁄2", "²": "2", "Ａ": "A", "…": "..."}
+_MIXED = " || ".join(["lang", "' '", *[f"'{c}'" for c in _COMPAT], "' '", "text"])
+_MIXED_SQL = " || ".join(["lang", "' '", *[f"'{c}'" for c in _COMPAT.values()], "' '", "text"])
+
+
+@query("x2_slugify_unicode", f"SELECT doc_id, {_unicode_slug('text')} AS slug, {_unicode_slug(_MIXED_SQL)} AS mixed_slug FROM documents")
+def x2_unicode(spark, d):
+    mixed = X.slugify(F.expr(_MIXED), allow_unicode=True)
+    return documents(spark, d).select("doc_id", X.slugify(col("text"), allow_unicode=True).alias("slug"), mixed.alias("mixed_slug"))
+
+
 def _synthetic(text: str) -> str:
     kept = S.sub(f"lower({text})", rf"[^\p{{L}}\p{{N}}_{S.WS}-]", "")
     return f"'synthetic-' || trim({S.sub(S.sub(kept, f'{S.W}+', '-'), '-+', '-')}, '-')"
