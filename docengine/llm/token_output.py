@@ -36,7 +36,7 @@ FILE_BYTES = 64_000_000
 KEPT, CUT = 1_000_000, "\x01"
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-WHITE = "[\t-\r \x85\xa0  -     　]"
+OTHER = "[\t\x0b-\r\x85\xa0  -     　]"
 MANIFEST = "file string, first_id long, last_id long, n_docs long, n_ids long, n_bytes long"
 
 
@@ -44,8 +44,9 @@ class Encoder:
     """A tokenizer of the byte-level kind, applied to the distinct pieces of many texts.
 
     A pre-token never runs on over a blank between two other characters, over a line end or from a letter
-    into a mark, so texts are cut there and every distinct piece is encoded once. Texts in which a blank touches other
-    white space are encoded whole, as are those with the cutting character. Pieces are kept up to ``KEPT`` of them.
+    into a mark, so texts are cut there and every distinct piece is encoded once. That holds only where white space of different
+    kinds doesn't meet: texts in which a blank or a line end touches other white space, or a blank another blank, are encoded
+    whole, as are those with the cutting character. Pieces are kept up to ``KEPT`` of them.
     """
 
     def __init__(self, path: str):
@@ -63,7 +64,7 @@ class Encoder:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of each text's ids."""
-        odd = pc.match_substring_regex(texts, f" {WHITE}|{WHITE} |{CUT}").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, f"[ \n]{OTHER}|{OTHER}[ \n]|  | \n|\n |{CUT}").to_numpy(zero_copy_only=False)
         odd |= pc.equal(texts, "").to_numpy(zero_copy_only=False)
         even = pc.replace_substring(texts.filter(pa.array(~odd)), " ", f"{CUT} ")
         even = pc.replace_substring_regex(even, "(\n*)\n([^\n])", f"{CUT}\\1{CUT}\n{CUT}\\2")
