@@ -6,8 +6,9 @@ seventh of their sizes' sum, so of more than H segments with content one is alik
 subsets are what the index holds and what candidates share. A segment can be worth nothing: when it is empty, or
 when its subset is so frequent that it says little. Cost decides: frequent subsets whose documents don't
 turn out to be linked are skipped, and a document whose other segments no longer outnumber H is indexed
-again by segments of about one shingle. There a segment's neighbourhood by one deletion is the empty set, so the finer
-cut stands for it. What even that cannot cover is compared pair by pair within the skipped subsets.
+again with every shingle as a segment of its own, where a set always has more segments than H. (A segment's neighbourhood
+by one deletion is the empty set there, so the finer cut stands for it.) Of the subsets that remain, a document skips its
+most frequent ones as far as its partners must share more than those: pairs meet in rare subsets only.
 
 Of a subset's documents only pairs with the smallest are compared first; once linked documents are
 joined to components, subsets inside one component need no more work. So groups of copies cost no pairs.
@@ -21,15 +22,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import id_and_text, one_row_per_id, shuffle_partitions, slices, split_words, staged
+from docengine.llm.common import id_and_text, shuffle_partitions, slices, split_words, staged
 from docengine.llm.components import components
 
 WORDS = 5
 FREQUENT = 12  # a subset that more components share says little
-COARSE, FINE = 0.42, 4.0
+COARSE, SINGLE = 0.42, None  # segments for each shingle of a band's largest set; None: every shingle is a segment
+KEPT_SHARE = 4  # one part in so many of what partners must share stays after skipping
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,12 +88,16 @@ def places(tokens: np.ndarray, band: int, rate: float) -> np.ndarray:
 
 def filled(tokens: np.ndarray, band: int, rate: float) -> int:
     """Number of segments with content."""
+    if rate is None:
+        return len(tokens)
     place = places(tokens, band, rate)
     return 1 + int(np.count_nonzero(place[1:] != place[:-1]))
 
 
 def signatures(tokens: np.ndarray, band: int, rate: float) -> np.ndarray:
     """One hash per segment with content: its subset, its number and the band."""
+    if rate is None:
+        return mix(tokens + mix(np.full(1, band, np.uint64) * MULTIPLIER))
     count = segments_of(int(BANDS[band]), rate)
     place = places(tokens, band, rate)
     starts = np.flatnonzero(np.diff(place, prepend=np.uint64(count)))
@@ -220,41 +226,62 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def promising(counted: DataFrame, room: DataFrame, sizes: DataFrame, share: float = 1.0) -> DataFrame:
     """Pairs (a, b) of ``counted`` (a, b, band, shared) that can link by their sizes and by the subsets they share.
 
-    Linked sets differ in at most H segments, so they share all others with content: at least the ``room`` of either.
-    A smaller ``share`` of it allows for subsets that were counted elsewhere.
+    Linked sets differ in at most H segments, so they share all others with content: at least the ``room`` of either. What one
+    of them ``skipped`` is not counted. A smaller ``share`` allows for subsets that were counted elsewhere.
     """
     for side in ("a", "b"):
         size = sizes.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"))
-        rooms = room.select(F.col("doc_id").alias(side), "band", F.col("room").alias(f"room_{side}"))
+        rooms = room.select(F.col("doc_id").alias(side), "band", F.col("room").alias(f"room_{side}"), F.col("skipped").alias(f"skipped_{side}"))
         counted = counted.join(size, side).join(rooms, [side, "band"])
     near = counted.filter("n_a * 4 >= n_b * 3 and n_b * 4 >= n_a * 3")
-    return near.filter(F.col("shared") >= share * F.greatest("room_a", "room_b")).select("a", "b").distinct()
+    if share == 1.0:  # a pair of which neither side is covered here is left to the next index
+        near = near.filter("greatest(room_a, room_b) >= 1")
+    least = F.greatest("room_a", "room_b") - F.greatest("skipped_a", "skipped_b")
+    return near.filter(F.col("shared") >= share * least).select("a", "b").distinct()
 
 
-def resolve(docs: DataFrame, sizes: DataFrame, same: DataFrame, room: DataFrame, rate: float, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Links that the index at ``rate`` finds, and the documents it does not cover (none at the last rate)."""
+def resolve(docs: DataFrame, sizes: DataFrame, same: DataFrame, room: DataFrame, rate: float | None) -> tuple[DataFrame, DataFrame | None]:
+    """Links that the index at ``rate`` finds, and the documents it does not cover (none with single shingles)."""
+    last = rate is None
+    none = F.lit(0).cast("long").alias("skipped")
     groups = index_groups(docs, rate).groupBy("gid", "band", "doc_id").agg(F.sum("n").alias("n"))
     groups = groups.join(same, "doc_id").groupBy("gid", "band", F.col("set_id").alias("doc_id")).agg(F.max("n").alias("n"))
     members = staged(groups, "members")
     leaders = members.groupBy("gid", "band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     led = members.join(leaders, ["gid", "band"]).filter("a <> doc_id").groupBy("a", F.col("doc_id").alias("b"), "band").agg(F.sum("n").alias("shared"))
-    first = staged(promising(led, room, sizes, 0.5), "pairs")
+    first = staged(promising(led, room.select("*", none), sizes, 0.5), "pairs")
     links = verified(docs, first)
     labels = components(links)
     placed = members.join(labels, members.doc_id == labels.node, "left").select("gid", "band", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     parts = placed.groupBy("gid", "band", "component").agg(F.count(F.lit(1)).alias("size"))
-    open_ = parts.groupBy("gid", "band").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    open_ = parts.groupBy("gid", "band").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size")).filter("parts > 1")
     mixed = staged(placed.join(open_, ["gid", "band"]), "mixed")
-    few, many = mixed.filter(F.col("parts") <= FREQUENT), mixed.filter(F.col("parts") > FREQUENT)
-    lost = many.groupBy("doc_id", "band").agg(F.sum("n").alias("lost"))
-    left = room.join(lost, ["doc_id", "band"], "left").select("doc_id", "band", (F.col("room") - F.coalesce("lost", F.lit(0))).alias("room"))
-    left = staged(left, "room")
-    short = left.filter("room < 1").select("doc_id").distinct()
-    more = promising(_across(_within_reach(few, left)), left, sizes)
-    if last:
-        more = more.union(_across(many.join(short, "doc_id", "left_semi")).select("a", "b")).distinct()
-    more = staged(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    return links.union(verified(docs, more)), None if last else staged(short, "short")
+    few, left, short = mixed, room.select("doc_id", "band", "room"), None
+    if not last:
+        few, many = mixed.filter(F.col("parts") <= FREQUENT), mixed.filter(F.col("parts") > FREQUENT)
+        lost = many.groupBy("doc_id", "band").agg(F.sum("n").alias("lost"))
+        left = room.join(lost, ["doc_id", "band"], "left").select("doc_id", "band", (F.col("room") - F.coalesce("lost", F.lit(0))).alias("room"))
+        left = staged(left, "room")
+        short = staged(left.filter("room < 1").select("doc_id").distinct(), "short")
+    rare, left = _rarest(_within_reach(few, left), left)
+    more = staged(promising(_across(rare), left, sizes), "pairs")
+    fresh = staged(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    return links.union(verified(docs, fresh)), short
+
+
+def _rarest(placed: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Subsets without the most frequent ones of each document, and its room with what it ``skipped``.
+
+    The order by frequency is the same for all. Of what a pair must share, each skips an end of that order, and the longer of the
+    two ends holds less than its document must share: so linked pairs still share the rest, and it is not empty.
+    """
+    order = Window.partitionBy("doc_id", "band").orderBy(F.desc("size"), F.desc("gid")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("frequent", F.sum("n").over(order)).join(room, ["doc_id", "band"])
+    skip = F.col("frequent") <= F.col("room") - F.greatest(F.lit(1), F.ceil(F.col("room") / KEPT_SHARE))
+    summed = staged(summed.withColumn("skip", skip), "ranked")
+    skipped = summed.filter("skip").groupBy("doc_id", "band").agg(F.max("frequent").alias("skipped"))
+    rooms = room.join(skipped, ["doc_id", "band"], "left").withColumn("skipped", F.coalesce("skipped", F.lit(0)))
+    return summed.filter("not skip").select(*placed.columns), rooms
 
 
 def _within_reach(placed: DataFrame, room: DataFrame) -> DataFrame:
@@ -278,26 +305,55 @@ def _across(placed: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("shared"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included); one row per id.
-
-    Null text is empty; a text without words has no shingles and links with nothing. A null id is passed on
-    with a null component and links with nothing. Of rows repeated under one id the one with the least text counts.
-    """
-    rows = one_row_per_id(id_and_text(docs, id_col, text_col))
+def _sets(rows: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of rows (doc_id, text) whose ids are distinct and not null."""
     sizes = staged(measure(rows, COARSE), "sizes")
     firsts = sizes.filter("mark is not null").groupBy("mark").agg(F.min("doc_id").alias("set_id"))
-    same = staged(sizes.filter("doc_id is not null").join(firsts, "mark").select("doc_id", "set_id"), "same")
-    links, short = resolve(rows, sizes, same, sizes.select("doc_id", F.inline("rooms")), COARSE, False)
+    same = staged(sizes.join(firsts, "mark").select("doc_id", "set_id"), "same")
+    links, short = resolve(rows, sizes, same, sizes.select("doc_id", F.inline("rooms")), COARSE)
     again = rows.join(same.filter("doc_id = set_id").join(short, "doc_id", "left_semi").select("doc_id"), "doc_id", "left_semi")
-    finer = staged(measure(again, FINE).select("doc_id", F.inline("rooms")), "room")
-    more, _ = resolve(again, sizes, same, finer, FINE, True)
+    single = staged(measure(again, SINGLE).select("doc_id", F.inline("rooms")), "room")
+    more, _ = resolve(again, sizes, same, single, SINGLE)
     found = components(reduce(DataFrame.union, [links, more]))
     sets = same.join(found, same.set_id == found.node, "left").select("doc_id", F.coalesce("component", "set_id").alias("component_id"))
     return sizes.join(sets, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _keyed(rows: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``rows`` with a row key, and whether it is more than the id: written down where ids repeat or are null."""
+    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return rows.withColumn(name, F.col("doc_id")), False
+    return staged(rows.withColumn(name, F.monotonically_increasing_id()), "rows"), True
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included); one row per input row.
+
+    Null text is empty; a text without words has no shingles and links with nothing. Rows repeated under one id are
+    documents of their own, each with its text. Rows with a null id link as well; a component of such rows only has a null id.
+    """
+    rows, repeated = _keyed(id_and_text(docs, id_col, text_col), "row")
+    found = _sets(rows.select(F.col("row").alias("doc_id"), "text"))
+    if not repeated:
+        return found
+    named = rows.select("row", F.col("doc_id").alias("id"))
+    placed = found.join(named, found.doc_id == named.row)
+    least = placed.groupBy("component_id").agg(F.min("id").alias("least"))
+    return placed.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest id of every group of near duplicates; documents linked with nothing stay."""
-    drop = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+    """``docs`` with one row of every group of near duplicates, that of the smallest id; rows linked with nothing stay.
+
+    A null id comes after all others; of rows with the smallest id any one stays.
+    """
+    key = next(f"row{k}" for k in range(len(docs.columns) + 1) if f"row{k}" not in docs.columns)
+    rows, repeated = _keyed(docs, key)
+    found = _sets(id_and_text(rows, key))
+    if not repeated:
+        drop = found.filter("doc_id <> component_id").select("doc_id")
+        return docs.join(drop, "doc_id", "left_anti")
+    placed = rows.select(F.col(key), F.col("doc_id").alias("id")).join(found.select(F.col("doc_id").alias(key), "component_id"), key)
+    least = F.min_by(key, F.struct(F.col("id").isNull(), "id", key))
+    stay = placed.groupBy("component_id").agg(least.alias(key)).select(key)
+    return rows.join(stay, key, "left_semi").select(*docs.columns)
