@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,16 +116,14 @@ def _heads(rows: DataFrame, pos: str, show: int) -> DataFrame:
     kind = rows.schema[pos].dataType.simpleString()
 
     def head(batches):
-        import pyarrow as pa
-
         count, best = 0, None
         for batch in batches:
             count += batch.num_rows
             table = pa.Table.from_batches([batch]) if best is None else pa.concat_tables([best, pa.Table.from_batches([batch])])
             keys = [(c, "ascending") for c in table.column_names]
-            best = table.take(pa.compute.sort_indices(table, sort_keys=keys, null_placement="at_start")[:show])
+            best = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start")[:show])
         if count:
-            first = best.to_struct_array().combine_chunks() if best.num_rows else pa.array([], pa.struct(list(best.schema)))
+            first = best.to_struct_array().combine_chunks()
             yield pa.RecordBatch.from_arrays([pa.array([count]), pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), first)], names=["n", "head"])
 
     thin = rows.select(F.col(pos).alias("pos"), F.col("text").cast("string").alias("text"), F.col("id").cast("string").alias("id"))

@@ -46,6 +46,11 @@ def test_resume(spark):
     many = spark.createDataFrame([(i, None if i == 1 else f"n{i}", f"T{i}") for i in range(8)], "pos bigint, id string, text string")
     lines = [r["entry"] for r in resume.next_pending(many, "pos").orderBy("line").collect()]
     assert lines[1] == "2. T1 (ID: Unknown)" and lines[-1] == "... and 3 more items" and len(lines) == 6
+    assert resume.next_pending(many.limit(0), "pos").collect() == []
+    few = spark.createDataFrame([(2, "b", None), (None, "n", "N"), (1, None, "A")], "pos bigint, id string, text string").repartition(3)
+    lines = [r["entry"] for r in resume.next_pending(few, "pos").orderBy("line").collect()]
+    assert lines == ["1. N (ID: n)", "2. A (ID: Unknown)", "3. Unknown (ID: b)"]
+    assert resume.next_pending(resume.pending_items(items, done), "pos")._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
 
 
 def test_collisions_and_actions(spark):
