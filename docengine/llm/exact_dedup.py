@@ -58,7 +58,12 @@ def _merged(entries: DataFrame, run: Column, best, members: Column) -> DataFrame
 
 
 def kept_documents(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """``docs`` without all but one document of each text. Rows repeated under the id that stays all stay."""
-    stay = exact_dedup(docs, keep=keep).filter("kept").select("doc_id")
-    null_safe = docs["doc_id"].eqNullSafe(stay["doc_id"])
-    return docs.join(stay, null_safe, "left_semi")
+    """``docs`` with one row of each text, that of the best id. Of rows that repeat an id and its text any one stays."""
+    kept = exact_dedup(docs, keep=keep).filter("kept")
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        stay = kept.select("doc_id")
+        return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    sha = next(f"sha{k}" for k in range(len(docs.columns) + 1) if f"sha{k}" not in docs.columns)
+    marked = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", sha])
+    stay = kept.select("doc_id", F.col("text_sha256").alias(sha))
+    return marked.join(stay, marked["doc_id"].eqNullSafe(stay["doc_id"]) & (marked[sha] == stay[sha]), "left_semi").select(*docs.columns)

@@ -45,6 +45,10 @@ def test_exact_dedup_repeated_and_null_ids(spark, empty):
     assert len(found) == 5 and sum(r["kept"] for r in found) == 3
     assert {r["group_size"] for r in found} == {3, 1}
     assert exact_dedup.exact_dedup(empty).collect() == []
+    odd = table(spark, [(1, "x"), (1, "x"), (1, "y"), (2, "y"), (None, "x"), (None, "z"), (3, None), (4, "")])
+    stay = exact_dedup.kept_documents(odd)
+    assert stay.columns == odd.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in stay.collect()), key=str) == sorted([(None, "x"), (1, "y"), (None, "z"), (3, "")], key=str)
     with pytest.raises(ValueError):
         exact_dedup.exact_dedup(empty, keep="first")
 
