@@ -117,7 +117,7 @@ def roles(size: int) -> list[tuple[int, int]]:
 def measure(docs: DataFrame, rate: float) -> DataFrame:
     """doc_id, n_shingles, mark (128-bit hash of the whole set; null if empty), rooms.
 
-    Rooms: per band in which the set is indexed, its segments with content less H.
+    Rooms: per band in which the set is indexed, its segments with content less H, and H as ``most``.
     """
 
     def run(batches):
@@ -126,12 +126,12 @@ def measure(docs: DataFrame, rate: float) -> DataFrame:
                 sets = shingle_sets(part.column(1))
                 marks = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
                 sizes = pa.array([len(x) for x in sets], pa.int64())
-                rooms = [[{"band": b, "room": filled(x, b, rate) - most} for b, most in roles(len(x))] if len(x) else [] for x in sets]
+                rooms = [[{"band": b, "room": filled(x, b, rate) - most, "most": most} for b, most in roles(len(x))] if len(x) else [] for x in sets]
                 values = [part.column(0), sizes, pa.array(marks, pa.binary()), pa.array(rooms, kind)]
                 yield pa.RecordBatch.from_arrays(values, names=["doc_id", "n_shingles", "mark", "rooms"])
 
-    kind = pa.list_(pa.struct([("band", pa.int64()), ("room", pa.int64())]))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, mark binary, rooms array<struct<band:long,room:long>>")
+    kind = pa.list_(pa.struct([("band", pa.int64()), ("room", pa.int64()), ("most", pa.int64())]))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, mark binary, rooms array<struct<band:long,room:long,most:long>>")
 
 
 def index_groups(docs: DataFrame, rate: float) -> DataFrame:
@@ -240,48 +240,56 @@ def promising(counted: DataFrame, room: DataFrame, sizes: DataFrame, share: floa
     return near.filter(F.col("shared") >= share * least).select("a", "b").distinct()
 
 
-def resolve(docs: DataFrame, sizes: DataFrame, same: DataFrame, room: DataFrame, rate: float | None) -> tuple[DataFrame, DataFrame | None]:
-    """Links that the index at ``rate`` finds, and the documents it does not cover (none with single shingles)."""
+def resolve(docs: DataFrame, sizes: DataFrame, same: DataFrame, room: DataFrame, rate: float | None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Links that the index at ``rate`` finds beside those ``known``, and the documents it does not cover (none with single shingles)."""
     last = rate is None
     none = F.lit(0).cast("long").alias("skipped")
     groups = index_groups(docs, rate).groupBy("gid", "band", "doc_id").agg(F.sum("n").alias("n"))
     groups = groups.join(same, "doc_id").groupBy("gid", "band", F.col("set_id").alias("doc_id")).agg(F.max("n").alias("n"))
     members = staged(groups, "members")
-    leaders = members.groupBy("gid", "band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    led = members.join(leaders, ["gid", "band"]).filter("a <> doc_id").groupBy("a", F.col("doc_id").alias("b"), "band").agg(F.sum("n").alias("shared"))
+    # Of a subset's documents the one with the fewest segments of its own is the likeliest to link with the others.
+    met = members.groupBy("doc_id", "band").agg(F.sum("n").alias("met")).join(room, ["doc_id", "band"])
+    alone = met.select("doc_id", "band", (F.col("room") + F.col("most") - F.col("met")).alias("alone"))
+    leaders = members.join(alone, ["doc_id", "band"]).groupBy("gid", "band").agg(F.min_by("doc_id", F.struct("alone", "doc_id")).alias("leader"), F.count(F.lit(1)).alias("members"))
+    led = members.join(leaders.filter("members > 1"), ["gid", "band"]).filter("leader <> doc_id")
+    led = led.groupBy(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"), "band").agg(F.sum("n").alias("shared"))
     first = staged(promising(led, room.select("*", none), sizes, 0.5), "pairs")
     links = verified(docs, first)
-    labels = components(links)
+    labels = components(links if known is None else links.union(known))
     placed = members.join(labels, members.doc_id == labels.node, "left").select("gid", "band", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     parts = placed.groupBy("gid", "band", "component").agg(F.count(F.lit(1)).alias("size"))
     open_ = parts.groupBy("gid", "band").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size")).filter("parts > 1")
     mixed = staged(placed.join(open_, ["gid", "band"]), "mixed")
-    few, left, short = mixed, room.select("doc_id", "band", "room"), None
+    few, left, short = mixed, room, None
     if not last:
         few, many = mixed.filter(F.col("parts") <= FREQUENT), mixed.filter(F.col("parts") > FREQUENT)
         lost = many.groupBy("doc_id", "band").agg(F.sum("n").alias("lost"))
-        left = room.join(lost, ["doc_id", "band"], "left").select("doc_id", "band", (F.col("room") - F.coalesce("lost", F.lit(0))).alias("room"))
+        left = room.join(lost, ["doc_id", "band"], "left").select("doc_id", "band", (F.col("room") - F.coalesce("lost", F.lit(0))).alias("room"), "most")
         left = staged(left, "room")
         short = staged(left.filter("room < 1").select("doc_id").distinct(), "short")
-    rare, left = _rarest(_within_reach(few, left), left)
-    more = staged(promising(_across(rare), left, sizes), "pairs")
+    rare, left = _rarest(_within_reach(few, left), left, sizes)
+    more = staged(promising(_across(rare, last), left, sizes), "pairs")
     fresh = staged(more.join(first, ["a", "b"], "left_anti"), "pairs")
     return links.union(verified(docs, fresh)), short
 
 
-def _rarest(placed: DataFrame, room: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _rarest(placed: DataFrame, room: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Subsets without the most frequent ones of each document, and its room with what it ``skipped``.
 
     The order by frequency is the same for all. Of what a pair must share, each skips an end of that order, and the longer of the
-    two ends holds less than its document must share: so linked pairs still share the rest, and it is not empty.
+    two ends holds less than its document must share: so linked pairs still share the rest, and it is not empty. ``alone`` is the
+    number of segments that a document shares with no other component, ``total`` its shingles.
     """
     order = Window.partitionBy("doc_id", "band").orderBy(F.desc("size"), F.desc("gid")).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("frequent", F.sum("n").over(order)).join(room, ["doc_id", "band"])
     skip = F.col("frequent") <= F.col("room") - F.greatest(F.lit(1), F.ceil(F.col("room") / KEPT_SHARE))
-    summed = staged(summed.withColumn("skip", skip), "ranked")
+    reach = F.sum("n").over(Window.partitionBy("doc_id", "band"))
+    totals = sizes.select("doc_id", F.col("n_shingles").alias("total"))
+    summed = summed.withColumn("skip", skip).withColumn("alone", F.col("room") + F.col("most") - reach).join(totals, "doc_id")
+    summed = staged(summed, "ranked")
     skipped = summed.filter("skip").groupBy("doc_id", "band").agg(F.max("frequent").alias("skipped"))
     rooms = room.join(skipped, ["doc_id", "band"], "left").withColumn("skipped", F.coalesce("skipped", F.lit(0)))
-    return summed.filter("not skip").select(*placed.columns), rooms
+    return summed.filter("not skip").select(*placed.columns, "alone", "total"), rooms
 
 
 def _within_reach(placed: DataFrame, room: DataFrame) -> DataFrame:
@@ -297,11 +305,17 @@ def _within_reach(placed: DataFrame, room: DataFrame) -> DataFrame:
     return kept.join(mixed.select("gid", "band"), ["gid", "band"], "left_semi")
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """Pairs of one subset that are in different components, with the number of subsets they share."""
-    x = placed.select("gid", "band", "n", F.col("doc_id").alias("a"), F.col("component").alias("p"))
-    y = placed.select("gid", "band", F.col("doc_id").alias("b"), F.col("component").alias("q"))
-    pairs = x.join(y, ["gid", "band"]).filter("a < b and p <> q")
+def _across(placed: DataFrame, single: bool) -> DataFrame:
+    """Pairs of one subset that are in different components, with the number of subsets they share.
+
+    Linked sets differ in at most a seventh of their shingles taken together. What a document shares with no other component is such a
+    difference, and where every segment is one shingle, those of both sides add up.
+    """
+    x = placed.select("gid", "band", "n", F.col("doc_id").alias("a"), F.col("component").alias("p"), F.col("alone").alias("u"), F.col("total").alias("s"))
+    y = placed.select("gid", "band", F.col("doc_id").alias("b"), F.col("component").alias("q"), F.col("alone").alias("v"), F.col("total").alias("t"))
+    apart = "u + v" if single else "greatest(u, v)"
+    able = f"a < b and p <> q and s * 4 >= t * 3 and t * 4 >= s * 3 and 7 * ({apart}) <= s + t"
+    pairs = x.join(y, ["gid", "band"]).filter(able)
     return pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("shared"))
 
 
@@ -313,7 +327,7 @@ def _sets(rows: DataFrame) -> DataFrame:
     links, short = resolve(rows, sizes, same, sizes.select("doc_id", F.inline("rooms")), COARSE)
     again = rows.join(same.filter("doc_id = set_id").join(short, "doc_id", "left_semi").select("doc_id"), "doc_id", "left_semi")
     single = staged(measure(again, SINGLE).select("doc_id", F.inline("rooms")), "room")
-    more, _ = resolve(again, sizes, same, single, SINGLE)
+    more, _ = resolve(again, sizes, same, single, SINGLE, links)
     found = components(reduce(DataFrame.union, [links, more]))
     sets = same.join(found, same.set_id == found.node, "left").select("doc_id", F.coalesce("component", "set_id").alias("component_id"))
     return sizes.join(sets, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
