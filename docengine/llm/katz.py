@@ -18,6 +18,7 @@ document); their exact counts are taken beforehand. The list has at most ``MOST_
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,14 +114,24 @@ def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in row[1:]], names=names)
             pa.default_memory_pool().release_unused()
 
-    def meet(table):
-        parts = []
-        for docs_, train, words, counts, before, owner in zip(*(table.column(n).to_pylist() for n in names[1:]), strict=True):
-            counts = np.frombuffer(counts, "<u4")
-            n = int(counts.sum())
-            owner = np.frombuffer(owner, "<u2" if len(owner) == 2 * n else "<u4")
-            parts.append((np.repeat(np.frombuffer(words, "<u8"), counts), np.frombuffer(before, "<u8"), np.cumsum(np.frombuffer(docs_, "<i8"))[owner], np.frombuffer(train, np.uint8)[owner]))
-        return _reduce(table.column("bucket")[0].as_py(), *(np.concatenate(x) for x in zip(*parts, strict=True)), frequent, n_train)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, texts, parts = 0, 0, []
+        for batch in batches:
+            bucket = batch.column(0)[0].as_py()
+            for docs_, train, words, counts, before, owner in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                counts = np.frombuffer(counts, "<u4")
+                n = int(counts.sum())
+                owner = np.frombuffer(owner, "<u2" if len(owner) == 2 * n else "<u4").astype(np.int32) + np.int32(texts)
+                ids = np.cumsum(np.frombuffer(docs_, "<i8"))
+                texts += len(ids)
+                parts.append((np.repeat(np.frombuffer(words, "<u8"), counts), np.frombuffer(before, "<u8"), owner, ids, np.frombuffer(train, np.uint8)))
+        columns = [list(c) for c in zip(*parts, strict=True)]
+        parts.clear()
+        whole = []
+        while columns:  # one column at a time is joined, and its pieces go
+            whole.append(np.concatenate(columns.pop(0)))
+        yield from _reduce(bucket, whole, frequent, n_train)
+        pa.default_memory_pool().release_unused()
 
     names = ["bucket", "docs", "train", "words", "counts", "before", "owner"]
     packed = rows.mapInArrow(emit, "bucket int, docs binary, train binary, words binary, counts binary, before binary, owner binary")
@@ -137,52 +148,71 @@ def _levels(counts: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
     return found
 
 
-def _reduce(bucket, words, before, docs, train, frequent, n_train) -> pa.Table:
-    """Counts of one bucket.
+def _reduce(bucket: int, whole: list[np.ndarray], frequent: dict[int, int], n_train: int) -> Iterator[pa.RecordBatch]:
+    """Counts of one bucket, from the word, the word before and the text of each position, and each text's id and training flag.
 
-    pairs: word before of each distinct training pair, with its count and its word's count. docs, notes: documents
-    and per document the tokens, known tokens, log sum of c + 1, context terms, seen positions by count and unseen
+    pairs: word before of each distinct training pair, with its count and its word's count. docs, notes: texts
+    and per text the tokens, known tokens, log sum of c + 1, context terms, seen positions by count and unseen
     positions by the word's count. open_*: unseen positions whose context was seen or not. tallies: distinct words,
-    counts of counts of words, then of pairs.
+    counts of counts of words, then of pairs. Texts go in rows of ``NOTED`` each, as one value of a whole bucket is large; the
+    first row has all else. ``whole`` is emptied as the work goes on, to hold little at a time.
     """
+    words, before, owner, ids, train = whole
+    whole.clear()
     order = np.lexsort((before, words))
-    words, before, docs, train = words[order], before[order], docs[order], train[order].astype(np.int64)
+    words, before, owner = words[order], before[order], owner[order]
+    del order
     new_word = np.concatenate([[True], words[1:] != words[:-1]])
     new_pair = new_word | np.concatenate([[True], before[1:] != before[:-1]])
     word_at, pair_at = np.flatnonzero(new_word), np.flatnonzero(new_pair)
-    own = np.add.reduceat(train, word_at)
+    learned = train[owner].astype(np.int64)
+    own, pair_counts = np.add.reduceat(learned, word_at), np.add.reduceat(learned, pair_at)
+    del learned
     spread = np.array([frequent.get(int(w), -1) for w in words[word_at].tolist()] if frequent else np.full(len(word_at), -1), np.int64)
     own = np.where(spread >= 0, spread, own)
-    of_word = own[np.cumsum(new_word) - 1]
-    pair_counts = np.add.reduceat(train, pair_at)
-    of_pair = pair_counts[np.cumsum(new_pair) - 1]
-    ids, doc = np.unique(docs, return_inverse=True)
-    n = len(ids)
-    notes = np.zeros((n, 4 + 2 * LEVEL))
-    notes[:, 0] = np.bincount(doc, minlength=n)
-    notes[:, 1] = np.bincount(doc, of_word > 0, n)
-    notes[:, 2] = np.bincount(doc, np.log10(of_word + 1.0), n)
-    context = (of_word > 0) & (words != END)
-    notes[:, 3] = -np.bincount(doc[context], np.log10(of_word[context]), n)
-    if n_train:
-        notes[:, 3] -= np.bincount(doc[before == START], minlength=n) * math.log10(n_train)
-    seen = of_pair > 0
-    notes[:, 4 : 4 + LEVEL] = _levels(of_pair[seen], doc[seen], n)
-    notes[:, 4 + LEVEL :] = _levels(of_word[~seen], doc[~seen], n)
+    of_word = np.repeat(own, np.diff(np.append(word_at, len(words))))
+    of_pair = np.repeat(pair_counts, np.diff(np.append(pair_at, len(words))))
     kept = pair_counts > 0
     local = own[(spread < 0) & (own > 0)]
     tallies = [len(local), *np.bincount(np.minimum(local, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()]
     tallies += np.bincount(np.minimum(pair_counts, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()
-    arrays = [before[pair_at][kept].astype("<u8"), pair_counts[kept].astype("<u4"), of_word[pair_at][kept].astype("<u8"),
-              ids.astype("<i8"), notes.astype("<f8"), docs[~seen].astype("<i8"), before[~seen].astype("<u8")]
-    # Documents go in rows of NOTED each, as one value of a whole bucket is large; the first row has all else.
-    rows = []
-    for start in range(0, n, NOTED):
-        few = [a[start : start + NOTED] if a is arrays[3] or a is arrays[4] else a if not start else a[:0] for a in arrays]
-        rows.append([a.tobytes() for a in few])
-    columns = [pa.array([bucket] * len(rows), pa.int32())] + [pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)]
-    columns.append(pa.array([tallies] + [[]] * (len(rows) - 1), pa.list_(pa.int64())))
-    return pa.table(columns, names=["bucket", "pairs", "pair_counts", "word_counts", "docs", "notes", "open_docs", "open_before", "tallies"])
+    open_ = np.flatnonzero(of_pair == 0)
+    pairs = [before[pair_at][kept].astype("<u8"), pair_counts[kept].astype("<u4"), of_word[pair_at][kept].astype("<u8")]
+    rest = [ids[owner[open_]].astype("<i8"), before[open_].astype("<u8")]
+    is_end, is_start = words == END, before == START
+    del words, before, new_word, new_pair, open_
+    by_text = np.argsort(owner, kind="stable")
+    owner, of_word, of_pair, is_end, is_start = (x[by_text] for x in (owner, of_word, of_pair, is_end, is_start))
+    del by_text
+    for start in range(0, max(len(ids), 1), NOTED):
+        few = slice(*np.searchsorted(owner, [start, start + NOTED]).tolist())
+        n = min(NOTED, len(ids) - start)
+        notes = _notes(owner[few] - start, of_word[few], of_pair[few], is_end[few], is_start[few], n, n_train)
+        head = [a if not start else a[:0] for a in pairs]
+        tail = [a if not start else a[:0] for a in rest]
+        arrays = [*head, ids[start : start + NOTED].astype("<i8"), notes.astype("<f8"), *tail]
+        columns = [pa.array([bucket], pa.int32())] + [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+        columns.append(pa.array([tallies if not start else []], pa.list_(pa.int64())))
+        yield pa.RecordBatch.from_arrays(columns, names=COUNTED)
+
+
+COUNTED = ["bucket", "pairs", "pair_counts", "word_counts", "docs", "notes", "open_docs", "open_before", "tallies"]
+
+
+def _notes(text, of_word, of_pair, is_end, is_start, n: int, n_train: int) -> np.ndarray:
+    """What is noted of each of ``n`` texts, from its positions' counts."""
+    notes = np.zeros((n, 4 + 2 * LEVEL))
+    notes[:, 0] = np.bincount(text, minlength=n)
+    notes[:, 1] = np.bincount(text, of_word > 0, n)
+    notes[:, 2] = np.bincount(text, np.log10(of_word + 1.0), n)
+    context = (of_word > 0) & ~is_end
+    notes[:, 3] = -np.bincount(text[context], np.log10(of_word[context]), n)
+    if n_train:
+        notes[:, 3] -= np.bincount(text[is_start], minlength=n) * math.log10(n_train)
+    seen = of_pair > 0
+    notes[:, 4 : 4 + LEVEL] = _levels(of_pair[seen], text[seen], n)
+    notes[:, 4 + LEVEL :] = _levels(of_word[~seen], text[~seen], n)
+    return notes
 
 
 def discounted(of: list[int]) -> list[float]:
