@@ -37,7 +37,7 @@ def op5(spark, d):
 
 @query("op10_sharding")
 def op10(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").isNull().alias("no_text"))
+    docs = table(spark, d, "documents").select("doc_id")
     return sharding.place(docs, F.col("doc_id"), SHARDS).select("doc_id", "shard")
 
 

@@ -67,9 +67,10 @@ def place(df: DataFrame, key: Column, names: list[str], slots: int = SLOTS, out:
 
     Every row gets a shard, null keys included; equal keys get the same one. No shuffle: the table is broadcast.
     """
-    placed = df.drop(out).withColumn("_slot", slot_of(key, slots))
-    owners = lookup_table(df.sparkSession, names, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias(out))
-    return placed.join(F.broadcast(owners), "_slot", "left").drop("_slot")
+    slot = next(f"slot{k}" for k in range(len(df.columns) + 1) if f"slot{k}" not in df.columns)
+    placed = df.withColumn(slot, slot_of(key, slots)).drop(out)
+    owners = lookup_table(df.sparkSession, names, slots).select(F.col("slot").alias(slot), F.col("shard").alias(out))
+    return placed.join(F.broadcast(owners), slot, "left").drop(slot)
 
 
 def write_shards(placed: DataFrame, path: str, out: str = "shard") -> None:
