@@ -127,3 +127,11 @@ def test_nested_menus_and_missing_targets(spark):
         (0, True, ["A", "B", "C"]), (0, True, ["A", "B", "C"]), (0, False, None), (1, False, None), (1, False, None), (1, False, None)]
     # An open menu around a closed one counts as closed: the first closed icon anywhere inside is taken.
     assert found[0]["expansions"][1]["xpath"] == found[0]["expansions"][2]["xpath"] == "/ul[1]/li[1]/ul[1]/li[1]/ul[1]/li[1]/i[1]"
+
+
+def test_a_page_is_parsed_once(spark):
+    from docengine.operators import content
+
+    pages = page_table(spark, PAGE)
+    plan = content.page_content(content.with_content(pages))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
