@@ -66,6 +66,18 @@ def one_row_per_id(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    return next(f"{stem}{k}" for k in range(len(df.columns) + 1) if f"{stem}{k}" not in df.columns)
+
+
+def keyed(rows: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """``rows`` with a row key, and whether it is more than the id: written down where ids repeat or are null."""
+    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        return rows.withColumn(name, F.col("doc_id")), False
+    return staged(rows.withColumn(name, F.monotonically_increasing_id()), "rows"), True
+
+
 def bucket_of_id(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

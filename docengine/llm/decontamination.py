@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import gather, id_and_text, slices
+from docengine.llm.common import free_name, gather, id_and_text, keyed, slices
 
 MOST_EDITS = 0.15
 SHORT, SEED, GRAM = 12, 5, 4
@@ -265,6 +265,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    leaking = find_leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaking, docs["doc_id"].eqNullSafe(leaking["doc_id"]), "left_anti")
+    """``docs`` without the rows that hold a benchmark passage; rows repeated under one id, or under none, are judged one by one."""
+    key = free_name(docs, "row")
+    rows, _ = keyed(docs, key)
+    leaking = find_leaks(rows, benchmark, id_col=key).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(leaking, key, "left_anti").select(*docs.columns)

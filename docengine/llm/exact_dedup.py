@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import id_and_text, shuffle_partitions, staged
+from docengine.llm.common import free_name, id_and_text, shuffle_partitions, staged
 
 FAN_IN = 16
 KEY = ["sha", "mark", "size"]
@@ -63,7 +63,7 @@ def kept_documents(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         stay = kept.select("doc_id")
         return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    sha = next(f"sha{k}" for k in range(len(docs.columns) + 1) if f"sha{k}" not in docs.columns)
+    sha = free_name(docs, "sha")
     marked = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256)).dropDuplicates(["doc_id", sha])
     stay = kept.select("doc_id", F.col("text_sha256").alias(sha))
     return marked.join(stay, marked["doc_id"].eqNullSafe(stay["doc_id"]) & (marked[sha] == stay[sha]), "left_semi").select(*docs.columns)

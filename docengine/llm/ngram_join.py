@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import id_and_text, shuffle_partitions, slices, split_words, staged
+from docengine.llm.common import free_name, id_and_text, keyed, shuffle_partitions, slices, split_words, staged
 from docengine.llm.components import components
 
 WORDS = 5
@@ -333,20 +333,13 @@ def _sets(rows: DataFrame) -> DataFrame:
     return sizes.join(sets, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _keyed(rows: DataFrame, name: str) -> tuple[DataFrame, bool]:
-    """``rows`` with a row key, and whether it is more than the id: written down where ids repeat or are null."""
-    if rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        return rows.withColumn(name, F.col("doc_id")), False
-    return staged(rows.withColumn(name, F.monotonically_increasing_id()), "rows"), True
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included); one row per input row.
 
     Null text is empty; a text without words has no shingles and links with nothing. Rows repeated under one id are
     documents of their own, each with its text. Rows with a null id link as well; a component of such rows only has a null id.
     """
-    rows, repeated = _keyed(id_and_text(docs, id_col, text_col), "row")
+    rows, repeated = keyed(id_and_text(docs, id_col, text_col), "row")
     found = _sets(rows.select(F.col("row").alias("doc_id"), "text"))
     if not repeated:
         return found
@@ -361,8 +354,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     A null id comes after all others; of rows with the smallest id any one stays.
     """
-    key = next(f"row{k}" for k in range(len(docs.columns) + 1) if f"row{k}" not in docs.columns)
-    rows, repeated = _keyed(docs, key)
+    key = free_name(docs, "row")
+    rows, repeated = keyed(docs, key)
     found = _sets(id_and_text(rows, key))
     if not repeated:
         drop = found.filter("doc_id <> component_id").select("doc_id")

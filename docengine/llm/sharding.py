@@ -16,6 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docengine.llm.common import free_name
+
 SLOTS = 65_537
 MAX_SLOTS = 1_000_003
 
@@ -67,7 +69,7 @@ def place(df: DataFrame, key: Column, names: list[str], slots: int = SLOTS, out:
 
     Every row gets a shard, null keys included; equal keys get the same one. No shuffle: the table is broadcast.
     """
-    slot = next(f"slot{k}" for k in range(len(df.columns) + 1) if f"slot{k}" not in df.columns)
+    slot = free_name(df, "slot")
     placed = df.withColumn(slot, slot_of(key, slots)).drop(out)
     owners = lookup_table(df.sparkSession, names, slots).select(F.col("slot").alias(slot), F.col("shard").alias(out))
     return placed.join(F.broadcast(owners), slot, "left").drop(slot)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import SLICE_BYTES, gather, id_and_text, slices, split_words
+from docengine.llm.common import SLICE_BYTES, free_name, gather, id_and_text, keyed, slices, split_words
 
 TRAIN_ROWS = 8_000
 BITS = 18
@@ -157,6 +157,8 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
 
 
 def accepted(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> DataFrame:
-    """``docs`` without the rows whose text is found toxic; all columns and repeated rows stay."""
-    rejected = toxic_scores(docs, labels, usable).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    """``docs`` without the rows whose text is found toxic; rows repeated under one id, or under none, are judged one by one."""
+    key = free_name(docs, "row")
+    rows, _ = keyed(docs, key)
+    rejected = score(rows, train(docs, labels, usable), key).filter(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias(key))
+    return rows.join(rejected, key, "left_anti").select(*docs.columns)
