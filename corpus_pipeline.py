@@ -1,6 +1,9 @@
 """A training-data pipeline over ``documents``: filter, deduplicate, decontaminate, encode.
 
 Every stage works on all rows its predecessor kept and returns the columns of ``documents``; the last returns token ids.
+Null text counts as empty. Rows repeated under one id, or under a null one, are rows of their own and judged one by one; where
+one of several rows stays, that is the smallest id (in exact dedup a null id comes before all others, in the join after them). Empty tables
+pass through, columns of any name are kept, and texts are taken whole however long they are.
 """
 
 from __future__ import annotations
@@ -18,17 +21,17 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every text."""
+    """One row of every text, that of the smallest id."""
     return exact_dedup.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of every group of texts linked by their shingles."""
+    """One row of every group of texts linked by their shingles, that of the smallest id."""
     return ngram_join.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no passage of the benchmark."""
+    """Rows that hold no passage of the benchmark; items with a null id or no text match nothing."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
