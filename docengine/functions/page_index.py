@@ -9,9 +9,10 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docengine.functions.parts import part_udf
+
 
 def open_ranges(firsts: list[int], lasts: list[int], wanted: list[int | None]) -> list[list[int] | None]:
     """For each wanted node the places, in ``firsts``, of the ranges that strictly hold it, outermost first; null for null.
@@ -34,7 +35,7 @@ def open_ranges(firsts: list[int], lasts: list[int], wanted: list[int | None]) -
     return found
 
 
-@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+@part_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def ranges_around(firsts: pa.Array, lasts: pa.Array, wanted: pa.Array) -> pa.Array:
     rows = zip(firsts.to_pylist(), lasts.to_pylist(), wanted.to_pylist(), strict=True)
     return pa.array([None if w is None else open_ranges(a or [], b or [], w) for a, b, w in rows], pa.list_(pa.list_(pa.int32())))
@@ -65,7 +66,7 @@ def located(ids: list[str | None], texts: list[str | None], wanted: list[dict])
 LOCATED = T.ArrayType(T.StructType([T.StructField("by_id", T.IntegerType()), T.StructField("by_text", T.IntegerType())]))
 
 
-@F.arrow_udf(LOCATED)
+@part_udf(LOCATED)
 def locate(ids: pa.Array, texts: pa.Array, wanted: pa.Array) -> pa.Array:
     rows = zip(ids.to_pylist(), texts.to_pylist(), wanted.to_pylist(), strict=True)
     found = [None if w is None else [{"by_id": a, "by_text": b} for a, b in located(i or [], t or [], w)] for i, t, w in rows]
@@ -112,7 +113,7 @@ _FIELDS = ("row", "level", "up", "last"), ("row", "first", "size")
 TREE = T.StructType([T.StructField(n, T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in cs]))) for n, cs in zip(("entries", "groups"), _FIELDS)])
 
 
-@F.arrow_udf(TREE)
+@part_udf(TREE)
 def tree_order(groups: pa.Array, places: pa.Array, parents: pa.Array) -> pa.Array:
     rows = zip(groups.to_pylist(), places.to_pylist(), parents.to_pylist(), strict=True)
     trees = [preorder(*row) for row in rows]

@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docengine.functions.parts import part_udf
+
 BLANKS = " \t\n\r\f"
 MOST = 62  # selectors, steps or compounds at once: bits of a number
 _NAME = r"-?[A-Za-z_][\w-]*"
@@ -180,7 +182,7 @@ def swept(parents: list[int], own: list[int], program: tuple) -> list[int]:
 
 
 def _sweep(program: tuple) -> Callable[[Column, Column], Column]:
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @part_udf(T.ArrayType(T.LongType()))
     def sweep(parents: pa.Array, own: pa.Array) -> pa.Array:
         rows = zip(parents.to_pylist(), own.to_pylist(), strict=True)
         return pa.array([None if p is None else swept(p, o, program) for p, o in rows], pa.list_(pa.int64()))
