@@ -208,14 +208,30 @@ def _with_paths(parsed: DataFrame, targets: Column, p: Profile) -> DataFrame:
     return rows.withColumn("_paths", F.zip_with("_targets", "_around", path)).drop("_menus", "_entries", "_targets", "_places", "_at", "_around")
 
 
-def expansion_path(parsed: DataFrame, item_id: Column, text: Column, out: str = "path", profile: Profile = DEFAULT) -> DataFrame:
+def expansion_path(
+    parsed: DataFrame, item_id: Column, text: Column, out: str = "path", profile: Profile = DEFAULT, each: str | None = None
+) -> DataFrame:
     """Closed menus without an id around a target, outermost first, with icon XPaths.
 
     The target is the first element with the id, else the first list entry with an id whose text holds ``text``.
+    ``each`` names an array column with the targets of a page, of which ``item_id`` and ``text`` are then arrays; each of its
+    elements becomes a row, without the nodes. So a page is parsed and swept once, and never copied for its targets.
     """
-    one = F.array(F.struct(item_id.cast("string").alias("item_id"), text.cast("string").alias("text")))
-    found = _with_paths(parsed, one, profile)
-    return found.withColumn(out, let(F.get("_paths", F.lit(0)), lambda x: F.struct(x["found"].alias("found"), x["expansions"].alias("expansions")))).drop("_paths")
+    if each is None:
+        one = F.array(F.struct(item_id.cast("string").alias("item_id"), text.cast("string").alias("text")))
+        found = _with_paths(parsed, one, profile)
+        return found.withColumn(out, let(F.get("_paths", F.lit(0)), _path_of)).drop("_paths")
+    pairs = F.zip_with(item_id, text, lambda i, t: F.struct(i.cast("string").alias("item_id"), t.cast("string").alias("text")))
+    found = _with_paths(parsed, pairs, profile)
+    rows = F.zip_with(each, "_paths", lambda target, path: F.struct(target.alias("target"), _path_of(path).alias("path")))
+    kept = [c for c in parsed.columns if c not in (each, "nodes")]
+    # Outer, as in ``rows_of``; a page without targets has no rows.
+    placed = found.select(*kept, F.inline_outer(rows).alias(each, out))
+    return placed.filter(F.col(out).isNotNull())
+
+
+def _path_of(found: Column) -> Column:
+    return F.struct(found["found"].alias("found"), found["expansions"].alias("expansions"))
 
 
 def expansion_paths(parsed: DataFrame, targets: Column, keys: tuple[str, ...] = ("page_id",), profile: Profile = DEFAULT) -> DataFrame:

@@ -403,12 +403,14 @@ s AS (SELECT p.*, k.entry, p.shape = 2 AND p.n_nationkey % 5 <> 0 AND p.has_id A
 )
 def n5(spark, d):
     """One target a row: every item with the page that holds it."""
-    targets = B.placed_customers(spark, d).select("page_id", "c_custkey", "c_name")
-    target = F.concat(F.lit("cust-"), col("c_custkey").cast("string"))
-    found = navigation.expansion_path(sidebar_nodes(spark, d).join(targets, "page_id"), target, col("c_name"))
+    target = F.struct("c_custkey", "c_name")
+    targets = B.placed_customers(spark, d).groupBy("page_id").agg(F.collect_list(target).alias("target"))
+    ids = F.transform("target", lambda t: F.concat(F.lit("cust-"), t["c_custkey"].cast("string")))
+    parsed = nodes.with_nodes(B.sidebar_pages(spark, d).join(targets, "page_id"))
+    found = navigation.expansion_path(parsed, ids, F.transform("target", lambda t: t["c_name"]), each="target")
     steps = F.coalesce(col("path.expansions"), F.array().cast("array<struct<menu_text:string,xpath:string>>"))
     return found.select(
-        "page_id", "c_custkey", col("path.found").alias("found"), F.array_join(F.transform(steps, lambda s: s["menu_text"]), " > ").alias("menus"),
+        "page_id", "target.c_custkey", col("path.found").alias("found"), F.array_join(F.transform(steps, lambda s: s["menu_text"]), " > ").alias("menus"),
         F.array_join(F.transform(steps, lambda s: s["xpath"]), " > ").alias("xpaths"),
     )
 
