@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -117,6 +119,18 @@ def kept_in_worker(key: tuple, make):
     return vars(home)[key]
 
 
+def give_back(forget: bool = False) -> None:
+    """Memory that this worker has freed goes back to the system; with ``forget`` what operators keep in it goes too."""
+    home = sys.modules.get("docengine_worker")
+    if forget and home and any(not key.startswith("__") for key in map(str, vars(home))):
+        del sys.modules["docengine_worker"], home
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs ``flat[starts[c]:starts[c]+lengths[c]]`` of all codes, one after another, and each run's length."""
     size = lengths[codes]

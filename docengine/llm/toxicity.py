@@ -4,7 +4,8 @@ A feature is an n-gram of a lower-cased word with a blank at both ends, hashed t
 has it or not. Of every feature the log ratio of its share among toxic and other training texts is taken;
 features near zero are left out, the others enter a logistic regression with that ratio as their value.
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows (those with the smallest hash of their id), so
-its size and the fit are bounded; every text is scored whole.
+its size and the fit are bounded; every text is scored whole. Features are counted over all tasks; only those that
+are not left out reach the one task that fits, some hundredth of all.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import SLICE_BYTES, free_name, gather, id_and_text, keyed, slices, split_words
+from docengine.llm.common import SLICE_BYTES, free_name, gather, give_back, id_and_text, keyed, slices, split_words, staged
 
 TRAIN_ROWS = 8_000
 BITS = 18
@@ -64,25 +65,24 @@ def text_features(texts: pa.Array, active: np.ndarray | None = None) -> tuple[np
     return np.divmod(np.unique((np.repeat(rows, each) << BITS) + flat), 1 << BITS)
 
 
-def log_count_ratios(rows: np.ndarray, features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Log ratio of each feature's share among toxic and other rows, one pseudo-count each."""
-    places, of_toxic = 1 << BITS, toxic[rows]
-    with_it = np.bincount(features[of_toxic], minlength=places) + 1.0
-    without = np.bincount(features[~of_toxic], minlength=places) + 1.0
-    ratios = np.log(with_it / (toxic.sum() + 2.0)) - np.log(without / ((~toxic).sum() + 2.0))
+def log_count_ratios(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Log ratio of each feature's share among toxic and other rows, one pseudo-count each; those near zero are zero.
+
+    Both arrays hold the number of rows with each feature, then the number of rows.
+    """
+    with_it, without = toxic[:-1] + 1.0, other[:-1] + 1.0
+    ratios = np.log(with_it / (toxic[-1] + 2.0)) - np.log(without / (other[-1] + 2.0))
     ratios[(with_it + without) < 5] = 0.0
+    ratios[np.abs(ratios) < LEAST_RATIO] = 0.0
     return ratios
 
 
-def fit(rows: np.ndarray, features: np.ndarray, toxic: np.ndarray, steps: int = 200, penalty: float = 1e-4) -> np.ndarray:
-    """Weight of each feature (ratio times coefficient), then the constant.
+def fit(rows: np.ndarray, features: np.ndarray, toxic: np.ndarray, ratios: np.ndarray, steps: int = 200, penalty: float = 1e-4) -> np.ndarray:
+    """Weight of each feature (ratio times coefficient), then the constant; features have a ratio other than zero.
 
     With labels of one kind only, the constant alone is fitted.
     """
-    ratios = log_count_ratios(rows, features, toxic)
-    ratios[np.abs(ratios) < LEAST_RATIO] = 0.0
-    kept = ratios[features] != 0
-    rows, features, n = rows[kept], features[kept], max(len(toxic), 1)
+    n = max(len(toxic), 1)
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1.0)
     weights, constant = np.zeros(1 << BITS), float(np.log(rate / (1 - rate)))
     values, moved, moved_constant = ratios[features] / 4, np.full(1 << BITS, 1e-8), 1e-8
@@ -111,13 +111,29 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     sample = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
     def extract(batches):
+        give_back(forget=True)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE_BYTES // 4):
                 rows, features = text_features(part.column(1))
                 ends = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 packed = [features[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:1], part.column(2), pa.array(packed, pa.binary())], names=["doc_id", "toxic", "features"])
 
+    def count(batches):
+        counts = np.zeros((2, (1 << BITS) + 1), np.int64)
+        for batch in batches:
+            for label, packed in zip(batch.column("toxic").to_pylist(), batch.column("features"), strict=True):
+                counts[label, np.frombuffer(packed.as_buffer(), "<u4")] += 1
+                counts[label, -1] += 1
+        some = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *map(pa.array, counts[::-1, some])], names=["feature", "toxic", "other"])
+
+    def select(batches):
+        for batch in batches:
+            found = (np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("features"))
+            packed = [x[ratios[x] != 0].tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], names=["place", "toxic", "features"])
+
     def learn(batches):
         found = []
         for batch in batches:
@@ -126,13 +142,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
         labels_, lists = [x[1] for x in found], [np.frombuffer(x[2], "<u4") for x in found]
         sizes = [len(x) for x in lists]
         features = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
-        model = fit(np.repeat(np.arange(len(lists)), sizes), features, np.array(labels_, bool))
+        model = fit(np.repeat(np.arange(len(lists)), sizes), features, np.array(labels_, bool), ratios)
         yield pa.RecordBatch.from_arrays([pa.array([model.astype("<f4").tobytes()], pa.binary())], names=["model"])
 
-    found = sample.mapInArrow(extract, "doc_id long, toxic int, features binary").repartition(1)
-    learned = found.mapInArrow(learn, "model binary").first()  # none where an empty sample leaves no task
+    found = staged(sample.mapInArrow(extract, "doc_id long, toxic int, features binary"), "features")
+    sums = found.mapInArrow(count, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    sums = sums.toArrow()  # a row for each place at most
+    counts = np.zeros((2, (1 << BITS) + 1))
+    counts[:, sums["feature"].to_numpy()] = sums["toxic"].to_numpy(), sums["other"].to_numpy()
+    ratios = log_count_ratios(*counts)
+    ordered = found.orderBy("doc_id", "toxic", "features").select(F.monotonically_increasing_id().alias("place"), "toxic", "features")
+    few = ordered.mapInArrow(select, "place long, toxic int, features binary").repartition(1)
+    learned = few.mapInArrow(learn, "model binary").first()  # none where an empty sample leaves no task
     if learned is None:
-        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)).astype("<f4")
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), ratios).astype("<f4")
     return np.frombuffer(learned["model"], "<f4")
 
 
@@ -140,9 +163,10 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
     """doc_id, score between 0 and 1; one row per input row. Null text is empty; empty text gets the constant's score."""
 
     def run(batches):
+        give_back(forget=True)
         active = model[:-1] != 0
         for batch in batches:
-            for part in slices(batch, limit=2 * SLICE_BYTES):
+            for part in slices(batch):
                 rows, features = text_features(part.column(1), active)
                 margin = np.bincount(rows, model[:-1].astype(np.float64)[features], part.num_rows) + float(model[-1])
                 scores = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
