@@ -2,9 +2,9 @@
 
 Every token of every text is one position: its word, the word before it (a start mark at the head of a text)
 and its document. Positions travel in packed arrays to buckets by word. A bucket has all positions of its
-words, so it counts words and pairs among the training positions, writes the counts of pairs to the model's table
-(one partition per bucket), and notes for every document how many of its positions have been seen how
-often. Good-Turing discounts come from the counts of counts over all buckets.
+words, so it counts words and pairs among the training positions and writes to the model's table, one row per bucket, each
+distinct pair once with its counts, and the documents of its positions. Good-Turing discounts come from the counts of
+counts over all buckets; with them, buckets turn counts into values and add those up by document.
 
 P(w | h) is the discounted share if the pair was seen, else a(h) P(w); P(w) is the discounted share of the word, and
 the mass left over belongs to the unknown word. a(h) = (1 - sum of seen P(w | h)) / (1 - sum of their P(w)), so both
@@ -18,6 +18,7 @@ document); their exact counts are taken beforehand. The list has at most ``MOST_
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import id_and_text, shuffle_partitions, slices, split_words, staged
+from docengine.llm.common import give_back, id_and_text, shuffle_partitions, slices, split_words, staged
 
 CUTOFF = 5  # counts up to this are discounted by Good and Turing's formula
 RESERVE = 0.05  # what a larger count gives up, so that every context leaves some mass
 MOST_FREQUENT, FREQUENT_SHARE, SAMPLE_DOCS = 1_000, 0.001, 2_000
-NOTED = 10_000
 BUCKETS = 4  # for each shuffle partition, to bound what one group holds
+PASSES = 2  # over the texts, each for a part of the buckets, as the shuffled positions are most of what lies on disk
 START, END, NO_ID = np.uint64(1), np.uint64(2), -(2**63)
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-LEVEL = CUTOFF + 3  # positions by count 0 to CUTOFF, those with more, and their log sum
+COUNTED = ["own", "pairs", "ends", "before", "pair_counts", "sizes", "owners", "docs"]  # packed arrays, see ``_reduce``
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +88,8 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) -> DataFrame:
-    """The bucketed counts: kind, bucket and packed arrays (see ``_reduce``)."""
+def count_positions(rows: DataFrame, frequent: dict[int, int], turn: int) -> DataFrame:
+    """The counts of every ``PASSES``-th bucket from ``turn`` on: bucket and packed arrays (see ``_reduce``)."""
     buckets = BUCKETS * shuffle_partitions(rows.sparkSession)
     spread = np.array(sorted(frequent), np.uint64)
 
@@ -102,7 +103,8 @@ def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) ->
                 docs_ = part.column(0).fill_null(NO_ID).to_numpy().astype("<i8")
                 train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
                 bucket = _bucket(np.where(np.isin(stream, spread), stream + before * PRIME, stream), buckets)
-                order = np.lexsort((before, stream, bucket))
+                mine = np.flatnonzero(bucket % PASSES == turn)
+                order = mine[np.lexsort((before[mine], stream[mine], bucket[mine]))]
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in np.flatnonzero(np.diff(ends)).tolist():
                     mine = order[ends[b] : ends[b + 1]]
@@ -114,75 +116,98 @@ def count_positions(rows: DataFrame, frequent: dict[int, int], n_train: int) ->
             pa.default_memory_pool().release_unused()
 
     def meet(table):
-        parts = []
-        for docs_, train, words, counts, before, owner in zip(*(table.column(n).to_pylist() for n in names[1:]), strict=True):
-            counts = np.frombuffer(counts, "<u4")
-            n = int(counts.sum())
-            owner = np.frombuffer(owner, "<u2" if len(owner) == 2 * n else "<u4")
-            parts.append((np.repeat(np.frombuffer(words, "<u8"), counts), np.frombuffer(before, "<u8"), np.cumsum(np.frombuffer(docs_, "<i8"))[owner], np.frombuffer(train, np.uint8)[owner]))
-        return _reduce(table.column("bucket")[0].as_py(), *(np.concatenate(x) for x in zip(*parts, strict=True)), frequent, n_train)
+        result = _reduce(table.column("bucket")[0].as_py(), *_positions(table), frequent)
+        give_back()
+        return result
 
     names = ["bucket", "docs", "train", "words", "counts", "before", "owner"]
     packed = rows.mapInArrow(emit, "bucket int, docs binary, train binary, words binary, counts binary, before binary, owner binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "bucket int, pairs binary, pair_counts binary, word_counts binary, docs binary, notes binary, open_docs binary, open_before binary, tallies array<long>")
+    return packed.groupBy("bucket").applyInArrow(meet, f"bucket int, {', '.join(f'{c} binary' for c in COUNTED)}, tallies array<long>")
 
 
-def _levels(counts: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-    """Per document how many positions have each count up to the cutoff, how many a larger one, and its log sum."""
-    place = np.minimum(counts, CUTOFF + 1)
-    found = np.zeros((n, LEVEL))
-    found[:, :-1] = np.bincount(docs * (LEVEL - 1) + place, minlength=n * (LEVEL - 1)).reshape(n, LEVEL - 1)
-    large = counts > CUTOFF
-    found[:, -1] = np.bincount(docs[large], np.log10(counts[large] - RESERVE), n)
-    return found
+def _positions(table: pa.Table) -> list[np.ndarray]:
+    """All positions of a bucket's packed arrays: word, word before, place of the document among ids, training; then the ids.
 
+    The arrays are filled one packed row after another, as a second copy of each would be most of what a task holds.
+    """
+    view = lambda x, t: np.frombuffer(x.as_buffer(), t)
+    ids, row = np.unique(np.concatenate([np.cumsum(view(x, "<i8")) for x in table["docs"]]), return_inverse=True)
+    n = sum(len(x.as_buffer()) // 8 for x in table["before"])
+    words, before, doc, train = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.int32), np.empty(n, np.uint8)
+    start = first = 0
+    for of_docs, word, counts, previous, owner in zip(*(table[c] for c in ("train", "words", "counts", "before", "owner")), strict=True):
+        previous, of_docs = view(previous, "<u8"), view(of_docs, np.uint8)
+        here = slice(start, start + len(previous))
+        owner = view(owner, "<u2" if len(owner.as_buffer()) == 2 * len(previous) else "<u4")
+        words[here], before[here] = np.repeat(view(word, "<u8"), view(counts, "<u4")), previous
+        doc[here], train[here] = row[first : first + len(of_docs)][owner], of_docs[owner]
+        start, first = here.stop, first + len(of_docs)
+    order = np.lexsort((before, words))
+    arrays = [words, before, doc, train]
+    del words, before, doc, train
+    for k in range(len(arrays)):
+        arrays[k] = arrays[k][order]
+    return [*arrays, ids]
+
+
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ascending distinct ids: the first, the bytes of a step, the steps."""
+    steps = np.diff(ids.view(np.uint64))
+    kind = np.min_scalar_type(int(steps.max(initial=0)))
+    return ids[:1].astype("<i8").tobytes() + bytes([kind.itemsize]) + steps.astype(kind.newbyteorder("<")).tobytes()
+
+
+def _unpack_ids(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, f"<u{packed[8]}", offset=9).astype(np.uint64)
+    return np.cumsum(np.append(np.frombuffer(packed, "<u8", 1), steps)).view(np.int64)
+
+
+def _pack_places(places: np.ndarray, n: int) -> bytes:
+    """Places below ``n``, each in as few bytes as ``n`` needs."""
+    return places.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : max(1, (n.bit_length() + 7) // 8)].tobytes()
 
-def _reduce(bucket, words, before, docs, train, frequent, n_train) -> pa.Table:
-    """Counts of one bucket.
 
-    pairs: word before of each distinct training pair, with its count and its word's count. docs, notes: documents
-    and per document the tokens, known tokens, log sum of c + 1, context terms, seen positions by count and unseen
-    positions by the word's count. open_*: unseen positions whose context was seen or not. tallies: distinct words,
-    counts of counts of words, then of pairs.
+def _unpack_places(packed: bytes, n: int) -> np.ndarray:
+    width = max(1, (n.bit_length() + 7) // 8)
+    wide = np.zeros((len(packed) // width, 4), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8).reshape(-1, width)
+    return wide.view("<u4").ravel()
+
+
+def _reduce(bucket, words, before, doc, train, ids, frequent) -> pa.Table:
+    """Counts of one bucket, from its positions by word and word before.
+
+    Of each distinct word: ``own`` (its training count), ``pairs`` (how many of the pairs that follow are its), ``ends`` (whether
+    it is the end mark). Of each distinct pair: ``before`` (the word before), ``pair_counts`` (its training count), ``sizes`` (how
+    many of the positions are its). Of each position: ``owners``, the place of its document among ``docs``. tallies: distinct
+    words, counts of counts of words, then of pairs.
     """
-    order = np.lexsort((before, words))
-    words, before, docs, train = words[order], before[order], docs[order], train[order].astype(np.int64)
     new_word = np.concatenate([[True], words[1:] != words[:-1]])
     new_pair = new_word | np.concatenate([[True], before[1:] != before[:-1]])
     word_at, pair_at = np.flatnonzero(new_word), np.flatnonzero(new_pair)
-    own = np.add.reduceat(train, word_at)
+    own = np.add.reduceat(train, word_at, dtype=np.int64)
     spread = np.array([frequent.get(int(w), -1) for w in words[word_at].tolist()] if frequent else np.full(len(word_at), -1), np.int64)
     own = np.where(spread >= 0, spread, own)
-    of_word = own[np.cumsum(new_word) - 1]
-    pair_counts = np.add.reduceat(train, pair_at)
-    of_pair = pair_counts[np.cumsum(new_pair) - 1]
-    ids, doc = np.unique(docs, return_inverse=True)
-    n = len(ids)
-    notes = np.zeros((n, 4 + 2 * LEVEL))
-    notes[:, 0] = np.bincount(doc, minlength=n)
-    notes[:, 1] = np.bincount(doc, of_word > 0, n)
-    notes[:, 2] = np.bincount(doc, np.log10(of_word + 1.0), n)
-    context = (of_word > 0) & (words != END)
-    notes[:, 3] = -np.bincount(doc[context], np.log10(of_word[context]), n)
-    if n_train:
-        notes[:, 3] -= np.bincount(doc[before == START], minlength=n) * math.log10(n_train)
-    seen = of_pair > 0
-    notes[:, 4 : 4 + LEVEL] = _levels(of_pair[seen], doc[seen], n)
-    notes[:, 4 + LEVEL :] = _levels(of_word[~seen], doc[~seen], n)
-    kept = pair_counts > 0
+    pair_counts = np.add.reduceat(train, pair_at, dtype=np.int64)
     local = own[(spread < 0) & (own > 0)]
     tallies = [len(local), *np.bincount(np.minimum(local, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()]
     tallies += np.bincount(np.minimum(pair_counts, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()
-    arrays = [before[pair_at][kept].astype("<u8"), pair_counts[kept].astype("<u4"), of_word[pair_at][kept].astype("<u8"),
-              ids.astype("<i8"), notes.astype("<f8"), docs[~seen].astype("<i8"), before[~seen].astype("<u8")]
-    # Documents go in rows of NOTED each, as one value of a whole bucket is large; the first row has all else.
-    rows = []
-    for start in range(0, n, NOTED):
-        few = [a[start : start + NOTED] if a is arrays[3] or a is arrays[4] else a if not start else a[:0] for a in arrays]
-        rows.append([a.tobytes() for a in few])
-    columns = [pa.array([bucket] * len(rows), pa.int32())] + [pa.array(list(c), pa.binary()) for c in zip(*rows, strict=True)]
-    columns.append(pa.array([tallies] + [[]] * (len(rows) - 1), pa.list_(pa.int64())))
-    return pa.table(columns, names=["bucket", "pairs", "pair_counts", "word_counts", "docs", "notes", "open_docs", "open_before", "tallies"])
+    pairs, sizes = np.diff(np.append(np.flatnonzero(new_word[pair_at]), len(pair_at))), np.diff(np.append(pair_at, len(words)))
+    data = [own.astype("<u8"), pairs.astype("<u4"), words[word_at] == END, before[pair_at].astype("<u8"), pair_counts.astype("<u4"), sizes.astype("<u4")]
+    data = [*(x.tobytes() for x in data), _pack_places(doc, len(ids)), _pack_ids(ids)]
+    columns = [pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in data), pa.array([tallies], pa.list_(pa.int64()))]
+    return pa.table(columns, names=["bucket", *COUNTED, "tallies"])
+
+
+def _counted(batches):
+    """Of each bucket, the word's count, whether it is the end mark, the word before, the count and the number of positions of
+    each distinct pair; the place of each position's document; the documents."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            packed = [batch.column(c)[row].as_buffer() for c in COUNTED]
+            own, pairs, ends, before, counts, sizes = (np.frombuffer(x, t) for x, t in zip(packed, ("<i8", "<u4", "?", "<u8", "<u4", "<u4"), strict=False))
+            ids = _unpack_ids(packed[7].to_pybytes())
+            yield np.repeat(own, pairs), np.repeat(ends, pairs), before, counts.astype(np.int64), sizes, _unpack_places(packed[6], len(ids)), ids
 
 
 def discounted(of: list[int]) -> list[float]:
@@ -221,14 +246,14 @@ class Model:
     def of_pairs(self, counts: np.ndarray) -> np.ndarray:
         return np.where(counts <= CUTOFF, np.array(self.pair_worth)[np.minimum(counts, CUTOFF)], counts - RESERVE)
 
-    def noted(self, notes: np.ndarray) -> np.ndarray:
-        """Tokens, known tokens, base score and score of each row of notes, before corrections by context."""
-        pairs, words = (np.log10(np.maximum(x, 1e-300)) for x in (self.pair_worth, self.word_worth))
-        seen, unseen = notes[:, 4 : 4 + LEVEL], notes[:, 4 + LEVEL :]
-        score = notes[:, 3] + seen[:, : CUTOFF + 1] @ pairs + seen[:, -1] + unseen[:, : CUTOFF + 1] @ words + unseen[:, -1]
-        score -= unseen[:, :-1].sum(1) * math.log10(max(self.tokens, 1))
-        base = notes[:, 2] - notes[:, 0] * math.log10(self.tokens + self.words + 1)
-        return np.stack([notes[:, 0], notes[:, 1], base, score], 1)
+    def values(self, own: np.ndarray, ends: np.ndarray, before: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Base score and score of a position with each pair, the score before corrections by context."""
+        log_sum = lambda worth, c: np.where(c > CUTOFF, np.log10(np.maximum(c, 1) - RESERVE), np.log10(np.maximum(worth, 1e-300))[np.minimum(c, CUTOFF)])
+        score = np.where(counts > 0, log_sum(self.pair_worth, counts), log_sum(self.word_worth, own) - math.log10(max(self.tokens, 1)))
+        score -= np.where((own > 0) & ~ends, np.log10(np.maximum(own, 1)), 0.0)
+        if self.texts:
+            score -= np.where(before == START, math.log10(self.texts), 0.0)
+        return np.log10(own + 1.0) - math.log10(self.tokens + self.words + 1), score
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,15 +265,15 @@ def document_sums(counted: DataFrame, model: Model) -> DataFrame:
     """doc_id and what the word buckets say about its tokens and scores."""
 
     def run(batches):
-        for batch in batches:
-            parts = []
-            for docs, notes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts.append((np.frombuffer(docs, "<i8"), model.noted(np.frombuffer(notes, "<f8").reshape(-1, 4 + 2 * LEVEL))))
-            ids, sums = _sums(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids)] + [pa.array(c) for c in sums.T.copy()], names=names)
+        for own, ends, before, counts, sizes, doc, ids in _counted(batches):
+            known = np.bincount(doc, np.repeat(own > 0, sizes), len(ids))
+            sums = [np.bincount(doc, np.repeat(x, sizes), len(ids)) for x in model.values(own, ends, before, counts)]
+            columns = [ids, np.bincount(doc, minlength=len(ids)).astype(float), known, *sums]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        give_back()
 
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-    return counted.select("docs", "notes").mapInArrow(run, "doc_id long, n_tokens double, n_known double, base_score double, score double")
+    return counted.select(*COUNTED).mapInArrow(run, "doc_id long, n_tokens double, n_known double, base_score double, score double")
 
 
 def corrections(counted: DataFrame, model: Model, frequent: dict[int, int]) -> DataFrame:
@@ -261,22 +286,21 @@ def corrections(counted: DataFrame, model: Model, frequent: dict[int, int]) -> D
     spread = np.array(sorted({*frequent, int(START)}), np.uint64)
 
     def emit(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                pairs, counts, words = (np.frombuffer(row[k], t) for k, t in (("pairs", "<u8"), ("pair_counts", "<u4"), ("word_counts", "<u8")))
-                given = np.stack([counts, model.of_pairs(counts.astype(np.int64)), model.of_words(words.astype(np.int64))], 1)
-                keys, sums = _sums(pairs, given)
-                wide = np.isin(keys, spread)
-                keys = np.concatenate([keys[~wide], np.tile(keys[wide], parts)])
-                sums = np.concatenate([sums[~wide], np.tile(sums[wide], (parts, 1))])
-                salt = np.concatenate([np.zeros(int((~wide).sum()), np.uint64), np.repeat(np.arange(parts, dtype=np.uint64), int(wide.sum()))])
-                docs, before = np.frombuffer(row["open_docs"], "<i8"), np.frombuffer(row["open_before"], "<u8")
-                theirs = np.where(np.isin(before, spread), docs.astype(np.uint64) % np.uint64(parts), np.uint64(0))
-                to, asks = _bucket(keys + salt * PRIME, buckets), _bucket(before + theirs * PRIME, buckets)
-                for b in np.union1d(np.unique(to), np.unique(asks)).tolist():
-                    mine, own = to == b, asks == b
-                    data = [keys[mine].tobytes(), salt[mine].tobytes(), sums[mine].tobytes(), before[own].tobytes(), theirs[own].tobytes(), docs[own].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())] + [pa.array([x], pa.binary()) for x in data], names=names)
+        for own, _, before, counts, sizes, doc, ids in _counted(batches):
+            seen = counts > 0
+            given = np.stack([counts[seen], model.of_pairs(counts[seen]), model.of_words(own[seen])], 1)
+            keys, sums = _sums(before[seen], given)
+            docs, before = ids[doc[np.repeat(~seen, sizes)]], np.repeat(before[~seen], sizes[~seen])
+            wide = np.isin(keys, spread)
+            keys = np.concatenate([keys[~wide], np.tile(keys[wide], parts)])
+            sums = np.concatenate([sums[~wide], np.tile(sums[wide], (parts, 1))])
+            salt = np.concatenate([np.zeros(int((~wide).sum()), np.uint64), np.repeat(np.arange(parts, dtype=np.uint64), int(wide.sum()))])
+            theirs = np.where(np.isin(before, spread), docs.astype(np.uint64) % np.uint64(parts), np.uint64(0))
+            to, asks = _bucket(keys + salt * PRIME, buckets), _bucket(before + theirs * PRIME, buckets)
+            for b in np.union1d(np.unique(to), np.unique(asks)).tolist():
+                mine, own = to == b, asks == b
+                data = [keys[mine].tobytes(), salt[mine].tobytes(), sums[mine].tobytes(), before[own].tobytes(), theirs[own].tobytes(), docs[own].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())] + [pa.array([x], pa.binary()) for x in data], names=names)
 
     def meet(table):
         columns = {n: table.column(n).to_pylist() for n in names[1:]}
@@ -289,12 +313,10 @@ def corrections(counted: DataFrame, model: Model, frequent: dict[int, int]) -> D
         total, seen, lower = sums[at[hit]].T if len(known) else np.zeros((3, 0))
         # log c(h) + log((1 - seen / c(h)) / (1 - lower)): the mass the context gives up over what it is shared by.
         value = np.log10(total - seen) - np.log10(1 - lower)
-        ids, found = _sums(docs[hit], value[:, None])
-        return pa.table([pa.array(ids), pa.array(found[:, 0])], names=["doc_id", "score"])
+        return pa.table([pa.array(docs[hit]), pa.array(value)], names=["doc_id", "score"])
 
     names = ["bucket", "keys", "salt", "sums", "before", "theirs", "docs"]
-    wanted = counted.select("pairs", "pair_counts", "word_counts", "open_docs", "open_before")
-    packed = wanted.mapInArrow(emit, "bucket int, keys binary, salt binary, sums binary, before binary, theirs binary, docs binary")
+    packed = counted.select(*COUNTED).mapInArrow(emit, "bucket int, keys binary, salt binary, sums binary, before binary, theirs binary, docs binary")
     return packed.groupBy("bucket").applyInArrow(meet, "doc_id long, score double")
 
 
@@ -307,7 +329,7 @@ def katz_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("train", F.coalesce(training, F.lit(False)))
     frequent, tokens, texts = frequent_words(rows)
-    counted = staged(count_positions(rows, frequent, texts), "pair-counts")
+    counted = reduce(DataFrame.union, [staged(count_positions(rows, frequent, turn), "pair-counts") for turn in range(PASSES)])
     tallies = counted.select(F.posexplode("tallies").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
     model = Model([n for _, n in sorted((r["k"], r["n"]) for r in tallies)] or [0] * (2 * CUTOFF + 3), frequent, tokens, texts)
     none = F.lit(0.0)
