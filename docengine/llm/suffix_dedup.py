@@ -6,7 +6,8 @@ every repeat: with the bytes to the left of the anchor they hold all strings tha
 occur once in the corpus are left out first.
 
 Each task sorts its suffixes and sends them as front-coded runs (common prefix with the one before, then the
-rest), dealt out by a hash of the bytes that all members of a group share. A bucket merges its runs with a loser
+rest), dealt out by a hash of the bytes that all members of a group share, and only with the bytes that the strings of the anchor
+cover. Buckets come in as many turns as keep what is sent at a time below the size of the texts. A bucket merges its runs with a loser
 tree that keeps, for every contender, the common prefix with the last suffix put out: unequal prefixes decide at
 once, equal ones are compared only beyond them. The merged order and its common prefixes, with the same for
 the bytes to the left, tell which strings are equal; all but the first of each are removed.
@@ -14,6 +15,8 @@ the bytes to the left, tell which strings are equal; all but the first of each a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,7 @@ LEFT = WINDOW - RUN
 POWERS = {k: np.uint64(pow(0x100000001B3, k, 2**64)) for k in (1, 2, 4, 8, 16)}
 BUCKETS = 2  # for each shuffle partition, to halve what one group holds
 SHIFT, CHUNK = np.uint64(24), 1 << 20
+SENT = 120  # bytes of an anchor's suffix in a run, for the number of turns
 
 
 def run_hashes(data: np.ndarray) -> np.ndarray:
@@ -72,11 +76,25 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of anchors; hashed again, as anchors have the least hashes and would meet in the first buckets."""
+    keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
+def by_bucket(bucket: np.ndarray, names: list[str], columns: list[tuple[np.ndarray, np.ndarray | None]]) -> pa.RecordBatch:
+    """One row per bucket of columns sorted by it. A column comes with the end of each element's part of it, or None: one value each."""
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    edges = np.append(starts, len(bucket))
+    values = [pa.array(bucket[starts], pa.int32())]
+    for flat, ends in columns:
+        cuts = edges * flat.itemsize if ends is None else np.concatenate([[0], ends])[edges]
+        buffers = [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))]
+        values.append(pa.Array.from_buffers(pa.binary(), len(starts), buffers))
+    return pa.RecordBatch.from_arrays(values, names=names)
+
+
 def repeated_anchors(rows: DataFrame) -> DataFrame:
-    """doc_id, at: positions of the anchors whose hash occurs more than once."""
+    """doc_id, at, bucket: positions of the anchors whose hash occurs more than once."""
     buckets = BUCKETS * shuffle_partitions(rows.sparkSession)
 
     def emit(batches):
@@ -87,25 +105,21 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
                 row = np.searchsorted(ends, at, side="right")
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
                 begins = np.concatenate([[0], ends[:-1]])
-                order = np.argsort(bucket_of(keys, buckets), kind="stable")
-                cuts = np.searchsorted(bucket_of(keys, buckets)[order], np.arange(buckets + 1))
-                columns = [[], [], [], []]
-                for b in np.flatnonzero(np.diff(cuts)).tolist():
-                    mine = order[cuts[b] : cuts[b + 1]]
-                    for column, value in zip(columns, [b, keys[mine].tobytes(), ids[row[mine]].tobytes(), (at - begins[row])[mine].astype("<u4").tobytes()], strict=True):
-                        column.append(value)
-                types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "keys", "docs", "at"])
+                bucket = bucket_of(keys, buckets)
+                order = np.argsort(bucket, kind="stable")
+                flat = [keys[order], ids[row[order]], (at - begins[row])[order].astype("<u4")]
+                yield by_bucket(bucket[order], ["bucket", "keys", "docs", "at"], [(x, None) for x in flat])
 
     def meet(table):
         keys, docs, at = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("keys", "<u8"), ("docs", "<i8"), ("at", "<u4")))
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         kept = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        return pa.table([pa.array(docs[kept]), pa.array(at[kept].astype(np.int64))], names=["doc_id", "at"])
+        bucket = pa.repeat(pa.scalar(table.column("bucket")[0].as_py(), pa.int32()), len(kept))
+        return pa.table([pa.array(docs[kept]), pa.array(at[kept].astype(np.int64)), bucket], names=["doc_id", "at", "bucket"])
 
     packed = rows.mapInArrow(emit, "bucket int, keys binary, docs binary, at binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "doc_id long, at long")
+    return packed.groupBy("bucket").applyInArrow(meet, "doc_id long, at long, bucket int")
 
 
 def words_of(block: np.ndarray) -> list[np.ndarray]:
@@ -125,11 +139,15 @@ def common_prefixes(block: np.ndarray) -> np.ndarray:
     return found
 
 
-def cut_out(data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, width: int, step: int) -> np.ndarray:
-    """Rows of ``width`` bytes from ``at`` on, forwards or backwards, zero outside the text."""
-    place = at[:, None] + step * np.arange(width)
-    inside = (place >= begin[:, None]) & (place < end[:, None])
-    return np.where(inside, data[np.clip(place, 0, len(data) - 1)], 0).astype(np.uint8)
+def contexts(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes from each anchor on, and backwards from the one before it, as far as its strings reach; zero beyond."""
+    padded = np.concatenate([np.zeros(LEFT, np.uint8), data, np.zeros(WINDOW, np.uint8)])
+    window = np.lib.stride_tricks.sliding_window_view
+    right = window(padded, WINDOW)[at + LEFT]
+    right *= np.arange(WINDOW) < (WINDOW - low)[:, None]
+    left = np.ascontiguousarray(window(padded, LEFT)[at][:, ::-1])
+    left *= np.arange(LEFT) < high[:, None]
+    return right, left
 
 
 def send_runs(rows: DataFrame) -> DataFrame:
@@ -154,23 +172,24 @@ def send_runs(rows: DataFrame) -> DataFrame:
         keys, at, low, high = keys[kept], at[kept], low[kept], high[kept]
         row = np.searchsorted(ends, at, side="right")
         ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-        for b in np.unique(bucket_of(keys, buckets)).tolist():
-            mine = np.flatnonzero(bucket_of(keys, buckets) == b)
-            begin, end = begins[row[mine]], ends[row[mine]]
-            right = cut_out(data, begin, end, at[mine], WINDOW, 1)
-            left = cut_out(data, begin, end, at[mine] - 1, LEFT, -1)
-            doc, place, lo, hi = ids[row[mine]], at[mine] - begin, low[mine], high[mine]
-            order = np.lexsort([place, doc, hi, lo, *words_of(left)[::-1], *words_of(right)[::-1]])
-            right, left, doc, place, lo, hi = (x[order] for x in (right, left, doc, place, lo, hi))
-            again = np.zeros(len(order), bool)
-            again[1:] = (right[1:] == right[:-1]).all(1) & (left[1:] == left[:-1]).all(1) & (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])
-            gone = [doc[again], place[again] - hi[again], place[again] - lo[again] + WINDOW]
-            right, left, doc, place, lo, hi = (x[~again] for x in (right, left, doc, place, lo, hi))
-            shared = common_prefixes(right)
-            tails = right[np.arange(WINDOW) >= shared[:, None]]
-            values = [shared.astype(np.uint8), tails, left, doc, place.astype("<u4"), lo.astype(np.uint8), hi.astype(np.uint8)]
-            values += [gone[0], gone[1].astype("<u4"), gone[2].astype("<u4")]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in values], names=names)
+        if not len(at):
+            return
+        bucket, doc, place = bucket_of(keys, buckets), ids[row], at - begins[row]
+        right, left = contexts(data, at, low, high)
+        order = np.lexsort([place, doc, high, low, *words_of(left)[::-1], *words_of(right)[::-1], bucket])
+        bucket, right, left, doc, place, low, high = (x[order] for x in (bucket, right, left, doc, place, low, high))
+        again = np.zeros(len(order), bool)
+        again[1:] = (right[1:] == right[:-1]).all(1) & (left[1:] == left[:-1]).all(1) & (low[1:] == low[:-1]) & (high[1:] == high[:-1])
+        gone = [doc[again], (place - high)[again].astype("<u4"), (place - low + WINDOW)[again].astype("<u4")]
+        gone_ends = np.cumsum(again)[~again]
+        if len(gone_ends):  # of equal contexts the first comes first, so those gone belong to the row before
+            gone_ends = np.append(gone_ends[1:], again.sum())
+        bucket, right, left, doc, place, low, high = (x[~again] for x in (bucket, right, left, doc, place, low, high))
+        shared = np.where(np.diff(bucket, prepend=-1) != 0, 0, common_prefixes(right))
+        tails = right[np.arange(WINDOW) >= shared[:, None]]
+        columns = [(shared.astype(np.uint8), None), (tails, np.cumsum(WINDOW - shared)), (left, LEFT * np.arange(1, len(left) + 1))]
+        columns += [(x, None) for x in (doc, place.astype("<u4"), low.astype(np.uint8), high.astype(np.uint8))]
+        yield by_bucket(bucket, names, columns + [(x, x.itemsize * gone_ends) for x in gone])
 
     names = ["bucket", "shared", "tails", "lefts", "docs", "places", "lows", "highs", "gone_docs", "gone_from", "gone_to"]
     return rows.mapInArrow(emit, "bucket int, " + ", ".join(f"{n} binary" for n in names[1:]))
@@ -297,10 +316,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text.alias("text"))
     rows = one_row_per_id(rows)
-    flagged = repeated_anchors(rows).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    runs = send_runs(rows.join(flagged, "doc_id").select("doc_id", "text", "at"))
-    spans = runs.groupBy("bucket").applyInArrow(merge_bucket, "doc_id long, start long, stop long")
-    spans = staged(spans, "repeats").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    flagged = staged(repeated_anchors(rows), "anchors")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    turns = max(1, -(-flagged.count() * SENT // max(size, 1)))
+    parts = []
+    for turn in range(turns):
+        mine = flagged.filter(F.col("bucket") % turns == turn).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+        runs = send_runs(rows.join(mine, "doc_id").select("doc_id", "text", "at"))
+        parts.append(staged(runs.groupBy("bucket").applyInArrow(merge_bucket, "doc_id long, start long, stop long"), "repeats"))
+    spans = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches):
         for batch in batches:

@@ -118,6 +118,34 @@ def test_suffix_dedup_of_odd_tables(spark, empty):
     assert {r["doc_id"]: len(r["kept"]) for r in found} == {None: 1, 3: 0, 4: 0}
 
 
+def test_suffix_buckets_are_even():
+    """Anchors have the least hashes of their windows; that must not bring them all to the first buckets."""
+    data = np.random.default_rng(3).integers(97, 123, 300_000).astype(np.uint8)
+    keys, _, _, _ = suffix_dedup.anchors(data, np.array([len(data)]))
+    sizes = np.bincount(suffix_dedup.bucket_of(keys, 100), minlength=100)
+    assert len(keys) > 5000 and sizes.max() < 2 * sizes.mean() and sizes.min() > 0
+
+
+def test_suffix_dedup_in_turns(spark, monkeypatch):
+    """The result does not depend on the number of turns in which the buckets come."""
+    rng = random.Random(5)
+    passages = [prose(rng, 40) for _ in range(6)]
+    texts = [(i, " ".join(rng.choice([prose(rng, 9), rng.choice(passages)]) for _ in range(6))) for i in range(60)]
+    expected = {i: bytes(x for x, gone in zip(t.encode(), flags, strict=True) if not gone) for (i, t), flags in zip(texts, removed(dict(texts)).values(), strict=True)}
+    assert any(len(expected[i]) < len(t.encode()) for i, t in texts)
+    for sent in (0, 120, 2000):
+        monkeypatch.setattr(suffix_dedup, "SENT", sent)
+        assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(table(spark, texts)).collect()} == expected
+
+
+def test_suffix_contexts_hold_what_strings_cover():
+    data = np.arange(1, 251, dtype=np.uint8)
+    right, left = suffix_dedup.contexts(data, np.array([0, 120, 150]), np.array([0, 20, 0]), np.array([0, 68, 10]))
+    assert bytes(right[0]) == bytes(data[:100]) and not left[0].any()
+    assert bytes(right[1]) == bytes(data[120:200]) + bytes(20) and bytes(left[1]) == bytes(data[52:120][::-1])
+    assert bytes(right[2]) == bytes(data[150:250]) and bytes(left[2]) == bytes(data[140:150][::-1]) + bytes(58)
+
+
 def test_loser_tree():
     rng = random.Random(5)
     for _ in range(30):
