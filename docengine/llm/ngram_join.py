@@ -12,6 +12,10 @@ most frequent ones as far as its partners must share more than those: pairs meet
 
 Of a subset's documents only pairs with the smallest are compared first; once linked documents are
 joined to components, subsets inside one component need no more work. So groups of copies cost no pairs.
+
+Near copies of one text that lie just outside its component share nearly all subsets and would be paired each with each.
+With single shingles they are told apart by what they differ in from one of them, their pivot: linked documents that are in
+different components share many of these differences, which are rare where the subsets are frequent.
 """
 
 from __future__ import annotations
@@ -267,12 +271,101 @@ def resolve(docs: DataFrame, sizes: DataFrame, same: DataFrame, room: DataFrame,
         left = room.join(lost, ["doc_id", "band"], "left").select("doc_id", "band", (F.col("room") - F.coalesce("lost", F.lit(0))).alias("room"), "most")
         left = staged(left, "room")
         short = staged(left.filter("room < 1").select("doc_id").distinct(), "short")
-    rare, left = _rarest(_within_reach(few, left), left, sizes)
-    more = staged(promising(_across(rare, last), left, sizes), "pairs")
-    fresh = staged(more.join(first, ["a", "b"], "left_anti"), "pairs")
+    reached = _within_reach(few, left)
+    pivots = None
+    if last:
+        reached = staged(reached, "reached")
+        pivots = _pivots(reached, members, leaders)
+    rare, skipped = _rarest(reached, left, sizes)
+    more = promising(_across(rare, pivots), skipped, sizes)
+    if last:
+        holds = members.join(leaders.filter("members > 1").select("gid", "band"), ["gid", "band"])
+        apart = staged(_differences(holds, pivots, sizes), "differences")
+        close = _placed(apart, labels).filter("out and excess <= n_pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
+        met = verified(docs, staged(close.join(first, ["a", "b"], "left_anti"), "pairs"))
+        if not met.isEmpty():
+            links = links.union(met)
+            labels = components(links if known is None else links.union(known))
+        more = more.union(_beside_pivots(_placed(apart, labels))).distinct()
+    fresh = staged(staged(more, "pairs").join(first, ["a", "b"], "left_anti"), "pairs")
     return links.union(verified(docs, fresh)), short
 
 
+def _pivots(placed: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """doc_id, band, pivot of the documents of ``placed``: of the leaders of its subsets, the one that leads most of its segments."""
+    able = placed.select("doc_id", "band").distinct()
+    led = members.join(able, ["doc_id", "band"]).join(leaders.filter("members > 1"), ["gid", "band"])
+    led = led.groupBy("doc_id", "band", "leader").agg(F.sum("n").alias("n"))
+    found = led.groupBy("doc_id", "band").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("pivot"))
+    return staged(found, "pivots")
+
+
+def _differences(holds: DataFrame, pivots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """doc_id, band, pivot, total, n_pivot, excess, parts (gid, n): what each document and its pivot differ in, by subset.
+
+    Of subsets (``holds``: gid, band, n, doc_id) that are single shingles; those of the pivot that nobody else has are one part of every document, with a
+    gid of -1, and those of the document alone are none. ``excess`` is seven times the number of differences less the document's shingles:
+    two documents of one pivot link if the sum of theirs is at most fourteen times the differences that they share.
+    """
+    led = pivots.select("pivot", "band").distinct()
+    holds = holds.select("band", "doc_id", F.concat_ws(":", "gid", "n").alias("part"))  # plain values, as arrays of structs are compared pair by pair
+    of_pivot = holds.withColumnRenamed("doc_id", "pivot").join(led, ["pivot", "band"])
+    of_pivot = of_pivot.groupBy("pivot", "band").agg(F.collect_list("part").alias("theirs"))
+    own = holds.join(pivots, ["doc_id", "band"]).groupBy("doc_id", "band", "pivot").agg(F.collect_list("part").alias("own"))
+    total = sizes.select("doc_id", F.col("n_shingles").alias("total"))
+    both = own.join(of_pivot, ["pivot", "band"]).join(total, "doc_id")
+    both = both.join(total.select(F.col("doc_id").alias("pivot"), F.col("total").alias("n_pivot")), "pivot")
+    piece = lambda part, at: F.substring_index(part, ":", at).cast("long")
+    weight = lambda parts: F.aggregate(parts, F.lit(0).cast("long"), lambda x, part: x + piece(part, -1))
+    both = both.select("*", F.array_except("theirs", "own").alias("missing"), F.array_except("own", "theirs").alias("added"))
+    both = both.withColumn("shared", weight(F.col("theirs")) - weight(F.col("missing"))).withColumn("unseen", F.col("n_pivot") - weight(F.col("theirs")))
+    unseen = F.array(F.concat_ws(":", F.lit(-1), "unseen"))
+    excess = 7 * (F.col("total") + F.col("n_pivot") - 2 * F.col("shared")) - F.col("total")
+    excess = F.when(F.col("doc_id") == F.col("pivot"), -F.col("total")).otherwise(excess)
+    parts = F.when(F.col("unseen") > 0, F.concat("missing", "added", unseen)).otherwise(F.concat("missing", "added"))
+    parts = F.transform(parts, lambda part: F.struct(piece(part, 1).alias("gid"), piece(part, -1).alias("n")))
+    return both.select("doc_id", "band", "pivot", "total", "n_pivot", excess.alias("excess"), parts.alias("parts"))
+
+
+def _placed(apart: DataFrame, labels: DataFrame) -> DataFrame:
+    """``apart`` with each document's component and whether it is ``out`` of its pivot's."""
+    at = labels.select(F.col("node").alias("doc_id"), "component")
+    rows = apart.join(at, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = rows.join(at.select(F.col("doc_id").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
+    return rows.withColumn("out", F.col("component") != F.coalesce("home", "pivot")).drop("home")
+
+
+def _beside_pivots(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents of one pivot in different components that can link by the differences they share.
+
+    One of the two is out of the pivot's component. The other, if it is in there or has the lesser excess, knows from its own excess how many
+    differences they share at least, and asks by all but its most frequent ones, as far as that leaves some.
+    """
+    rows = staged(placed.filter("doc_id <> pivot"), "placed")
+    least = rows.filter("out").groupBy("pivot", "band").agg(F.min("excess").alias("least"))
+    each = rows.select("doc_id", "band", "pivot", "total", "excess", "component", "out", F.inline("parts"))
+    beyond = lambda f: f(F.when(F.col("out"), F.col("component")))
+    holders = each.groupBy("pivot", "band", "gid").agg(
+        F.count_if("out").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), beyond(F.min).alias("out_low"), beyond(F.max).alias("out_high")
+    )
+    each = each.join(holders.filter("size > 0 and low < high"), ["pivot", "band", "gid"]).join(least, ["pivot", "band"])
+    each = each.withColumn("asks", F.expr("if(out_low < out_high or out_low <> component, n, 0)"))
+    mine = Window.partitionBy("doc_id", "band")
+    order = mine.orderBy(F.desc("size"), F.desc("gid")).rowsBetween(Window.unboundedPreceding, 0)
+    need = F.ceil((F.col("excess") + F.when(F.col("out"), F.col("excess")).otherwise(F.col("least"))) / 14)
+    each = each.select("*", F.sum("asks").over(order).alias("frequent"), F.sum("asks").over(mine).alias("reach"), F.sum("n").over(mine).alias("answers"), need.alias("need"))
+    each = staged(each.drop("size", "low", "high", "out_low", "out_high", "least"), "ranked")
+    asking = each.filter("asks > 0 and reach >= need")
+    skipped = asking.filter("frequent < need").groupBy(F.col("doc_id").alias("a"), "band").agg(F.max("frequent").alias("skipped"))
+    keys, key = ["pivot", "band", "gid"], ("doc_id", "component", "excess", "total")
+    x = asking.filter("frequent >= need").select(*keys, "n", "out", F.col("reach").alias("c"), *(F.col(k).alias(v) for k, v in zip(key, "apus", strict=True)))
+    y = each.filter("out").select(*keys, F.col("answers").alias("d"), *(F.col(k).alias(v) for k, v in zip(key, "bqvt", strict=True)))
+    able = "p <> q and s * 4 >= t * 3 and t * 4 >= s * 3 and 14 * least(c, d) >= u + v and (not out or u < v or (u = v and a < b))"
+    met = x.join(y, keys).filter(able).groupBy("a", "b", "band", "u", "v").agg(F.sum("n").alias("shared"))
+    met = met.join(skipped, ["a", "band"], "left").filter("14 * (shared + coalesce(skipped, 0)) >= u + v")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _rarest(placed: DataFrame, room: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Subsets without the most frequent ones of each document, and its room with what it ``skipped``.
 
@@ -305,18 +398,26 @@ def _within_reach(placed: DataFrame, room: DataFrame) -> DataFrame:
     return kept.join(mixed.select("gid", "band"), ["gid", "band"], "left_semi")
 
 
-def _across(placed: DataFrame, single: bool) -> DataFrame:
-    """Pairs of one subset that are in different components, with the number of subsets they share.
+def _across(placed: DataFrame, pivots: DataFrame | None = None) -> DataFrame:
+    """Pairs of one subset that are in different components, with the number of subsets they share; only those of different ``pivots``, if given.
 
     Linked sets differ in at most a seventh of their shingles taken together. What a document shares with no other component is such a
-    difference, and where every segment is one shingle, those of both sides add up.
+    difference, and where every segment is one shingle (there are pivots then), those of both sides add up.
     """
-    x = placed.select("gid", "band", "n", F.col("doc_id").alias("a"), F.col("component").alias("p"), F.col("alone").alias("u"), F.col("total").alias("s"))
-    y = placed.select("gid", "band", F.col("doc_id").alias("b"), F.col("component").alias("q"), F.col("alone").alias("v"), F.col("total").alias("t"))
-    apart = "u + v" if single else "greatest(u, v)"
-    able = f"a < b and p <> q and s * 4 >= t * 3 and t * 4 >= s * 3 and 7 * ({apart}) <= s + t"
-    pairs = x.join(y, ["gid", "band"]).filter(able)
-    return pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("shared"))
+    near = "p <> q and s * 4 >= t * 3 and t * 4 >= s * 3"
+    keys, key = ["gid", "band"], ("doc_id", "component", "alone", "total")
+    if pivots is not None:
+        placed = staged(placed.join(pivots, ["doc_id", "band"]), "led")
+        key = (*key, "pivot")
+    x = placed.select(*keys, "n", *(F.col(k).alias(v) for k, v in zip(key, ("a", "p", "u", "s", "lower"), strict=False)))
+    y = placed.select(*keys, *(F.col(k).alias(v) for k, v in zip(key, ("b", "q", "v", "t", "upper"), strict=False)))
+    if pivots is None:
+        pairs = x.join(y, keys).filter(f"a < b and {near} and 7 * greatest(u, v) <= s + t")
+        return pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("shared"))
+    several = placed.groupBy(*keys).agg(F.sort_array(F.collect_set("pivot")).alias("each")).filter("size(each) > 1")
+    meets = several.select(*keys, F.explode("each").alias("lower"), "each").select(*keys, "lower", F.explode("each").alias("upper")).filter("lower < upper")
+    pairs = x.join(meets, [*keys, "lower"]).join(y, [*keys, "upper"]).filter(f"{near} and 7 * (u + v) <= s + t")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "band").agg(F.sum("n").alias("shared"))
 
 
 def _sets(rows: DataFrame) -> DataFrame:

@@ -69,3 +69,29 @@ def test_rows_of_one_id(spark):
     kept = [(r["doc_id"], r["text"]) for r in stay.collect()]
     assert len(kept) == 5 and kept.count((3, None)) == kept.count((3, "")) == 1
     assert sum(i == 7 and t == a for i, t in kept) == sum(i == 7 and t == b for i, t in kept) == 1
+
+
+def test_near_copies_outside_a_component(spark, monkeypatch):
+    """Variants of one text of which many link with nothing are not compared each with each, and no link among them is lost."""
+    rng = random.Random(3)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(160)]
+    pool = [(rng.randrange(160), rng.choice("rid")) for _ in range(25)]
+    texts = []
+    for k in range(130):
+        words = [[w] for w in base]
+        for _ in range(rng.randint(0, 11)):
+            at, how = rng.choice(pool) if rng.random() < 0.4 else (rng.randrange(160), rng.choice("rid"))
+            words[at] = {"r": [f"e{at}"], "i": [*words[at], f"c{rng.randrange(10**6)}"], "d": []}[how]
+        texts.append((k, " ".join(w for x in words for w in x)))
+    compared, verified = [], ngram_join.verified
+
+    def counted(docs, pairs):
+        compared.append(pairs.count())
+        return verified(docs, pairs)
+
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    expected = linked_components(dict(texts))
+    assert 40 < len(set(expected.values())) < 120
+    assert components_of(spark, texts) == expected
+    assert sum(compared) < 8 * len(texts)
